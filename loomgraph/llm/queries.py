@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, mixing, sharding, simhash, token_output
+from . import decontamination, exact_dedup, language_id, licenses, lm_scoring, mixing, sharding, simhash, token_output
 from .common import documents
 
 
@@ -15,10 +15,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir)).withColumn("n_spans", F.size("spans")).drop("spans")
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.write_tokens(documents(spark, sf_dir), tokenizer_path(), end_id=1).digest()
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(documents(spark, sf_dir), shards=40)
 
@@ -28,6 +36,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_copy", "mix_copies", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(documents(spark, sf_dir), written=True)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -43,7 +55,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.col("shared").cast("long"), F.col("item_shingles").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_ids, op4_sharding, op5_mix_sources, op8_exact_dedup, op9_simhash, op10_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_license_scan, op2_token_ids, op3_language_id, op4_sharding, op5_mix_sources, op6_lm_score, op8_exact_dedup, op9_simhash, op10_decontamination)
+}
 
 ORACLES = {
     "op8_exact_dedup": r"""
