@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, licenses, lm_scoring, mixing, sharding, simhash, token_output
+from . import decontamination, exact_dedup, language_id, licenses, lm_scoring, mixing, quality, sharding, simhash, token_output
 from .common import documents
 
 
@@ -40,6 +40,10 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(documents(spark, sf_dir), written=True)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir, "doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -57,7 +61,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_token_ids, op3_language_id, op4_sharding, op5_mix_sources, op6_lm_score, op8_exact_dedup, op9_simhash, op10_decontamination)
+    for f in (op1_license_scan, op2_token_ids, op3_language_id, op4_sharding, op5_mix_sources, op6_lm_score, op7_quality, op8_exact_dedup, op9_simhash, op10_decontamination)
 }
 
 ORACLES = {
