@@ -81,6 +81,17 @@ def unit_hash(seed: str, *cols: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
+def if_small(df: DataFrame, most: int) -> DataFrame:
+    """A written table, marked for broadcast if it has no more than ``most`` rows; otherwise joins shuffle it."""
+    table = cut(df, "side")
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def without(docs: DataFrame, ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``ids``; null doc_ids stay."""
+    return docs.join(if_small(ids.select("doc_id").distinct(), most), "doc_id", "left_anti").select(*docs.columns)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a table's bytes; for Parquet the size of its files by the columns read."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
