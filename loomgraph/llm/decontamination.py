@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, cut, text_or_empty
+from .common import ascii_lower, cut, text_or_empty, without
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
@@ -82,5 +82,4 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8,
 
 def decontaminate(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
     """``docs`` without the documents that leak an item; rows of a null doc_id stay."""
-    bad = leaks(docs, items, **parameters).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return without(docs, leaks(docs, items, **parameters).select("doc_id"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, without
 from .components import connected_components
 
 BITS = 64
@@ -246,3 +246,9 @@ def near_duplicates(docs: DataFrame, n: int = 3, limit: int = 3, split: int = 20
     labels = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     joined = prints.join(labels, "fp", "left")
     return joined.select("doc_id", "fp", F.expr("if(doc_id is null, null, component_id)").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, **parameters) -> DataFrame:
+    """``docs`` without the documents that have a near duplicate of a smaller doc_id, directly or through others; null doc_ids stay."""
+    found = near_duplicates(docs, **parameters)
+    return without(docs, found.filter("component_id < doc_id").select("doc_id"))
