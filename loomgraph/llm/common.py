@@ -44,13 +44,14 @@ def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     The written table survives lost executors and cuts the lineage; unlike checkpoint() it computes
     the plan once.
     """
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(put(df, name, partition_by))
+
+
+def put(df: DataFrame, name: str, partition_by: str | None = None) -> str:
+    """Write ``df`` as Parquet to a new folder of the shared folder; its path."""
+    path = fresh_dir(df.sparkSession, name)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    return path
 
 
 @atexit.register
@@ -119,3 +120,15 @@ def put_file(uri: str, name: str, data: bytes) -> None:
     with fs.open_output_stream(part) as out:
         out.write(data)
     fs.move(part, f"{path}/{name}")
+
+
+def read_columns(uri: str, columns: list[str]) -> list:
+    """Columns of a written table as numpy arrays, in a task or the driver, for tables of bounded size."""
+    import numpy as np
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSelector
+
+    fs, path = store(uri)
+    files = sorted(f.path for f in fs.get_file_info(FileSelector(path)) if f.path.endswith(".parquet"))
+    parts = [pq.ParquetFile(fs.open_input_file(f)).read(columns) for f in files]
+    return [np.concatenate([p.column(c).to_numpy() for p in parts]) if parts else np.empty(0) for c in columns]
