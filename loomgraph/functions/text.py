@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,21 +50,27 @@ def cut_first(c: Column, part: Column) -> Column:
     return F.when(or_empty(part) == "", c).when(at > 0, rest).otherwise(c)
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``x``, which is computed once however often ``f`` uses it: expressions in lambdas aren't shared otherwise."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def spans(c: Column, pattern: str) -> Column:
     """All matches in order: an array of (match, start, end), 0-based and end exclusive.
 
     ``pattern`` takes one group of its own around it: numbers of its back-references shift by two.
     Each match is taken with what precedes it, so lengths add up to places.
     """
-    pieces = all_groups(c, rf"(?is)(.*?)({pattern})", 0)
-    steps = F.transform(pieces, lambda p: F.length(p))
-    ends = F.aggregate(steps, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    ends = F.slice(ends, F.lit(2), F.size(pieces))
-    return F.zip_with(
-        pieces,
-        ends,
-        lambda p, e: (lambda m: F.struct(m.alias("match"), (e - F.length(m)).alias("start"), e.alias("end")))(F.regexp_extract(p, rf"(?is)\A(.*?)({pattern})\z", 2)),
-    )
+
+    def placed(pieces: Column) -> Column:
+        ends = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
+        return let(ends, lambda at: F.zip_with(pieces, F.slice(at, F.lit(2), F.size(pieces)), one))
+
+    def one(piece: Column, end: Column) -> Column:
+        found = F.regexp_extract(piece, rf"(?is)\A(.*?)({pattern})\z", 2)
+        return let(found, lambda m: F.struct(m.alias("match"), (end - F.length(m)).alias("start"), end.alias("end")))
+
+    return let(all_groups(c, rf"(?is)\G(.*?)({pattern})", 0), placed)  # \G: what follows the last match is gone through once
 
 
 def uri_component(c: Column) -> Column:

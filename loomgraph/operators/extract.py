@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, all_groups, cut_first, group, or_empty, spans, trim
+from ..functions.text import WS, all_groups, cut_first, group, let, or_empty, spans, trim
 from ..model import EDGES, ENVIRONMENTS, META, NODES, Graph, Selection, columns_like, no_meta, seq, source_of
 from .graph import upsert_edges, upsert_nodes
 
@@ -47,8 +47,8 @@ def environments(text: Column, entities: tuple[str, ...]) -> Column:
 
     def fields(s: Column) -> Column:
         env = F.lower(F.regexp_extract(s["match"], "(?is)" + _ENV % 1, 1))
-        body = trim(F.regexp_extract(s["match"], "(?is)" + _ENV % 1, 2))
-        return F.struct(env.alias("env"), F.element_at(kind, env).alias("type"), bracket_title(s["match"]).alias("title"), body.alias("body"), first_label(body).alias("label"), s["start"].alias("start"), s["end"].alias("end"))
+        parts = F.struct(env.alias("env"), trim(F.regexp_extract(s["match"], "(?is)" + _ENV % 1, 2)).alias("body"))
+        return let(parts, lambda x: F.struct(x["env"].alias("env"), F.element_at(kind, x["env"]).alias("type"), bracket_title(s["match"]).alias("title"), x["body"].alias("body"), first_label(x["body"]).alias("label"), s["start"].alias("start"), s["end"].alias("end")))
 
     return F.filter(F.transform(found, fields), lambda e: e["type"].isin(*entities))
 
@@ -60,15 +60,19 @@ def formulas(text: Column) -> Column:
     def of(pattern: str) -> Column:
         def fields(s: Column) -> Column:
             body = trim(F.regexp_extract(s["match"], f"(?is){pattern}", 1))
-            return F.struct(body.alias("body"), first_label(body).alias("label"), s["start"].alias("start"))
+            return let(body, lambda x: F.struct(x.alias("body"), first_label(x).alias("label"), s["start"].alias("start")))
 
         return F.filter(F.transform(spans(text, pattern), fields), lambda f: f["body"] != "")
 
     out = [of(pattern) for pattern in FORMULAS]
-    return F.transform(
-        F.concat(*out),
-        lambda f: F.struct(f["body"].alias("body"), f["label"].alias("label"), f["start"].alias("start"), F.exists(worked, lambda w: (f["start"] >= w["start"]) & (f["start"] <= w["end"])).alias("inside")),
-    )
+    def placed(ranges: Column) -> Column:
+        def within(f: Column) -> Column:
+            inside = F.exists(ranges, lambda w: (f["start"] >= w["start"]) & (f["start"] <= w["end"]))
+            return F.struct(f["body"].alias("body"), f["label"].alias("label"), f["start"].alias("start"), inside.alias("inside"))
+
+        return F.transform(F.concat(*out), within)
+
+    return let(worked, placed)
 
 
 def split_worked(content: Column) -> Column:
@@ -119,17 +123,20 @@ def parsed(chunks: DataFrame, selection: Selection = Selection()) -> DataFrame:
         ),
     )
     maths = F.filter(formulas(F.col("text")), lambda f: f["label"].isNotNull() | ~f["inside"]) if "Formula" in selection.entities else F.slice(F.array(F.struct(F.lit("").alias("body"), F.lit("").alias("label"))), 1, 0)
-    df = chunks.withColumns({"section_id": F.concat(F.lit("sec:"), F.array_join(path, " / ")), "envs": named, "_f": maths})
-    one = lambda i, title, body, label: F.struct(i.alias("id"), F.lit("Formula").alias("type"), title.alias("title"), body.alias("content"), label.alias("label"))
-    # The title of an unlabeled formula has its number from 1, its id from 0; labeled ones take no number.
-    before = lambda i: F.size(F.filter(F.slice("_f", F.lit(1), i), lambda f: f["label"].isNull()))
-    maths = F.transform(
-        "_f",
-        lambda f, i: F.when(f["label"].isNotNull(), one(F.concat(F.lit("tex:"), f["label"]), F.concat(F.lit("Formula ("), f["label"], F.lit(")")), f["body"], f["label"])).otherwise(
-            one(F.concat("id", F.lit(":formula:"), before(i).cast("string")), F.concat(F.lit("Formula "), (before(i) + 1).cast("string")), f["body"], f["label"])
-        ),
-    )
-    return df.withColumn("maths", maths).drop("_f")
+    one = lambda i, title, f: F.struct(i.alias("id"), F.lit("Formula").alias("type"), title.alias("title"), f["body"].alias("content"), f["label"].alias("label"))
+
+    def numbered(own: Column) -> Column:
+        # A formula without a label takes a number: its id has it from 0, its title from 1.
+        counts = F.aggregate(own, F.array(F.lit(0)), lambda acc, f: F.concat(acc, F.array(F.element_at(acc, -1) + f["label"].isNull().cast("int"))))
+
+        def named_one(f: Column, k: Column) -> Column:
+            labeled = one(F.concat(F.lit("tex:"), f["label"]), F.concat(F.lit("Formula ("), f["label"], F.lit(")")), f)
+            plain = one(F.concat("id", F.lit(":formula:"), k.cast("string")), F.concat(F.lit("Formula "), (k + 1).cast("string")), f)
+            return F.when(f["label"].isNotNull(), labeled).otherwise(plain)
+
+        return let(counts, lambda c: F.zip_with(own, F.slice(c, F.lit(1), F.size(own)), named_one))
+
+    return chunks.withColumns({"section_id": F.concat(F.lit("sec:"), F.array_join(path, " / ")), "envs": named, "maths": let(maths, numbered)})
 
 
 def raw_nodes(p: DataFrame, selection: Selection = Selection()) -> DataFrame:
@@ -168,7 +175,14 @@ BLOCK = 1 << 40
 
 def binding_edges(p: DataFrame, selection: Selection = Selection()) -> DataFrame:
     """Examples and exercises to the nearest core environment before them in the chunk."""
-    last = F.transform("envs", lambda e, i: F.struct(e["id"].alias("id"), e["type"].alias("type"), F.try_element_at(F.filter(F.slice("envs", F.lit(1), i), lambda x: x["type"].isin(*CORES)), F.lit(-1))["id"].alias("core")))
+    start = F.struct(F.array().cast("array<string>").alias("cores"), F.lit(None).cast("string").alias("last"))
+    carried = F.aggregate(
+        "envs",
+        start,
+        lambda acc, e: F.struct(F.concat(acc["cores"], F.array(acc["last"])).alias("cores"), F.when(e["type"].isin(*CORES), e["id"]).otherwise(acc["last"]).alias("last")),
+        lambda acc: acc["cores"],
+    )
+    last = F.zip_with("envs", carried, lambda e, core: F.struct(e["id"].alias("id"), e["type"].alias("type"), core.alias("core")))
     bound = p.select(F.col("id").alias("chunk_id"), "chunk_seq", F.posexplode(last).alias("place", "e")).select("*", "e.*").filter("core is not null")
     kind = F.lit(None).cast("string")
     if "AssistsIn" in selection.relations:
