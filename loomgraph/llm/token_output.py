@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,17 +22,20 @@ from .common import cut, fresh_dir, pieces, put_file, text_or_empty
 from .elias_fano import TokenFile, dump_tokens
 
 #: Parquet bytes of input to a token file.
-FILE_BYTES = 24 << 20
-#: Characters of text that are split at once, and distinct words whose ids a task keeps.
-CHUNK, KEPT = 4 << 20, 400_000
+FILE_BYTES = 8 << 20
+#: Bytes of text that are split at once, and distinct units whose ids a Python worker keeps.
+CHUNK, KEPT = 2 << 20, 1_500_000
 
 
 class WordEncoder:
     """Encodes texts by a tokenizer, each distinct word once.
 
     The tokenizer's pieces never span white space (its pre-tokenizer drops it and its normalizer
-    composes nothing across it), so a text's ids are its words' ids in a row. ``safe`` is False for
-    other tokenizers: then whole texts are encoded.
+    composes nothing across it), so a text's ids are its words' ids in a row. For the same reason an
+    ASCII word's ids are those of its lower case without marks at its end, then those of the marks.
+    Words whose number of pieces is plain are encoded many in a line and told apart by the pieces'
+    ends; others one by one. ``safe`` is False for tokenizers of another kind: then whole texts are
+    encoded.
     """
 
     def __init__(self, path: str):
@@ -37,10 +43,21 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, int] = {}
-        self.flat, self.starts = [np.empty(0, np.int64)], [0]
-        probe = ["a  b\nc", " Ab, 12\tÉé's\r\nx\v\fy ", "<|endoftext|> a"]
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self._forget()
+        probe = ["a  b\nc", " Ab, 12\tÉé's THE.\r\nx\v\fy?! ", "<|endoftext|> a", "It's re-use: U.S.A., 3.14"]
         self.safe = all(self._ids(p) == [i for w in p.split() for i in self._ids(w)] for p in probe)
+        if self.safe:
+            got, _ = self.encode(pa.array(probe))
+            self.safe = got.tolist() == [i for p in probe for i in self._ids(p)]
+            self._forget()
+
+    def _forget(self) -> None:
+        # Units are kept by a 64-bit hash in order, and their place in starts: 16 bytes each, where a dict of strings takes hundreds.
+        self.keys, self.rows = np.array([xxhash.xxh64_intdigest("")], np.uint64), np.zeros(1, np.int64)
+        self.starts, self.flat = np.array([0, 0], np.int64), np.empty(0, np.uint32)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -48,37 +65,84 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
         if not self.safe:
-            got = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
-            return np.concatenate([*got, np.empty(0, np.int64)]), np.array([len(g) for g in got], np.int64)
+            got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([*got, np.empty(0, np.uint32)]), np.array([len(g) for g in got], np.int64)
         split = pc.ascii_split_whitespace(texts)
         words = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        place = self._places(coded.dictionary.to_pylist())
-        each = place[coded.indices.to_numpy()]
-        starts, flat = np.array(self.starts, np.int64), np.concatenate(self.flat)
-        self.flat = [flat]
-        size = np.diff(np.append(starts, len(flat)))[each] if len(each) else each
+        parts = self._places(coded.dictionary.to_pylist())
+        unit = parts[coded.indices.to_numpy()].ravel() if len(parts) else np.empty(0, np.int64)
+        size = self.starts[unit + 1] - self.starts[unit]
         ends = np.cumsum(size)
-        ids = flat[np.repeat(starts[each] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        upto = np.append(0, ends)[np.append(0, np.cumsum(words))]
+        ids = self.flat[np.repeat(self.starts[unit] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        upto = np.append(0, ends[1::2])[np.append(0, np.cumsum(words))]
         return ids, np.diff(upto)
 
     def _places(self, words: list[str]) -> np.ndarray:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KEPT:
-            self.known, self.flat, self.starts, new = {}, [np.empty(0, np.int64)], [0], words
-        at = sum(map(len, self.flat))
-        if not self.known:
-            self.starts = []
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[w] = len(self.starts)
-                self.starts.append(at)
-                self.flat.append(np.array(e.ids, np.int64))
-                at += len(e.ids)
-            self.flat = [np.concatenate(self.flat)]
-        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
+        """For each word the units of its stem and of its tail."""
+        flat = [u for w in words for u in _parts(w)]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
+        every, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.keys) + len(every) > KEPT:
+            self._forget()
+        at = np.searchsorted(self.keys, every)
+        new = self.keys[np.minimum(at, len(self.keys) - 1)] != every
+        rows = self._learn([flat[i] for i in first[new].tolist()])
+        self.keys, self.rows = np.insert(self.keys, at[new], every[new]), np.insert(self.rows, at[new], rows)
+        return self.rows[np.searchsorted(self.keys, every)][place].reshape(-1, 2)
+
+    def _learn(self, units: list[str]) -> np.ndarray:
+        """Encodes units; their places in starts."""
+        counts = [_pieces(u) for u in units]
+        plain = [i for i, n in enumerate(counts) if n]
+        other = [i for i, n in enumerate(counts) if not n]
+        got, sizes, order = [self.flat], [], []
+        for k in range(0, len(plain), 5000):
+            some = plain[k : k + 5000]
+            ids = np.array(self._ids("\n".join(units[i] for i in some)), np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum([counts[i] for i in some])
+            if not len(ends) or len(ends) != last[-1] or ends[-1] != len(ids):
+                other += some
+                continue
+            got.append(ids)
+            sizes.append(np.diff(np.append(0, ends[last - 1])))
+            order += some
+        for i in other:
+            ids = self._ids(units[i])
+            got.append(np.array(ids, np.uint32))
+            sizes.append(np.array([len(ids)]))
+        order += other
+        rows = np.empty(len(units), np.int64)
+        rows[order] = len(self.starts) - 1 + np.arange(len(order))
+        self.flat = np.concatenate(got)
+        if sizes:
+            self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes)))
+        return rows
+
+
+def _parts(word: str) -> tuple[str, str]:
+    """A word's stem and the marks at its end that are a piece of their own."""
+    if not word.isascii() or "<|" in word or "'" in word:
+        return word, ""
+    stem = word.rstrip(".,;:!?")
+    return (stem.lower(), word[len(stem) :]) if stem and stem[-1].isalnum() else (word, "")
+
+
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+def _pieces(unit: str) -> int:
+    """How many pieces a unit is cut into; 0 if that isn't plain."""
+    if unit.isascii():
+        return len(_PIECE.findall(unit.lower())) if unit.isprintable() and "<|" not in unit else 0
+    return int(unit.isalpha() and max(unit) < "\u0250" and "\u0130" not in unit)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One for all tasks of a Python worker: what it knows only saves work."""
+    return WordEncoder(path)
 
 
 def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[pa.Array]:
@@ -135,14 +199,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | N
     dealt = rows.repartitionByRange(pieces(rows, FILE_BYTES), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, doc_ids, lengths, ids = None, [], [], []
+        doc_ids, lengths, ids = [], [], []
         for b in batches:
-            encoder = encoder or WordEncoder(tokenizer)
             if b.column("doc_id").null_count:
                 raise ValueError("a document has no doc_id")
             doc_ids.append(b.column("doc_id").to_numpy())
             for some in chunks(b.column("text")):
-                got, n = encoder.encode(some)
+                got, n = encoder(tokenizer).encode(some)
                 ids.append(np.insert(got, np.cumsum(n), end_id).astype(np.uint32))
                 lengths.append(n + 1)
         if doc_ids:
