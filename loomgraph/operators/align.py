@@ -49,7 +49,7 @@ def accepted(decisions: DataFrame, asked: DataFrame, confidence: float = CONFIDE
 
 def nothing(batch: pd.DataFrame) -> pd.DataFrame:
     """The default aligner: no two concepts are the same."""
-    return pd.DataFrame({"alias": [], "canonical": [], "confidence": [], "reason": []})
+    return pd.DataFrame(columns=["alias", "canonical", "confidence", "reason"])
 
 
 def align(nodes: DataFrame, aligner: Aligner = nothing, batch: int = BATCH) -> DataFrame:
@@ -58,7 +58,8 @@ def align(nodes: DataFrame, aligner: Aligner = nothing, batch: int = BATCH) -> D
 
     def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         got = aligner(own.sort_values("place").drop(columns=["batch", "place"])).reindex(columns=["alias", "canonical", "confidence", "reason"])
-        return got.assign(batch=key[0])
+        texts = {c: got[c].astype(object) for c in ("alias", "canonical", "reason")}
+        return got.assign(**texts, confidence=got["confidence"].astype(float), batch=key[0])
 
     decided = asked.groupBy("batch").applyInPandas(run, DECISION + ", batch long")
     sure = accepted(decided, asked).groupBy("alias").agg(F.max_by("canonical", F.struct("confidence", "canonical")).alias("canonical"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import START, WS, or_empty, squeeze, trim
-from ..model import CONCEPT_TYPES, EDGES, NODES, STRONG_RELATIONS, Graph, columns_like, seq
+from ..model import CONCEPT_TYPES, EDGES, META, NODES, STRONG_RELATIONS, Graph, columns_like, seq
 from ..storage import stored
 
 
@@ -57,6 +58,34 @@ def last_edges(rows: DataFrame) -> DataFrame:
     return columns_like(last.select("source", "type", "target", "e.*", "seq"), EDGES)
 
 
+def compacted(rows: DataFrame, keys: list[str], fields: list[str], schema: T.StructType) -> DataFrame:
+    """The fewest of the rows that upsert to the same as all of them do, together with any rows to come.
+
+    For each key: the first row (for its place), the last, the last with each field, and a row for
+    each entry of meta; what others of them hold is null.
+    """
+    empty = {c: F.lit(None).cast(schema[c].dataType) for c in (*fields, "meta")}
+    whole = lambda keep: F.struct(*[(F.col(f.name) if f.name not in empty or f.name == keep else empty[f.name]).alias(f.name) for f in schema])
+    picks = [F.min_by(whole(None), "seq"), F.max_by(whole(None), "seq"), *[F.max_by(whole(c), F.when(F.col(c).isNotNull(), F.col("seq"))) for c in fields]]
+    kept = rows.groupBy(*keys).agg(F.array_compact(F.array(*picks)).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+    entries = rows.filter("meta is not null").select("*", F.explode("meta").alias("k", "v"))
+    last = entries.groupBy(*keys, "k").agg(F.max_by(F.struct(*[F.col(f.name) for f in schema if f.name not in empty], "v"), "seq").alias("r"))
+    metas = last.select("r.*", "k").withColumns({**{c: empty[c] for c in fields}, "meta": F.create_map("k", "v")})
+    return columns_like(kept, schema).unionByName(columns_like(metas, schema))
+
+
+def compact_nodes(rows: DataFrame) -> DataFrame:
+    return compacted(rows, ["id"], ["content", "source"], NODES)
+
+
+def compact_edges(rows: DataFrame) -> DataFrame:
+    """As for nodes; the chunk that is part of the key stays with each row."""
+    keyed = rows.withColumn("_chunk", edge_key(F.col("meta")))
+    made = compacted(keyed.select(*rows.columns, "_chunk"), ["source", "type", "target", "_chunk"], ["id", "evidence"], T.StructType([*EDGES.fields, T.StructField("_chunk", T.StringType())]))
+    named = F.when(F.col("_chunk") != "", F.map_concat(F.map_filter(F.coalesce("meta", F.create_map().cast(META)), lambda k, v: k != "chunkId"), F.create_map(F.lit("chunkId"), F.col("_chunk")))).otherwise(F.col("meta"))
+    return columns_like(made.withColumn("meta", named), EDGES)
+
+
 def after(graph: Graph, offset: Column) -> tuple[DataFrame, DataFrame]:
     later = lambda df: df.withColumn("seq", seq(F.col("seq.major") + offset, F.col("seq.minor")))
     return later(graph.nodes), later(graph.edges)

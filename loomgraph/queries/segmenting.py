@@ -217,7 +217,7 @@ ORACLES = {
     "heading_parse": f"WITH {_HEADS} SELECT path, pos, level, heading FROM heads WHERE level IS NOT NULL",
     "heading_stack": f"WITH {_STACK} SELECT path, pos, h1, h2, h3, h4, h5 FROM stack",
     "file_order": "SELECT path, file_seq, row_number() OVER (ORDER BY path, file_seq) - 1 AS rank FROM (SELECT lower(c_mktsegment) || '/' || (c_custkey % 97) || '.tex' AS path, c_custkey AS file_seq FROM customer)",
-    "chunk_preview": f"WITH {_chunks_sql(2)}, t AS (SELECT {_TAIL} AS title, min(n) AS at FROM chunks GROUP BY 1) SELECT (SELECT count(*) FROM chunks) AS total, place, title FROM (SELECT title, row_number() OVER (ORDER BY at) - 1 AS place FROM t) WHERE place < 10",
+    "chunk_preview": f"WITH {_chunks_sql(2)}, t AS (SELECT {_TAIL} AS title, min(n) AS first_n FROM chunks GROUP BY 1) SELECT (SELECT count(*) FROM chunks) AS total, place, title FROM (SELECT title, row_number() OVER (ORDER BY first_n) - 1 AS place FROM t) WHERE place < 10",
     "token_count_docs": f"SELECT doc_id, len(regexp_extract_all(text, '{_TOKEN}')) AS n_tokens FROM documents",
     "token_windows_docs": f"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '{_SPACE}(?:{_TOKEN})') AS t FROM documents), w AS (SELECT doc_id, text, t, unnest(CASE WHEN len(t) > 200 THEN range(0, CAST(ceil((len(t) - 200) / 100.0) AS BIGINT) + 1) ELSE [-1] END) AS w FROM t),
 c AS (SELECT 'd' || doc_id || CASE WHEN w < 0 THEN '' ELSE ':w' || w END AS id, CASE WHEN w < 0 THEN text ELSE regexp_replace(array_to_string(t[w * 100 + 1:w * 100 + 200], ''), '^{_SPACE}', '') END AS text FROM w) SELECT id, md5(text) AS digest, length(text) AS n FROM c""",

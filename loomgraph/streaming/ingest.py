@@ -1,8 +1,9 @@
 """A graph kept up to date from a stream of chunks.
 
-Each micro-batch is extracted and upserted by its chunks' places, so a batch that comes twice, or a
-different cut into batches, leads to the same graph. The graph is a folder of versions; a batch
-writes the next and then says so in a file, and a batch already said is not repeated.
+Each micro-batch is extracted and upserted by its chunks' places. The table holds compacted
+increments rather than merged rows, so batches may come in any order, twice, or cut in another way,
+and lead to the same graph. The graph is a folder of versions; a batch writes the next, which
+counts once it is whole, and a batch that was written is not repeated.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..model import EDGES, NODES, Graph, Selection
 from ..operators.extract import label_index, parsed, raw_edges, raw_nodes
-from ..operators.graph import upsert_edges, upsert_nodes
+from ..operators.graph import compact_edges, compact_nodes, upsert_edges, upsert_nodes
 from ..storage import delete_folder
 
 
@@ -29,20 +30,24 @@ class GraphTable:
         names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
         return sorted(int(n[1:]) for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/edges/_SUCCESS")))
 
-    def read(self) -> Graph:
+    def increments(self) -> Graph:
         found = self.versions()
         if not found:
             return Graph.empty(self.spark)
         at = f"{self.path}/v{found[-1]}"
         return Graph(self.spark.read.schema(NODES).parquet(f"{at}/nodes"), self.spark.read.schema(EDGES).parquet(f"{at}/edges"))
 
+    def read(self) -> Graph:
+        rows = self.increments()
+        return Graph(upsert_nodes(rows.nodes), upsert_edges(rows.edges))
+
     def upsert(self, made: Graph, version: int) -> None:
         found = self.versions()
         if version in found:
             return
-        old = self.read()
-        upsert_nodes(old.nodes.unionByName(made.nodes)).write.mode("overwrite").parquet(f"{self.path}/v{version}/nodes")
-        upsert_edges(old.edges.unionByName(made.edges)).write.mode("overwrite").parquet(f"{self.path}/v{version}/edges")
+        old = self.increments()
+        compact_nodes(old.nodes.unionByName(made.nodes)).write.mode("overwrite").parquet(f"{self.path}/v{version}/nodes")
+        compact_edges(old.edges.unionByName(made.edges)).write.mode("overwrite").parquet(f"{self.path}/v{version}/edges")
         for old_version in found[: -(self.keep - 1)]:
             delete_folder(self.spark, f"{self.path}/v{old_version}")
 
