@@ -24,6 +24,8 @@ from .common import cut, without
 from .components import connected_components
 
 BITS = 64
+#: So few differing bits link two texts whatever their other 64 bits are.
+SURE = 3
 #: Fingerprints in a leaf, and nodes below an upper node.
 FAN = 16
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + bytes([9, 10, 11, 12, 13]), bytes(range(97, 123)) + b"     ")
@@ -34,33 +36,44 @@ def word_list(text: str | None) -> list[bytes]:
     return [w for w in (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split(b" ") if w]
 
 
-def fingerprint(text: str | None, n: int = 3) -> int:
-    """The SimHash of a text's shingles of n words, repeats included: a bit is 1 if set in over half of them."""
+def fingerprint(text: str | None, n: int = 3, second: bool = False) -> tuple[int, int]:
+    """The SimHash of a text's shingles of n words, repeats included: a bit is 1 if set in over half of them.
+
+    With ``second`` another 64 bits come from mixed hashes; they are 0 otherwise, and without words.
+    """
     words = word_list(text)
     if not words:
-        return 0
+        return 0, 0
     line = b" ".join(words)
     count = max(1, len(words) - n + 1)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[: count - 1].tolist()]
     stops = (ends[min(n, len(words)) - 1 :] - 1).tolist()
-    digest, total = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    digest, total = xxhash.xxh64_intdigest, np.zeros((2, BITS), np.int64)
     for k in range(0, count, 1 << 16):
         h = np.fromiter((digest(line[i:j], 42) for i, j in zip(starts[k : k + (1 << 16)], stops[k : k + (1 << 16)], strict=False)), np.uint64)
-        total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > count).tobytes(), "big")
+        total[0] += bit_counts(h)
+        if second:
+            h = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+            total[1] += bit_counts(h ^ h >> np.uint64(29))
+    first, other = (int.from_bytes(np.packbits(2 * t > count).tobytes(), "big") for t in total)
+    return first, other
+
 
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
 
-def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long. Null and blank texts get 0."""
+
+def fingerprints(docs: DataFrame, n: int = 3, second: bool = False) -> DataFrame:
+    """(doc_id, fp, fp2): the fingerprint's words as signed longs. Null and blank texts get 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.array([fingerprint(t, n) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+            fp = np.array([fingerprint(t, n, second) for t in b["text"]], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp[:, 0], "fp2": fp[:, 1]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long, fp2 long")
 
 
 # ---- the index ---------------------------------------------------------------------------------
@@ -134,27 +147,28 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ends[keep], ends[label[keep]]
 
 
-def group_links(group: np.ndarray, fp: np.ndarray, rep: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) of reps that connect all within ``limit`` bits in the same group."""
+def group_links(group: np.ndarray, fp: np.ndarray, fp2: np.ndarray, rep: np.ndarray, limit: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of reps that connect all in the same group within ``limit`` bits of fp, and ``total`` bits of both or SURE of fp."""
     order = np.lexsort((gray_rank(fp), group))
-    group, fp, rep = group[order], fp[order], rep[order]
+    group, fp, fp2, rep = group[order], fp[order], fp2[order], rep[order]
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     sizes = np.diff(np.append(starts, len(group)))
     out_a, out_b = [], []
     in_leaf = np.repeat(sizes <= FAN, sizes)
     for s in range(1, FAN):  # groups of one leaf: each with its s-th next in Gray order
         i = np.flatnonzero((group[:-s] == group[s:]) & in_leaf[:-s]) if len(group) > s else np.empty(0, np.int64)
-        i = i[popcount(fp[i] ^ fp[i + s]) <= limit]
+        far = popcount(fp[i] ^ fp[i + s])
+        i = i[(far <= min(SURE, limit)) | (far <= limit) & (far + popcount(fp2[i] ^ fp2[i + s]) <= total)]
         out_a.append(rep[i])
         out_b.append(rep[i + s])
     for start, size in zip(starts[sizes > FAN], sizes[sizes > FAN], strict=True):
-        own, name = fp[start : start + size], rep[start : start + size]
+        own, more, name = fp[start : start + size], fp2[start : start + size], rep[start : start + size]
         index = GrayIndex(own)
-        name_there = name[index.order]
+        name_there, more_there = name[index.order], more[index.order]
         for k in range(0, size, 256):
-            q, place, _ = index.pairs(own[k : k + 256], limit)
+            q, place, far = index.pairs(own[k : k + 256], limit)
             a, b = name[k + q], name_there[place]
-            less = a < b
+            less = (a < b) & ((far <= SURE) | (far + popcount(more[k + q] ^ more_there[place]) <= total))
             a, b = forest(a[less], b[less]) if less.any() else (a[:0], b[:0])
             out_a.append(a)
             out_b.append(b)
@@ -187,20 +201,22 @@ def dealt(nodes: DataFrame, masks: list[int]) -> DataFrame:
     return nodes.withColumn("mask", each).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
 
 
-def links(nodes: DataFrame, limit: int = 3, split: int = 20_000) -> DataFrame:
-    """(a, b) of reps that connect all (fp, rep) of ``nodes`` within ``limit`` differing bits.
+def links(nodes: DataFrame, limit: int = 3, split: int = 20_000, total: int | None = None) -> DataFrame:
+    """(a, b) of reps that connect all (fp, fp2, rep) of ``nodes`` within ``limit`` differing bits of fp, and ``total`` of both or SURE of fp.
 
     Groups over ``split`` fingerprints are dealt again by their free bits, cut into limit + 1 runs
-    of which two close fingerprints agree on one; this ends because fingerprints are distinct.
+    of which two close fingerprints agree on one. This ends when no bit is free: then the group
+    has one fp, and is searched as it is.
     """
-    spark, found = nodes.sparkSession, []
+    total, found = limit if total is None else total, []
     groups = cut(dealt(nodes, first_masks(limit)), "groups")
     while True:
         sizes = groups.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n"))
         large = cut(sizes.filter(F.col("n") > split).select("mask", "bits"), "large")
-        masks = [r["mask"] for r in large.select("mask").distinct().collect()]  # a few dozen at most
+        masks = [r["mask"] for r in large.filter("mask <> -1").select("mask").distinct().collect()]  # as many as bits are cut in ways
+        large = large.filter("mask <> -1")
         fit = groups.join(large, ["mask", "bits"], "left_anti") if masks else groups
-        found.append(searched(fit, limit))
+        found.append(searched(fit, limit, total))
         if not masks:
             break
         rest = groups.join(large, ["mask", "bits"], "left_semi")
@@ -218,33 +234,36 @@ def links(nodes: DataFrame, limit: int = 3, split: int = 20_000) -> DataFrame:
     return out
 
 
-def searched(groups: DataFrame, limit: int) -> DataFrame:
+def searched(groups: DataFrame, limit: int, total: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = [b for b in batches if len(b)]
         if not own:
             return
         b = pd.concat(own, ignore_index=True)
         group = pd.factorize(pd.MultiIndex.from_arrays([b["mask"], b["bits"]]))[0] if len(b) else b["mask"].to_numpy()
-        a, c = group_links(group, b["fp"].to_numpy().view(np.uint64), b["rep"].to_numpy(), limit)
+        a, c = group_links(group, b["fp"].to_numpy().view(np.uint64), b["fp2"].to_numpy().view(np.uint64), b["rep"].to_numpy(), limit, total)
         yield pd.DataFrame({"a": a, "b": c})
 
     return groups.repartition("mask", "bits").mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 3, limit: int = 3, split: int = 20_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 3, limit: int = 3, total: int | None = None, split: int = 20_000) -> DataFrame:
     """(doc_id, fp, component_id) of each row: component_id is the smallest doc_id that links reach.
 
-    Two rows link if their fingerprints differ in ``limit`` bits or fewer. Null, empty and blank
-    texts have fingerprint 0 and link like any other; texts with fewer than ``n`` words are one
-    shingle. Rows that repeat a doc_id or a text are rows of their own. Rows of a null doc_id get a
-    fingerprint and take no part in links (component_id null). Other columns are ignored; an empty
-    table gives an empty result.
+    Two rows link if their fingerprints differ in ``limit`` bits or fewer. For wide limits, at which
+    unlike texts of a large corpus would meet by chance, ``total`` asks for no more differing bits
+    than that in 128, the fingerprint's and 64 more from mixed hashes, where more than 3 differ.
+
+    Null, empty and blank texts have fingerprint 0 and link like any other; texts with fewer than
+    ``n`` words are one shingle. Rows that repeat a doc_id or a text are rows of their own. Rows of
+    a null doc_id get a fingerprint and take no part in links (component_id null). Other columns are
+    ignored; an empty table gives an empty result.
     """
-    prints = cut(fingerprints(docs, n), "fingerprints")
-    nodes = cut(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep")), "nodes")
-    found = connected_components(links(nodes, limit, split))
-    labels = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    joined = prints.join(labels, "fp", "left")
+    prints = cut(fingerprints(docs, n, second=total is not None), "fingerprints")
+    nodes = cut(prints.filter("doc_id is not null").groupBy("fp", "fp2").agg(F.min("doc_id").cast("long").alias("rep")), "nodes")
+    found = connected_components(links(nodes, limit, split, total))
+    labels = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", "fp2", F.coalesce("component", "rep").alias("component_id"))
+    joined = prints.join(labels, ["fp", "fp2"], "left")
     return joined.select("doc_id", "fp", F.expr("if(doc_id is null, null, component_id)").alias("component_id"))
 
 

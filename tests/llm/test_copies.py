@@ -45,7 +45,8 @@ def brute_fingerprint(text):
 
 def test_fingerprint(odd_docs):
     for r in odd_docs.collect():
-        assert simhash.fingerprint(r["text"]) == brute_fingerprint(r["text"])
+        assert simhash.fingerprint(r["text"]) == (brute_fingerprint(r["text"]), 0)
+        assert simhash.fingerprint(r["text"], second=True)[0] == brute_fingerprint(r["text"])
 
 
 def brute_components(ids, prints, limit):
@@ -73,7 +74,7 @@ def test_links_against_all_pairs(spark):
             base ^= 1 << b
         prints.append(base)
     distinct = list(dict.fromkeys(prints))
-    nodes = spark.createDataFrame([(simhash.signed(p), i) for i, p in enumerate(distinct)], "fp long, rep long")
+    nodes = spark.createDataFrame([(simhash.signed(p), 0, i) for i, p in enumerate(distinct)], "fp long, fp2 long, rep long")
     for split in (20_000, 12):
         found = components.connected_components(simhash.links(nodes, 3, split))
         got = {r["node"]: r["component"] for r in found.collect()}
@@ -105,3 +106,34 @@ def test_near_duplicates(odd_docs, none):
     of = {r["doc_id"]: r["component_id"] for r in got}
     assert of[1] == of[2] == of[3] == 1 and of[4] == of[5] == of[6] == 4 and of[7] == 7 and of[None] is None
     assert simhash.near_duplicates(none).count() == 0
+
+
+def test_wide_links(spark):
+    rng = random.Random(11)
+    prints = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(30)]
+    while len(prints) < 400:
+        a, b = rng.choice(prints)
+        for bit in rng.sample(range(128), rng.randint(0, 20)):
+            a, b = (a ^ 1 << bit, b) if bit < 64 else (a, b ^ 1 << bit - 64)
+        prints.append((a, b))
+    prints = list(dict.fromkeys(prints))
+    nodes = spark.createDataFrame([(simhash.signed(a), simhash.signed(b), i) for i, (a, b) in enumerate(prints)], "fp long, fp2 long, rep long")
+    near = lambda x, y: (d := (x[0] ^ y[0]).bit_count()) <= 3 or d <= 7 and d + (x[1] ^ y[1]).bit_count() <= 16
+    parent = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if near(prints[i], prints[j]):
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if p in (a, b) else p for p in parent]
+    for split in (20_000, 15):
+        got = {r["node"]: r["component"] for r in components.connected_components(simhash.links(nodes, 7, split, 16)).collect()}
+        assert [got.get(i, i) for i in range(len(prints))] == parent
+
+
+def test_near_copies_of_real_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 1500").select("doc_id", "text")
+    edited = docs.selectExpr("doc_id + 100000 as doc_id", "concat(substr(text, 1, 400), 'changed ', substr(text, 420, 500), ' other ', substr(text, 930)) as text")
+    both = docs.unionByName(edited)
+    n = docs.count()
+    left = simhash.keep_one_of_each(both, limit=7, total=16)
+    assert left.filter("doc_id >= 100000").count() < 0.15 * n
