@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -93,6 +94,19 @@ def without(docs: DataFrame, ids: DataFrame, most: int = 2_000_000) -> DataFrame
     return docs.join(if_small(ids.select("doc_id").distinct(), most), "doc_id", "left_anti").select(*docs.columns)
 
 
+def hashed_sample(rows: DataFrame, key: str, seed: str, most: int) -> DataFrame:
+    """``rows`` (with doc_id) and r, 1 to ``most``: for each value of ``key`` the rows of the smallest hashes of their doc_id.
+
+    Rows over a cut, set by the key's count so that more than ``most`` pass it, are left out before
+    the ranking, so no task ranks all rows of a common value.
+    """
+    h = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40))
+    counts = if_small(rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")), 100_000)
+    few = rows.join(counts, F.col(key) == F.col("_key")).filter(h < (2 * most + 100) / F.col("_n") * float(1 << 40)).drop("_key", "_n")
+    w = Window.partitionBy(key).orderBy(h, "doc_id")
+    return few.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a table's bytes; for Parquet the size of its files by the columns read."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

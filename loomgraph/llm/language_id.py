@@ -15,7 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .common import hashed_sample
 
 # Families of languages; one that is not named is a family of its own.
 FAMILIES = {
@@ -128,8 +129,7 @@ def fit(docs: DataFrame, per_lang: int = 400, most: int = 4000) -> LanguageModel
     as its 2^13 features, so the sample takes under 70 MB there whatever the texts' lengths.
     """
     base = docs.filter("lang is not null and text is not null and doc_id is not null").filter(F.col("text").rlike(r"\p{L}"))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id")
-    ids = base.select("doc_id", "lang").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_lang)
+    ids = hashed_sample(base.select("doc_id", "lang"), "lang", "fit", per_lang)
     ids = ids.orderBy("r", "lang").limit(most).select("doc_id", F.col("lang").alias("_lang"))  # languages in turn
     chosen = base.select("doc_id", "lang", "text").join(F.broadcast(ids.withColumnRenamed("doc_id", "_id")), F.expr("doc_id = _id and lang = _lang"))
 

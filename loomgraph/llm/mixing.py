@@ -76,3 +76,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed:
     counted = docs.join(rates, F.expr("source <=> _mix_source")).withColumn("mix_copies", poisson_count(seed, F.col("doc_id")))
     copies = counted.filter("mix_copies > 0").select(*docs.columns, F.explode(F.expr("sequence(1, mix_copies)")).alias("mix_copy"), "mix_copies")
     return copies.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "mix_copy")).repartition("mix_key")
+
+
+def replicated(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of mix_sources() with the columns of ``docs`` alone, those named like its own included."""
+    names = {c: f"_own_{c}" for c in ("mix_copy", "mix_copies", "mix_key") if c in docs.columns}
+    mixed = mix_sources(docs.withColumnsRenamed(names), **parameters)
+    return mixed.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])

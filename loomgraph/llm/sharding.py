@@ -45,19 +45,19 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
 
 
 def write_shards(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
-    """The written rows of ``docs`` with shard, bucket and bucket_slot; read back from the shard files.
+    """The written rows of ``docs`` with shard, _bucket and _bucket_slot; read back from the shard files.
 
     Files lie in folders shard=K. Null texts are written as null and count no bytes. A null doc_id
     is a key of its own. Rows that repeat a doc_id are in one shard (the doc_id decides), each with
     a slot of its own; the bucket also depends on the text, so copies of an id with other texts are
-    spread. An empty table gives an empty result. Columns of ``docs`` pass through; those named
-    shard, bucket or bucket_slot are replaced.
+    spread. An empty table gives an empty result. Columns of ``docs`` pass through; one named
+    shard is replaced.
     """
-    docs = docs.drop("shard", "bucket", "bucket_slot")
+    docs = docs.drop("shard", "_bucket", "_bucket_slot", "_tie")
     each = max(1, -(-pieces(docs, BUCKET_BYTES) // shards))
     key = F.xxhash64(F.lit(seed), "doc_id")
     scattered = docs.withColumn("shard", jump_shard(key, shards).cast("int"))
-    scattered = scattered.withColumn("bucket", (F.col("shard") * each + F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(each))).cast("int"))
+    scattered = scattered.withColumn("_bucket", (F.col("shard") * each + F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(each))).cast("int"))
     scattered = scattered.withColumn("_tie", F.xxhash64(*docs.columns))
 
     def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,27 +65,27 @@ def write_shards(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
         if not own:
             return
         t = pa.Table.from_batches(own)
-        t = t.take(pc.sort_indices(t, [("bucket", "ascending"), ("doc_id", "ascending"), ("_tie", "ascending")])).drop_columns(["_tie"])
-        of = t.column("bucket").to_numpy()
+        t = t.take(pc.sort_indices(t, [("_bucket", "ascending"), ("doc_id", "ascending"), ("_tie", "ascending")])).drop_columns(["_tie"])
+        of = t.column("_bucket").to_numpy()
         ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of))
         start = 0
         for end in ends.tolist():
             n = end - start
-            one = t.slice(start, n).take(pa.array(fisher_yates(n, seed * 1_000_003 + int(of[start])))).append_column("bucket_slot", pa.array(np.arange(n, dtype=np.int64)))
+            one = t.slice(start, n).take(pa.array(fisher_yates(n, seed * 1_000_003 + int(of[start])))).append_column("_bucket_slot", pa.array(np.arange(n, dtype=np.int64)))
             start = end
             yield from one.combine_chunks().to_batches(max_chunksize=2000)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scattered.drop("_tie").schema) + ", bucket_slot long"
-    buckets = scattered.repartitionById(shards * each, F.col("bucket")).mapInArrow(shuffle, kinds)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scattered.drop("_tie").schema) + ", _bucket_slot long"
+    buckets = scattered.repartitionById(shards * each, F.col("_bucket")).mapInArrow(shuffle, kinds)
     return cut(buckets, "shards", partition_by="shard")
 
 
 def with_slots(written: DataFrame) -> DataFrame:
-    """Adds slot: gapless from 0 in each shard, in the order of its buckets."""
-    counts = written.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("bucket"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return written.join(offsets, "bucket").withColumn("slot", F.col("bucket_slot") + F.col("_before")).drop("_before", "bucket_slot", "bucket")
+    """Adds (or replaces) slot: gapless from 0 in each shard, in the order of its buckets."""
+    counts = written.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("_bucket"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return written.join(offsets, "_bucket").withColumn("slot", F.col("_bucket_slot") + F.col("_before")).drop("_before", "_bucket_slot", "_bucket")
 
 
 def shard_digest(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:

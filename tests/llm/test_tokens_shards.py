@@ -75,5 +75,5 @@ def test_shards(spark, odd_docs, none):
 
 def test_shards_pass_columns_through(odd_docs):
     written = sharding.write_shards(odd_docs, shards=3)
-    assert set(written.columns) == {*odd_docs.columns, "shard", "bucket", "bucket_slot"}
+    assert set(written.columns) == {*odd_docs.columns, "shard", "_bucket", "_bucket_slot"}
     assert written.select("doc_id", "text", "digest").exceptAll(odd_docs.select("doc_id", "text", "digest")).count() == 0
