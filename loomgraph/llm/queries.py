@@ -33,7 +33,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(documents(spark, sf_dir, "doc_id", "source", "text"))
-    return mixed.select("doc_id", "source", "mix_copy", "mix_copies", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
+    return mixed.select("doc_id", "source", F.col("mix_copy").cast("long").alias("mix_copy"), F.col("mix_copies").cast("long").alias("mix_copies"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,14 @@ SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS shared, n.size AS item_shi
 FROM ds JOIN bs ON ds.s = bs.s JOIN n ON n.id = bs.id
 GROUP BY ds.id, bs.id, n.size HAVING count(*) >= ceil(n.size * 0.8 - 1e-9)
 """,
-    "op5_mix_sources": None,
+    "op5_mix_sources": """
+WITH s AS (SELECT source, count(*) AS size FROM documents GROUP BY source),
+     t AS (SELECT sum(size) AS all_size, sum(pow(size, 0.7)) AS all_share FROM s),
+     r AS (SELECT source, all_size * pow(size, 0.7) / all_share / size AS rate FROM s CROSS JOIN t),
+     q AS (SELECT source, CAST(greatest(1, ceil(rate / 8)) AS INTEGER) AS parts, rate / greatest(1, ceil(rate / 8)) AS p FROM r),
+     c AS (SELECT source, parts, list_transform(range(0, 49), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(j * ln(p) - p - lgamma(j + 1))))) AS cdf FROM q),
+     d AS (SELECT doc_id, documents.source AS source, text, CAST(list_sum(list_transform(range(1, parts + 1), lambda i: len(list_filter(cdf, lambda x: x <= CAST('0x' || substr(md5('mix:' || doc_id || ':' || i), 1, 13) AS BIGINT) / 4503599627370496.0)))) AS BIGINT) AS n
+           FROM documents JOIN c ON c.source IS NOT DISTINCT FROM documents.source)
+SELECT doc_id, source, unnest(range(1, n + 1)) AS mix_copy, n AS mix_copies, md5(coalesce(text, '')) AS text_md5 FROM d WHERE n > 0
+""",
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}
