@@ -107,6 +107,19 @@ def hashed_sample(rows: DataFrame, key: str, seed: str, most: int) -> DataFrame:
     return few.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)
 
 
+#: Bytes of a batch that goes to Python; Spark's own bound is 64 MB, which with long texts takes much of a worker's memory.
+BATCH_BYTES = 8 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's bound on Arrow batches is lowered, if it is higher."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name, "67108864b")
+    if not now.rstrip("b").lstrip("-").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a table's bytes; for Parquet the size of its files by the columns read."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

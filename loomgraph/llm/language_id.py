@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample
+from .common import hashed_sample, in_small_batches
 
 # Families of languages; one that is not named is a family of its own.
 FAMILIES = {
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def language_report(docs: DataFrame, per_lang: int = 400, most: int = 4000) -> DataFrame:

@@ -17,6 +17,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from .common import in_small_batches
+
 # The phrases that are counted exactly, in lower case words, and their labels.
 BASE = (
     ("under the mit license", "mit"),
@@ -166,4 +168,4 @@ def scan_licenses(docs: DataFrame, notices=NOTICES) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<{SPAN}>"
-    return docs.select("doc_id", "text").mapInPandas(run, out)
+    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(run, out)

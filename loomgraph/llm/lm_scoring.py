@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_dir, pieces, store
+from .common import cut, fresh_dir, in_small_batches, pieces, store
 from .token_output import chunks
 
 #: Weight of the single-word model in words.
@@ -254,6 +254,7 @@ def score_texts(docs: DataFrame, held: Column | None = None, written: bool = Fal
     if not written:
         docs = cut(docs, "texts")
     pin_splits(spark)
+    docs = in_small_batches(docs)
     shards = pieces(docs, SHARD_BYTES)
     folder = fresh_dir(spark, "answers")
     answers(requests(docs, shards), shards).repartition("part").write.partitionBy("part").parquet(folder)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, pieces, text_or_empty
+from .common import cut, in_small_batches, pieces, text_or_empty
 
 #: Parquet bytes of input to a bucket.
 BUCKET_BYTES = 16 << 20
@@ -76,7 +76,7 @@ def write_shards(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
             yield from one.combine_chunks().to_batches(max_chunksize=2000)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scattered.drop("_tie").schema) + ", _bucket_slot long"
-    buckets = scattered.repartitionById(shards * each, F.col("_bucket")).mapInArrow(shuffle, kinds)
+    buckets = in_small_batches(scattered).repartitionById(shards * each, F.col("_bucket")).mapInArrow(shuffle, kinds)
     return cut(buckets, "shards", partition_by="shard")
 
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, without
+from .common import cut, in_small_batches, without
 from .components import connected_components
 
 BITS = 64
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, n: int = 3, second: bool = False) -> DataFrame
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp[:, 0], "fp2": fp[:, 1]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long, fp2 long")
+    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(run, f"doc_id {kind}, fp long, fp2 long")
 
 
 # ---- the index ---------------------------------------------------------------------------------
