@@ -272,10 +272,11 @@ def view(graph: Graph, show_examples: bool = True, show_exercises: bool = True,
     if hidden:
         nodes = nodes.filter(~F.col("type").isin(*hidden))
         edges = between(edges, nodes)
-    if not show_isolated:
-        nodes = nodes.join(degrees(edges).select("id"), "id", "left_semi").select(*graph.nodes.columns)
-        edges = between(edges, nodes)
-    return Graph(nodes, edges)
+    if show_isolated:
+        return Graph(nodes, edges)
+    # Ends of the edges that are left are never isolated, so only edges that dangled all along go with the nodes.
+    joined = nodes.join(degrees(edges).select("id"), "id", "left_semi").select(*graph.nodes.columns)
+    return Graph(joined, edges if hidden else between(edges, nodes))
 
 
 def view_elements(graph: Graph) -> DataFrame:
