@@ -20,10 +20,9 @@ from ..plans import extractors, pipeline
 from ..plans.snapshots import all_but_latest, newest
 from ..sources import graph_files as gf
 from ..sources import uploads
-from ..storage import stored
-from .corpora import STAR_EDGES, STAR_NODES, sql, star_graph
-
-_G = f"n AS ({STAR_NODES}), e AS ({STAR_EDGES})"
+from ..storage import fresh_folder, stored
+from ..streaming.ingest import GraphTable, upsert_stream
+from .corpora import sql, star_graph
 
 
 def _flat_nodes(nodes: DataFrame) -> DataFrame:
@@ -78,12 +77,7 @@ def incremental_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through Structured Streaming: increments from files, upserted by micro-batch."""
-    from ..storage import shared_folder
-    from ..streaming.ingest import GraphTable, upsert_stream
-
-    import uuid
-
-    base = f"{shared_folder(spark)}/loomgraph-stream-{uuid.uuid4().hex}"
+    base = fresh_folder(spark, "stream")
     _increments(spark, sf_dir).nodes.repartition(3).write.parquet(f"{base}/in")
     table = GraphTable(spark, f"{base}/graph")
     source = spark.readStream.schema(NODES).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")

@@ -37,7 +37,6 @@ w1 AS (SELECT chunk_seq, k, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FRO
 _SCORES = f"""{_G}, {_ASKED}, {_WORDS}, sc AS (SELECT q.chunk_seq, n.id, n.major, (CASE WHEN label IN ('sup' || (k + 1), 'reg' || (k % 5)) THEN 20 ELSE 0 END) + (CASE WHEN n.id = 'tex:sup' || (k + 1) OR n.id = 'tex:reg' || (k % 5) THEN 20 ELSE 0 END)
 + coalesce((SELECT 2 * count(*) FROM w3 WHERE w3.chunk_seq = q.chunk_seq AND r <= 41 AND contains(lower(title), w3.w)), 0) + (CASE WHEN replace(path, '/', ' / ') = 'world / ' || k THEN 3 ELSE 0 END) AS score FROM q, n),
 rk AS (SELECT *, row_number() OVER (PARTITION BY chunk_seq ORDER BY score DESC, major) - 1 AS place FROM sc), shown AS (SELECT chunk_seq, place, id, score::BIGINT AS score FROM rk WHERE place < 30)"""
-_URI = "'" + BASE + "node:' || {c}"
 
 
 def _enc(c: str) -> str:

@@ -23,11 +23,17 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder; it is removed when the driver ends."""
+    path = f"{shared_folder(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back: computed once, safe from lost executors; removed when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = fresh_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
