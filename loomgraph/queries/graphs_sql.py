@@ -31,7 +31,7 @@ reach AS (SELECT a AS id, a AS r FROM sym UNION SELECT reach.id, sym.b FROM reac
 grp AS (SELECT comp.id, component, n.major FROM comp JOIN n ON n.id = comp.id), canon AS (SELECT component, arg_min(id, CASE WHEN id LIKE 'tex:%' THEN major ELSE major + 1000000000000 END) AS canonical FROM grp GROUP BY component),
 alias AS (SELECT grp.id, canonical FROM grp JOIN canon ON canon.component = grp.component),
 re AS (SELECT type, coalesce(s.canonical, source) AS source, coalesce(t.canonical, target) AS target, evidence, chunk, major FROM e LEFT JOIN alias s ON s.id = source LEFT JOIN alias t ON t.id = target)"""
-_ASKED = "q AS (SELECT n_nationkey * 65536 AS chunk_seq, n_name, n_nationkey AS k, lower('Supplier nation ' || n_name) AS raw FROM nation)"
+_ASKED = "q AS (SELECT CAST(n_nationkey AS BIGINT) * 65536 AS chunk_seq, n_name, n_nationkey AS k, lower('Supplier nation ' || n_name) AS raw FROM nation)"
 _WORDS = r"""w0 AS (SELECT chunk_seq, k, regexp_split_to_array(lower(regexp_replace(n_name || ' world ' || k || ' ' || ' ' || '{sup' || (k + 1) || '} and ' || ' ' || '{reg' || (k % 5) || '} of Supplier nation ' || n_name, '[^a-zA-Z0-9]+', ' ', 'g')), ' ') AS ws FROM q),
 w1 AS (SELECT chunk_seq, k, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w0), w2 AS (SELECT chunk_seq, k, w, min(i) AS i FROM w1 WHERE length(w) >= 4 GROUP BY chunk_seq, k, w), w3 AS (SELECT *, row_number() OVER (PARTITION BY chunk_seq ORDER BY i) AS r FROM w2)"""
 _SCORES = f"""{_G}, {_ASKED}, {_WORDS}, sc AS (SELECT q.chunk_seq, n.id, n.major, (CASE WHEN label IN ('sup' || (k + 1), 'reg' || (k % 5)) THEN 20 ELSE 0 END) + (CASE WHEN n.id = 'tex:sup' || (k + 1) OR n.id = 'tex:reg' || (k % 5) THEN 20 ELSE 0 END)
@@ -108,7 +108,7 @@ SELECT doc_id, CASE WHEN length(h) >= 10 AND length(t) >= 10 AND a > 0 AND b > 0
     "uri_encode": f"WITH d AS (SELECT doc_id, substr(text, 1, 200) AS t FROM documents), x AS (SELECT doc_id, t, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS s FROM d) SELECT doc_id, {_enc('t')} AS encoded, true AS same, md5({_xml('t')}) AS xml, md5(CASE WHEN s = '' OR (s LIKE '$$%$$' AND length(s) >= 4) THEN s ELSE '$$' || chr(10) || s || chr(10) || '$$' END) AS shown FROM x",
     "export_json_rows": f"WITH {_G} SELECT 'node' AS part, major, id, type, title, content, label, NULL AS target, NULL AS evidence, chunk FROM n UNION ALL SELECT 'edge', major, NULL, type, NULL, NULL, NULL, target, evidence, chunk FROM e",
     "export_triples": f"WITH {_G} {_TRIPLES}",
-    "export_owl_rows": f"""WITH {_G} SELECT 0 AS part, '  <owl:Class rdf:about="{BASE}' || type || '"/>' AS xml FROM n GROUP BY type UNION ALL SELECT 1, '  <owl:ObjectProperty rdf:about="{BASE}' || type || '"/>' FROM e GROUP BY type
+    "export_owl_rows": f"""WITH {_G} SELECT CAST(0 AS BIGINT) AS part, '  <owl:Class rdf:about="{BASE}' || type || '"/>' AS xml FROM n GROUP BY type UNION ALL SELECT 1, '  <owl:ObjectProperty rdf:about="{BASE}' || type || '"/>' FROM e GROUP BY type
 UNION ALL SELECT 2, '  <owl:NamedIndividual rdf:about="' || {_uri('id')} || '">' || chr(10) || '    <rdf:type rdf:resource="{BASE}' || type || '"/>' || chr(10) || '    <rdfs:label>' || {_xml('title')} || '</rdfs:label>' || CASE WHEN content <> '' THEN chr(10) || '    <latexkg:content>' || {_xml('content')} || '</latexkg:content>' ELSE '' END || chr(10) || '  </owl:NamedIndividual>' FROM n
 UNION ALL SELECT 3, '  <rdf:Description rdf:about="' || {_uri('source')} || '">' || chr(10) || '    <latexkg:' || type || ' rdf:resource="' || {_uri('target')} || '"/>' || chr(10) || '  </rdf:Description>' FROM e""",
     "import_json": f"WITH {_G} SELECT 'node' AS part, id, type, title, label, chunk FROM n UNION ALL SELECT 'edge', source, type, target, evidence, chunk FROM e",

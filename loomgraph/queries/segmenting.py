@@ -214,7 +214,7 @@ _SPACE = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\
 ORACLES = {
     "strip_comments_docs": f"WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), raw AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS pos FROM s), c AS (SELECT doc_id, pos, {_STRIP.format('line')} AS line FROM raw) SELECT doc_id, pos, md5(line) AS digest, length(line) AS n FROM c",
     "strip_comments_corpus": f"WITH {_LINES}, t AS (SELECT path, string_agg(line, chr(10) ORDER BY pos) AS t FROM clean GROUP BY path) SELECT path, md5(t) AS digest, length(t) AS n FROM t",
-    "heading_parse": f"WITH {_HEADS} SELECT path, pos, level, heading FROM heads WHERE level IS NOT NULL",
+    "heading_parse": f"WITH {_HEADS} SELECT path, pos, CAST(level AS BIGINT) AS level, heading FROM heads WHERE level IS NOT NULL",
     "heading_stack": f"WITH {_STACK} SELECT path, pos, h1, h2, h3, h4, h5 FROM stack",
     "file_order": "SELECT path, file_seq, row_number() OVER (ORDER BY path, file_seq) - 1 AS rank FROM (SELECT lower(c_mktsegment) || '/' || (c_custkey % 97) || '.tex' AS path, c_custkey AS file_seq FROM customer)",
     "chunk_preview": f"WITH {_chunks_sql(2)}, t AS (SELECT {_TAIL} AS title, min(n) AS first_n FROM chunks GROUP BY 1) SELECT (SELECT count(*) FROM chunks) AS total, place, title FROM (SELECT title, row_number() OVER (ORDER BY first_n) - 1 AS place FROM t) WHERE place < 10",
