@@ -24,7 +24,7 @@ from .elias_fano import TokenFile, dump_tokens
 #: Parquet bytes of input to a token file.
 FILE_BYTES = 8 << 20
 #: Bytes of text that are split at once, and distinct units whose ids a Python worker keeps.
-CHUNK, KEPT = 2 << 20, 1_500_000
+CHUNK, KEPT = 2 << 20, 800_000
 
 
 class WordEncoder:
