@@ -200,6 +200,13 @@ def recover_prefix_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", no.between_ends(F.col("text"), content).alias("found"))
 
 
+def recover_prefix_suffix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As recover_prefix_suffix, for all documents: empty and short texts, too, give a row."""
+    docs = sql(spark, sf_dir, "SELECT doc_id, text FROM documents")
+    content = F.concat(F.substring("text", 11, 20), F.lit("..."), F.substring("text", 61, 15))
+    return docs.select("doc_id", no.between_ends(F.col("text"), content).alias("found"))
+
+
 def title_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sql(spark, sf_dir, "SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN '这是一个关于群的叙述性标题' WHEN 1 THEN 'by q' || p_partkey WHEN 2 THEN '关于群 (q' || p_partkey || ') 的结论' ELSE p_name END AS title FROM part")
     return rows.select("k", no.stable_title(F.lit("Formula"), F.col("title"), F.concat(F.lit("q"), F.col("k").cast("string"))).alias("title"))
@@ -256,6 +263,13 @@ def uri_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", uri_component(F.col("t")).alias("encoded"), (uri_decode(uri_component(F.col("t"))) == F.col("t")).alias("same"), F.md5(xml_escape(F.col("t"))).alias("xml"), F.md5(display_math(F.col("t"))).alias("shown"))
 
 
+def uri_encode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As uri_encode, of whole texts; of the long encoded ones the digest."""
+    rows = sql(spark, sf_dir, "SELECT doc_id, text AS t FROM documents")
+    encoded = uri_component(F.col("t"))
+    return rows.select("doc_id", F.md5(encoded).alias("encoded"), (uri_decode(encoded) == F.col("t")).alias("same"), F.md5(xml_escape(F.col("t"))).alias("xml"), F.md5(display_math(F.col("t"))).alias("shown"))
+
+
 def export_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = gf.json_rows(star_graph(spark, sf_dir))
     read = lambda p: F.get_json_object("json", p)
@@ -352,8 +366,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         node_upsert, node_upsert_null_overwrites, edge_upsert, edge_dedupe, incremental_equals_batch, stream_upsert, node_patch, degree_any_strong, template_formula, prune_graph, prune_stats, view_elements, components,
-        freeze_alias, freeze_nodes, freeze_edges, alias_apply, llm_normalize, looks_like_math, quality_filter, dangling_edges, complete_by_label, recover_prefix_suffix, title_repair, query_words, relevance_topk, summary_edges,
-        concept_registry, align_label_rule, align_cards, align_accept, uri_encode, export_json_rows, export_triples, export_owl_rows, import_json, import_triples, turtle_roundtrip, snapshot_list, snapshot_keep_latest, zip_scan,
+        freeze_alias, freeze_nodes, freeze_edges, alias_apply, llm_normalize, looks_like_math, quality_filter, dangling_edges, complete_by_label, recover_prefix_suffix, recover_prefix_suffix_all, title_repair, query_words, relevance_topk, summary_edges,
+        concept_registry, align_label_rule, align_cards, align_accept, uri_encode, uri_encode_whole, export_json_rows, export_triples, export_owl_rows, import_json, import_triples, turtle_roundtrip, snapshot_list, snapshot_keep_latest, zip_scan,
         llm_stub_pipeline, repair_restore,
     )
 }

@@ -96,6 +96,9 @@ SELECT id, arg_max(type, major) AS type, arg_max(title, length(title) * 10000000
     "complete_by_label": "SELECT s_suppkey AS k, chr(92) || 'label{q' || s_suppkey || '} a = ' || s_suppkey AS q, chr(92) || 'label{r' || s_suppkey || '} l' AS r, 'x ' || chr(92) || 'begin{align*}' || chr(92) || 'label{q' || s_suppkey || '} a = ' || s_suppkey || chr(92) || 'end{align*} y ' || chr(92) || 'begin{lemma}' || chr(92) || 'label{r' || s_suppkey || '} l ' || chr(92) || 'end{lemma} ' || chr(92) || 'label{z} tail' AS z, NULL::VARCHAR AS missing FROM supplier",
     "recover_prefix_suffix": r"""WITH d AS (SELECT doc_id, text, CASE WHEN contains(text[11:30] || text[61:75], '…') THEN NULL ELSE string_split(text[11:30] || '...' || text[61:75], '...') END AS p FROM documents WHERE length(text) > 100),
 x AS (SELECT doc_id, text, regexp_replace(p[1], '^\s+|\s+$', '', 'g') AS h, regexp_replace(p[len(p)], '^\s+|\s+$', '', 'g') AS t FROM d), y AS (SELECT *, strpos(text, h) AS a FROM x), z AS (SELECT *, strpos(text[a + length(h):], t) AS b FROM y)
+SELECT doc_id, CASE WHEN length(h) >= 10 AND length(t) >= 10 AND a > 0 AND b > 0 THEN regexp_replace(text[a:a + length(h) + b + length(t) - 2], '^\s+|\s+$', '', 'g') END AS found FROM z""",
+    "recover_prefix_suffix_all": r"""WITH d AS (SELECT doc_id, text, CASE WHEN contains(text[11:30] || text[61:75], '…') THEN NULL ELSE string_split(text[11:30] || '...' || text[61:75], '...') END AS p FROM documents),
+x AS (SELECT doc_id, text, regexp_replace(p[1], '^\s+|\s+$', '', 'g') AS h, regexp_replace(p[len(p)], '^\s+|\s+$', '', 'g') AS t FROM d), y AS (SELECT *, strpos(text, h) AS a FROM x), z AS (SELECT *, strpos(text[a + length(h):], t) AS b FROM y)
 SELECT doc_id, CASE WHEN length(h) >= 10 AND length(t) >= 10 AND a > 0 AND b > 0 THEN regexp_replace(text[a:a + length(h) + b + length(t) - 2], '^\s+|\s+$', '', 'g') END AS found FROM z""",
     "title_repair": "SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 1 THEN 'by q' || p_partkey WHEN 2 THEN '关于群 (q' || p_partkey || ') 的结论' ELSE 'Formula (q' || p_partkey || ')' END AS title FROM part",
     "query_words": f"WITH {_ASKED}, {_WORDS} SELECT q.chunk_seq, 'sup' || (q.k + 1) || ',reg' || (q.k % 5) AS labels, (SELECT string_agg(w, ',' ORDER BY r) FROM w3 WHERE w3.chunk_seq = q.chunk_seq AND r <= 41) AS words, 'world / ' || q.k AS hint FROM q",
@@ -106,6 +109,7 @@ SELECT doc_id, CASE WHEN length(h) >= 10 AND length(t) >= 10 AND a > 0 AND b > 0
     "align_cards": f"WITH {_G} SELECT (row_number() OVER (ORDER BY major) - 1) // 20 AS batch, id, title, replace(path, '/', ' / ') AS section, coalesce(content, '') AS evidence FROM n WHERE type IN ('Definition', 'Notation', 'Construction') AND label IS NULL AND id NOT LIKE 'tex:%'",
     "align_accept": "SELECT DISTINCT o_custkey // 80 AS batch, 'c' || o_custkey AS alias, 'c' || (o_custkey + o_orderkey % 5) AS canonical FROM orders WHERE o_orderkey % 5 <> 0 AND (o_orderkey % 100) / 100.0 >= 0.88 AND (o_custkey + o_orderkey % 5) // 80 = o_custkey // 80 AND o_custkey IN (SELECT c_custkey FROM customer) AND o_custkey + o_orderkey % 5 IN (SELECT c_custkey FROM customer)",
     "uri_encode": f"WITH d AS (SELECT doc_id, substr(text, 1, 200) AS t FROM documents), x AS (SELECT doc_id, t, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS s FROM d) SELECT doc_id, {_enc('t')} AS encoded, true AS same, md5({_xml('t')}) AS xml, md5(CASE WHEN s = '' OR (s LIKE '$$%$$' AND length(s) >= 4) THEN s ELSE '$$' || chr(10) || s || chr(10) || '$$' END) AS shown FROM x",
+    "uri_encode_whole": f"WITH d AS (SELECT doc_id, text AS t FROM documents), x AS (SELECT doc_id, t, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS s FROM d) SELECT doc_id, md5({_enc('t')}) AS encoded, CASE WHEN t IS NOT NULL THEN true END AS same, md5({_xml('t')}) AS xml, md5(CASE WHEN s = '' OR (s LIKE '$$%$$' AND length(s) >= 4) THEN s ELSE '$$' || chr(10) || s || chr(10) || '$$' END) AS shown FROM x",
     "export_json_rows": f"WITH {_G} SELECT 'node' AS part, major, id, type, title, content, label, NULL AS target, NULL AS evidence, chunk FROM n UNION ALL SELECT 'edge', major, NULL, type, NULL, NULL, NULL, target, evidence, chunk FROM e",
     "export_triples": f"WITH {_G} {_TRIPLES}",
     "export_owl_rows": f"""WITH {_G} SELECT CAST(0 AS BIGINT) AS part, '  <owl:Class rdf:about="{BASE}' || type || '"/>' AS xml FROM n GROUP BY type UNION ALL SELECT 1, '  <owl:ObjectProperty rdf:about="{BASE}' || type || '"/>' FROM e GROUP BY type
