@@ -27,7 +27,20 @@ def strip_comments(text: Column) -> Column:
 
 def order_files(files: DataFrame) -> DataFrame:
     """``files`` with rank: their places by path as a reader orders them (case and digits as ICU has them); ties keep file_seq."""
-    return files.withColumn("rank", F.row_number().over(Window.orderBy(F.expr("path COLLATE UNICODE"), "file_seq")) - 1)
+    return summed_before(files.withColumn("_one", F.lit(1)), "_one", "rank").drop("_one").withColumn("rank", F.col("rank").cast("int"))
+
+
+def summed_before(files: DataFrame, name: str, to: str) -> DataFrame:
+    """Adds the sum of a column over all files before in their order. Ranges of files are summed in parallel; only the ranges' sums meet."""
+    order = [F.expr("path COLLATE UNICODE"), F.col("file_seq")]
+    ranges = stored(files.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "file-ranges")
+    pairs, at = [], 0
+    for r in sorted(ranges.groupBy("_part").agg(F.sum(name).alias("n")).collect(), key=lambda r: r["_part"]):  # a row a partition
+        pairs += [F.lit(r["_part"]), F.lit(at).cast("long")]
+        at += r["n"]
+    start = F.element_at(F.create_map(*pairs), F.col("_part")) if pairs else F.lit(0).cast("long")
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranges.withColumn(to, start + F.coalesce(F.sum(name).over(own), F.lit(0))).drop("_part")
 
 
 def lines_of(files: DataFrame) -> DataFrame:
@@ -93,9 +106,8 @@ def chunk_files(files: DataFrame, granularity: str = "section", max_tokens: int
     )
     texts = joined.withColumn("text", trim(F.col("text"))).filter("text <> ''")
     texts = stored(texts, "chunk-texts")
-    counts = order_files(texts.groupBy("path", "file_seq").agg(F.count(F.lit(1)).alias("n")))
-    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    counts = counts.select(F.col("path").alias("_p"), F.col("file_seq").alias("_s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    counts = summed_before(texts.groupBy("path", "file_seq").agg(F.count(F.lit(1)).alias("n")), "n", "_before")
+    counts = counts.select(F.col("path").alias("_p"), F.col("file_seq").alias("_s"), "_before")
     numbered = texts.join(counts, F.expr("path = _p and file_seq = _s"))
     number = F.col("_before") + F.row_number().over(Window.partitionBy("path", "file_seq").orderBy("run")) - 1
     chunks = numbered.withColumn("_n", number).select(
