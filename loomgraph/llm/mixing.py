@@ -64,8 +64,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed:
     """``docs`` with the columns mix_copy (from 1), mix_copies, mix_key; rows repeated by their count and dealt anew.
 
     Null sources form a source of their own. A document of count 0 leaves. Rows that repeat a
-    doc_id draw the same count. mix_key is a hash by which a reader may sort to see the global
-    shuffle; partitions hold rows of all sources. An empty table gives an empty result. Columns of
+    doc_id draw the same count. Rows are dealt to partitions by the hash mix_key and sorted by
+    it there, which is a global shuffle; partitions hold rows of all sources. An empty table gives an empty result. Columns of
     ``docs`` pass through; those named like the new ones are replaced. The rates are broadcast while
     there are no more than ``most_sources``; beyond, the join shuffles and splits hot sources.
     """
@@ -75,7 +75,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed:
     rates = if_small(rates, most_sources)
     counted = docs.join(rates, F.expr("source <=> _mix_source")).withColumn("mix_copies", poisson_count(seed, F.col("doc_id")))
     copies = counted.filter("mix_copies > 0").select(*docs.columns, F.explode(F.expr("sequence(1, mix_copies)")).alias("mix_copy"), "mix_copies")
-    return copies.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "mix_copy")).repartition("mix_key")
+    return copies.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "mix_copy")).repartition("mix_key").sortWithinPartitions("mix_key", "doc_id", "mix_copy")
 
 
 def replicated(docs: DataFrame, **parameters) -> DataFrame:
