@@ -15,17 +15,17 @@ from pyspark.sql import types as T
 # The vocabularies of entities and relations.
 ENTITY_TYPES = ("Theorem", "Lemma", "Corollary", "Definition", "Notation", "Construction", "Formula", "Example", "Exercise", "Axiom", "Proposition", "Conclusion")
 RELATION_TYPES = ("Proves", "DependsOn", "DerivedFrom", "Contains", "EquivalentTo", "AppliesTo", "Uses", "AssistsIn")
-#: What phase 1 extracts, and the relations it may use.
+# What phase 1 extracts, and the relations it may use.
 CONCEPT_TYPES = ("Definition", "Notation", "Construction")
 CONCEPT_RELATIONS = ("EquivalentTo", "DependsOn", "Uses")
 #: Relations that keep a formula from being pruned.
 STRONG_RELATIONS = tuple(r for r in RELATION_TYPES if r != "Contains")
-#: Theorem-like environments and the entities they hold.
+# Theorem-like environments and the entities they hold.
 ENVIRONMENTS = {
     "theorem": "Theorem", "lemma": "Lemma", "corollary": "Corollary", "definition": "Definition", "example": "Example",
     "exercise": "Exercise", "axiom": "Axiom", "proposition": "Proposition", "conclusion": "Conclusion",
 }
-#: Heading commands and their levels; a file is level 0.
+# Heading commands and their levels (a file is level 0), granularities, extensions of images.
 HEADINGS = {"chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5, "subparagraph": 5}
 GRANULARITIES = {"file": 0, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "webp", "svg")

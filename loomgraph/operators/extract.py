@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WS, all_groups, cut_first, group, let, or_empty, spans, trim
 from ..model import EDGES, ENVIRONMENTS, META, NODES, Graph, Selection, columns_like, no_meta, seq, source_of
+from ..storage import stored
 from .graph import upsert_edges, upsert_nodes
 
 _NAMES = "|".join(ENVIRONMENTS)
 _ENV = rf"\\begin\{{({_NAMES})\}}([\s\S]*?)\\end\{{\%d\}}"
-#: Displayed mathematics, in the order in which formulas are numbered.
+# Displayed mathematics, in the order in which formulas are numbered.
 FORMULAS = (r"\\begin\{equation\}([\s\S]*?)\\end\{equation\}", r"\\begin\{align\}([\s\S]*?)\\end\{align\}", r"\$\$([\s\S]*?)\$\$", r"\\\[([\s\S]*?)\\\]")
+# Labels, references, derivations.
 LABEL = r"\\label\{([^}]+)\}"
 REFERENCE = r"\\(eqref|ref|autoref|cref)\{([^}]+)\}"
 DERIVED = r"(?i)(derived[{ws}]+from[{ws}]+(\\ref\{{([^}}]+)\}}))".format(ws=WS)
+# Entities that examples and exercises bind to, and marks of solutions and answers.
 CORES = ("Theorem", "Lemma", "Corollary", "Definition", "Axiom", "Proposition", "Conclusion")
 WORKED = ("Example", "Exercise")
 SOLUTION = rf"\n[{WS}]*(解答|解|证明)[{WS}]*[:：]?[{WS}]*\n"
@@ -109,7 +112,7 @@ def worked_meta(kind: Column, content: Column, meta: Column) -> Column:
 
 
 def parsed(chunks: DataFrame, selection: Selection = Selection()) -> DataFrame:
-    """``chunks`` with section_id, envs and maths: arrays of what becomes nodes, numbered and named."""
+    """``chunks`` with section_id, envs and maths (arrays of what becomes nodes, numbered and named), refs and said (what the text refers to and says it is derived from)."""
     path = F.col("section_path")
     envs = environments(F.col("text"), selection.entities)
     named = F.transform(
@@ -136,7 +139,8 @@ def parsed(chunks: DataFrame, selection: Selection = Selection()) -> DataFrame:
 
         return let(counts, lambda c: F.zip_with(own, F.slice(c, F.lit(1), F.size(own)), named_one))
 
-    return chunks.withColumns({"section_id": F.concat(F.lit("sec:"), F.array_join(path, " / ")), "envs": named, "maths": let(maths, numbered)})
+    said = F.arrays_zip(all_groups(F.col("text"), DERIVED, 1).alias("said"), all_groups(F.col("text"), DERIVED, 3).alias("label"))
+    return chunks.withColumns({"section_id": F.concat(F.lit("sec:"), F.array_join(path, " / ")), "envs": named, "maths": let(maths, numbered), "refs": references(F.col("text")), "said": said})
 
 
 def raw_nodes(p: DataFrame, selection: Selection = Selection()) -> DataFrame:
@@ -208,7 +212,7 @@ def reference_edges(p: DataFrame, labels: DataFrame, label_scope: str = "seen")
 
     With scope ``seen`` a label is known from the chunk that has it on; with ``global`` everywhere.
     """
-    refs = p.select(F.col("id").alias("chunk_id"), "chunk_seq", F.posexplode(references(F.col("text"))).alias("nth", "label"))
+    refs = p.select(F.col("id").alias("chunk_id"), "chunk_seq", F.posexplode("refs").alias("nth", "label"))
     known = _known(refs, labels, label_scope)
     made = members(p).drop("chunk_seq").join(known, "chunk_id").filter("member <> target")
     return _edges(made, F.lit("DependsOn"), "member", "target", F.concat(F.lit("reference: "), "label"), F.col("place") * (1 << 20) + F.col("nth") + 2 * BLOCK)
@@ -216,8 +220,7 @@ def reference_edges(p: DataFrame, labels: DataFrame, label_scope: str = "seen")
 
 def derivation_edges(p: DataFrame, labels: DataFrame, label_scope: str = "seen") -> DataFrame:
     """Each node of a chunk to each label that the chunk says something is derived from."""
-    said = F.arrays_zip(all_groups(F.col("text"), DERIVED, 1).alias("said"), all_groups(F.col("text"), DERIVED, 3).alias("label"))
-    refs = p.select(F.col("id").alias("chunk_id"), "chunk_seq", F.posexplode(said).alias("nth", "m")).select("chunk_id", "chunk_seq", "nth", F.col("m.said").alias("said"), F.col("m.label").alias("label"))
+    refs = p.select(F.col("id").alias("chunk_id"), "chunk_seq", F.posexplode("said").alias("nth", "m")).select("chunk_id", "chunk_seq", "nth", F.col("m.said").alias("said"), F.col("m.label").alias("label"))
     made = members(p).drop("chunk_seq").join(_known(refs, labels, label_scope), "chunk_id").filter("member <> target")
     return _edges(made, F.lit("DerivedFrom"), "member", "target", F.col("said"), F.col("place") * (1 << 20) + F.col("nth") + 3 * BLOCK)
 
@@ -246,10 +249,13 @@ def raw_edges(p: DataFrame, labels: DataFrame, selection: Selection = Selection(
 
 
 def extract(chunks: DataFrame, selection: Selection = Selection(), label_scope: str = "seen", known: DataFrame | None = None) -> Graph:
-    """The graph of all chunks. ``known`` has nodes from before, whose labels may be referred to."""
-    p = parsed(chunks, selection)
+    """The graph of all chunks. ``known`` has nodes from before, whose labels may be referred to.
+
+    Parsed chunks are written once, so the text is gone through once for nodes, labels and all kinds of edges.
+    """
+    p = stored(parsed(chunks, selection), "parsed")
     nodes = raw_nodes(p, selection)
-    labels = label_index(nodes)
+    labels = stored(label_index(nodes), "labels")
     if known is not None:
         old = label_index(known).withColumn("first_seq", F.lit(-1).cast("long"))
         both = labels.withColumn("new", F.lit(1)).unionByName(old.withColumn("new", F.lit(0)))

@@ -8,17 +8,29 @@ from pyspark.sql import types as T
 
 from ..functions.text import START, WS, or_empty, squeeze, trim
 from ..model import CONCEPT_TYPES, EDGES, META, NODES, STRONG_RELATIONS, Graph, columns_like, seq
-from ..storage import stored
+from ..storage import broadcast_if_small, stored
 
 
 # ---- upserts ---------------------------------------------------------------------------------------
 
 
-def merged_meta(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, meta): key-wise the last value by seq. Entries are reduced before they meet in a map."""
-    entries = rows.filter("meta is not null").select(*keys, "seq", F.explode("meta").alias("k", "v"))
-    last = entries.groupBy(*keys, "k").agg(F.max_by("v", "seq").alias("v"))
-    return last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("meta"))
+def upserted(rows: DataFrame, keys: list[str], fields: list[Column]) -> DataFrame:
+    """One row for each key: ``fields`` (named aggregates by seq), seq of the first, and meta merged key-wise.
+
+    Each row becomes one entry for its fields and one for each entry of meta. They are reduced by
+    (keys, entry), then by keys, so ``rows`` is read once and no key's rows meet unreduced.
+    """
+    none = F.lit(None).cast("string")
+    entry = F.array(F.struct(none.alias("k"), none.alias("v")))
+    more = F.transform(F.map_entries("meta"), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+    values = [c for c in rows.columns if c not in (*keys, "seq", "meta")]
+    each = rows.select(*rows.columns, F.explode(F.concat(entry, F.coalesce(more, F.slice(entry, 1, 0)))).alias("_e"))
+    each = each.select(*keys, "seq", F.col("_e.k").alias("_k"), F.col("_e.v").alias("_v"), *[F.when(F.col("_e.k").isNull(), F.col(c)).alias(c) for c in values])
+    first = each.groupBy(*keys, "_k").agg(*fields, F.max_by("_v", "seq").alias("_v"), F.min("seq").alias("seq"))
+    first = first.select(*keys, "_k", "_v", "seq", F.struct(*[c for c in first.columns if c not in (*keys, "_k", "_v", "seq")]).alias("_f"))
+    entries = F.array_sort(F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "_v"))))
+    merged = first.groupBy(*keys).agg(F.max_by("_f", F.col("_k").isNull()).alias("_f"), F.min("seq").alias("seq"), entries.alias("_m"))
+    return merged.select(*keys, "_f.*", "seq", F.when(F.size("_m") > 0, F.map_from_entries("_m")).alias("meta"))
 
 
 def _last(name: str, null_overwrites: bool) -> Column:
@@ -31,10 +43,8 @@ def upsert_nodes(rows: DataFrame, null_overwrites: bool = False) -> DataFrame:
 
     A null content or source leaves the earlier one; with ``null_overwrites`` it erases it.
     """
-    fields = rows.groupBy("id").agg(
-        F.max_by("type", "seq").alias("type"), F.max_by("title", "seq").alias("title"), _last("content", null_overwrites), _last("source", null_overwrites), F.min("seq").alias("seq")
-    )
-    return columns_like(fields.join(merged_meta(rows, ["id"]), "id", "left"), NODES)
+    fields = [F.max_by("type", "seq").alias("type"), F.max_by("title", "seq").alias("title"), _last("content", null_overwrites), _last("source", null_overwrites)]
+    return columns_like(upserted(rows, ["id"], fields), NODES)
 
 
 def edge_key(meta: Column) -> Column:
@@ -44,10 +54,8 @@ def edge_key(meta: Column) -> Column:
 
 def upsert_edges(rows: DataFrame, null_overwrites: bool = False) -> DataFrame:
     """One edge for each source, type, target and chunk, merged like nodes."""
-    keys = ["source", "type", "target", "chunk"]
-    rows = rows.withColumn("chunk", edge_key(F.col("meta")))
-    fields = rows.groupBy(*keys).agg(_last("id", null_overwrites), _last("evidence", null_overwrites), F.min("seq").alias("seq"))
-    return columns_like(fields.join(merged_meta(rows, keys), keys, "left"), EDGES)
+    keyed = rows.withColumn("chunk", edge_key(F.col("meta")))
+    return columns_like(upserted(keyed, ["source", "type", "target", "chunk"], [_last("id", null_overwrites), _last("evidence", null_overwrites)]), EDGES)
 
 
 def last_edges(rows: DataFrame) -> DataFrame:
@@ -114,23 +122,27 @@ def patch_nodes(nodes: DataFrame, patches: DataFrame) -> DataFrame:
 # ---- components and aliases ----------------------------------------------------------------------
 
 
+#: Parts into which a hub's edges are dealt.
+SALTS = 8
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(id, component) for all ids in ``pairs`` (a, b): component is the smallest id that it reaches.
 
     Rounds of large stars and small stars: each points the neighbours of an id to the smallest of
-    them. Rounds grow with the logarithm of the longest chain; each is a written table.
+    them. Rounds grow with the logarithm of the longest chain; each is a written table. A hub's
+    edges are dealt by a salt of their other ends, so none of its joins meets in one task.
     """
     edges = stored(pairs.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u <> v").distinct(), "pairs")
-    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftright(F.xxhash64("v", "u"), 20))).first())
-    was = mark(edges)
+    was = edges_mark(edges)
     while was[0]:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "pairs")
-        star = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        small = star.select(F.col("v").alias("u"), F.col("m").alias("v")).union(star.select("u", F.col("m").alias("v")))
+        large = stored(salted(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "pairs")
+        star = salted(large, large.groupBy("u").agg(F.min("v").alias("m")))
+        small = star.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = stored(small.filter("u <> v").distinct(), "pairs")
-        now = mark(edges)
+        now = edges_mark(edges)
         if now == was:
             break
         was = now
@@ -140,6 +152,19 @@ def components(pairs: DataFrame) -> DataFrame:
     return ends.unionByName(roots).unionByName(alone)
 
 
+def salted(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with m of their u; each u's row of ``least`` goes to every salt, its edges are dealt over them."""
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    every = least.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return dealt.join(every, ["u", "salt"]).drop("salt")
+
+
+def edges_mark(edges: DataFrame) -> tuple:
+    """Count and sums of hashes of the edges: equal for equal sets of edges."""
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(h, 20)), F.bit_xor(h)).first())
+
+
 def union_pairs(graph: Graph, aligned: DataFrame | None = None) -> DataFrame:
     """(a, b): nodes and the id that their label stands for; concepts that an edge calls equivalent; aligned concepts."""
     label = F.col("source.latexLabel")
@@ -158,7 +183,7 @@ def alias_table(graph: Graph, aligned: DataFrame | None = None) -> DataFrame:
     Ids that no node has take part in groups, but get no row and are never canonical.
     """
     places = graph.nodes.select("id", "seq")
-    groups = components(union_pairs(graph, aligned)).join(places, "id")
+    groups = stored(components(union_pairs(graph, aligned)).join(places, "id"), "alias-groups")
     first = groups.groupBy("component").agg(F.min_by("id", F.struct((~F.col("id").startswith("tex:")).alias("plain"), F.col("seq"))).alias("canonical"))
     return groups.join(first, "component").select("id", "canonical")
 
@@ -174,12 +199,10 @@ def merge_aliases(nodes: DataFrame, alias: DataFrame) -> DataFrame:
     rows = rewrite(nodes, "id", alias)
     longest = lambda c: F.max_by(c, F.struct(F.coalesce(F.length(c), F.lit(0)).alias("n"), (-F.col("seq.major")).alias("a"), (-F.col("seq.minor")).alias("b"))).alias(c)
     field = lambda f: F.max_by(F.col(f"source.{f}"), F.when(F.col(f"source.{f}").isNotNull(), F.col("seq"))).alias(f)
-    fields = rows.groupBy("id").agg(
-        F.max_by("type", "seq").alias("type"), longest("title"), longest("content"), field("file"), field("lineHint"), field("latexLabel"), field("sectionPath"),
-        F.max(F.col("source").isNotNull()).alias("_has"), F.min("seq").alias("seq"),
-    )
-    fields = fields.withColumn("source", F.when(F.col("_has"), F.struct("file", "lineHint", "latexLabel", "sectionPath")))
-    return columns_like(fields.join(merged_meta(rows, ["id"]), "id", "left"), NODES)
+    fields = [F.max_by("type", "seq").alias("type"), longest("title"), longest("content"), field("file"), field("lineHint"), field("latexLabel"), field("sectionPath"), F.max(F.col("source").isNotNull()).alias("_has")]
+    merged = upserted(rows, ["id"], fields)
+    merged = merged.withColumn("source", F.when(F.col("_has"), F.struct("file", "lineHint", "latexLabel", "sectionPath")))
+    return columns_like(merged, NODES)
 
 
 def rewrite_edges(edges: DataFrame, alias: DataFrame) -> DataFrame:
@@ -246,8 +269,11 @@ def marked_noise(graph: Graph) -> DataFrame:
 
 
 def prune(graph: Graph) -> tuple[Graph, DataFrame]:
-    """The graph without noise and without edges that miss an end; the dropped nodes' ids (by place)."""
-    marked = marked_noise(graph)
+    """The graph without noise and without edges that miss an end; the dropped nodes' ids (by place).
+
+    The marked nodes are written once; nodes, edges and dropped ids read them by columns.
+    """
+    marked = stored(marked_noise(graph), "marked")
     kept = columns_like(marked.filter("not noise"), NODES)
     return Graph(kept, between(graph.edges, kept)), marked.filter("noise").select("id", "seq")
 
@@ -260,8 +286,8 @@ def prune_stats(graph: Graph) -> dict:
 
 
 def between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges of which both ends are nodes."""
-    ids = nodes.select(F.col("id").alias("_n")).distinct()
+    """Edges of which both ends are nodes. The nodes' ids are written once; while they are few they are broadcast."""
+    ids = broadcast_if_small(stored(nodes.select(F.col("id").alias("_n")).distinct(), "ids"))
     return edges.join(ids, edges["source"] == ids["_n"], "left_semi").join(ids, edges["target"] == ids["_n"], "left_semi")
 
 
@@ -275,8 +301,10 @@ def view(graph: Graph, show_examples: bool = True, show_exercises: bool = True,
     if show_isolated:
         return Graph(nodes, edges)
     # Ends of the edges that are left are never isolated, so only edges that dangled all along go with the nodes.
-    joined = nodes.join(degrees(edges).select("id"), "id", "left_semi").select(*graph.nodes.columns)
-    return Graph(joined, edges if hidden else between(edges, nodes))
+    shown = stored(edges, "shown-edges")
+    ends = shown.select(F.explode(F.array("source", "target")).alias("id")).filter("id <> ''").distinct()
+    joined = nodes.join(ends, "id", "left_semi").select(*graph.nodes.columns)
+    return Graph(joined, shown if hidden else between(shown, nodes))
 
 
 def view_elements(graph: Graph) -> DataFrame:

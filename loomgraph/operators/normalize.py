@@ -10,7 +10,7 @@ from ..model import EDGES, ENTITY_TYPES, NODES, RELATION_TYPES, Graph, columns_l
 from .extract import worked_meta
 from .graph import patch_nodes
 
-#: Environments that are sought for a labeled block, in this order.
+# Environments that are sought for a labeled block, in this order.
 BLOCKS = ("theorem", "lemma", "corollary", "definition", "example", "exercise", "axiom", "proposition", "conclusion", "equation", "equation*", "align", "align*", "gather", "gather*", "multline", "multline*")
 AROUND, LONGEST, SHORT = 4000, 60_000, 20
 
@@ -134,6 +134,7 @@ def looks_like_math(c: Column) -> Column:
 def is_trivial(node_id: Column, kind: Column, title: Column, content: Column, label: Column) -> Column:
     """Unlabeled, with a title of type and number only and a little content without commands."""
     t, c = trim(or_empty(title)), trim(or_empty(content))
+    # Titles of type and number, and commands.
     generic = t.rlike(rf"(?i)^(Theorem|Lemma|Corollary|Definition|Axiom|Proposition|Conclusion)[{WS}]*[0-9]+\z")
     short = (F.length(c) > 0) & (F.length(c) < 40) & ~c.rlike(rf"\\(begin|frac|sum|int|label|ref){END}")
     return label.isNull() & ~node_id.startswith("tex:") & ~kind.isin("Example", "Exercise", "Formula") & generic & short

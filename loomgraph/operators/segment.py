@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions.text import WS, squeeze, trim
 from ..model import GRANULARITIES, HEADINGS
-from ..storage import stored
+from ..storage import dealt, stored
 
+# Heading commands and tokens.
 HEADING = rf"^\\(chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?\{{(.+?)\}}[{WS}]*\z"
 #: A token with the white space before it, so that tokens in a row are the text itself.
 TOKEN = rf"([{WS}]*(?:\\[a-zA-Z]+|[a-zA-Z0-9_]+|[一-鿿]|[^{WS}]))"
@@ -127,14 +128,16 @@ def split_windows(chunks: DataFrame, max_tokens: int | None) -> DataFrame:
         return chunks
     size = int(max_tokens)
     stride = max(1, size // 2)
-    parts = chunks.withColumn("_t", tokens(F.col("text"))).withColumn("_n", F.size("_t"))
+    parts = dealt(chunks).withColumn("_t", tokens(F.col("text"))).withColumn("_n", F.size("_t"))
     last = F.ceil((F.col("_n") - size) / F.lit(stride)).cast("int")
-    windows = F.when(F.col("_n") > size, F.sequence(F.lit(0), last)).otherwise(F.array(F.lit(-1)))
-    each = parts.withColumn("_w", F.explode(windows))
-    text = F.when(F.col("_w") < 0, F.col("text")).otherwise(trim(F.array_join(F.slice("_t", F.col("_w") * stride + 1, size), "")))
-    name = F.when(F.col("_w") < 0, F.col("id")).otherwise(F.concat("id", F.lit(":w"), F.col("_w").cast("string")))
-    seq = F.col("chunk_seq") + F.greatest(F.col("_w"), F.lit(0))
-    return each.withColumns({"text": text, "id": name, "chunk_seq": seq.cast("long")}).drop("_t", "_n", "_w")
+    cut = lambda w: F.struct(w.alias("w"), trim(F.array_join(F.slice("_t", w * stride + 1, size), "")).alias("text"))
+    whole = F.array(F.struct(F.lit(-1).alias("w"), F.col("text").alias("text")))
+    windows = F.when(F.col("_n") > size, F.transform(F.sequence(F.lit(0), last), cut)).otherwise(whole)
+    others = [c for c in chunks.columns if c not in ("text", "id", "chunk_seq")]
+    each = parts.select(*others, "id", "chunk_seq", F.explode(windows).alias("_w"))  # the tokens stay behind
+    name = F.when(F.col("_w.w") < 0, F.col("id")).otherwise(F.concat("id", F.lit(":w"), F.col("_w.w").cast("string")))
+    seq = F.col("chunk_seq") + F.greatest(F.col("_w.w"), F.lit(0))
+    return each.withColumns({"text": F.col("_w.text"), "id": name, "chunk_seq": seq.cast("long")}).select(*chunks.columns)
 
 
 def preview_titles(chunks: DataFrame, most: int = 10) -> DataFrame:

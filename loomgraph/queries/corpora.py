@@ -2,34 +2,39 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import EDGES, META, NODES, Graph, columns_like, seq, source_of
 
 _B = "chr(92)"
-#: (path, o1, o2, o3, line): lines of a file for each region: a section for each nation, definitions
-#: and formulas for suppliers, examples and exercises for customers.
+#: (path, o1, o2, o3, line): lines of a file for each nation and block of keys, so that files stay small and
+#: grow in number with the tables: a section for the nation, definitions and formulas for suppliers, examples
+#: and exercises for customers.
 LINES = f"""
-SELECT lower(r_name) || '.tex' AS path, 0 AS o1, 0 AS o2, CAST(0 AS BIGINT) AS o3, '% about ' || r_name AS line FROM region
-UNION ALL SELECT lower(r_name) || '.tex', 0, 0, 1, 'Preface, 100' || {_B} || '% sure % not shown' FROM region
-UNION ALL SELECT lower(r_name) || '.tex', 0, 0, 2, {_B} || 'chapter{{' || r_name || '}}' FROM region
-UNION ALL SELECT lower(r_name) || '.tex', n_nationkey + 1, 0, 0, {_B} || 'section{{' || n_name || '}}  ' FROM nation JOIN region ON n_regionkey = r_regionkey
-UNION ALL SELECT lower(r_name) || '.tex', n_nationkey + 1, 0, 1, 'On ' || n_name || ', 5' || {_B} || '% of all % hidden' || {_B} || 'section{{x}}' FROM nation JOIN region ON n_regionkey = r_regionkey
-UNION ALL SELECT lower(r_name) || '.tex', n_nationkey + 1, 1, s_suppkey * 10, {_B} || 'begin{{definition}}[' || s_name || ']' || {_B} || 'label{{def:s' || s_suppkey || '}} A member. ' || {_B} || 'end{{definition}}'
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-UNION ALL SELECT lower(r_name) || '.tex', n_nationkey + 1, 1, s_suppkey * 10 - 1, {_B} || 'subsection*{{Part  ' || s_suppkey || '}}'
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 4 = 0
-UNION ALL SELECT lower(r_name) || '.tex', n_nationkey + 1, 1, s_suppkey * 10 + 1,
+SELECT path, o1, o2, o3, line FROM (
+  WITH sup AS (SELECT s_nationkey AS k, CAST(floor(s_suppkey / 50) AS BIGINT) AS b, s_suppkey, s_name FROM supplier),
+    cus AS (SELECT c_nationkey AS k, CAST(floor(c_custkey / 750) AS BIGINT) AS b, c_custkey FROM customer),
+    fil AS (SELECT k, b, lower(r_name) || '/n' || k || '/' || lpad(CAST(b AS VARCHAR(20)), 9, '0') || '.tex' AS path, r_name, n_name
+      FROM (SELECT k, b FROM sup UNION SELECT k, b FROM cus) blocks JOIN nation ON n_nationkey = k JOIN region ON n_regionkey = r_regionkey)
+  SELECT path, 0 AS o1, 0 AS o2, CAST(0 AS BIGINT) AS o3, '% about ' || r_name AS line FROM fil
+  UNION ALL SELECT path, 0, 0, 1, 'Preface, 100' || {_B} || '% sure % not shown' FROM fil
+  UNION ALL SELECT path, 0, 0, 2, {_B} || 'chapter{{' || r_name || '}}' FROM fil
+  UNION ALL SELECT path, 1, 0, 0, {_B} || 'section{{' || n_name || '}}  ' FROM fil
+  UNION ALL SELECT path, 1, 0, 1, 'On ' || n_name || ', 5' || {_B} || '% of all % hidden' || {_B} || 'section{{x}}' FROM fil
+  UNION ALL SELECT path, 1, 1, s_suppkey * 10, {_B} || 'begin{{definition}}[' || s_name || ']' || {_B} || 'label{{def:s' || s_suppkey || '}} A member. ' || {_B} || 'end{{definition}}' FROM sup JOIN fil ON sup.k = fil.k AND sup.b = fil.b
+  UNION ALL SELECT path, 1, 1, s_suppkey * 10 - 1, {_B} || 'subsection*{{Part  ' || s_suppkey || '}}' FROM sup JOIN fil ON sup.k = fil.k AND sup.b = fil.b WHERE s_suppkey % 4 = 0
+  UNION ALL SELECT path, 1, 1, s_suppkey * 10 + 1,
     CASE s_suppkey % 3 WHEN 0 THEN '$$x_{{' || s_suppkey || '}} = ' || s_suppkey || '$$' WHEN 1 THEN {_B} || 'begin{{equation}}' || {_B} || 'label{{eq:s' || s_suppkey || '}} y = ' || s_suppkey || {_B} || 'end{{equation}}'
-    ELSE {_B} || '[ z < ' || s_suppkey || ' ' || {_B} || ']' END
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-UNION ALL SELECT lower(r_name) || '.tex', n_nationkey + 1, 2, c_custkey * 10,
+    ELSE {_B} || '[ z < ' || s_suppkey || ' ' || {_B} || ']' END FROM sup JOIN fil ON sup.k = fil.k AND sup.b = fil.b
+  UNION ALL SELECT path, 1, 2, c_custkey * 10,
     CASE WHEN c_custkey % 2 = 0
-      THEN {_B} || 'begin{{example}} uses ' || {_B} || 'ref{{def:s' || (c_custkey % 150 + 1) || '}} $$a_' || c_custkey || '$$ ' || {_B} || 'begin{{solution}}Take ' || c_custkey || '.' || {_B} || 'end{{solution}} ' || {_B} || 'end{{example}}'
-      ELSE {_B} || 'begin{{exercise}}[Task ' || c_custkey || '] derived from ' || {_B} || 'ref{{def:s' || (c_custkey % 130 + 1) || '}}' || chr(10) || '解答：' || chr(10) || 'see ' || c_custkey || chr(10) || {_B} || 'end{{exercise}}' END
-  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-"""
+      THEN {_B} || 'begin{{example}} uses ' || {_B} || 'ref{{def:s' || (c_custkey % 150 + 1) || '}} $$a_' || c_custkey || '$$ ' || {_B} || 'begin{{solution}}Take ' || c_custkey || '.' || {_B} || 'end{{solution}} '
+        || CASE WHEN c_custkey % 10 = 0 THEN {_B} || 'begin{{answer}}So ' || c_custkey || '.' || {_B} || 'end{{answer}} ' ELSE '' END || {_B} || 'end{{example}}'
+      ELSE {_B} || 'begin{{exercise}}[Task ' || c_custkey || '] derived from ' || {_B} || 'ref{{def:s' || (c_custkey % 130 + 1) || '}}' || chr(10) || '解答：' || chr(10) || 'see ' || c_custkey || chr(10) || {_B} || 'end{{exercise}}' END FROM cus JOIN fil ON cus.k = fil.k AND cus.b = fil.b
+)"""
 
 #: Nodes of a graph: id, type, title, content, label, path (parts with /), chunk, major.
 STAR_NODES = """
@@ -59,11 +64,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """``text`` over the tables of a folder."""
-    for t in TABLES:
-        if t in text:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(text)
+    """``text`` over the tables of a folder, each named where it stands by its file; no view is registered."""
+    names = "|".join(TABLES)
+    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({names})\b", lambda m: f"{m[1]} parquet.`{sf_dir}/{m[2]}.parquet` AS {m[2]}", text))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

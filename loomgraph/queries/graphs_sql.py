@@ -10,6 +10,7 @@ _INC = "inc AS (SELECT event_id AS major, 'u' || (user_id % 997) AS id, event_ty
 _KS = ", ".join(f"arg_max(v, CASE WHEN k = 'k{i}' THEN major END) FILTER (WHERE k = 'k{i}') AS k{i}" for i in range(4))
 _UPSERT = f"SELECT id, arg_max(type, major) AS type, arg_max(title, major) AS title, arg_max(content, major) FILTER (WHERE content IS NOT NULL) AS content, {_KS}"
 _PART = "SELECT 'node' AS part, id FROM {n} UNION ALL SELECT 'edge', source || ' ' || type || ' ' || target FROM {e}"
+# Forms of templates and of numbered objects, as in operators/graph.py.
 _TEMPLATE = r"(regexp_matches({c}, 'P\s*\(\s*[A-Za-z]\\?[_A-Za-z0-9]*\s*=\s*[A-Za-z0-9_{{}}\\]+\s*\)\s*=\s*p\s*\(') OR regexp_matches({c}, '(^|[^A-Za-z0-9_])f_?[A-Za-z]\s*\(\s*[A-Za-z]\s*\)') OR regexp_matches({c}, 'p_?[A-Za-z]\s*\(\s*[A-Za-z]\s*\)') OR (contains({c}, '\infty') AND regexp_matches({c}, '-\s*\\infty') AND regexp_matches({c}, '<\s*[A-Za-z]')))"
 _INDEXED = r"(regexp_matches({c}, '\\Omega_\{{?\d+\}}?') OR (regexp_matches({c}, '[A-Za-z]_\{{?\d+\}}?') AND length(regexp_replace({c}, '\s+', '', 'g')) <= 25))"
 _T, _I = _TEMPLATE.format(c="content"), _INDEXED.format(c="content")

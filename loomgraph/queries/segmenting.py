@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..model import HEADINGS
 from ..operators import extract as ex
 from ..operators import segment as sg
-from ..storage import stored
+from ..storage import dealt, stored
 from .corpora import LINES, files, sql
 
 BS = "\\"
@@ -16,6 +16,7 @@ BS = "\\"
 _FILES = f"lines AS ({LINES}), files AS (SELECT path, string_agg(line, chr(10) ORDER BY o1, o2, o3) AS content FROM lines GROUP BY path)"
 _STRIP = r"regexp_replace({}, '(?s)^((?:[^\\%]|\\.)*)%.*$', '\1')"
 _LINES = f"{_FILES}, split AS (SELECT path, string_split(content, chr(10)) AS parts FROM files), raw AS (SELECT path, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS pos FROM split), clean AS (SELECT path, pos, {_STRIP.format('line')} AS line FROM raw)"
+# Heading commands, as in segment.py.
 _HEAD = r"'^\\(chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?\{(.+?)\}\s*$'"
 _LEVEL = "CASE regexp_extract(line, " + _HEAD + ", 1) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in HEADINGS.items()) + " END"
 _HEADS = f"{_LINES}, heads AS (SELECT path, pos, line, {_LEVEL} AS level, CASE WHEN regexp_matches(line, {_HEAD}) THEN trim(regexp_replace(regexp_extract(line, {_HEAD}, 2), '\\s+', ' ', 'g')) END AS heading FROM clean)"
@@ -41,8 +42,9 @@ def chunks_of(spark: SparkSession, sf_dir: str, granularity: str = "section") ->
 
 
 def strip_comments_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = sql(spark, sf_dir, "SELECT doc_id, text FROM documents")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5(sg.strip_comment(F.col("line"))).alias("digest"), F.length(sg.strip_comment(F.col("line"))).cast("long").alias("n"))
+    docs = dealt(sql(spark, sf_dir, "SELECT doc_id, text FROM documents"))
+    lines = docs.select("doc_id", F.posexplode(F.transform(F.split("text", "\n", -1), sg.strip_comment)).alias("pos", "line"))
+    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("line").alias("digest"), F.length("line").cast("long").alias("n"))
 
 
 def strip_comments_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +77,7 @@ def chunk_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_count_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql(spark, sf_dir, "SELECT doc_id, text FROM documents").select("doc_id", F.size(sg.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    return dealt(sql(spark, sf_dir, "SELECT doc_id, text FROM documents")).select("doc_id", F.size(sg.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
 def token_windows_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +170,7 @@ envs AS (SELECT chunk, n, place, block, lower(regexp_extract(block, '(?is)^\\\\b
 named AS (SELECT *, nullif(regexp_extract(body, {_LAB}, 1), '') AS label, upper(env[1]) || env[2:] AS type,
     nullif(regexp_extract(block, '\\\\begin\\{{[a-zA-Z*]+\\}}\\s*\\[([^\\]]+)\\]', 1), '') AS own FROM envs),
 env_nodes AS (SELECT chunk, n, place, CASE WHEN label IS NULL THEN chunk || ':' || env || ':' || place ELSE 'tex:' || label END AS id, type, coalesce(own, type || ' ' || (place + 1)) AS title, label, body, env FROM named)"""
+# Displayed mathematics, as in extract.py.
 _FORMS = (r"\\begin\{equation\}(.*?)\\end\{equation\}", r"\\begin\{align\}(.*?)\\end\{align\}", r"\$\$(.*?)\$\$", r"\\\[(.*?)\\\]")
 
 
@@ -209,6 +212,7 @@ QUERIES = {
 }
 QUERIES |= {f"chunk_{g}": _chunk_query(g) for g in ("file", "chapter", "section", "subsection")}
 
+# Tokens and white space, as in segment.py.
 _TOKEN = r"\\[a-zA-Z]+|[a-zA-Z0-9_]+|[\x{4e00}-\x{9fff}]|[^\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}\x0B]"
 _SPACE = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}\x0B]*"
 ORACLES = {
@@ -227,8 +231,8 @@ c AS (SELECT 'd' || doc_id || CASE WHEN w < 0 THEN '' ELSE ':w' || w END AS id,
     "formula_outside_examples": f"WITH {_FORM} SELECT chunk, place, id, title, body AS content FROM form_nodes",
     "ref_extract": f"WITH {_chunks_sql(2)}, {_REFS} SELECT chunk, place, label FROM refs",
     "label_index": f"WITH {_ALL} SELECT label, id, first_chunk FROM labels",
-    "example_split": f"""WITH {_ENV}, x AS (SELECT id, body, regexp_extract(body, '(?is)\\\\begin\\{{solution\\}}(.*?)\\\\end\\{{solution\\}}', 1) AS s, strpos(body, chr(10) || '解答：' || chr(10)) AS m FROM env_nodes WHERE type IN ('Example', 'Exercise'))
-SELECT id, CASE WHEN s <> '' THEN trim(regexp_replace(body, '(?is)\\\\begin\\{{solution\\}}.*?\\\\end\\{{solution\\}}', '')) ELSE trim(body[1:m - 1]) END AS problem, CASE WHEN s <> '' THEN s ELSE trim(body[m:], chr(10) || ' ') END AS solution, '' AS answer FROM x""",
+    "example_split": f"""WITH {_ENV}, x AS (SELECT id, body, regexp_extract(body, '(?is)\\\\begin\\{{solution\\}}(.*?)\\\\end\\{{solution\\}}', 1) AS s, regexp_extract(body, '(?is)\\\\begin\\{{answer\\}}(.*?)\\\\end\\{{answer\\}}', 1) AS a, strpos(body, chr(10) || '解答：' || chr(10)) AS m FROM env_nodes WHERE type IN ('Example', 'Exercise'))
+SELECT id, CASE WHEN s <> '' THEN trim(regexp_replace(body, '(?is)\\\\begin\\{{(solution|answer)\\}}.*?\\\\end\\{{(solution|answer)\\}}', '', 'g')) ELSE trim(body[1:m - 1]) END AS problem, CASE WHEN s <> '' THEN s ELSE trim(body[m:], chr(10) || ' ') END AS solution, a AS answer FROM x""",
     "nearest_core": f"WITH {_ENV}, {_CORE} SELECT CASE kind WHEN 'Exercise' THEN 'AppliesTo' ELSE 'AssistsIn' END AS type, source, target FROM bound WHERE kind IN ('Example', 'Exercise') AND target IS NOT NULL",
     "section_nodes": f"WITH {_chunks_sql(2)} SELECT 'sec:' || path_text AS id, 'Conclusion' AS type, {_TAIL} AS title, '' AS content FROM chunks",
     "contains_edges": f"WITH {_ALL} SELECT section AS source, member AS target, chunk FROM members",

@@ -8,13 +8,20 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder under the temp folder where it is unset (local mode)."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local session takes a folder under the temp folder; on a cluster, whose
+    executors would each write to a disk of their own, this raises.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (base or "file://" + os.path.join(tempfile.gettempdir(), "loomgraph-shared")).rstrip("/")
 
 
@@ -30,12 +37,32 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: str | None = None) -> str:
+    """``df`` as Parquet in a new folder of the shared folder; its path."""
+    path = fresh_folder(df.sparkSession, name)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """``df`` written as Parquet and read back: computed once, safe from lost executors; removed when the driver ends."""
-    spark = df.sparkSession
-    path = fresh_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name, partition_by))
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's bytes; for Parquet the size of its files by the columns read."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def broadcast_if_small(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """A stored table, marked for broadcast if it has no more than ``most`` bytes; otherwise joins shuffle it."""
+    return F.broadcast(df) if plan_bytes(df) <= most else df
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the cluster's cores if its files are read in fewer pieces than a quarter of those, as one large row group is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
 
 
 @atexit.register
