@@ -1,67 +1,20 @@
-"""What the operators share: the shared folder, cutting lineage by written tables, text normal forms."""
+"""What the operators share: batches for Python, text normal forms, samples, joins behind checks of size."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset (tests, local mode) a folder under the system's temp folder is used, which
-    all threads of a local session see.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "loomgraph-shared")
-    return base.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def remove_dir(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back.
-
-    The written table survives lost executors and cuts the lineage; unlike checkpoint() it computes
-    the plan once.
-    """
-    return df.sparkSession.read.schema(df.schema).parquet(put(df, name, partition_by))
-
-
-def put(df: DataFrame, name: str, partition_by: str | None = None) -> str:
-    """Write ``df`` as Parquet to a new folder of the shared folder; its path."""
-    path = fresh_dir(df.sparkSession, name)
-    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
-    return path
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            remove_dir(spark, path)
-        except Exception:  # the session is gone; its shared folder is the cluster's to clean
-            return
+from ..storage import broadcast_if_small, dealt, plan_bytes  # noqa: F401
+from ..storage import fresh_folder as fresh_dir  # noqa: F401
+from ..storage import stored as cut
+from ..storage import written as put  # noqa: F401
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -83,46 +36,73 @@ def unit_hash(seed: str, *cols: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
-def if_small(df: DataFrame, most: int) -> DataFrame:
-    """A written table, marked for broadcast if it has no more than ``most`` rows; otherwise joins shuffle it."""
-    table = cut(df, "side")
-    return F.broadcast(table) if table.count() <= most else table
+def if_small(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """A written table, marked for broadcast if its files have no more than ``most`` bytes; otherwise joins shuffle it."""
+    return broadcast_if_small(cut(df, "side"), most)
 
 
-def without(docs: DataFrame, ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+def without(docs: DataFrame, ids: DataFrame, most: int = 64 << 20) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not in ``ids``; null doc_ids stay."""
     return docs.join(if_small(ids.select("doc_id").distinct(), most), "doc_id", "left_anti").select(*docs.columns)
 
 
 def hashed_sample(rows: DataFrame, key: str, seed: str, most: int) -> DataFrame:
-    """``rows`` (with doc_id) and r, 1 to ``most``: for each value of ``key`` the rows of the smallest hashes of their doc_id.
+    """The distinct (doc_id, ``key``) of ``rows`` and r, 1 to ``most``: for each value of ``key`` those of the smallest hashes of their doc_id.
 
-    Rows over a cut, set by the key's count so that more than ``most`` pass it, are left out before
-    the ranking, so no task ranks all rows of a common value.
+    Pairs over a cut, set by the key's count so that more than ``most`` pass it, are left out before
+    the ranking, so no task ranks all documents of a common value.
     """
+    pairs = rows.select("doc_id", key).distinct()
     h = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40))
-    counts = if_small(rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")), 100_000)
-    few = rows.join(counts, F.col(key) == F.col("_key")).filter(h < (2 * most + 100) / F.col("_n") * float(1 << 40)).drop("_key", "_n")
+    counts = if_small(pairs.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")))
+    few = pairs.join(counts, F.col(key) == F.col("_key")).filter(h < (2 * most + 100) / F.col("_n") * float(1 << 40)).drop("_key", "_n")
     w = Window.partitionBy(key).orderBy(h, "doc_id")
     return few.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)
 
 
-#: Bytes of a batch that goes to Python; Spark's own bound is 64 MB, which with long texts takes much of a worker's memory.
-BATCH_BYTES = 8 << 20
+def sampled(rows: DataFrame, key: str, seed: str, most_each: int, most: int) -> DataFrame:
+    """``rows`` (doc_id, ``key``, text, ...) of at most ``most_each`` documents of each value of ``key`` and ``most`` in all, and r.
+
+    Of rows that repeat a doc_id and key one is taken: that of the smallest hash of its text.
+    """
+    ids = hashed_sample(rows, key, seed, most_each).orderBy("r", key).limit(most)
+    ids = F.broadcast(cut(ids.coalesce(1), "sample-ids").withColumnsRenamed({"doc_id": "_id", key: "_key"}))  # at most `most` rows
+    chosen = rows.join(ids, (F.col("doc_id") == F.col("_id")) & (F.col(key) == F.col("_key"))).drop("_id", "_key")
+    others = [c for c in chosen.columns if c not in ("doc_id", key)]
+    return chosen.groupBy("doc_id", key).agg(F.min_by(F.struct(*others), F.xxhash64("text")).alias("_r")).select("doc_id", key, "_r.*")
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after the session's bound on Arrow batches is lowered, if it is higher."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = conf.get(name, "67108864b")
-    if not now.rstrip("b").lstrip("-").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
-        conf.set(name, f"{BATCH_BYTES}b")
-    return df
+#: Bytes of a batch that goes to Python; Spark's own bound is 64 MB, which with long texts takes much of a worker's memory.
+BATCH_BYTES = 8 << 20
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a table's bytes; for Parquet the size of its files by the columns read."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds Arrow batches by BATCH_BYTES for what is written within; the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    now = (before or "").rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def mapped(df: DataFrame, run, schema: str, name: str) -> DataFrame:
+    """``df`` through ``run`` on Arrow batches, as a written table."""
+    with small_batches(df.sparkSession):
+        return cut(df.mapInArrow(run, schema), name)
+
+
+def mapped_pandas(df: DataFrame, run, schema: str, name: str) -> DataFrame:
+    """``df`` through ``run`` on pandas batches, as a written table."""
+    with small_batches(df.sparkSession):
+        return cut(df.mapInPandas(run, schema), name)
 
 
 def pieces(df: DataFrame, bytes_each: int) -> int:

@@ -5,49 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-
-#: Parts into which a hub's edges are dealt.
-SALTS = 8
+from ..operators.graph import components
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of an edge; component is the smallest node that it reaches.
 
-    Large-star and small-star rounds in turn: each round points a node's neighbours to the smallest
-    of them, until the edges no longer change; the number of rounds grows with the logarithm of the
-    longest chain. Each round is a written table, so lineage stays short. A hub's edges are joined,
-    never gathered in one row, and dealt by a salt of their other ends. Edges from a node to itself
-    are ignored.
+    Edges from a node to itself are ignored.
     """
-    now = cut(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).filter("u <> v").distinct(), "edges")
-    mark = _mark(now)
-    while mark[0]:
-        both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = salted(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = cut(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = salted(large, least)
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        now = cut(small.filter("u <> v").distinct(), "edges")
-        after = _mark(now)
-        if after == mark:
-            break
-        mark = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
-
-
-def salted(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """``edges`` (u, v) with m of their u; each u's row of ``least`` goes to every salt, its edges are dealt over them."""
-    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    every = least.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return dealt.join(every, ["u", "salt"]).drop("salt")
-
-
-def _mark(edges: DataFrame) -> tuple:
-    """Count and sums of hashes of the edges: equal for equal sets of edges."""
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(h, 20)), F.bit_xor(h)).first())
+    found = components(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b"))
+    return found.withColumnRenamed("id", "node")

@@ -7,16 +7,16 @@ bounded sample of labelled rows and broadcast (PAIRS x 2^13 weights).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, in_small_batches
+from .common import mapped_pandas, sampled
 
 # Families of languages; one that is not named is a family of its own.
 FAMILIES = {
@@ -31,7 +31,7 @@ FAMILIES = {
     "sinitic": "zh yue wuu",
 }
 DIMENSIONS = 1 << 13
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _DROP = bytes(b if b >= 128 or 97 <= b <= 122 or b == 39 else 32 for b in range(256))
 
 
@@ -125,20 +125,19 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, per_lang: int = 400, most: int = 4000) -> LanguageModel:
     """Learns from at most ``per_lang`` rows of each lang and ``most`` in all, chosen by a hash of the doc_id.
 
-    Rows without a lang or doc_id, or whose text has no letter, are not chosen. Each chosen row comes to the driver
-    as its 2^13 features, so the sample takes under 70 MB there whatever the texts' lengths.
+    Rows without a lang or doc_id, or whose text has no letter, are not chosen; of rows that repeat a doc_id and lang
+    one is. Each chosen row comes to the driver as its 2^13 features, so the sample takes under 70 MB there whatever
+    the texts' lengths.
     """
-    base = docs.filter("lang is not null and text is not null and doc_id is not null").filter(F.col("text").rlike(r"\p{L}"))
-    ids = hashed_sample(base.select("doc_id", "lang"), "lang", "fit", per_lang)
-    ids = ids.orderBy("r", "lang").limit(most).select("doc_id", F.col("lang").alias("_lang"))  # languages in turn
-    chosen = base.select("doc_id", "lang", "text").join(F.broadcast(ids.withColumnRenamed("doc_id", "_id")), F.expr("doc_id = _id and lang = _lang"))
+    base = docs.select("doc_id", "lang", "text").filter("lang is not null and text is not null and doc_id is not null").filter(F.col("text").rlike(r"\p{L}"))
+    chosen = sampled(base, "lang", "fit", per_lang, most)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "x": [features(t).astype("<f2").tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype(str), "lang": b["lang"], "x": [features(t).astype("<f2").tobytes() for t in b["text"]]})
 
-    rows = chosen.select("doc_id", "lang", "text").mapInPandas(run, "doc_id long, lang string, x binary").toPandas()
-    rows = rows.sort_values(["doc_id", "x"]).reset_index(drop=True)
+    rows = chosen.select("doc_id", "lang", "text").mapInPandas(run, "doc_id string, lang string, x binary").toPandas()
+    rows = rows.sort_values(["doc_id", "lang"]).reset_index(drop=True)
     x = np.stack([np.frombuffer(v, "<f2").astype(np.float32) for v in rows["x"]]) if len(rows) else np.zeros((0, DIMENSIONS + 1), np.float32)
     return LanguageModel(x, rows["lang"].tolist())
 
@@ -146,7 +145,7 @@ def fit(docs: DataFrame, per_lang: int = 400, most: int = 4000) -> LanguageModel
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred and score of each row, from the whole text alone.
 
-    Null texts and texts without letters get ``und`` and 0; so do all if nothing was learned.
+    Null texts and texts without letters (of Unicode's class L) get ``und`` and 0; so do all if nothing was learned.
     Repeated rows get a row each; other columns are ignored; an empty table gives an empty result.
     """
     given = docs.sparkSession.sparkContext.broadcast(model)
@@ -157,7 +156,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    return mapped_pandas(docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double", "languages")
 
 
 def language_report(docs: DataFrame, per_lang: int = 400, most: int = 4000) -> DataFrame:
