@@ -17,7 +17,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from .common import in_small_batches
+from .common import mapped_pandas
 
 # The phrases that are counted exactly, in lower case words, and their labels.
 BASE = (
@@ -41,8 +41,16 @@ NOTICES = (
     ("mozilla public license version 2", "mpl-2"),
     ("redistribution and use in source and binary forms", "bsd"),
     ("released into the public domain", "public-domain"),
+    ("eclipse public license version 2", "epl-2"),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc"),
+    ("boost software license version 1", "bsl-1"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("creative commons zero", "cc0"),
+    ("cc by sa", "cc-by-sa"),
+    ("cc by nd", "cc-by-nd"),
+    ("gnu free documentation license", "gfdl"),
 )
-#: One error for so many characters, and three at most.
+#: One error for so many characters, one at least and three at most.
 CHARS_AN_ERROR, MOST_ERRORS = 10, 3
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -60,7 +68,7 @@ class Notice:
     def __init__(self, phrase: str, label: str):
         self.phrase, self.label = phrase, label
         body, tail = re.fullmatch(r"(.*?)((?: \d+)?)", phrase).groups()
-        self.errors = min(MOST_ERRORS, len(body) // CHARS_AN_ERROR)
+        self.errors = min(MOST_ERRORS, max(1, len(body) // CHARS_AN_ERROR))
         self.pattern = regex.compile(rf"(?<= )(?:{regex.escape(body)}){{e<={self.errors}}}{regex.escape(tail)}(?= )", regex.BESTMATCH)
         cuts = [len(body) * i // (self.errors + 1) for i in range(self.errors + 2)]
         self.pieces = [(i, body[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
@@ -168,4 +176,4 @@ def scan_licenses(docs: DataFrame, notices=NOTICES) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<{SPAN}>"
-    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(run, out)
+    return mapped_pandas(docs.select("doc_id", "text"), run, out, "licenses")
