@@ -34,8 +34,8 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with shard and slot, as written to the shards' files."""
-    return sharding.with_slots(sharding.write_shards(docs, shards=40))
+    """Documents with shard and slot, as written to the shards' files; columns of these names are _own_shard and _own_slot."""
+    return sharding.sharded(docs, shards=40)
 
 
 STAGES = [

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, in_small_batches, pieces, text_or_empty
+from .common import cut, pieces, small_batches, text_or_empty
 
 #: Parquet bytes of input to a bucket.
 BUCKET_BYTES = 16 << 20
@@ -44,21 +44,26 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).permutation(n)
 
 
+#: Columns of the operator's own while it works, and the names that users' columns like them have meanwhile.
+OWN = {"shard": "_own_shard", "slot": "_own_slot", "_bucket": "_own_bucket", "_bucket_slot": "_own_bucket_slot", "_tie": "_own_tie", "_n": "_own_n", "_before": "_own_before"}
+
+
 def write_shards(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
     """The written rows of ``docs`` with shard, _bucket and _bucket_slot; read back from the shard files.
 
     Files lie in folders shard=K. Null texts are written as null and count no bytes. A null doc_id
     is a key of its own. Rows that repeat a doc_id are in one shard (the doc_id decides), each with
-    a slot of its own; the bucket also depends on the text, so copies of an id with other texts are
-    spread. An empty table gives an empty result. Columns of ``docs`` pass through; one named
-    shard is replaced.
+    a slot of its own; the bucket also depends on the other columns and the scanned partition, so
+    rows of one id are spread over the shard's buckets. An empty table gives an empty result.
+    Columns of ``docs`` pass through; those named like the operator's own are named _own_... .
     """
-    docs = docs.drop("shard", "_bucket", "_bucket_slot", "_tie")
+    docs = docs.withColumnsRenamed({k: v for k, v in OWN.items() if k in docs.columns})
     each = max(1, -(-pieces(docs, BUCKET_BYTES) // shards))
     key = F.xxhash64(F.lit(seed), "doc_id")
-    scattered = docs.withColumn("shard", jump_shard(key, shards).cast("int"))
-    scattered = scattered.withColumn("_bucket", (F.col("shard") * each + F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(each))).cast("int"))
-    scattered = scattered.withColumn("_tie", F.xxhash64(*docs.columns))
+    scattered = docs.withColumn("_tie", F.xxhash64(*docs.columns))
+    scattered = scattered.withColumn("shard", jump_shard(key, shards).cast("int"))
+    # Rows alike in all columns are told apart by nothing, so any of them may go anywhere: the scanned partition deals them.
+    scattered = scattered.withColumn("_bucket", (F.col("shard") * each + F.pmod(F.xxhash64(F.lit(seed + 1), "_tie", F.spark_partition_id()), F.lit(each))).cast("int"))
 
     def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [b for b in batches if b.num_rows]
@@ -75,19 +80,30 @@ def write_shards(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
             start = end
             yield from one.combine_chunks().to_batches(max_chunksize=2000)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scattered.drop("_tie").schema) + ", _bucket_slot long"
-    buckets = in_small_batches(scattered).repartitionById(shards * each, F.col("_bucket")).mapInArrow(shuffle, kinds)
-    return cut(buckets, "shards", partition_by="shard")
+    order = [c for c in scattered.columns if c != "_tie"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scattered.select(*order).schema) + ", _bucket_slot long"
+    with small_batches(docs.sparkSession):
+        return cut(scattered.select(*order, "_tie").repartitionById(shards * each, F.col("_bucket")).mapInArrow(shuffle, kinds), "shards", partition_by="shard")
 
 
 def with_slots(written: DataFrame) -> DataFrame:
-    """Adds (or replaces) slot: gapless from 0 in each shard, in the order of its buckets."""
+    """Adds slot: gapless from 0 in each shard, in the order of its buckets; without _bucket and _bucket_slot."""
     counts = written.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("_bucket"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return written.join(offsets, "_bucket").withColumn("slot", F.col("_bucket_slot") + F.col("_before")).drop("_before", "_bucket_slot", "_bucket")
 
 
+def sharded(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
+    """``docs`` as written, with shard and slot.
+
+    A user's columns come back under their names with their values; those named ``shard`` and
+    ``slot`` come back as ``_own_shard`` and ``_own_slot``, as the shard and slot have these names.
+    """
+    back = {v: k for k, v in OWN.items() if k not in ("shard", "slot") and k in docs.columns}
+    return with_slots(write_shards(docs, shards, seed)).withColumnsRenamed(back)
+
+
 def shard_digest(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each written row.
 
