@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, cut, text_or_empty, without
+from .common import ascii_lower, broadcast_if_small, cut, dealt, if_small, text_or_empty, without
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
@@ -39,43 +39,54 @@ def joined(run: Column) -> Column:
     return F.array_join(run, " ")
 
 
-def item_sketches(items: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(item_id, size, shingle) with the items' distinct shingles, and (hash, item_id) with their sketches."""
-    own = items.filter("item_id is not null").select("item_id", F.explode(shingles(words(text_or_empty()), n, joined)).alias("shingle")).distinct()
+def lengths(n: int, short: list[int], make, tokens: Column) -> Column:
+    """Shingles of n words, and runs of each of the ``short`` lengths, each as (k, shingle); a text under n words has no shingle of n."""
+    runs = lambda k: F.when(F.size(tokens) >= k, F.transform(F.sequence(F.lit(1), F.size(tokens) - (k - 1)), lambda i: F.struct(F.lit(k).alias("k"), make(F.slice(tokens, i, k)).alias("shingle")))).otherwise(F.array())
+    every = [runs(k) for k in (n, *short)]
+    return every[0] if len(every) == 1 else F.concat(*every)
+
+
+def item_shingles(items: DataFrame, n: int) -> DataFrame:
+    """(item_id, k, size, shingle, hash) of the items' distinct shingles: of k = n words, or of all words where an item has fewer."""
+    base = items.filter("item_id is not null").select("item_id", words(text_or_empty()).alias("w")).filter(F.size("w") > 0)
+    own = base.select("item_id", F.least(F.size("w"), F.lit(n)).alias("k"), F.explode(shingles(F.col("w"), n, joined)).alias("shingle")).distinct()
     sized = own.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
-    sized = cut(sized.withColumn("hash", F.xxhash64(F.split("shingle", " "))), "items")
-    upper = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("size").cast("double"))))  # the partition's largest size
+    return cut(sized.withColumn("hash", F.xxhash64(F.split("shingle", " "))), "items")
+
+
+def sketches(sized: DataFrame, threshold: float) -> DataFrame:
+    """(hash, k, item_id): of each item the smallest hashes, as many as its size partition asks for.
+
+    A partition is a power of two: its items have at most ``upper`` shingles, of which a leak may
+    lack ``upper`` * (1 - threshold); one hash more is sought, so a leak holds at least one of them.
+    """
+    upper = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("size").cast("double"))))
     depth = F.floor(upper * (1 - threshold) + 1e-9) + 1
     smallest = Window.partitionBy("item_id").orderBy(F.xxhash64(F.lit("minhash"), "hash"), "hash")
-    sketch = sized.withColumn("r", F.row_number().over(smallest)).filter(F.col("r") <= depth).select("hash", "item_id")
-    return sized, sketch
+    return sized.withColumn("r", F.row_number().over(smallest)).filter(F.col("r") <= depth).select("hash", "k", "item_id")
 
 
-def leaks(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, broadcast_rows: int = 2_000_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, item_id, shared, item_shingles, containment) of each document and item it leaks.
 
     Words are separated by ASCII white space and compared in lower case (A-Z). Items without words
-    have no shingle and are never found; items with fewer than ``n`` words are one shingle of all
-    their words, which a longer text cannot hold. Null texts count as empty, null ids take no part.
-    Rows that repeat an id count as one set of shingles. Empty tables give an empty result. Other
-    columns are ignored. Sketches and shingles of the items are broadcast while they have no more
-    than ``broadcast_rows`` rows; beyond, the joins shuffle.
+    have no shingle and are never found; an item with fewer than ``n`` words is one shingle of all
+    its words, sought in documents among their runs of that length. Null texts count as empty, null
+    ids take no part. Rows that repeat an id count as one set of shingles. Empty tables give an
+    empty result. Other columns are ignored. Sketches and shingles of the items are broadcast while
+    their files have no more than ``broadcast_bytes``; beyond, the joins shuffle.
     """
-    sized, sketch = item_sketches(items, n, threshold)
-    sketch = cut(sketch, "sketch")
-    small = sized.count() <= broadcast_rows
-    hint = F.broadcast if small else (lambda df: df)
-    base = docs.filter("doc_id is not null").select("doc_id", words(text_or_empty()).alias("w"))
-    seen = base.select("doc_id", F.explode(shingles(F.col("w"), n, hashed)).alias("hash"))
-    candidates = cut(seen.join(hint(sketch), "hash").select("doc_id", "item_id").distinct(), "candidates")
-    suspects = candidates.select("doc_id").distinct()
+    sized = item_shingles(items, n)
+    short = sorted(r["k"] for r in sized.filter(F.col("k") < n).select("k").distinct().collect())  # at most n - 1 rows
+    sketch = if_small(sketches(sized, threshold), broadcast_bytes)
+    base = dealt(docs.filter("doc_id is not null").select("doc_id", "text")).select("doc_id", words(text_or_empty()).alias("w"))
+    seen = base.select("doc_id", F.explode(lengths(n, short, hashed, F.col("w"))).alias("s")).select("doc_id", "s.k", F.col("s.shingle").alias("hash"))
+    candidates = cut(seen.join(sketch, ["hash", "k"]).select("doc_id", "item_id").distinct(), "candidates")
+    suspects = if_small(candidates.select("doc_id").distinct(), broadcast_bytes)
     texts = docs.select("doc_id", "text").join(suspects, "doc_id", "left_semi").select("doc_id", words(text_or_empty()).alias("w"))
-    held = texts.select("doc_id", F.explode(F.array_distinct(shingles(F.col("w"), n, joined))).alias("shingle"))
-    shared = (
-        held.join(hint(sized.select("shingle", "item_id", "size")), "shingle")
-        .groupBy("doc_id", "item_id", "size")
-        .agg(F.countDistinct("shingle").alias("shared"))
-    )
+    held = texts.select("doc_id", F.explode(F.array_distinct(lengths(n, short, joined, F.col("w")))).alias("s")).select("doc_id", "s.k", "s.shingle")
+    of = broadcast_if_small(sized.select("k", "shingle", "item_id", "size"), broadcast_bytes)
+    shared = held.join(of, ["k", "shingle"]).groupBy("doc_id", "item_id", "size").agg(F.countDistinct("shingle").alias("shared"))
     found = shared.join(candidates, ["doc_id", "item_id"], "left_semi").filter(F.col("shared") >= F.ceil(F.col("size") * threshold - 1e-9))
     return found.select("doc_id", "item_id", "shared", F.col("size").alias("item_shingles"), (F.col("shared") / F.col("size")).alias("containment"))
 

@@ -60,19 +60,19 @@ def poisson_count(seed: str, doc_id: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda n, u: n + F.size(F.filter(F.col("_mix.cdf"), lambda c: c <= u)))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "mix", power: float = 0.7, total: float = 1.0, most_sources: int = 20_000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "mix", power: float = 0.7, total: float = 1.0, most_bytes: int = 64 << 20) -> DataFrame:
     """``docs`` with the columns mix_copy (from 1), mix_copies, mix_key; rows repeated by their count and dealt anew.
 
     Null sources form a source of their own. A document of count 0 leaves. Rows that repeat a
     doc_id draw the same count. Rows are dealt to partitions by the hash mix_key and sorted by
     it there, which is a global shuffle; partitions hold rows of all sources. An empty table gives an empty result. Columns of
-    ``docs`` pass through; those named like the new ones are replaced. The rates are broadcast while
-    there are no more than ``most_sources``; beyond, the join shuffles and splits hot sources.
+    ``docs`` pass through; those named like the new ones are replaced (replicated() keeps them). The rates are broadcast while
+    their files have no more than ``most_bytes``; beyond, the join shuffles and splits hot sources.
     """
     docs = docs.drop("mix_copy", "mix_copies", "mix_key", "_mix", "_mix_source")
     rates = with_steps(source_rates(docs, weights, power, total))
     rates = rates.select(F.col("source").alias("_mix_source"), F.struct("parts", "cdf").alias("_mix"))
-    rates = if_small(rates, most_sources)
+    rates = if_small(rates, most_bytes)
     counted = docs.join(rates, F.expr("source <=> _mix_source")).withColumn("mix_copies", poisson_count(seed, F.col("doc_id")))
     copies = counted.filter("mix_copies > 0").select(*docs.columns, F.explode(F.expr("sequence(1, mix_copies)")).alias("mix_copy"), "mix_copies")
     return copies.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "mix_copy")).repartition("mix_key").sortWithinPartitions("mix_key", "doc_id", "mix_copy")

@@ -37,7 +37,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score_texts(documents(spark, sf_dir), written=True)
+    return lm_scoring.score_texts(documents(spark, sf_dir))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +73,12 @@ FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+
     "op10_decontamination": r"""
 WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
      b AS (SELECT item_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM benchmark),
-     ds AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
-     bs AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM b WHERE len(w) > 0)),
+     bs AS (SELECT DISTINCT id, least(len(w), 5) AS k, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM b WHERE len(w) > 0)),
+     ks AS (SELECT DISTINCT k FROM bs),
+     ds AS (SELECT DISTINCT id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN ks WHERE len(w) >= k)),
      n AS (SELECT id, count(*) AS size FROM bs GROUP BY id)
 SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS shared, n.size AS item_shingles
-FROM ds JOIN bs ON ds.s = bs.s JOIN n ON n.id = bs.id
+FROM ds JOIN bs ON ds.s = bs.s AND ds.k = bs.k JOIN n ON n.id = bs.id
 GROUP BY ds.id, bs.id, n.size HAVING count(*) >= ceil(n.size * 0.8 - 1e-9)
 """,
     "op5_mix_sources": """
