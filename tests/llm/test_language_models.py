@@ -1,7 +1,7 @@
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -14,21 +14,44 @@ def tokens_of(text):
 
 
 def brute_scores(rows):
+    """The trigram model, arc by arc from plain counts."""
     out = []
     held = [r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 for r in rows]
-    c, pairs, starts = Counter(), Counter(), 0
+    c, pairs, triples, followed, starts = Counter(), Counter(), Counter(), defaultdict(set), 0
     for r, h in zip(rows, held):
         if not h:
             t = tokens_of(r["text"])
             c.update(t)
-            pairs.update(zip(["<s>", *t[:-1]], t))
+            line = ["<s>", "<s>", *t]
+            pairs.update(zip(line[1:], line[2:]))
+            triples.update(zip(line, line[1:], line[2:]))
+            triples.update([(*line[-2:], "<pad>")])
             starts += 1
+    for u, v, w in triples:
+        followed[u, v].add(w)
+    pairs["<s>", "<s>"] = starts
     n, v, m = sum(c.values()), len(c), lm_scoring.PRIOR
+    ranks = Counter(triples.values())
+    d = min(max(ranks[1] / (ranks[1] + 2 * ranks[2]), 0.1), 0.95) if ranks[1] else 0.5
+    one = lambda w: (c[w] + 1) / (n + v + 1)
+    two = lambda u, w: (pairs[u, w] + m * one(w)) / ((starts if u == "<s>" else c[u]) + m)
+
+    def three(t, u, w):
+        if not pairs[t, u]:
+            return two(u, w)
+        left = d * len(followed[t, u]) / pairs[t, u]
+        return max(triples[t, u, w] - d, 0) / pairs[t, u] + left * two(u, w)
+
     for r, h in zip(rows, held):
         t = tokens_of(r["text"])
-        p = [(c[w] + 1) / (n + v + 1) for w in t]
-        score = sum(math.log10((pairs[a, b] + m * q) / ((starts if a == "<s>" else c[a]) + m)) for a, b, q in zip(["<s>", *t[:-1]], t, p))
-        out.append((r["doc_id"], h, len(t), sum(c[w] > 0 for w in t), n, sum(map(math.log10, p)), score))
+        line = ["<s>", "<s>", *t]
+        score = sum(math.log10(three(*x)) for x in zip(line, line[1:], t))
+        out.append((r["doc_id"], h, len(t), sum(c[w] > 0 for w in t), n, sum(math.log10(one(w)) for w in t), score))
+    if n:  # a distribution: all next words and an unknown one add up to 1
+        for t, u in list(pairs)[:3]:
+            if u is not None:
+                total = sum(three(t, u, w) for w in [*c, "<never seen>"]) if (t, u) in followed or not pairs[t, u] else 1
+                assert total == pytest.approx(1)
     return out
 
 
@@ -77,7 +100,7 @@ def test_blocks_do_not_change_scores(spark, monkeypatch):
 
 def test_held_out_texts_score_better_than_by_single_words(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = lm_scoring.score_texts(docs, written=True).filter("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
+    got = lm_scoring.score_texts(docs).filter("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert got["s"] > got["b"]
 
 
