@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_small_batches, without
+from .common import cut, dealt, mapped_pandas, pieces, without
 from .components import connected_components
 
 BITS = 64
@@ -65,15 +65,15 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, n: int = 3, second: bool = False) -> DataFrame:
-    """(doc_id, fp, fp2): the fingerprint's words as signed longs. Null and blank texts get 0."""
+    """(doc_id, fp, fp2), written: the fingerprint's words as signed longs. Null and blank texts get 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t, n, second) for t in b["text"]], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp[:, 0], "fp2": fp[:, 1]})
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "fp": fp[:, 0], "fp2": fp[:, 1]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(run, f"doc_id {kind}, fp long, fp2 long")
+    return mapped_pandas(dealt(docs.select("doc_id", "text")), run, f"doc_id {kind}, fp long, fp2 long", "fingerprints")
 
 
 # ---- the index ---------------------------------------------------------------------------------
@@ -195,38 +195,42 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def dealt(nodes: DataFrame, masks: list[int]) -> DataFrame:
+def to_groups(nodes: DataFrame, masks: list[int]) -> DataFrame:
     """A row for each node and mask: the mask and the bits under it are the group."""
     each = F.explode(F.array(*[F.lit(signed(m)).cast("long") for m in masks]))
     return nodes.withColumn("mask", each).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
 
 
+#: Parquet bytes of dealt fingerprints for each task of the search.
+SEARCH_BYTES = 8 << 20
+
+
 def links(nodes: DataFrame, limit: int = 3, split: int = 20_000, total: int | None = None) -> DataFrame:
     """(a, b) of reps that connect all (fp, fp2, rep) of ``nodes`` within ``limit`` differing bits of fp, and ``total`` of both or SURE of fp.
 
     Groups over ``split`` fingerprints are dealt again by their free bits, cut into limit + 1 runs
-    of which two close fingerprints agree on one. This ends when no bit is free: then the group
-    has one fp, and is searched as it is.
+    of which two close fingerprints agree on one. This ends when no bit is free: then the group has
+    one fp, and all its reps link to the smallest.
     """
     total, found = limit if total is None else total, []
-    groups = cut(dealt(nodes, first_masks(limit)), "groups")
+    groups = cut(to_groups(nodes, first_masks(limit)), "groups")
     while True:
-        sizes = groups.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n"))
-        large = cut(sizes.filter(F.col("n") > split).select("mask", "bits"), "large")
-        masks = [r["mask"] for r in large.filter("mask <> -1").select("mask").distinct().collect()]  # as many as bits are cut in ways
-        large = large.filter("mask <> -1")
+        sizes = groups.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least"))
+        large = cut(sizes.filter(F.col("n") > split).select("mask", "bits", "least"), "large")
+        masks = [r["mask"] for r in large.select("mask").distinct().collect()]  # as many as bits are cut in ways
         fit = groups.join(large, ["mask", "bits"], "left_anti") if masks else groups
-        found.append(searched(fit, limit, total))
+        found.append(searched(fit, limit, total, pieces(groups, SEARCH_BYTES)))
         if not masks:
             break
-        rest = groups.join(large, ["mask", "bits"], "left_semi")
-        finer = None
+        rest = groups.join(large, ["mask", "bits"])
+        found.append(rest.filter("mask = -1 and rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
+        finer = F.lit(None).cast("array<long>")
         for m in masks:
             free = ~(m & ((1 << 64) - 1)) & ((1 << 64) - 1)
-            own = [signed((m & ((1 << 64) - 1)) | run) for run in cut_bits(free, limit + 1)]
-            pick = F.when(F.col("mask") == m, F.array(*[F.lit(x).cast("long") for x in own]))
-            finer = pick if finer is None else finer.when(F.col("mask") == m, F.array(*[F.lit(x).cast("long") for x in own]))
-        groups = rest.withColumn("mask", F.explode(finer)).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask"))).distinct()
+            if free:
+                own = [signed((m & ((1 << 64) - 1)) | run) for run in cut_bits(free, limit + 1) if run]
+                finer = F.when(F.col("mask") == m, F.array(*[F.lit(x).cast("long") for x in own])).otherwise(finer)
+        groups = rest.drop("least").withColumn("mask", F.explode(finer)).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask"))).distinct()
         groups = cut(groups, "groups")
     out = found[0]
     for more in found[1:]:
@@ -234,35 +238,57 @@ def links(nodes: DataFrame, limit: int = 3, split: int = 20_000, total: int | No
     return out
 
 
-def searched(groups: DataFrame, limit: int, total: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = [b for b in batches if len(b)]
-        if not own:
-            return
-        b = pd.concat(own, ignore_index=True)
-        group = pd.factorize(pd.MultiIndex.from_arrays([b["mask"], b["bits"]]))[0] if len(b) else b["mask"].to_numpy()
+def searched(groups: DataFrame, limit: int, total: int, parts: int) -> DataFrame:
+    """Links within the groups; a task goes through its groups in order and holds few of them at a time."""
+
+    def found(b: pd.DataFrame) -> pd.DataFrame:
+        mask, bits = b["mask"].to_numpy(), b["bits"].to_numpy()
+        group = np.cumsum(np.append(True, (mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1])))
         a, c = group_links(group, b["fp"].to_numpy().view(np.uint64), b["fp2"].to_numpy().view(np.uint64), b["rep"].to_numpy(), limit, total)
-        yield pd.DataFrame({"a": a, "b": c})
+        return pd.DataFrame({"a": a, "b": c})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            if not len(b):
+                continue
+            last = ((b["mask"] == b["mask"].iloc[-1]) & (b["bits"] == b["bits"].iloc[-1])).to_numpy()
+            at = int(np.argmax(last))  # where the last group starts, which may go on in the next batch
+            if at:
+                yield found(b.iloc[:at])
+            rest = b.iloc[at:]
+        if rest is not None and len(rest):
+            yield found(rest)
 
-    return groups.repartition("mask", "bits").mapInPandas(run, "a long, b long")
+    return groups.repartition(parts, "mask", "bits").sortWithinPartitions("mask", "bits").mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, limit: int = 3, total: int | None = None, split: int = 20_000) -> DataFrame:
     """(doc_id, fp, component_id) of each row: component_id is the smallest doc_id that links reach.
 
     Two rows link if their fingerprints differ in ``limit`` bits or fewer. For wide limits, at which
-    unlike texts of a large corpus would meet by chance, ``total`` asks for no more differing bits
-    than that in 128, the fingerprint's and 64 more from mixed hashes, where more than 3 differ.
+    unlike texts of a large corpus would meet by chance and alike ones still miss each other,
+    ``total`` takes a second fingerprint of mixed hashes: two rows link if either differs in
+    ``limit`` bits or fewer and both together in no more than ``total`` (or either in 3 or fewer).
 
     Null, empty and blank texts have fingerprint 0 and link like any other; texts with fewer than
     ``n`` words are one shingle. Rows that repeat a doc_id or a text are rows of their own. Rows of
-    a null doc_id get a fingerprint and take no part in links (component_id null). Other columns are
-    ignored; an empty table gives an empty result.
+    a null doc_id get a fingerprint and take no part in links (component_id null). doc_ids keep
+    their type. Other columns are ignored; an empty table gives an empty result.
     """
-    prints = cut(fingerprints(docs, n, second=total is not None), "fingerprints")
-    nodes = cut(prints.filter("doc_id is not null").groupBy("fp", "fp2").agg(F.min("doc_id").cast("long").alias("rep")), "nodes")
-    found = connected_components(links(nodes, limit, split, total))
-    labels = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", "fp2", F.coalesce("component", "rep").alias("component_id"))
+    prints = fingerprints(docs, n, second=total is not None)
+    nodes = prints.filter("doc_id is not null").groupBy("fp", "fp2").agg(F.min("doc_id").alias("least"))
+    nodes = cut(nodes.withColumn("rep", F.monotonically_increasing_id()), "nodes")  # a number for each, whatever type doc_ids have
+    found = links(nodes.drop("least"), limit, split, total)
+    if total is not None:
+        other = nodes.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "rep")
+        found = found.unionByName(links(other, limit, split, total))
+    reached = connected_components(found)
+    named = nodes.join(reached, nodes["rep"] == reached["node"], "left").withColumn("component", F.coalesce("component", "rep"))
+    named = cut(named.select("fp", "fp2", "least", "component"), "named")
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    labels = named.join(smallest, "component").select("fp", "fp2", "component_id")
     joined = prints.join(labels, ["fp", "fp2"], "left")
     return joined.select("doc_id", "fp", F.expr("if(doc_id is null, null, component_id)").alias("component_id"))
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_dir, in_small_batches, pieces, put_file, text_or_empty
+from .common import cut, fresh_dir, mapped, pieces, put_file, text_or_empty
 from .elias_fano import TokenFile, dump_tokens
 
 #: Parquet bytes of input to a token file.
@@ -215,4 +215,4 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | N
             put_file(path, name, dump_tokens(d, n, t))
             yield pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(d)], "n_ids": [len(t)]})
 
-    return TokenFiles(path, cut(in_small_batches(dealt).mapInArrow(write, "file string, n_docs long, n_ids long"), "token-files"))
+    return TokenFiles(path, mapped(dealt, write, "file string, n_docs long, n_ids long", "token-files"))
