@@ -45,7 +45,7 @@ from .token_output import chunks
 #: Weight M of the single-word model in words.
 PRIOR = 200.0
 #: Bytes of text in a block, and Parquet bytes of input for each shard.
-BLOCK_BYTES, SHARD_BYTES = 24 << 20, 16 << 20
+BLOCK_BYTES, SHARD_BYTES = 16 << 20, 16 << 20
 END = np.uint64(xxhash.xxh64_intdigest(b"\x00end"))
 BEGIN = np.uint64(xxhash.xxh64_intdigest(b"\x00begin"))
 #: What follows an end, so that each pair, the last one too, is followed by something.
@@ -74,11 +74,24 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of an ordered pair of 64-bit hashes."""
-    x = h * np.uint64(0x9E3779B97F4A7C15) ^ (w << np.uint64(31) | w >> np.uint64(33))
+    """A 56-bit hash, in the upper bits, of an ordered pair of 64-bit hashes."""
+    x = h * np.uint64(0x9E3779B97F4A7C15)
+    x ^= w << np.uint64(31) | w >> np.uint64(33)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ x >> np.uint64(32)
+    x ^= x >> np.uint64(32)
+    x &= np.uint64(0xFFFFFFFFFFFFFF00)
+    return x
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order, the place of each of ``keys`` among them, in 32 bits)."""
+    order = np.argsort(keys).astype(np.int32)
+    keys = keys[order]
+    new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.empty(0, bool)
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], place
 
 
 @dataclass
@@ -109,9 +122,14 @@ class Block:
         one[self.starts] = n
         two = np.roll(one, 1)
         two[self.starts] = n
-        pairs, pair = np.unique(pair_key(hashes[two], hashes[one]), return_inverse=True)
-        arcs, arc = np.unique(pair.astype(np.uint64) << np.uint64(32) | hashes[at] >> np.uint64(32), return_inverse=True)
-        return pairs, pair.astype(np.int32), arcs, arc.astype(np.int32), one.astype(np.int32)
+        pairs, pair = numbered(pair_key(hashes[two], hashes[one]))
+        del two
+        key = pair.astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= (hashes >> np.uint64(32))[at]
+        del at
+        arcs, arc = numbered(key)
+        return pairs, pair, arcs, arc, one
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """How often each word and each arc is in the block's training documents."""
@@ -127,8 +145,9 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     ids, train, lengths, tokens, size = [], [], [], [], 0
 
     def made() -> Block:
-        words, word = np.unique(np.concatenate(tokens), return_inverse=True)
-        return Block(ids, np.concatenate(train).astype(bool), np.concatenate(lengths), words, word.astype(np.int32))
+        words, word = numbered(np.concatenate(tokens))
+        tokens.clear()
+        return Block(ids, np.concatenate(train).astype(bool), np.concatenate(lengths), words, word)
 
     for b in batches:
         at = 0
@@ -148,7 +167,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Integers from 0 in bytes of equal place together, without leading zeros, compressed where it helps."""
+    """Integers from 0: their bytes of equal place together, without leading zeros, compressed."""
     values = np.asarray(values, np.uint64)
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
     raw = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
@@ -163,15 +182,42 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending 64-bit keys as the first and the steps between them."""
+def pack_keys(keys: np.ndarray, shift: int = 0) -> bytes:
+    """Ascending 64-bit keys, whose last ``shift`` bits are 0, as the first and the steps between them."""
+    keys = keys >> np.uint64(shift)
     return struct.pack("<Q", int(keys[0]) if len(keys) else 0) + pack(np.diff(keys))
 
 
-def unpack_keys(data: bytes, n: int) -> np.ndarray:
+def unpack_keys(data: bytes, n: int, shift: int = 0) -> np.ndarray:
     if not n:
         return np.empty(0, np.uint64)
-    return np.cumsum(np.append(np.uint64(struct.unpack_from("<Q", data)[0]), unpack(data[8:])), dtype=np.uint64)
+    return np.cumsum(np.append(np.uint64(struct.unpack_from("<Q", data)[0]), unpack(data[8:])), dtype=np.uint64) << np.uint64(shift)
+
+
+def pack_words(words: np.ndarray, word: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending hashes and the texts' words as numbers into them. Frequent words take small numbers: hashes go by powers of two of their counts."""
+    power = np.frexp(np.bincount(word, minlength=len(words)))[1]
+    order = np.lexsort((words, -power))
+    ends = np.searchsorted(-power[order], -np.arange(64, -1, -1), side="right")
+    parts = [pack_keys(words[order[i:j]]) for i, j in zip(np.append(0, ends[:-1]), ends, strict=True)]
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    return several([ends]) + struct.pack(f"<{len(parts)}Q", *[len(p) for p in parts]) + b"".join(parts), pack(place[word])
+
+
+def unpack_words(words: bytes, word: bytes) -> tuple[np.ndarray, np.ndarray]:
+    (size,) = struct.unpack_from("<Q", words)
+    ends = unpack(words[8 : 8 + size]).astype(np.int64)
+    data, at = words[8 + size :], 8 * len(ends)
+    found = []
+    for n, length in zip(np.diff(np.append(0, ends)).tolist(), struct.unpack_from(f"<{len(ends)}Q", data), strict=True):
+        found.append(unpack_keys(data[at : at + length], n))
+        at += length
+    own = np.concatenate(found)
+    order = np.argsort(own)
+    place = np.empty(len(own), np.int32)
+    place[order] = np.arange(len(own), dtype=np.int32)
+    return own[order], place[unpack(word).astype(np.int64)]
 
 
 def cuts(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -180,7 +226,7 @@ def cuts(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
 
 
-TEXTS = "block long, n_docs long, lengths binary, train binary, n_words long, words binary, word binary"
+TEXTS = "block long, lengths binary, train binary, words binary, word binary"
 REQUEST = pa.schema([("block", pa.int64()), ("shard", pa.int32()), *[(n, pa.int64()) for n in ("n_words", "n_pairs")], *[(n, pa.binary()) for n in ("words", "pairs", "fan", "next", "counts")]])
 ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int32()), *[(n, pa.binary()) for n in ("words", "pairs", "arcs")], *[(n, pa.int64()) for n in ("tokens", "types", "t1", "t2")]])
 
@@ -202,8 +248,8 @@ def packed(docs: DataFrame) -> DataFrame:
         ids = None
         for number, b in enumerate(blocks(batches)):
             ids = ids or pa.list_(id_type)
-            row = [part << 24 | number, len(b.doc_ids), pack(b.lengths), pack(b.train), len(b.words), pack_keys(b.words), pack(b.word), b.doc_ids]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), ids]
+            row = [part << 24 | number, pack(b.lengths), pack(b.train), *pack_words(b.words, b.word), b.doc_ids]
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), ids]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[*[c.split()[0] for c in TEXTS.split(", ")], "doc_ids"])
 
     from pyspark.sql.pandas.types import to_arrow_type
@@ -213,7 +259,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def block_of(row: dict) -> Block:
-    return Block(row["doc_ids"], unpack(row["train"]).astype(bool), unpack(row["lengths"]).astype(np.int64), unpack_keys(row["words"], row["n_words"]), unpack(row["word"]).astype(np.int32))
+    return Block(row["doc_ids"], unpack(row["train"]).astype(bool), unpack(row["lengths"]).astype(np.int64), *unpack_words(row["words"], row["word"]))
 
 
 def requests(texts: DataFrame, shards: int) -> DataFrame:
@@ -233,7 +279,7 @@ def requests(texts: DataFrame, shards: int) -> DataFrame:
                     if a[s] == a[s + 1] and c[s] == c[s + 1]:
                         continue
                     fan = np.diff(first[c[s] : c[s + 1] + 1])
-                    yield one_row(REQUEST, [row["block"], s, a[s + 1] - a[s], c[s + 1] - c[s], pack_keys(b.words[w]), pack_keys(pairs[p]), pack(fan), arcs[x].astype("<u4").tobytes(), pack(np.append(in_words[w], in_arcs[x]))])
+                    yield one_row(REQUEST, [row["block"], s, a[s + 1] - a[s], c[s + 1] - c[s], pack_keys(b.words[w]), pack_keys(pairs[p], 8), pack(fan), arcs[x].astype("<u4").tobytes(), pack(np.append(in_words[w], in_arcs[x]))])
 
     return texts.mapInArrow(run, ddl(REQUEST))
 
@@ -264,7 +310,7 @@ def answered(own: list[dict]) -> Iterator[pa.RecordBatch]:
     tokens, types = int(total.sum()), int((total > 0).sum())
     of_words = np.split(total[place], np.cumsum(n_words)[:-1])
 
-    pairs, pair = np.unique(np.concatenate([unpack_keys(r["pairs"], r["n_pairs"]) for r in own]), return_inverse=True)
+    pairs, pair = np.unique(np.concatenate([unpack_keys(r["pairs"], r["n_pairs"], 8) for r in own]), return_inverse=True)
     fans = np.concatenate([unpack(r["fan"]) for r in own]).astype(np.int64)
     n_arcs = np.array([len(r["next"]) // 4 for r in own])
     key = np.repeat(pair.astype(np.uint64), fans) << np.uint64(32) | np.concatenate([np.frombuffer(r["next"], "<u4") for r in own]).astype(np.uint64)

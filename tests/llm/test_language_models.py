@@ -86,6 +86,10 @@ def test_many_blocks_and_shards(monkeypatch):
     assert (lm_scoring.unpack_keys(lm_scoring.pack_keys(part), len(part)) == part).all()
     assert lm_scoring.unpack_keys(lm_scoring.pack_keys(keys[:0]), 0).tolist() == []
     assert lm_scoring.unpack_keys(lm_scoring.pack_keys(keys[:1]), 1).tolist() == keys[:1].tolist()
+    for shape in (0, 1, 5000):
+        words, word = lm_scoring.numbered(keys[rng.integers(0, len(keys), shape) ** 2 // len(keys)])
+        again = lm_scoring.unpack_words(*lm_scoring.pack_words(words, word))
+        assert again[0].tolist() == words.tolist() and again[1].tolist() == word.tolist()
     for values in ([], [0], [1, 2**40, 0], [255, 256]):
         assert lm_scoring.unpack(lm_scoring.pack(np.array(values, np.uint64))).tolist() == values
 
