@@ -45,7 +45,7 @@ from .token_output import chunks
 #: Weight M of the single-word model in words.
 PRIOR = 200.0
 #: Bytes of text in a block, and Parquet bytes of input for each shard.
-BLOCK_BYTES, SHARD_BYTES = 16 << 20, 5 << 20
+BLOCK_BYTES, SHARD_BYTES = 10 << 20, 5 << 20
 END = np.uint64(xxhash.xxh64_intdigest(b"\x00end"))
 BEGIN = np.uint64(xxhash.xxh64_intdigest(b"\x00begin"))
 #: What follows an end, so that each pair, the last one too, is followed by something.
