@@ -60,9 +60,12 @@ def broadcast_if_small(df: DataFrame, most: int = 64 << 20) -> DataFrame:
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """``df`` dealt over the cluster's cores if its files are read in fewer pieces than a quarter of those, as one large row group is."""
+    """``df`` dealt over the cores if it is a small table of few files, which few tasks would read (one row group is one task's)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+    if plan_bytes(df) >= cores * (32 << 20):
+        return df
+    files = len(df.inputFiles())
+    return df.repartition(cores) if 0 < files * 4 <= cores else df
 
 
 @atexit.register
