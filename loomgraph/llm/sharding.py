@@ -53,8 +53,10 @@ def write_shards(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
 
     Files lie in folders shard=K. Null texts are written as null and count no bytes. A null doc_id
     is a key of its own. Rows that repeat a doc_id are in one shard (the doc_id decides), each with
-    a slot of its own; the bucket also depends on the other columns and the scanned partition, so
-    rows of one id are spread over the shard's buckets. An empty table gives an empty result.
+    a slot of its own; the bucket depends on all columns, so rows of one id are spread over the
+    shard's buckets. Only rows alike in every column, the doc_id included, share a bucket: nothing
+    tells them apart, and a place that didn't depend on the rows alone would change with the scan.
+    An empty table gives an empty result.
     Columns of ``docs`` pass through; those named like the operator's own are named _own_... .
     """
     docs = docs.withColumnsRenamed({k: v for k, v in OWN.items() if k in docs.columns})
@@ -62,8 +64,7 @@ def write_shards(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
     key = F.xxhash64(F.lit(seed), "doc_id")
     scattered = docs.withColumn("_tie", F.xxhash64(*docs.columns))
     scattered = scattered.withColumn("shard", jump_shard(key, shards).cast("int"))
-    # Rows alike in all columns are told apart by nothing, so any of them may go anywhere: the scanned partition deals them.
-    scattered = scattered.withColumn("_bucket", (F.col("shard") * each + F.pmod(F.xxhash64(F.lit(seed + 1), "_tie", F.spark_partition_id()), F.lit(each))).cast("int"))
+    scattered = scattered.withColumn("_bucket", (F.col("shard") * each + F.pmod(F.xxhash64(F.lit(seed + 1), "_tie"), F.lit(each))).cast("int"))
 
     def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [b for b in batches if b.num_rows]

@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from .elias_fano import TokenFile, dump_tokens
 #: Parquet bytes of input to a token file.
 FILE_BYTES = 8 << 20
 #: Bytes of text that are split at once, and distinct units whose ids a Python worker keeps.
-CHUNK, KEPT = 2 << 20, 800_000
+CHUNK, KEPT = 4 << 20, 700_000
 
 
 class WordEncoder:
@@ -108,10 +109,10 @@ class WordEncoder:
             got.append(ids)
             sizes.append(np.diff(np.append(0, ends[last - 1])))
             order += some
-        for i in other:
-            ids = self._ids(units[i])
-            got.append(np.array(ids, np.uint32))
-            sizes.append(np.array([len(ids)]))
+        if other:  # each is encoded by itself; the library takes them many at a time
+            each = [e.ids for e in self.tokenizer.encode_batch_fast([units[i] for i in other], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+            got.append(np.fromiter(chain.from_iterable(each), np.uint32, int(sizes[-1].sum())))
         order += other
         rows = np.empty(len(units), np.int64)
         rows[order] = len(self.starts) - 1 + np.arange(len(order))
@@ -174,9 +175,12 @@ class TokenFiles:
             for b in batches:
                 for path, data in zip(b["path"], b["content"], strict=True):
                     f = TokenFile(data)
-                    bounds = f.bounds.all()
+                    places = np.arange(f.documents)
+                    bounds = f.bounds.select_many(np.append(places, f.documents))
+                    known = pd.array(np.append(np.zeros(f.missing, np.int64), f.first + f.doc_ids.select_many(places[f.missing :] - f.missing)), "Int64")
+                    known[: f.missing] = pd.NA
                     crc = [zlib.crc32(f.ids[i:j].astype("<u4").tobytes()) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-                    yield pd.DataFrame({"doc_id": f.first + f.doc_ids.all(), "start": bounds[:-1] + given.value[path.rsplit("/", 1)[1]], "n_tokens": np.diff(bounds), "ids_crc32": np.array(crc, np.int64)})
+                    yield pd.DataFrame({"doc_id": known, "start": bounds[:-1] + given.value[path.rsplit("/", 1)[1]], "n_tokens": np.diff(bounds), "ids_crc32": np.array(crc, np.int64)})
 
         out = "doc_id long, start long, n_tokens long, ids_crc32 long"
         if not len(sizes):
@@ -189,21 +193,21 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | N
     """Encode every whole text and write token files in ascending doc_id order.
 
     Each document's ids end with ``end_id``; null and empty texts have that id alone. Rows of a
-    null doc_id have no place in the order and raise. Rows that repeat a doc_id follow each other,
-    ordered by their text. An empty table gives no files. Other columns are ignored. Each file is
+    null doc_id come first. Rows that repeat a doc_id, or have none, follow each other ordered by a
+    hash of their text, which spreads them over files. An empty table gives no files. Other columns are ignored. Each file is
     the documents of one range of doc_ids; a task that is run again writes the same file.
     """
     spark = docs.sparkSession
     path = path or fresh_dir(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    dealt = rows.repartitionByRange(pieces(rows, FILE_BYTES), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    dealt = rows.repartitionByRange(pieces(rows, FILE_BYTES), *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc_ids, lengths, ids = [], [], []
+        doc_ids, lengths, ids, missing = [], [], [], 0
         for b in batches:
-            if b.column("doc_id").null_count:
-                raise ValueError("a document has no doc_id")
-            doc_ids.append(b.column("doc_id").to_numpy())
+            missing += b.column("doc_id").null_count
+            doc_ids.append(b.column("doc_id").drop_null().to_numpy())
             for some in chunks(b.column("text")):
                 got, n = encoder(tokenizer).encode(some)
                 ids.append(np.insert(got, np.cumsum(n), end_id).astype(np.uint32))
@@ -212,7 +216,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | N
             d, n, t = np.concatenate(doc_ids), np.concatenate(lengths), np.concatenate(ids)
             del ids
             name = f"{TaskContext.get().partitionId():08d}.lgt"
-            put_file(path, name, dump_tokens(d, n, t))
-            yield pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(d)], "n_ids": [len(t)]})
+            put_file(path, name, dump_tokens(d, n, t, missing))
+            yield pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(n)], "n_ids": [len(t)]})
 
     return TokenFiles(path, mapped(dealt, write, "file string, n_docs long, n_ids long", "token-files"))

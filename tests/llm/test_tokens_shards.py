@@ -1,9 +1,11 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from loomgraph.llm import elias_fano, sharding, token_output
 from loomgraph.llm.queries import tokenizer_path
+from pyspark.sql import functions as F
 
 
 @pytest.mark.parametrize("values", [[], [0], [7], [0, 0, 0, 5, 5, 900], list(range(0, 3000, 3)), [2**40, 2**40 + 1, 2**41]])
@@ -11,6 +13,8 @@ def test_elias_fano(values):
     e = elias_fano.EliasFano.load(elias_fano.EliasFano.of(np.array(values, np.int64)).dump())
     assert e.all().tolist() == values
     assert [e.select(i) for i in range(len(values))] == values
+    some = np.arange(len(values))[::-1]
+    assert e.select_many(some).tolist() == values[::-1]
 
 
 def test_token_file_round_trip():
@@ -31,16 +35,18 @@ def test_tokens_against_the_library(spark, with_ids, odd_docs, none):
 
     t = Tokenizer.from_file(tokenizer_path())
     got = {}
-    for r in token_output.write_tokens(with_ids, tokenizer_path()).digest().collect():
+    rows = odd_docs.unionByName(odd_docs.filter("doc_id = 8").withColumn("doc_id", F.lit(None).cast("long")))
+    for r in token_output.write_tokens(rows, tokenizer_path()).digest().collect():
         got.setdefault(r["doc_id"], []).append((r["start"], r["n_tokens"], r["ids_crc32"]))
-    at = 0
+    assert sorted(map(len, got.values())) == sorted(Counter(r["doc_id"] for r in rows.collect()).values())
+    without = [r for r in rows.collect() if r["doc_id"] is None]
+    at = sum(len(t.encode(r["text"], add_special_tokens=False).ids) + 1 for r in without)
+    assert sorted(n for _, n, _ in got[None]) == sorted(len(t.encode(r["text"], add_special_tokens=False).ids) + 1 for r in without)
     for r in sorted(with_ids.collect(), key=lambda r: r["doc_id"]):
         ids = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 1]
         assert (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) in got[r["doc_id"]]
         at += len(ids)
     assert token_output.write_tokens(none, tokenizer_path()).digest().count() == 0
-    with pytest.raises(Exception, match="no doc_id"):
-        token_output.write_tokens(odd_docs, tokenizer_path())
 
 
 def test_word_cache_is_emptied(monkeypatch):
@@ -74,6 +80,24 @@ def test_shards(spark, odd_docs, none):
 
 
 def test_shards_pass_columns_through(odd_docs):
-    written = sharding.write_shards(odd_docs, shards=3)
-    assert set(written.columns) == {*odd_docs.columns, "shard", "_bucket", "_bucket_slot"}
-    assert written.select("doc_id", "text", "digest").exceptAll(odd_docs.select("doc_id", "text", "digest")).count() == 0
+    docs = odd_docs.selectExpr("*", "'mine' as _bucket", "'tie' as _tie", "'n' as _n")
+    got = sharding.sharded(docs, shards=3)
+    assert set(got.columns) == {*docs.columns, "_own_shard", "_own_slot"}
+    back = got.drop("shard", "slot").withColumnsRenamed({"_own_shard": "shard", "_own_slot": "slot"})
+    assert back.select(*docs.columns).exceptAll(docs).count() == 0 and back.count() == docs.count()
+
+
+def test_sharding_query_by_brute_force(spark):
+    """Sizes, checksums and shards of the whole query from the definition: the last n whose hash takes the key."""
+    docs = spark.createDataFrame([(i, "é" * (i % 7) if i % 11 else None) for i in range(400)], "doc_id long, text string")
+    takes = docs.select("doc_id", *[F.expr(f"pmod(xxhash64(xxhash64(0, doc_id), {n}), {1 << 40})").alias(str(n)) for n in range(1, 41)]).collect()
+    of = {r["doc_id"]: [n for n in range(1, 41) if r[str(n)] * (n + 1) < 1 << 40] for r in takes}
+    rows = sharding.shard_digest(docs, shards=40).collect()
+    for r in rows:
+        text = ("é" * (r["doc_id"] % 7) if r["doc_id"] % 11 else "").encode()
+        shard = max([n for n in of[r["doc_id"]] if n < 40], default=0)
+        assert (r["size"], r["text_crc32"], r["law"], r["shard"]) == (len(text) + 16, zlib.crc32(text), "key", shard)
+        assert r["grown_shard"] == max(of[r["doc_id"]], default=0)
+    for k in range(40):
+        slots = sorted(r["slot"] for r in rows if r["shard"] == k)
+        assert slots == list(range(len(slots)))
