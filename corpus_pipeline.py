@@ -1,4 +1,13 @@
-"""From the documents table to training shards, in five stages of the training-data operators."""
+"""From the documents table to training shards, in five stages of the training-data operators.
+
+Null, empty and blank texts leave with the classifier, as they have no words. Very long texts pass
+whole. A null lang or source is a value of its own. Rows that repeat a doc_id are judged by their
+texts one by one; the near-dedup stage drops all rows of a doc_id whose text has a copy of a smaller
+id; rows of a null doc_id pass it and the decontamination. Ties go by the smallest doc_id. An empty
+table gives an empty result. Further columns pass through with their values, whatever their names;
+only ``shard`` and ``slot`` come out as ``_own_shard`` and ``_own_slot``, as the last stage adds
+columns of these names.
+"""
 
 from __future__ import annotations
 
@@ -16,11 +25,12 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest doc_id.
 
-    Texts with 0.8 and more of their five-word shingles in common mostly differ in more than 3 bits,
-    so the stage links up to 7 of 64, confirmed by 16 of 128; that holds all links at 3 bits whose
-    texts are alike.
+    Texts with 0.8 and more of their five-word shingles in common mostly differ in more than 3 bits
+    of 64. The stage takes fingerprints of three-word shingles, which near copies share more of, and
+    a second one of mixed hashes: texts link if either differs in 8 bits or fewer and both together
+    in 18 of 128. The README has what share of pairs that links, by their similarity.
     """
-    return simhash.keep_one_of_each(docs, limit=7, total=16)
+    return simhash.keep_one_of_each(docs, limit=8, total=18)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,29 +208,31 @@ SEARCH_BYTES = 8 << 20
 def links(nodes: DataFrame, limit: int = 3, split: int = 20_000, total: int | None = None) -> DataFrame:
     """(a, b) of reps that connect all (fp, fp2, rep) of ``nodes`` within ``limit`` differing bits of fp, and ``total`` of both or SURE of fp.
 
-    Groups over ``split`` fingerprints are dealt again by their free bits, cut into limit + 1 runs
-    of which two close fingerprints agree on one. This ends when no bit is free: then the group has
-    one fp, and all its reps link to the smallest.
+    Nodes of one fp link to the one of the smallest rep, whose fp2 then stands for them all, so the
+    search sees each fp once. Groups over ``split`` fingerprints are dealt again by their free bits,
+    cut into limit + 1 runs of which two close fingerprints agree on one, until they are smaller; at
+    the latest when no bit is free, as a group then has one fp.
     """
-    total, found = limit if total is None else total, []
-    groups = cut(to_groups(nodes, first_masks(limit)), "groups")
+    total = limit if total is None else total
+    heads = cut(nodes.groupBy("fp").agg(F.min_by("fp2", "rep").alias("fp2"), F.min("rep").alias("rep")), "heads")
+    same = nodes.select("fp", F.col("rep").alias("a")).join(heads.select("fp", F.col("rep").alias("b")), "fp").filter("a <> b").select("a", "b")
+    found = [same]
+    groups = cut(to_groups(heads, first_masks(limit)), "groups")
     while True:
-        sizes = groups.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least"))
-        large = cut(sizes.filter(F.col("n") > split).select("mask", "bits", "least"), "large")
+        sizes = groups.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n"))
+        large = cut(sizes.filter(F.col("n") > split).select("mask", "bits"), "large")
         masks = [r["mask"] for r in large.select("mask").distinct().collect()]  # as many as bits are cut in ways
         fit = groups.join(large, ["mask", "bits"], "left_anti") if masks else groups
         found.append(searched(fit, limit, total, pieces(groups, SEARCH_BYTES)))
         if not masks:
             break
-        rest = groups.join(large, ["mask", "bits"])
-        found.append(rest.filter("mask = -1 and rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
-        finer = F.lit(None).cast("array<long>")
+        rest = groups.join(large, ["mask", "bits"], "left_semi")
+        finer = F.array().cast("array<bigint>")
         for m in masks:
             free = ~(m & ((1 << 64) - 1)) & ((1 << 64) - 1)
-            if free:
-                own = [signed((m & ((1 << 64) - 1)) | run) for run in cut_bits(free, limit + 1) if run]
-                finer = F.when(F.col("mask") == m, F.array(*[F.lit(x).cast("long") for x in own])).otherwise(finer)
-        groups = rest.drop("least").withColumn("mask", F.explode(finer)).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask"))).distinct()
+            own = [signed((m & ((1 << 64) - 1)) | run) for run in cut_bits(free, limit + 1) if run]
+            finer = F.when(F.col("mask") == m, F.array(*[F.lit(x).cast("long") for x in own])).otherwise(finer)
+        groups = rest.withColumn("mask", F.explode(finer)).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask"))).distinct()
         groups = cut(groups, "groups")
     out = found[0]
     for more in found[1:]:
@@ -271,6 +273,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, limit: int = 3, total: int | No
     unlike texts of a large corpus would meet by chance and alike ones still miss each other,
     ``total`` takes a second fingerprint of mixed hashes: two rows link if either differs in
     ``limit`` bits or fewer and both together in no more than ``total`` (or either in 3 or fewer).
+    Texts that agree in one fingerprint are taken by the other of one of them.
 
     Null, empty and blank texts have fingerprint 0 and link like any other; texts with fewer than
     ``n`` words are one shingle. Rows that repeat a doc_id or a text are rows of their own. Rows of

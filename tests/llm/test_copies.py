@@ -119,10 +119,11 @@ def test_wide_links(spark):
     prints = list(dict.fromkeys(prints))
     nodes = spark.createDataFrame([(simhash.signed(a), simhash.signed(b), i) for i, (a, b) in enumerate(prints)], "fp long, fp2 long, rep long")
     near = lambda x, y: (d := (x[0] ^ y[0]).bit_count()) <= 3 or d <= 7 and d + (x[1] ^ y[1]).bit_count() <= 16
+    heads = [next(j for j, p in enumerate(prints) if p[0] == x[0]) for x in prints]  # the smallest rep of each fp stands for it
     parent = list(range(len(prints)))
     for i in range(len(prints)):
         for j in range(i):
-            if near(prints[i], prints[j]):
+            if near(prints[heads[i]], prints[heads[j]]):
                 a, b = parent[i], parent[j]
                 parent = [min(a, b) if p in (a, b) else p for p in parent]
     for split in (20_000, 15):
@@ -130,10 +131,73 @@ def test_wide_links(spark):
         assert [got.get(i, i) for i in range(len(prints))] == parent
 
 
+def test_either_fingerprint_links(spark):
+    """Near in the first or in the second fingerprint, and not too far in both: as all pairs say."""
+    rng = random.Random(3)
+    base = " ".join(f"word{rng.randrange(400)}" for _ in range(300)).split()
+    rows = []
+    for i in range(60):
+        words = list(base) if i % 3 else [f"other{rng.randrange(400)}" for _ in range(300)]
+        for k in rng.sample(range(300), rng.randrange(0, 40)):
+            words[k] = f"new{i}x{k}"
+        rows.append((str(1000 - i), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    prints = [simhash.fingerprint(t, 3, True) for _, t in rows]
+
+    def near(x, y):
+        a, b = ((p ^ q).bit_count() for p, q in zip(x, y))
+        return min(a, b) <= 3 or min(a, b) <= 8 and a + b <= 18
+
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if near(prints[i], prints[j]):
+                x, y = group[i], group[j]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    want = {rows[i][0]: min(rows[j][0] for j in range(len(rows)) if group[j] == group[i]) for i in range(len(rows))}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, limit=8, total=18).collect()}
+    assert got == want and 20 < len(set(want.values())) < 60
+
+
+def test_query_by_brute_force(spark, tmp_path):
+    """op9 end to end on a table: fingerprints from the definition, components from all pairs."""
+    from loomgraph.llm.queries import op9_simhash
+
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randrange(90)}" for _ in range(rng.randrange(1, 400))) for _ in range(40)]
+    texts = base + [t.replace("w1 ", "zz ", 1) for t in base] + [t.upper() for t in base] + [None, "", " \t", "a b"]
+    rows = [(1000 + 7 * i, t) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    prints = {i: brute_fingerprint(t) for i, t in rows}
+    ids = sorted(prints)
+    group = {i: i for i in ids}
+    for i in ids:
+        for j in ids:
+            if i < j and (prints[i] ^ prints[j]).bit_count() <= 3 and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in op9_simhash(spark, str(tmp_path)).collect()}
+    assert got == {i: (f"{prints[i]:016x}", group[i]) for i in ids}
+
+
+def test_one_fingerprint_in_more_nodes_than_a_group_takes(spark):
+    nodes = spark.createDataFrame([(5, i * 7919, i) for i in range(40)] + [(-1, 3, 99)], "fp long, fp2 long, rep long")
+    got = {r["node"]: r["component"] for r in components.connected_components(simhash.links(nodes, 3, 10, 18)).collect()}
+    assert got == dict.fromkeys(range(40), 0)
+
+
 def test_near_copies_of_real_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 1500").select("doc_id", "text")
     edited = docs.selectExpr("doc_id + 100000 as doc_id", "concat(substr(text, 1, 400), 'changed ', substr(text, 420, 500), ' other ', substr(text, 930)) as text")
     both = docs.unionByName(edited)
     n = docs.count()
-    left = simhash.keep_one_of_each(both, limit=7, total=16)
-    assert left.filter("doc_id >= 100000").count() < 0.15 * n
+    left = simhash.keep_one_of_each(both, limit=8, total=18)
+    assert left.filter("doc_id >= 100000").count() < 0.05 * n
+
+
+def test_frequent_digests_are_found(spark):
+    """Each digest over n / tracked rows is a candidate, also with many of them just over it."""
+    rows = spark.range(200_000).selectExpr("cast(if(id % 2 = 0, id % 100, 1000 + id) as string) as digest")
+    found = {r["digest"] for r in exact_dedup.heavy_candidates(rows.repartition(9), 256).collect()}
+    assert {str(2 * k) for k in range(50)} <= found and len(found) <= 512

@@ -118,6 +118,37 @@ def test_language_accuracy(spark):
     assert n > 150 and right > 0.97
 
 
+def test_a_doc_id_of_many_rows_and_texts_without_letters(spark):
+    rows = [(7, "the cat and the dog", "en")] * 1000 + [(8, "le chat et le chien", "fr"), (9, "\u00bd \u00b2", "en"), (10, "\u2460", "fr"), (11, "\u00e9", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.language_report(docs).collect()
+    assert len(got) == len(rows) and {r["lang_pred"] for r in got if r["doc_id"] in (9, 10)} == {"und"}
+    assert all(r["lang_pred"] in ("en", "fr") for r in got if r["doc_id"] in (7, 8, 11))
+    text_ids = language_id.language_report(docs.withColumn("doc_id", docs.doc_id.cast("string")))
+    assert text_ids.count() == len(rows) and text_ids.schema["doc_id"].dataType.simpleString() == "string"
+
+
+def test_predictions_by_brute_force():
+    """Family first, then the language: votes of all machines, by the definition."""
+    rng = np.random.default_rng(0)
+    texts = {"en": "the and of to in", "de": "der und von zu im", "fr": "le et de la dans", "es": "el y de la en", "zz": "qa xo qi xu"}
+    langs = [x for x in texts for _ in range(30)]
+    x = np.stack([language_id.features(" ".join(rng.choice(texts[g].split(), 8))) for g in langs])
+    model = language_id.LanguageModel(x, langs)
+    new = [" ".join(rng.choice(texts[g].split(), 5)) for g in texts for _ in range(6)]
+    for text, (lang, score) in zip(new, model.predict(new), strict=True):
+        f = language_id.features(text)
+        of = {pair: float(f @ model.weights[:, i]) for i, pair in enumerate(model.pairs)}
+
+        def winner(name, classes):
+            beats = {c: [m if a == c else -m for (g, a, b), m in of.items() if g == name and c in (a, b)] for c in classes}
+            return max(classes, key=lambda c: (sum(m > 0 for m in beats[c]), sum(beats[c])))
+
+        first = winner("", model.families) if len(model.families) > 1 else model.families[0]
+        own = [g for g in model.langs if language_id.family(g) == first]
+        assert lang == (winner(first, own) if len(own) > 1 else own[0]) and 0 <= score <= 1
+
+
 def test_language_odd_cases(odd_docs, none):
     got = {r["doc_id"]: r for r in language_id.language_report(odd_docs.withColumnRenamed("x", "y")).collect()}
     assert len(got) == odd_docs.select("doc_id").distinct().count()

@@ -26,15 +26,16 @@ def test_counts_are_poisson(spark):
 
 
 def brute_leaks(docs, items):
-    def runs(text):
+    def runs(text, n=5):
         w = (text or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
     out = set()
     for i in items:
-        own = runs(i["text"])
+        n = min(5, len((i["text"] or "").split()))
+        own = runs(i["text"], n) if n else set()
         for d in docs:
-            shared = len(own & runs(d["text"]))
+            shared = len(own & runs(d["text"], n)) if n else 0
             if own and shared >= math.ceil(0.8 * len(own) - 1e-9) and d["doc_id"] is not None and i["item_id"] is not None:
                 out.add((d["doc_id"], i["item_id"], shared))
     return out
@@ -47,9 +48,9 @@ def test_leaks(spark, odd_docs, none):
     docs = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(odd_docs.select("doc_id", "text"))
     items = spark.createDataFrame([(0, " ".join(words[:30])), (1, " ".join(words)), (2, "W1  w2"), (3, None), (4, ""), (5, "alpha beta gamma delta epsilon zeta"), (None, "one"), (7, "one"), (7, "one")], "item_id long, text string")
     want = brute_leaks(docs.collect(), items.collect())
-    for bound in (10**6, 0):
-        got = {(r["doc_id"], r["item_id"], r["shared"]) for r in decontamination.leaks(docs, items, broadcast_rows=bound).collect()}
+    for bound in (64 << 20, 0):
+        got = {(r["doc_id"], r["item_id"], r["shared"]) for r in decontamination.leaks(docs, items, broadcast_bytes=bound).collect()}
         assert got == want and len(want) >= 8
     assert decontamination.leaks(none, items).count() == 0 and decontamination.leaks(docs, items.limit(0)).count() == 0
     left = decontamination.decontaminate(odd_docs, items)
-    assert {r["doc_id"] for r in left.collect()} == {4, 5, 6, 8, 9, None} and left.columns == [c for c in odd_docs.columns]
+    assert {r["doc_id"] for r in left.collect()} == {4, 5, 6, 8, 9, None} and (104, 2, 1) in want and (105, 2, 1) in want and left.columns == [c for c in odd_docs.columns]

@@ -41,5 +41,7 @@ def test_stages_take_odd_documents(spark, odd_docs, none):
             out = stage(spark, d, SF)
             assert set(d.columns) <= set(out.columns), name
             assert out.count() <= 3 * d.count() + 5, name
+            back = out.drop("shard", "slot").withColumnsRenamed({"_own_shard": "shard", "_own_slot": "slot"}) if name == "sharding" else out
+            assert back.select(*d.columns).distinct().exceptAll(d.distinct()).count() == 0, name  # no value is lost or changed
     near = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
     assert near == {1, 4, 7, 8, 9, None}
