@@ -39,10 +39,10 @@ def joined(run: Column) -> Column:
     return F.array_join(run, " ")
 
 
-def lengths(n: int, short: list[int], make, tokens: Column) -> Column:
-    """Shingles of n words, and runs of each of the ``short`` lengths, each as (k, shingle); a text under n words has no shingle of n."""
-    runs = lambda k: F.when(F.size(tokens) >= k, F.transform(F.sequence(F.lit(1), F.size(tokens) - (k - 1)), lambda i: F.struct(F.lit(k).alias("k"), make(F.slice(tokens, i, k)).alias("shingle")))).otherwise(F.array())
-    every = [runs(k) for k in (n, *short)]
+def runs(n: int, short: list[int], make, tokens: Column) -> Column:
+    """``make`` of each run of n words, and of each of the ``short`` lengths; a text under n words has no run of n."""
+    of = lambda k: F.when(F.size(tokens) >= k, F.transform(F.sequence(F.lit(1), F.size(tokens) - (k - 1)), lambda i: make(F.slice(tokens, i, k)))).otherwise(F.array())
+    every = [of(k) for k in (n, *short)]
     return every[0] if len(every) == 1 else F.concat(*every)
 
 
@@ -55,7 +55,7 @@ def item_shingles(items: DataFrame, n: int) -> DataFrame:
 
 
 def sketches(sized: DataFrame, threshold: float) -> DataFrame:
-    """(hash, k, item_id): of each item the smallest hashes, as many as its size partition asks for.
+    """(hash, item_id): of each item the smallest hashes, as many as its size partition asks for.
 
     A partition is a power of two: its items have at most ``upper`` shingles, of which a leak may
     lack ``upper`` * (1 - threshold); one hash more is sought, so a leak holds at least one of them.
@@ -63,7 +63,7 @@ def sketches(sized: DataFrame, threshold: float) -> DataFrame:
     upper = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("size").cast("double"))))
     depth = F.floor(upper * (1 - threshold) + 1e-9) + 1
     smallest = Window.partitionBy("item_id").orderBy(F.xxhash64(F.lit("minhash"), "hash"), "hash")
-    return sized.withColumn("r", F.row_number().over(smallest)).filter(F.col("r") <= depth).select("hash", "k", "item_id")
+    return sized.withColumn("r", F.row_number().over(smallest)).filter(F.col("r") <= depth).select("hash", "item_id")
 
 
 def leaks(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, broadcast_bytes: int = 64 << 20) -> DataFrame:
@@ -80,13 +80,13 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8,
     short = sorted(r["k"] for r in sized.filter(F.col("k") < n).select("k").distinct().collect())  # at most n - 1 rows
     sketch = if_small(sketches(sized, threshold), broadcast_bytes)
     base = dealt(docs.filter("doc_id is not null").select("doc_id", "text")).select("doc_id", words(text_or_empty()).alias("w"))
-    seen = base.select("doc_id", F.explode(lengths(n, short, hashed, F.col("w"))).alias("s")).select("doc_id", "s.k", F.col("s.shingle").alias("hash"))
-    candidates = cut(seen.join(sketch, ["hash", "k"]).select("doc_id", "item_id").distinct(), "candidates")
+    seen = base.select("doc_id", F.explode(runs(n, short, hashed, F.col("w"))).alias("hash"))  # of runs of any length: words hold no space
+    candidates = cut(seen.join(sketch, "hash").select("doc_id", "item_id").distinct(), "candidates")
     suspects = if_small(candidates.select("doc_id").distinct(), broadcast_bytes)
     texts = docs.select("doc_id", "text").join(suspects, "doc_id", "left_semi").select("doc_id", words(text_or_empty()).alias("w"))
-    held = texts.select("doc_id", F.explode(F.array_distinct(lengths(n, short, joined, F.col("w")))).alias("s")).select("doc_id", "s.k", "s.shingle")
-    of = broadcast_if_small(sized.select("k", "shingle", "item_id", "size"), broadcast_bytes)
-    shared = held.join(of, ["k", "shingle"]).groupBy("doc_id", "item_id", "size").agg(F.countDistinct("shingle").alias("shared"))
+    held = texts.select("doc_id", F.explode(F.array_distinct(runs(n, short, joined, F.col("w")))).alias("shingle"))
+    of = broadcast_if_small(sized.select("shingle", "item_id", "size"), broadcast_bytes)
+    shared = held.join(of, "shingle").groupBy("doc_id", "item_id", "size").agg(F.countDistinct("shingle").alias("shared"))
     found = shared.join(candidates, ["doc_id", "item_id"], "left_semi").filter(F.col("shared") >= F.ceil(F.col("size") * threshold - 1e-9))
     return found.select("doc_id", "item_id", "shared", F.col("size").alias("item_shingles"), (F.col("shared") / F.col("size")).alias("containment"))
 
