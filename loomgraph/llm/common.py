@@ -60,12 +60,12 @@ def hashed_sample(rows: DataFrame, key: str, seed: str, most: int) -> DataFrame:
     return few.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)
 
 
-def sampled(rows: DataFrame, key: str, seed: str, most_each: int, most: int) -> DataFrame:
+def sampled(rows: DataFrame, key: str, seed: str, most_each: int, most: int, among: DataFrame | None = None) -> DataFrame:
     """``rows`` (doc_id, ``key``, text, ...) of at most ``most_each`` documents of each value of ``key`` and ``most`` in all, and r.
 
-    Of rows that repeat a doc_id and key one is taken: that of the smallest hash of its text.
+    With ``among`` (doc_id, ``key``) they are chosen from those, and no text moves but the chosen ones'. Of rows that repeat a doc_id and key one is taken: that of the smallest hash of its text.
     """
-    ids = hashed_sample(rows, key, seed, most_each).orderBy("r", key).limit(most)
+    ids = hashed_sample(rows if among is None else among, key, seed, most_each).orderBy("r", key).limit(most)
     ids = F.broadcast(cut(ids.coalesce(1), "sample-ids").withColumnsRenamed({"doc_id": "_id", key: "_key"}))  # at most `most` rows
     chosen = rows.join(ids, (F.col("doc_id") == F.col("_id")) & (F.col(key) == F.col("_key"))).drop("_id", "_key")
     others = [c for c in chosen.columns if c not in ("doc_id", key)]
