@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -52,6 +53,30 @@ def nothing(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(columns=["alias", "canonical", "confidence", "reason"])
 
 
+def align_prompt(batch: pd.DataFrame) -> str:
+    """What a model is asked about a batch of cards."""
+    lines = [f"- id: {c.id}; type: {c.type}; title: {c.title}; section: {c.section}; evidence: {c.evidence or 'none'}" for c in batch.itertuples()]
+    return "\n".join([
+        "These cards name mathematical concepts. Say which of them are one and the same concept, object or notation.",
+        "Leave a pair out in any doubt; being related or alike is not enough. Both ids must be of these cards.",
+        f"Give a confidence from 0 to 1; leave out what is under {CONFIDENCE}.",
+        *lines,
+        'Answer with JSON alone: {"decisions": [{"alias": "id", "canonical": "id", "confidence": 0.0, "reason": "short"}]}',
+    ])
+
+
+def prompted(ask: Callable[[str], str]) -> Aligner:
+    """An aligner that asks a model (from prompt to JSON text); decisions of another shape are left out."""
+
+    def aligner(batch: pd.DataFrame) -> pd.DataFrame:
+        found = json.loads(ask(align_prompt(batch)))
+        decisions = found.get("decisions") if isinstance(found, dict) else None
+        rows = [d for d in decisions or [] if isinstance(d, dict) and isinstance(d.get("alias"), str) and isinstance(d.get("canonical"), str) and isinstance(d.get("confidence"), int | float)]
+        return pd.DataFrame([(d["alias"], d["canonical"], float(d["confidence"]), str(d.get("reason") or "")) for d in rows], columns=["alias", "canonical", "confidence", "reason"])
+
+    return aligner
+
+
 def align(nodes: DataFrame, aligner: Aligner = nothing, batch: int = BATCH) -> DataFrame:
     """(alias, canonical) by labels and by the aligner, which gets a batch of cards as a pandas frame."""
     asked = cards(nodes, batch)

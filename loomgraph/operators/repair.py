@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,6 +20,30 @@ def as_it_is(content: str) -> str:
     return content
 
 
+def repair_prompt(content: str) -> str:
+    """What a model is asked about a formula that the renderer refuses."""
+    return "\n".join([
+        "Rewrite this LaTeX so that MathJax 3 renders it, with the same meaning and as few changes as can be.",
+        "Close delimiters, replace commands that it lacks, put displays into mathematics; add nothing of your own.",
+        'Answer with JSON alone: {"content": "..."}',
+        "LaTeX:",
+        content,
+    ])
+
+
+def prompted(ask: Callable[[str], str]) -> Repairer:
+    """A repairer that asks a model (from prompt to JSON text) and takes the answer's ``content``."""
+
+    def repairer(content: str) -> str:
+        found = json.loads(ask(repair_prompt(content)))
+        fixed = found.get("content") if isinstance(found, dict) else None
+        if not isinstance(fixed, str) or not fixed:
+            raise ValueError("the model gave no content")
+        return fixed
+
+    return repairer
+
+
 def repairs(nodes: DataFrame, repairer: Repairer = as_it_is) -> DataFrame:
     """(id, content, error) of each node that has content: the repaired one, or why there is none."""
 

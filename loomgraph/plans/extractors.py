@@ -103,17 +103,41 @@ def answer_text(protocol: str, body: dict) -> str:
     raise ValueError(f"unknown protocol {protocol}")
 
 
-def request_body(protocol: str, config, prompt: str) -> dict:
-    """The body to post to a service of one of the three protocols."""
+def safe_text(read: Callable[[], str]) -> str:
+    """What ``read`` gives of an answer's body; nothing if it can't be read."""
+    try:
+        return read()
+    except Exception:
+        return ""
+
+
+def requests_of(protocol: str, config, prompt: str) -> list[tuple[str, dict]]:
+    """(path, body) of what to post to a service of one of the three protocols; where there are two, the second if the first fails."""
     if protocol == "openai":
-        return {"model": config.model, "messages": [{"role": "user", "content": prompt}], "temperature": config.temperature, "top_p": config.top_p, "max_tokens": config.max_tokens, "response_format": {"type": "json_object"}}
+        common = {"model": config.model, "temperature": config.temperature, "top_p": config.top_p, "response_format": {"type": "json_object"}}
+        chat = {**common, "messages": [{"role": "user", "content": prompt}], "max_tokens": config.max_tokens}
+        return [("responses", {**common, "input": prompt, "max_output_tokens": config.max_tokens}), ("chat/completions", chat)]
     if protocol == "anthropic":
-        return {"model": config.model, "max_tokens": config.max_tokens, "temperature": config.temperature, "top_p": config.top_p, "messages": [{"role": "user", "content": prompt}]}
+        return [("messages", {"model": config.model, "max_tokens": config.max_tokens, "temperature": config.temperature, "top_p": config.top_p, "messages": [{"role": "user", "content": prompt}]})]
     if protocol == "gemini":
-        return {"contents": [{"role": "user", "parts": [{"text": prompt}]}], "generationConfig": {"temperature": config.temperature, "topP": config.top_p, "maxOutputTokens": config.max_tokens, "responseMimeType": "application/json"}}
+        return [("generateContent", {"contents": [{"role": "user", "parts": [{"text": prompt}]}], "generationConfig": {"temperature": config.temperature, "topP": config.top_p, "maxOutputTokens": config.max_tokens, "responseMimeType": "application/json"}})]
     raise ValueError(f"unknown protocol {protocol}")
 
 
-def service(config, post: Callable[[dict], str]) -> Extractor:
-    """An extractor over ``post``, which sends a body to the service and returns its answer's text."""
-    return lambda prompt: json.dumps(answer_json(answer_text(config.protocol, answer_json(post(request_body(config.protocol, config, prompt))))))
+def service(config, post: Callable[[str, dict], str]) -> Extractor:
+    """An extractor over ``post``, which sends a body to a path of the service and returns its answer's text.
+
+    Any failure of the first request, an answer that is no JSON included, leads to the second; the last one's failure is raised.
+    """
+
+    def ask(prompt: str) -> str:
+        tries = requests_of(config.protocol, config, prompt)
+        for i, (path, body) in enumerate(tries):
+            try:
+                return json.dumps(answer_json(answer_text(config.protocol, answer_json(post(path, body)))))
+            except Exception:
+                if i == len(tries) - 1:
+                    raise
+        raise ValueError("nothing to post")
+
+    return ask

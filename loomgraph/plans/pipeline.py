@@ -35,6 +35,7 @@ class Run:
     warnings: list[str] = field(default_factory=list)
     progress: list[tuple] = field(default_factory=list)
     status: str = "done"
+    error: str | None = None
 
     def message(self) -> str:
         """The first two warnings, and how many there are."""
@@ -89,8 +90,9 @@ def build_with_model(
 ) -> Run:
     """Two phases: concepts chunk by chunk, alignment and freezing of names, then the rest in waves.
 
-    A failure in phase 1 ends the run; in phase 2 it is a warning. ``cancelled`` is asked between
-    waves; what was committed stays. Snapshots are taken every 10 chunks of phase 2; a failure to
+    A failure in phase 1 or of the alignment ends the run with the status ``error`` and what was
+    committed; in phase 2 it is a warning. ``cancelled`` is asked between waves; what was committed
+    stays. Snapshots are taken every 10 chunks of phase 2; a failure to
     write one is ignored.
     """
     spark = chunks.sparkSession
@@ -102,15 +104,25 @@ def build_with_model(
         run.graph = Graph(stored(merged.nodes, "nodes"), stored(merged.edges, "edges"))
         run.progress.append((stage, done, *run.graph.counts().values()))
 
+    def failed(why: str) -> Run:
+        run.status, run.error = "error", why
+        return run
+
     first = Selection(tuple(t for t in selection.entities if t in CONCEPT_TYPES), tuple(r for r in selection.relations if r in CONCEPT_RELATIONS), selection.notes)
     for i, place in enumerate(places):
         if cancelled():
             run.status = "stopped"
             return run
-        made, said = extract_wave(chunks.filter(F.col("chunk_seq") == place), run.graph, extractor, first, 1, registry_text(run.graph.nodes), 1, strict=True)
+        try:
+            made, said = extract_wave(chunks.filter(F.col("chunk_seq") == place), run.graph, extractor, first, 1, registry_text(run.graph.nodes), 1, strict=True)
+        except Exception as e:
+            return failed(f"phase 1, chunk {i + 1}: {e}")
         run.warnings += said
         commit(made, "phase 1", i + 1)
-    aligned = stored(align(run.graph.nodes, aligner), "aligned")
+    try:
+        aligned = stored(align(run.graph.nodes, aligner), "aligned")
+    except Exception as e:
+        return failed(f"alignment: {e}")
     run.progress.append(("align", aligned.count(), *run.graph.counts().values()))
     frozen, alias = freeze(run.graph, aligned)
     run.graph = Graph(stored(frozen.nodes, "nodes"), stored(frozen.edges, "edges"))

@@ -20,7 +20,7 @@ from ..plans import extractors, pipeline
 from ..plans.snapshots import all_but_latest, newest
 from ..sources import graph_files as gf
 from ..sources import uploads
-from ..storage import fresh_folder, stored
+from ..storage import dealt, fresh_folder, stored
 from ..streaming.ingest import GraphTable, upsert_stream
 from .corpora import sql, star_graph
 
@@ -134,8 +134,9 @@ def view_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and orders as a graph of many stars, each order's key with its customer's."""
-    pairs = sql(spark, sf_dir, "SELECT 'c' || lpad(CAST(o_custkey AS VARCHAR(20)), 12, '0') AS a, 'o' || lpad(CAST(o_orderkey AS VARCHAR(20)), 12, '0') AS b FROM orders")
+    """Customers and orders as a graph of many stars, each order's key with its customer's, and parts as chains of 50."""
+    pairs = sql(spark, sf_dir, """SELECT 'c' || lpad(CAST(o_custkey AS VARCHAR(20)), 12, '0') AS a, 'o' || lpad(CAST(o_orderkey AS VARCHAR(20)), 12, '0') AS b FROM orders
+      UNION ALL SELECT 'p' || lpad(CAST(p_partkey AS VARCHAR(20)), 12, '0'), 'p' || lpad(CAST(p_partkey + CASE WHEN p_partkey % 50 = 49 THEN 0 ELSE 1 END AS VARCHAR(20)), 12, '0') FROM part""")
     return g.components(pairs).select("id", "component")
 
 
@@ -195,7 +196,8 @@ def complete_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recover_prefix_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = sql(spark, sf_dir, "SELECT doc_id, text FROM documents WHERE length(text) > 100")
+    """Where a text holds what stands between two pieces of it; empty and short texts give a row, too."""
+    docs = sql(spark, sf_dir, "SELECT doc_id, text FROM documents")
     content = F.concat(F.substring("text", 11, 20), F.lit("..."), F.substring("text", 61, 15))
     return docs.select("doc_id", no.between_ends(F.col("text"), content).alias("found"))
 
@@ -259,7 +261,7 @@ def align_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uri_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sql(spark, sf_dir, "SELECT doc_id, substr(text, 1, 200) AS t FROM documents")
+    rows = dealt(sql(spark, sf_dir, "SELECT doc_id, text AS t FROM documents"))
     return rows.select("doc_id", uri_component(F.col("t")).alias("encoded"), (uri_decode(uri_component(F.col("t"))) == F.col("t")).alias("same"), F.md5(xml_escape(F.col("t"))).alias("xml"), F.md5(display_math(F.col("t"))).alias("shown"))
 
 

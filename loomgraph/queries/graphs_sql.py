@@ -84,7 +84,7 @@ SELECT n.id, coalesce(p.title, n.title) AS title, CASE WHEN k % 2 = 0 THEN 'text
     "view_no_isolated": _view("''", False),
     "view_bare": _view("'Example', 'Exercise'", False),
     "view_elements": f"WITH {_G}, i AS (SELECT *, row_number() OVER (ORDER BY major) - 1 AS k FROM e) SELECT 'node' AS kind, id, type || ': ' || title AS label, type, title, coalesce(content, '') AS content, NULL AS source, NULL AS target, NULL AS evidence, chunk AS \"chunkId\" FROM n UNION ALL SELECT 'edge', source || '-' || type || '-' || target || '-' || k, type, type, NULL, NULL, source, target, coalesce(evidence, ''), NULL FROM i",
-    "components": "WITH p AS (SELECT 'c' || lpad(CAST(o_custkey AS VARCHAR), 12, '0') AS a, 'o' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS b FROM orders) SELECT DISTINCT a AS id, a AS component FROM p UNION ALL SELECT b, a FROM p",
+    "components": "WITH p AS (SELECT 'c' || lpad(CAST(o_custkey AS VARCHAR), 12, '0') AS a, 'o' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS b FROM orders) SELECT DISTINCT a AS id, a AS component FROM p UNION ALL SELECT b, a FROM p UNION ALL SELECT id, min(id) OVER (PARTITION BY g) FROM (SELECT k, 'p' || lpad(CAST(k AS VARCHAR), 12, '0') AS id, k // 50 AS g FROM (SELECT p_partkey AS k FROM part UNION SELECT p_partkey + 1 FROM part WHERE p_partkey % 50 <> 49))",
     "freeze_alias": f"WITH RECURSIVE {_PAIRS} SELECT id, canonical FROM alias",
     "freeze_nodes": f"""WITH RECURSIVE {_PAIRS}, r AS (SELECT coalesce(a.canonical, n.id) AS id, type, title, content, label, major FROM n LEFT JOIN alias a ON a.id = n.id)
 SELECT id, arg_max(type, major) AS type, arg_max(title, length(title) * 1000000000000 - major) AS title, arg_max(content, length(content) * 1000000000000 - major) FILTER (WHERE content IS NOT NULL) AS content, arg_max(label, major) FILTER (WHERE label IS NOT NULL) AS label, min(major) AS major FROM r GROUP BY id""",
@@ -95,7 +95,7 @@ SELECT id, arg_max(type, major) AS type, arg_max(title, length(title) * 10000000
     "quality_filter": f"WITH {_G}, f AS (SELECT *, {_MATH.replace('text', 'content')} AS math FROM n WHERE type = 'Formula') SELECT id, 'suspicious' AS reason FROM f WHERE (NOT math AND label IS NULL) OR (label IS NULL AND content = 'g_{{1}}(' || repeat('s', 150))".replace("{{1}}", "{1}"),
     "dangling_edges": f"WITH {_G} SELECT type, source, target FROM e WHERE source IN (SELECT id FROM n) AND target IN (SELECT id FROM n)",
     "complete_by_label": "SELECT s_suppkey AS k, chr(92) || 'label{q' || s_suppkey || '} a = ' || s_suppkey AS q, chr(92) || 'label{r' || s_suppkey || '} l' AS r, 'x ' || chr(92) || 'begin{align*}' || chr(92) || 'label{q' || s_suppkey || '} a = ' || s_suppkey || chr(92) || 'end{align*} y ' || chr(92) || 'begin{lemma}' || chr(92) || 'label{r' || s_suppkey || '} l ' || chr(92) || 'end{lemma} ' || chr(92) || 'label{z} tail' AS z, NULL::VARCHAR AS missing FROM supplier",
-    "recover_prefix_suffix": r"""WITH d AS (SELECT doc_id, text, CASE WHEN contains(text[11:30] || text[61:75], '…') THEN NULL ELSE string_split(text[11:30] || '...' || text[61:75], '...') END AS p FROM documents WHERE length(text) > 100),
+    "recover_prefix_suffix": r"""WITH d AS (SELECT doc_id, text, CASE WHEN contains(text[11:30] || text[61:75], '…') THEN NULL ELSE string_split(text[11:30] || '...' || text[61:75], '...') END AS p FROM documents),
 x AS (SELECT doc_id, text, regexp_replace(p[1], '^\s+|\s+$', '', 'g') AS h, regexp_replace(p[len(p)], '^\s+|\s+$', '', 'g') AS t FROM d), y AS (SELECT *, strpos(text, h) AS a FROM x), z AS (SELECT *, strpos(text[a + length(h):], t) AS b FROM y)
 SELECT doc_id, CASE WHEN length(h) >= 10 AND length(t) >= 10 AND a > 0 AND b > 0 THEN regexp_replace(text[a:a + length(h) + b + length(t) - 2], '^\s+|\s+$', '', 'g') END AS found FROM z""",
     "recover_prefix_suffix_all": r"""WITH d AS (SELECT doc_id, text, CASE WHEN contains(text[11:30] || text[61:75], '…') THEN NULL ELSE string_split(text[11:30] || '...' || text[61:75], '...') END AS p FROM documents),
@@ -109,7 +109,7 @@ SELECT doc_id, CASE WHEN length(h) >= 10 AND length(t) >= 10 AND a > 0 AND b > 0
     "align_label_rule": f"WITH {_G} SELECT id AS alias, 'tex:' || label AS canonical FROM n WHERE type IN ('Definition', 'Notation', 'Construction') AND label <> ''",
     "align_cards": f"WITH {_G} SELECT (row_number() OVER (ORDER BY major) - 1) // 20 AS batch, id, title, replace(path, '/', ' / ') AS section, coalesce(content, '') AS evidence FROM n WHERE type IN ('Definition', 'Notation', 'Construction') AND label IS NULL AND id NOT LIKE 'tex:%'",
     "align_accept": "SELECT DISTINCT o_custkey // 80 AS batch, 'c' || o_custkey AS alias, 'c' || (o_custkey + o_orderkey % 5) AS canonical FROM orders WHERE o_orderkey % 5 <> 0 AND (o_orderkey % 100) / 100.0 >= 0.88 AND (o_custkey + o_orderkey % 5) // 80 = o_custkey // 80 AND o_custkey IN (SELECT c_custkey FROM customer) AND o_custkey + o_orderkey % 5 IN (SELECT c_custkey FROM customer)",
-    "uri_encode": f"WITH d AS (SELECT doc_id, substr(text, 1, 200) AS t FROM documents), x AS (SELECT doc_id, t, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS s FROM d) SELECT doc_id, {_enc('t')} AS encoded, true AS same, md5({_xml('t')}) AS xml, md5(CASE WHEN s = '' OR (s LIKE '$$%$$' AND length(s) >= 4) THEN s ELSE '$$' || chr(10) || s || chr(10) || '$$' END) AS shown FROM x",
+    "uri_encode": f"WITH d AS (SELECT doc_id, text AS t FROM documents), x AS (SELECT doc_id, t, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS s FROM d) SELECT doc_id, {_enc('t')} AS encoded, CASE WHEN t IS NOT NULL THEN true END AS same, md5({_xml('t')}) AS xml, md5(CASE WHEN s = '' OR (s LIKE '$$%$$' AND length(s) >= 4) THEN s ELSE '$$' || chr(10) || s || chr(10) || '$$' END) AS shown FROM x",
     "uri_encode_whole": f"WITH d AS (SELECT doc_id, text AS t FROM documents), x AS (SELECT doc_id, t, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS s FROM d) SELECT doc_id, md5({_enc('t')}) AS encoded, CASE WHEN t IS NOT NULL THEN true END AS same, md5({_xml('t')}) AS xml, md5(CASE WHEN s = '' OR (s LIKE '$$%$$' AND length(s) >= 4) THEN s ELSE '$$' || chr(10) || s || chr(10) || '$$' END) AS shown FROM x",
     "export_json_rows": f"WITH {_G} SELECT 'node' AS part, major, id, type, title, content, label, NULL AS target, NULL AS evidence, chunk FROM n UNION ALL SELECT 'edge', major, NULL, type, NULL, NULL, NULL, target, evidence, chunk FROM e",
     "export_triples": f"WITH {_G} {_TRIPLES}",

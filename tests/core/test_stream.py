@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,8 +132,8 @@ def test_run_with_a_model(spark, tmp_path):
     assert any("no answer" in w for w in run.warnings) and run.status == "done" and "in all" in run.message()
     stopped = pipeline.build_with_model(chunks_for_model(spark), model, cancelled=lambda: True)
     assert stopped.status == "stopped"
-    with pytest.raises(Exception, match="no answer"):
-        pipeline.build_with_model(chunks_for_model(spark), lambda p: (_ for _ in ()).throw(RuntimeError("no answer")))
+    ended = pipeline.build_with_model(chunks_for_model(spark), lambda p: (_ for _ in ()).throw(RuntimeError("no answer")))
+    assert ended.status == "error" and "no answer" in ended.error
 
 
 def test_services():
@@ -142,8 +143,42 @@ def test_services():
     assert extractors.looks_like_html(" <!DOCTYPE html>") and not extractors.looks_like_html('{"a": 1}')
     with pytest.raises(ValueError, match="page"):
         extractors.answer_json("<html></html>")
-    post = lambda body: json.dumps({"choices": [{"message": {"content": '{"nodes": []}'}}]})
-    assert json.loads(extractors.service(ModelConfig(), post)("p")) == {"nodes": []}
+    asked = []
+
+    def post(path, body):
+        asked.append(path)
+        return json.dumps({"choices": [{"message": {"content": '{"nodes": []}'}}]}) if path == "chat/completions" else "<html>"
+
+    assert json.loads(extractors.service(ModelConfig(), post)("p")) == {"nodes": []} and asked == ["responses", "chat/completions"]
+    good = lambda path, body: json.dumps({"output_text": '{"nodes": [1]}'})
+    assert json.loads(extractors.service(ModelConfig(), good)("p")) == {"nodes": [1]}
+    with pytest.raises(ValueError, match="page"):
+        extractors.service(ModelConfig(), lambda path, body: "<html>")("p")
+    assert extractors.safe_text(lambda: 1 / 0) == "" and extractors.safe_text(lambda: "x") == "x"
+
+
+def test_prompts_of_alignment_and_repair():
+    cards = pd.DataFrame([("a", "Definition", "Group", "1", None), ("b", "Notation", "G", "2", "x")], columns=["id", "type", "title", "section", "evidence"])
+    answer = {"decisions": [{"alias": "a", "canonical": "b", "confidence": 1}, {"alias": "a"}, 5]}
+    got = align.prompted(lambda p: json.dumps(answer) if "title: Group" in p and "evidence: none" in p else "{}")(cards)
+    assert got.values.tolist() == [["a", "b", 1.0, ""]]
+    assert align.prompted(lambda p: "[]")(cards).empty
+    assert repair.prompted(lambda p: json.dumps({"content": p.rsplit("\n", 1)[1] + "$"}))("$x") == "$x$"
+    with pytest.raises(ValueError, match="no content"):
+        repair.prompted(lambda p: '{"content": ""}')("$x")
+
+
+def test_failures_end_the_run_with_what_was_committed(spark):
+    chunks = spark.createDataFrame([("c0", "a.tex", "t", ["a.tex"], "x", 0)], "id string, file string, title string, section_path array<string>, text string, chunk_seq long")
+    answer = '{"nodes": [{"id": "d", "type": "Definition", "title": "Group"}], "edges": []}'
+
+    def broken(batch):
+        raise ValueError("out of order")
+
+    run = pipeline.build_with_model(chunks, lambda prompt: answer, aligner=broken)
+    assert run.status == "error" and "out of order" in run.error and [r["id"] for r in run.graph.nodes.collect()] == ["d"]
+    run = pipeline.build_with_model(chunks, broken)
+    assert run.status == "error" and "phase 1" in run.error and run.graph.nodes.count() == 0
 
 
 def test_build(spark):
