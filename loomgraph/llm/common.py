@@ -94,15 +94,15 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
 
 def mapped(df: DataFrame, run, schema: str, name: str) -> DataFrame:
-    """``df`` through ``run`` on Arrow batches, as a written table."""
+    """``df`` through ``run`` on Arrow batches, as a written table; the rows stay in their partitions and order."""
     with small_batches(df.sparkSession):
-        return cut(dealt(df).mapInArrow(run, schema), name)
+        return cut(df.mapInArrow(run, schema), name)
 
 
 def mapped_pandas(df: DataFrame, run, schema: str, name: str) -> DataFrame:
-    """``df`` through ``run`` on pandas batches, as a written table."""
+    """``df`` through ``run`` on pandas batches, as a written table; the rows stay in their partitions and order."""
     with small_batches(df.sparkSession):
-        return cut(dealt(df).mapInPandas(run, schema), name)
+        return cut(df.mapInPandas(run, schema), name)
 
 
 def pieces(df: DataFrame, bytes_each: int) -> int:

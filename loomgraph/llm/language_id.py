@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped_pandas, sampled
+from .common import dealt, mapped_pandas, sampled
 
 # Families of languages; one that is not named is a family of its own.
 FAMILIES = {
@@ -156,7 +156,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return mapped_pandas(docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double", "languages")
+    return mapped_pandas(dealt(docs.select("doc_id", "text")), run, f"doc_id {kind}, lang_pred string, score double", "languages")
 
 
 def language_report(docs: DataFrame, per_lang: int = 400, most: int = 4000) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from .common import mapped_pandas
+from .common import dealt, mapped_pandas
 
 # The phrases that are counted exactly, in lower case words, and their labels.
 BASE = (
@@ -176,4 +176,4 @@ def scan_licenses(docs: DataFrame, notices=NOTICES) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<{SPAN}>"
-    return mapped_pandas(docs.select("doc_id", "text"), run, out, "licenses")
+    return mapped_pandas(dealt(docs.select("doc_id", "text")), run, out, "licenses")

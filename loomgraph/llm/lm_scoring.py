@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mapped, pieces
+from .common import cut, dealt, mapped, pieces
 from .token_output import chunks
 
 #: Weight M of the single-word model in words.
@@ -255,7 +255,7 @@ def packed(docs: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    return mapped(docs, run, f"{TEXTS}, doc_ids array<{docs.schema['doc_id'].dataType.simpleString()}>", "blocks")
+    return mapped(dealt(docs), run, f"{TEXTS}, doc_ids array<{docs.schema['doc_id'].dataType.simpleString()}>", "blocks")
 
 
 def block_of(row: dict) -> Block:

@@ -49,6 +49,13 @@ def test_tokens_against_the_library(spark, with_ids, odd_docs, none):
     assert token_output.write_tokens(none, tokenizer_path()).digest().count() == 0
 
 
+def test_order_holds_for_small_files(spark, tmp_path):
+    rows = [(i * 37 % 500, f"text {i}") for i in range(500)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    got = sorted((r["doc_id"], r["start"], r["n_tokens"]) for r in token_output.write_tokens(spark.read.parquet(f"{tmp_path}/d"), tokenizer_path()).digest().collect())
+    assert [d for d, _, _ in got] == list(range(500)) and [s for _, s, _ in got] == np.cumsum([0, *[n for _, _, n in got[:-1]]]).tolist()
+
+
 def test_word_cache_is_emptied(monkeypatch):
     import pyarrow as pa
 
