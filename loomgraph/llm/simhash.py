@@ -208,13 +208,13 @@ SEARCH_BYTES = 8 << 20
 def links(nodes: DataFrame, limit: int = 3, split: int = 20_000, total: int | None = None) -> DataFrame:
     """(a, b) of reps that connect all (fp, fp2, rep) of ``nodes`` within ``limit`` differing bits of fp, and ``total`` of both or SURE of fp.
 
-    Nodes of one fp link to the one of the smallest rep, whose fp2 then stands for them all, so the
-    search sees each fp once. Groups over ``split`` fingerprints are dealt again by their free bits,
+    Nodes of one fp link to the one of the smallest fp2, which then stands for them all, so the
+    search sees each fp once, and which that is does not hang on how rows are dealt. Groups over ``split`` fingerprints are dealt again by their free bits,
     cut into limit + 1 runs of which two close fingerprints agree on one, until they are smaller; at
     the latest when no bit is free, as a group then has one fp.
     """
     total = limit if total is None else total
-    heads = cut(nodes.groupBy("fp").agg(F.min_by("fp2", "rep").alias("fp2"), F.min("rep").alias("rep")), "heads")
+    heads = cut(nodes.groupBy("fp").agg(F.min("fp2").alias("fp2"), F.min_by("rep", "fp2").alias("rep")), "heads")
     same = nodes.select("fp", F.col("rep").alias("a")).join(heads.select("fp", F.col("rep").alias("b")), "fp").filter("a <> b").select("a", "b")
     found = [same]
     groups = cut(to_groups(heads, first_masks(limit)), "groups")
@@ -273,7 +273,8 @@ def near_duplicates(docs: DataFrame, n: int = 3, limit: int = 3, total: int | No
     unlike texts of a large corpus would meet by chance and alike ones still miss each other,
     ``total`` takes a second fingerprint of mixed hashes: two rows link if either differs in
     ``limit`` bits or fewer and both together in no more than ``total`` (or either in 3 or fewer).
-    Texts that agree in one fingerprint are taken by the other of one of them.
+    Texts that agree in one fingerprint are taken by the smallest of their other ones, so the result
+    is the same however the rows are dealt.
 
     Null, empty and blank texts have fingerprint 0 and link like any other; texts with fewer than
     ``n`` words are one shingle. Rows that repeat a doc_id or a text are rows of their own. Rows of
