@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, licenses, lm_scoring, mixing, quality, sharding, simhash, token_output
+from . import chat, decontamination, exact_dedup, language_id, licenses, lm_scoring, mixing, quality, sharding, simhash, token_output
 from .common import documents
 
 
@@ -59,9 +59,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.col("shared").cast("long"), F.col("item_shingles").cast("long"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digest(chat.with_probe(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_token_ids, op3_language_id, op4_sharding, op5_mix_sources, op6_lm_score, op7_quality, op8_exact_dedup, op9_simhash, op10_decontamination)
+    for f in (op1_license_scan, op2_token_ids, op3_language_id, op4_sharding, op5_mix_sources, op6_lm_score, op7_quality, op8_exact_dedup, op9_simhash, op10_decontamination, op11_chat_format)
 }
 
 ORACLES = {
@@ -90,5 +94,18 @@ WITH s AS (SELECT source, count(*) AS size FROM documents GROUP BY source),
      d AS (SELECT doc_id, documents.source AS source, text, CAST(list_sum(list_transform(range(1, parts + 1), lambda i: len(list_filter(cdf, lambda x: x <= CAST('0x' || substr(md5('mix:' || doc_id || ':' || i), 1, 13) AS BIGINT) / 4503599627370496.0)))) AS BIGINT) AS n
            FROM documents JOIN c ON c.source IS NOT DISTINCT FROM documents.source)
 SELECT doc_id, source, unnest(range(1, n + 1)) AS mix_copy, n AS mix_copies, md5(coalesce(text, '')) AS text_md5 FROM d WHERE n > 0
+""",
+    "op11_chat_format": r"""
+WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+           UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+     e AS (SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS body,
+                  regexp_replace(replace(replace(role, '\', '\s'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g') AS line FROM m)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, line, body)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, line, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|im_start|>') + length(line) + 1 + length(body) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars,
+       CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS attachment_tokens
+FROM e GROUP BY conv_id
 """,
 }
