@@ -47,7 +47,7 @@ def unescape(c: Column) -> Column:
 
 
 def escape_role(c: Column) -> Column:
-    """A role keeps to its line: its backslashes become ``\\\\s``, its line feeds ``\\\\n``."""
+    """A role keeps to its line: its backslashes become ``\\s``, its line feeds ``\\n``."""
     return escape(F.replace(F.replace(c, F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n")))
 
 
