@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, divergence, exact_dedup, language_id, licenses, lm_scoring, mixing, quality, sharding, simhash, token_output
+from . import chat, decontamination, divergence, exact_dedup, language_id, licenses, lm_scoring, mixing, quality, sharding, simhash, spelling, token_output
 from .common import documents
 
 
@@ -67,9 +67,13 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(documents(spark, sf_dir, "lang", "source", "text"))
 
 
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(documents(spark, sf_dir), slips=31)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_token_ids, op3_language_id, op4_sharding, op5_mix_sources, op6_lm_score, op7_quality, op8_exact_dedup, op9_simhash, op10_decontamination, op11_chat_format, op12_source_divergence)
+    for f in (op1_license_scan, op2_token_ids, op3_language_id, op4_sharding, op5_mix_sources, op6_lm_score, op7_quality, op8_exact_dedup, op9_simhash, op10_decontamination, op11_chat_format, op12_source_divergence, op13_spelling_groups)
 }
 
 ORACLES = {

@@ -14,7 +14,7 @@ def test_query(spark, name):
     compare(spark, queries.QUERIES[name], queries.ORACLES[name])
 
 
-@pytest.mark.parametrize("n", range(1, 13))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_registered(n):
     assert sum(name.startswith(f"op{n}_") for name in queries.QUERIES) == 1
 
