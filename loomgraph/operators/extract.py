@@ -263,3 +263,13 @@ def extract(chunks: DataFrame, selection: Selection = Selection(), label_scope:
     edges = raw_edges(p, labels, selection, label_scope)
     edges = chunks.sparkSession.createDataFrame([], EDGES) if edges is None else edges
     return Graph(upsert_nodes(nodes), upsert_edges(edges))
+
+
+def extract_into(chunks: DataFrame, labeled, selection: Selection = Selection()) -> Graph:
+    """Raw nodes and edges of a batch of chunks; ``labeled`` gives the nodes (id, source, seq) of the graph before that have some labels (label)."""
+    p = stored(parsed(chunks, selection), "parsed")
+    nodes = raw_nodes(p, selection)
+    asked = p.select(F.explode(F.concat("refs", "said.label")).alias("label")).distinct()
+    labels = stored(label_index(nodes.select("id", "source", "seq").unionByName(labeled(asked))), "labels")
+    edges = raw_edges(p, labels, selection)
+    return Graph(nodes, chunks.sparkSession.createDataFrame([], EDGES) if edges is None else edges)

@@ -81,7 +81,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     _increments(spark, sf_dir).nodes.repartition(3).write.parquet(f"{base}/in")
     table = GraphTable(spark, f"{base}/graph")
     source = spark.readStream.schema(NODES).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    upsert_stream(source, table, lambda batch, old: Graph(batch, old.edges.limit(0)), f"{base}/checkpoint").awaitTermination()
+    upsert_stream(source, table, lambda batch, own: Graph(batch, Graph.empty(spark).edges), f"{base}/checkpoint").awaitTermination()
     return _upserted(table.read().nodes)
 
 

@@ -11,7 +11,8 @@ from loomgraph.operators import align, extract, graph as g, repair
 from loomgraph.plans import extractors, pipeline
 from loomgraph.plans.snapshots import SnapshotStore
 from loomgraph.sources import graph_files as gf
-from loomgraph.streaming.ingest import GraphTable, extract_stream, upsert_stream
+from loomgraph.streaming.commits import CommitLog
+from loomgraph.streaming.ingest import GraphTable, extract_stream, upsert_stream, with_number
 
 
 def increments(spark):
@@ -27,7 +28,7 @@ def rows(df):
 @pytest.mark.parametrize("order", [1, -1, 7])
 def test_any_order_of_batches(spark, tmp_path, order):
     inc = increments(spark)
-    table = GraphTable(spark, str(tmp_path / f"g{order}"))
+    table = GraphTable(spark, str(tmp_path / f"g{order}"), fan=2)
     parts = [i * order % 10 for i in range(10)]
     for v, part in enumerate(parts[:5]):
         mine = lambda df: df.filter((F.col("seq.major") % 10 == part) | (F.col("seq.major") % 10 == (part + 5) % 10))
@@ -37,7 +38,43 @@ def test_any_order_of_batches(spark, tmp_path, order):
     own = lambda df: df.filter((F.col("seq.major") % 10).isin(*seen))
     got = table.read()
     assert rows(got.nodes) == rows(g.upsert_nodes(own(inc.nodes))) and rows(got.edges) == rows(g.upsert_edges(own(inc.edges)))
-    assert len(table.versions()) == 2
+    assert [r["tier"] for r in table.runs()] == [2, 0] and table.batches() == {"": [[0, 4]]}
+
+
+def test_sources_do_not_meet(spark, tmp_path):
+    """Batch 5 of one checkpoint, then batches 0 and 5 of another: all three are in, and stay in through merges."""
+    inc = increments(spark)
+    part = lambda k: Graph(inc.nodes.filter(F.col("seq.major") % 3 == k), inc.edges.filter(F.col("seq.major") % 3 == k))
+    table = GraphTable(spark, str(tmp_path / "g"), fan=3)
+    for k, (batch, source) in enumerate([(5, "a"), (0, "b"), (5, "b")]):
+        table.upsert(part(k), batch, source)
+        table.upsert(part((k + 1) % 3), batch, source)  # a batch that is in is left out, whatever it holds now
+    assert rows(table.read().nodes) == rows(g.upsert_nodes(inc.nodes)) and rows(table.read().edges) == rows(g.upsert_edges(inc.edges))
+    assert len(table.runs()) == 1 and table.batches() == {"a": [[5, 5]], "b": [[0, 0], [5, 5]]}
+
+
+def test_commits_of_two_writers(spark, tmp_path):
+    """A writer whose number is taken starts again from the state that took it."""
+    a, b = CommitLog(spark, str(tmp_path / "log")), CommitLog(spark, str(tmp_path / "log"))
+    met = []
+
+    def slow(state):
+        if not met:
+            met.append(b.commit(lambda s: {**s, "b": 1}))
+        return {**state, "a": 1}
+
+    assert a.commit(slow) == {"a": 1, "b": 1} and b.state() == (1, {"a": 1, "b": 1})
+    assert a.commit(lambda s: None) == {"a": 1, "b": 1} and a.numbers() == [0, 1]
+    for i in range(30):
+        a.commit(lambda s, i=i: {"i": i})
+    assert b.state() == (31, {"i": 29}) and len(b.numbers()) == 20
+
+
+def test_ranges():
+    out = []
+    for n in (5, 3, 4, 9, 0, 4, 1):
+        out = with_number(out, n)
+    assert out == [[0, 1], [3, 5], [9, 9]]
 
 
 def test_streams(spark, tmp_path):
@@ -45,8 +82,15 @@ def test_streams(spark, tmp_path):
     inc.nodes.repartition(4).write.parquet(str(tmp_path / "in"))
     table = GraphTable(spark, str(tmp_path / "graph"))
     stream = lambda: spark.readStream.schema(NODES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    upsert_stream(stream(), table, lambda b, old: Graph(b, old.edges.limit(0)), str(tmp_path / "check")).awaitTermination()
+    upsert_stream(stream(), table, lambda b, own: Graph(b, inc.edges.limit(0)), str(tmp_path / "check")).awaitTermination()
     assert rows(table.read().nodes) == rows(g.upsert_nodes(inc.nodes))
+    more = inc.nodes.withColumn("id", F.concat(F.lit("more"), "id")).withColumn("seq", F.struct((F.col("seq.major") + 100).alias("major"), F.col("seq.minor").alias("minor")))
+    more.write.parquet(str(tmp_path / "in2"))  # a second checkpoint starts at batch 0 again
+    second = spark.readStream.schema(NODES).parquet(str(tmp_path / "in2"))
+    for _ in range(2):
+        upsert_stream(second, table, lambda b, own: Graph(b, inc.edges.limit(0)), str(tmp_path / "check3")).awaitTermination()
+    assert len(table.batches()) == 2
+    assert rows(table.read().nodes) == rows(g.upsert_nodes(inc.nodes.unionByName(more)))
     chunks = spark.createDataFrame([(f"chunk:a:{i}", "a", "A", ["a", "A"], f"\\begin{{lemma}}\\label{{l{i}}} x \\ref{{l0}} \\end{{lemma}}", i << 16) for i in range(3)], CHUNKS)
     for i in range(3):
         chunks.filter(f"chunk_seq = {i << 16}").coalesce(1).write.mode("append").parquet(str(tmp_path / "chunks"))
