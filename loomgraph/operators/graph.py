@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import START, WS, or_empty, squeeze, trim
 from ..model import CONCEPT_TYPES, EDGES, META, NODES, STRONG_RELATIONS, Graph, columns_like, seq
-from ..storage import broadcast_if_small, stored
+from ..storage import broadcast_if_small, numbered, stored
 
 
 # ---- upserts ---------------------------------------------------------------------------------------
@@ -122,41 +127,94 @@ def patch_nodes(nodes: DataFrame, patches: DataFrame) -> DataFrame:
 # ---- components and aliases ----------------------------------------------------------------------
 
 
-#: Parts into which a hub's edges are dealt.
-SALTS = 8
+#: An id with more edges than HUB in a round has them dealt into so many parts.
+SALTS, HUB = 16, 100_000
+#: A task merges so many edges at once; once no more are left, one task ends the work.
+MERGED = 500_000
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """(id, component) for all ids in ``pairs`` (a, b): component is the smallest id that it reaches.
 
-    Rounds of large stars and small stars: each points the neighbours of an id to the smallest of
-    them. Rounds grow with the logarithm of the longest chain; each is a written table. A hub's
-    edges are dealt by a salt of their other ends, so none of its joins meets in one task.
+    Each task first merges the edges that it has into stars, so chains within a task are one step. While
+    more than MERGED edges are left, rounds of large and small stars point the neighbours of each id to the
+    smallest of them, and tasks merge again; rounds grow with the logarithm of the longest chain.
+    Each is a written table. When MERGED edges or fewer are left, which their count tells, one task merges them.
     """
-    edges = stored(pairs.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u <> v").distinct(), "pairs")
+    edges = pairs.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u <> v")
+    edges = stored(merged(edges.distinct()), "pairs")
     was = edges_mark(edges)
-    while was[0]:
-        both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = stored(salted(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "pairs")
-        star = salted(large, large.groupBy("u").agg(F.min("v").alias("m")))
-        small = star.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = stored(small.filter("u <> v").distinct(), "pairs")
+    while was[0] > MERGED:
+        edges = stored(merged(small_stars(stored(large_stars(edges), "pairs")).distinct()), "pairs")
         now = edges_mark(edges)
         if now == was:
             break
         was = now
+    if 0 < was[0] <= MERGED:
+        edges = stored(merged(edges.coalesce(1)), "pairs")
     ends = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     alone = pairs.filter("a = b").select(F.col("a").alias("id"), F.col("a").alias("component")).distinct().join(edges.select(F.col("u").alias("id")).union(edges.select("v")), "id", "left_anti")
     return ends.unionByName(roots).unionByName(alone)
 
 
-def salted(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """``edges`` (u, v) with m of their u; each u's row of ``least`` goes to every salt, its edges are dealt over them."""
-    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    every = least.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return dealt.join(every, ["u", "salt"]).drop("salt")
+def large_stars(edges: DataFrame) -> DataFrame:
+    """The larger neighbours of each id to the smallest of it and its neighbours."""
+    both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return with_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+
+
+def small_stars(edges: DataFrame) -> DataFrame:
+    """Each id and its smaller neighbours to the smallest of these."""
+    star = with_least(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+    return star.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v")
+
+
+def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with m of their u from ``least`` (u, m, n). Edges of hubs, and hubs alone, are dealt by a salt of their other ends."""
+    least = stored(least, "least")
+    hubs = stored(least.filter(F.col("n") > HUB).select("u", F.lit(SALTS).alias("salts")), "hubs")
+    if hubs.isEmpty():
+        return edges.join(least.drop("n"), "u")
+    dealt_edges = edges.join(broadcast_if_small(hubs), "u", "left").withColumn("salt", F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    every = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > HUB, SALTS - 1).otherwise(0)))).drop("n")
+    return dealt_edges.join(every, ["u", "salt"]).drop("salt")
+
+
+def merged(edges: DataFrame) -> DataFrame:
+    """Edges (v, u) of each task as stars: each id to the smallest that it reaches among up to MERGED edges."""
+
+    def stars(batches: list[pd.DataFrame]) -> pd.DataFrame:
+        both = pd.concat(batches, ignore_index=True)
+        codes, ids = pd.factorize(pd.concat([both["v"], both["u"]], ignore_index=True), sort=True)
+        v, u = codes[: len(both)], codes[len(both) :]
+        up = np.arange(len(ids))
+        while len(u):
+            a, b = up[v], up[u]
+            np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(up, up[up]):
+                up = up[up]
+            differ = up[v] != up[u]
+            v, u = v[differ], u[differ]
+        own = np.flatnonzero(up != np.arange(len(up)))
+        return pd.DataFrame({"v": ids[up[own]], "u": ids[own]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += len(b)
+            if size > MERGED:
+                held = [stars(held)]
+                if len(held[0]) > MERGED // 2:  # all different ids: nothing more to merge with
+                    yield held[0]
+                    held = []
+                size = sum(map(len, held))
+        if size:
+            yield stars(held)
+
+    return edges.select("v", "u").mapInPandas(run, edges.select("v", "u").schema)
 
 
 def edges_mark(edges: DataFrame) -> tuple:
@@ -165,6 +223,47 @@ def edges_mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(h, 20)), F.bit_xor(h)).first())
 
 
+@dataclass(frozen=True)
+class Components:
+    """Components of a graph whose pairs come in batches.
+
+    ``labels`` (id, component) has each id as it was first named, ``moved`` (id, component) what has become
+    of the components that later pairs joined. A batch adds rows for its new ids and for the components that it
+    touches; no other id's row is written again.
+    """
+
+    labels: DataFrame
+    moved: DataFrame
+
+    @classmethod
+    def empty(cls, spark: SparkSession, kind: str = "string") -> Components:
+        none = spark.createDataFrame([], f"id {kind}, component {kind}")
+        return cls(none, none)
+
+    def current(self) -> DataFrame:
+        """(id, component) of all ids: the smallest id that each reaches."""
+        now = self.moved.select(F.col("id").alias("component"), F.col("component").alias("_now"))
+        return self.labels.join(now, "component", "left").select("id", F.coalesce("_now", "component").alias("component"))
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """current() for ``ids`` (id) alone."""
+        return Components(self.labels.join(broadcast_if_small(ids), "id", "left_semi"), self.moved).current()
+
+    def add(self, pairs: DataFrame) -> Components:
+        """With the links of ``pairs`` (a, b)."""
+        pairs = stored(pairs.select("a", "b"), "new-pairs")
+        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "new-ids")
+        known = stored(self.of(ids), "known")
+        named = lambda df, end: df.join(known.select(F.col("id").alias(end), F.col("component").alias(f"_{end}")), end, "left")
+        ends = named(named(pairs, "a"), "b").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).distinct()
+        found = stored(components(ends), "joined")
+        new = ids.join(known, "id", "left_anti").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        now = found.filter("id <> component")
+        touched = self.moved.join(now.select(F.col("id").alias("component"), F.col("component").alias("_now")), "component", "left").select("id", F.coalesce("_now", "component").alias("component"))
+        roots = known.select(F.col("component").alias("id")).distinct().join(now, "id")
+        return Components(self.labels.unionByName(stored(new, "labels")), stored(touched.unionByName(roots.select("id", "component")), "moved"))
+
+
 def union_pairs(graph: Graph, aligned: DataFrame | None = None) -> DataFrame:
     """(a, b): nodes and the id that their label stands for; concepts that an edge calls equivalent; aligned concepts."""
     label = F.col("source.latexLabel")
@@ -326,12 +425,5 @@ def view_elements(graph: Graph) -> DataFrame:
 
 
 def place_of(rows: DataFrame) -> DataFrame:
-    """``rows`` with place: their number from 0 by seq. Ranges are numbered in parallel; only their counts meet."""
-    sorted_rows = stored(rows.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "places")
-    counts = {r["_part"]: r["n"] for r in sorted_rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
-    before, at = [], 0
-    for part in sorted(counts):
-        before.append((part, at))
-        at += counts[part]
-    start = F.element_at(F.create_map(*[F.lit(x) for pair in before for x in pair]), F.col("_part")) if before else F.lit(0)
-    return sorted_rows.withColumn("place", (start + F.col("_in")).cast("long")).drop("_part", "_in")
+    """``rows`` with place: their number from 0 by seq."""
+    return numbered(rows, ["seq"], "place")

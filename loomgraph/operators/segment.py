@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import WS, squeeze, trim
 from ..model import GRANULARITIES, HEADINGS
-from ..storage import dealt, stored
+from ..storage import dealt, numbered, starts, stored
 
 # Heading commands and tokens.
 HEADING = rf"^\\(chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?\{{(.+?)\}}[{WS}]*\z"
@@ -28,20 +28,16 @@ def strip_comments(text: Column) -> Column:
 
 def order_files(files: DataFrame) -> DataFrame:
     """``files`` with rank: their places by path as a reader orders them (case and digits as ICU has them); ties keep file_seq."""
-    return summed_before(files.withColumn("_one", F.lit(1)), "_one", "rank").drop("_one").withColumn("rank", F.col("rank").cast("int"))
+    return numbered(files, [F.expr("path COLLATE UNICODE"), F.col("file_seq")], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def summed_before(files: DataFrame, name: str, to: str) -> DataFrame:
     """Adds the sum of a column over all files before in their order. Ranges of files are summed in parallel; only the ranges' sums meet."""
     order = [F.expr("path COLLATE UNICODE"), F.col("file_seq")]
     ranges = stored(files.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "file-ranges")
-    pairs, at = [], 0
-    for r in sorted(ranges.groupBy("_part").agg(F.sum(name).alias("n")).collect(), key=lambda r: r["_part"]):  # a row a partition
-        pairs += [F.lit(r["_part"]), F.lit(at).cast("long")]
-        at += r["n"]
-    start = F.element_at(F.create_map(*pairs), F.col("_part")) if pairs else F.lit(0).cast("long")
     own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return ranges.withColumn(to, start + F.coalesce(F.sum(name).over(own), F.lit(0))).drop("_part")
+    placed = ranges.withColumn(to, F.coalesce(F.sum(name).over(own), F.lit(0)))
+    return placed.join(starts(ranges, F.col(name)), "_part").withColumn(to, (F.col("_start") + F.col(to)).cast("long")).drop("_part", "_start")
 
 
 def lines_of(files: DataFrame) -> DataFrame:

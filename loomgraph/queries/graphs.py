@@ -133,11 +133,21 @@ def view_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- components and aliases ----------------------------------------------------------------------
 
 
+#: Customers and orders as a graph of many stars, each order's key with its customer's, and parts as chains of 50; nth deals them to batches.
+_PAIRS = """SELECT 'c' || lpad(CAST(o_custkey AS VARCHAR(20)), 12, '0') AS a, 'o' || lpad(CAST(o_orderkey AS VARCHAR(20)), 12, '0') AS b, o_orderkey AS nth FROM orders
+      UNION ALL SELECT 'p' || lpad(CAST(p_partkey AS VARCHAR(20)), 12, '0'), 'p' || lpad(CAST(p_partkey + CASE WHEN p_partkey % 50 = 49 THEN 0 ELSE 1 END AS VARCHAR(20)), 12, '0'), p_partkey FROM part"""
+
+
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and orders as a graph of many stars, each order's key with its customer's, and parts as chains of 50."""
-    pairs = sql(spark, sf_dir, """SELECT 'c' || lpad(CAST(o_custkey AS VARCHAR(20)), 12, '0') AS a, 'o' || lpad(CAST(o_orderkey AS VARCHAR(20)), 12, '0') AS b FROM orders
-      UNION ALL SELECT 'p' || lpad(CAST(p_partkey AS VARCHAR(20)), 12, '0'), 'p' || lpad(CAST(p_partkey + CASE WHEN p_partkey % 50 = 49 THEN 0 ELSE 1 END AS VARCHAR(20)), 12, '0') FROM part""")
-    return g.components(pairs).select("id", "component")
+    return g.components(sql(spark, sf_dir, _PAIRS).select("a", "b")).select("id", "component")
+
+
+def components_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with the pairs put in by three batches: each joins components of the ones before."""
+    pairs, made = sql(spark, sf_dir, _PAIRS), g.Components.empty(spark)
+    for i in range(3):
+        made = made.add(pairs.filter(F.col("nth") % 3 == i).select("a", "b"))
+    return made.current()
 
 
 def freeze_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,7 +329,10 @@ def snapshot_keep_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An archive for each page, with a .tex file, an image, another file and a folder, scanned."""
+    """An archive for each page, with two .tex files, an image, another file and a folder, scanned.
+
+    main.tex and shared.png are in all archives under one path, and each third main.tex is Latin-1.
+    """
     pages = sql(spark, sf_dir, "SELECT page_id, html FROM pages")
 
     def pack(batches):
@@ -330,15 +343,18 @@ def zip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                 with zipfile.ZipFile(data, "w") as z:
                     z.writestr(f"p{page}/main.TEX", html)
                     z.writestr(f"p{page}/fig.Png", b"\x89PNG")
+                    z.writestr("main.tex", f"p\u00e9 {page}".encode("latin-1" if page % 3 == 0 else "utf-8"))
+                    z.writestr("shared.png", str(page).encode())
                     z.writestr(f"p{page}/notes.txt", "no")
                     z.mkdir(f"p{page}/empty")
-                out.append((f"a{page}.zip" if page % 10 else f"a{page}.rar", data.getvalue()))
+                out.append((f"a{page:09d}.zip" if page % 10 else f"a{page}.rar", data.getvalue()))
             yield pd.DataFrame(out, columns=["path", "content"])
 
-    found = uploads.split_uploads(pages.mapInPandas(pack, "path string, content binary"))
-    files = found["files"].select(F.lit("file").alias("part"), "path", F.md5("content").alias("digest"))
-    assets = found["assets"].select(F.lit("asset").alias("part"), "path", F.col("ext").alias("digest"))
-    return files.unionByName(assets).unionByName(found["warnings"].select(F.lit("warning").alias("part"), F.col("warning").alias("path"), F.lit(None).cast("string").alias("digest")))
+    found = uploads.split_uploads(stored(pages.mapInPandas(pack, "path string, content binary"), "archives"))
+    none = F.lit(None).cast("string").alias("digest")
+    files = found["files"].select(F.lit("file").alias("part"), "path", F.md5("content").alias("digest"), "file_seq")
+    assets = found["assets"].select(F.lit("asset").alias("part"), "path", F.concat_ws(" ", "ext", F.md5("bytes")).alias("digest"), F.lit(-1).cast("long").alias("file_seq"))
+    return files.unionByName(assets).unionByName(found["warnings"].select(F.lit("warning").alias("part"), F.col("warning").alias("path"), none, F.lit(-1).cast("long").alias("file_seq")))
 
 
 def llm_stub_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,7 +383,7 @@ def repair_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        node_upsert, node_upsert_null_overwrites, edge_upsert, edge_dedupe, incremental_equals_batch, stream_upsert, node_patch, degree_any_strong, template_formula, prune_graph, prune_stats, view_elements, components,
+        node_upsert, node_upsert_null_overwrites, edge_upsert, edge_dedupe, incremental_equals_batch, stream_upsert, node_patch, degree_any_strong, template_formula, prune_graph, prune_stats, view_elements, components, components_in_batches,
         freeze_alias, freeze_nodes, freeze_edges, alias_apply, llm_normalize, looks_like_math, quality_filter, dangling_edges, complete_by_label, recover_prefix_suffix, recover_prefix_suffix_all, title_repair, query_words, relevance_topk, summary_edges,
         concept_registry, align_label_rule, align_cards, align_accept, uri_encode, uri_encode_whole, export_json_rows, export_triples, export_owl_rows, import_json, import_triples, turtle_roundtrip, snapshot_list, snapshot_keep_latest, zip_scan,
         llm_stub_pipeline, repair_restore,

@@ -85,6 +85,7 @@ SELECT n.id, coalesce(p.title, n.title) AS title, CASE WHEN k % 2 = 0 THEN 'text
     "view_bare": _view("'Example', 'Exercise'", False),
     "view_elements": f"WITH {_G}, i AS (SELECT *, row_number() OVER (ORDER BY major) - 1 AS k FROM e) SELECT 'node' AS kind, id, type || ': ' || title AS label, type, title, coalesce(content, '') AS content, NULL AS source, NULL AS target, NULL AS evidence, chunk AS \"chunkId\" FROM n UNION ALL SELECT 'edge', source || '-' || type || '-' || target || '-' || k, type, type, NULL, NULL, source, target, coalesce(evidence, ''), NULL FROM i",
     "components": "WITH p AS (SELECT 'c' || lpad(CAST(o_custkey AS VARCHAR), 12, '0') AS a, 'o' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS b FROM orders) SELECT DISTINCT a AS id, a AS component FROM p UNION ALL SELECT b, a FROM p UNION ALL SELECT id, min(id) OVER (PARTITION BY g) FROM (SELECT k, 'p' || lpad(CAST(k AS VARCHAR), 12, '0') AS id, k // 50 AS g FROM (SELECT p_partkey AS k FROM part UNION SELECT p_partkey + 1 FROM part WHERE p_partkey % 50 <> 49))",
+    "components_in_batches": "WITH p AS (SELECT 'c' || lpad(CAST(o_custkey AS VARCHAR), 12, '0') AS a, 'o' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS b FROM orders) SELECT DISTINCT a AS id, a AS component FROM p UNION ALL SELECT b, a FROM p UNION ALL SELECT id, min(id) OVER (PARTITION BY g) FROM (SELECT k, 'p' || lpad(CAST(k AS VARCHAR), 12, '0') AS id, k // 50 AS g FROM (SELECT p_partkey AS k FROM part UNION SELECT p_partkey + 1 FROM part WHERE p_partkey % 50 <> 49))",
     "freeze_alias": f"WITH RECURSIVE {_PAIRS} SELECT id, canonical FROM alias",
     "freeze_nodes": f"""WITH RECURSIVE {_PAIRS}, r AS (SELECT coalesce(a.canonical, n.id) AS id, type, title, content, label, major FROM n LEFT JOIN alias a ON a.id = n.id)
 SELECT id, arg_max(type, major) AS type, arg_max(title, length(title) * 1000000000000 - major) AS title, arg_max(content, length(content) * 1000000000000 - major) FILTER (WHERE content IS NOT NULL) AS content, arg_max(label, major) FILTER (WHERE label IS NOT NULL) AS label, min(major) AS major FROM r GROUP BY id""",
@@ -121,7 +122,13 @@ UNION ALL SELECT 3, '  <rdf:Description rdf:about="' || {_uri('source')} || '">'
     "turtle_roundtrip": f"WITH {_G} SELECT source, type, target FROM e",
     "snapshot_list": "SELECT id, nodes, edges, note FROM (SELECT 's' || event_id AS id, ts, event_id AS nodes, user_id AS edges, event_type AS note FROM events WHERE event_id % 50 <> 0 AND event_id % 7 <> 0 ORDER BY ts DESC, 's' || event_id DESC LIMIT 20)",
     "snapshot_keep_latest": "WITH m AS (SELECT 's' || event_id AS id, ts FROM events WHERE event_id % 50 <> 0 AND event_id % 7 <> 0) SELECT id FROM m WHERE id <> (SELECT id FROM m ORDER BY ts DESC, id DESC LIMIT 1)",
-    "zip_scan": "SELECT 'file' AS part, 'p' || page_id || '/main.TEX' AS path, md5(html) AS digest FROM pages WHERE page_id % 10 <> 0 UNION ALL SELECT 'asset', 'p' || page_id || '/fig.Png', 'png' FROM pages WHERE page_id % 10 <> 0 UNION ALL SELECT 'warning', 'ignored, not a zip archive: a' || page_id || '.rar', NULL FROM pages WHERE page_id % 10 = 0",
+    "zip_scan": """WITH p AS (SELECT page_id, html, row_number() OVER (ORDER BY page_id) - 1 AS k FROM pages WHERE page_id % 10 <> 0)
+SELECT 'file' AS part, 'p' || page_id || '/main.TEX' AS path, md5(html) AS digest, 2 * k AS file_seq FROM p
+UNION ALL SELECT 'file', 'main.tex', md5('p' || CASE WHEN page_id % 3 = 0 THEN chr(65533) ELSE chr(233) END || ' ' || page_id), 2 * k + 1 FROM p
+UNION ALL SELECT 'asset', 'p' || page_id || '/fig.Png', 'png ' || md5('\\x89PNG'::BLOB), -1 FROM p
+UNION ALL SELECT 'asset', 'shared.png', 'png ' || md5(CAST(max(page_id) AS VARCHAR)), -1 FROM p HAVING count(*) > 0
+UNION ALL SELECT 'warning', 'ignored, not a zip archive: a' || page_id || '.rar', NULL, -1 FROM pages WHERE page_id % 10 = 0
+UNION ALL SELECT 'warning', 'read with replacements, not utf-8: main.tex of a' || lpad(CAST(page_id AS VARCHAR), 9, '0') || '.zip', NULL, -1 FROM p WHERE page_id % 3 = 0""",
     "llm_stub_pipeline": "SELECT 'd' AS id, 'Definition' AS type, 'Region' AS title WHERE (SELECT count(*) FROM region) > 0",
     "repair_restore": f"WITH {_G} SELECT 'repaired' AS part, id, CASE WHEN trim(coalesce(content, '')) <> '' AND NOT contains(content, 'BUILDING') THEN upper(content) ELSE content END AS content, CASE WHEN trim(coalesce(content, '')) <> '' AND NOT contains(content, 'BUILDING') THEN 'true' END AS fixed FROM n UNION ALL SELECT 'restored', id, content, CASE WHEN trim(coalesce(content, '')) <> '' AND NOT contains(content, 'BUILDING') THEN 'false' END FROM n",
 }

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -68,6 +69,20 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 0 < files * 4 <= cores else df
 
 
+def numbered(rows: DataFrame, order: list, to: str) -> DataFrame:
+    """``rows`` with ``to``: their places from 0 by ``order``. Ranges are numbered in parallel; their counts, a row for each, are summed and joined."""
+    inner = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ranges = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_in": inner}), "ranges")
+    return ranges.join(starts(ranges, F.lit(1)), "_part").withColumn(to, (F.col("_start") + F.col("_in")).cast("long")).drop("_part", "_in", "_start")
+
+
+def starts(ranges: DataFrame, amount) -> DataFrame:
+    """(_part, _start): the sum of ``amount`` over the ranges before each; marked for broadcast, as it has a row for each task that wrote them."""
+    sums = ranges.groupBy("_part").agg(F.sum(amount).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return F.broadcast(sums.select("_part", before.cast("long").alias("_start")))
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
