@@ -162,20 +162,53 @@ def group_links(group: np.ndarray, fp: np.ndarray, fp2: np.ndarray, rep: np.ndar
         out_a.append(rep[i])
         out_b.append(rep[i + s])
     for start, size in zip(starts[sizes > FAN], sizes[sizes > FAN], strict=True):
-        own, more, name = fp[start : start + size], fp2[start : start + size], rep[start : start + size]
-        index = GrayIndex(own)
-        name_there, more_there = name[index.order], more[index.order]
-        for k in range(0, size, 256):
-            q, place, far = index.pairs(own[k : k + 256], limit)
-            a, b = name[k + q], name_there[place]
-            less = (a < b) & ((far <= SURE) | (far + popcount(more[k + q] ^ more_there[place]) <= total))
-            a, b = forest(a[less], b[less]) if less.any() else (a[:0], b[:0])
-            out_a.append(a)
-            out_b.append(b)
+        a, b = class_links(fp[start : start + size], fp2[start : start + size], rep[start : start + size], limit, total)
+        out_a.append(a)
+        out_b.append(b)
     a, b = np.concatenate(out_a), np.concatenate(out_b)
     return forest(a, b) if len(a) else (a, b)
 
 
+def class_links(fp: np.ndarray, fp2: np.ndarray, rep: np.ndarray, limit: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one group in Gray order. The index holds each fp once; its nodes, which differ in fp2, are a class.
+
+    Classes at SURE bits or fewer link whatever fp2 is. Of the others within ``limit`` any two of
+    their nodes may, so all are set against each other, unless the classes are connected already.
+    """
+    first = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
+    n = np.diff(np.append(first, len(fp)))
+    own = fp[first]
+    index = GrayIndex(own)
+    found = [index.pairs(own[k : k + 256], limit) for k in range(0, len(own), 256)]
+    x = np.concatenate([q + 256 * k for k, (q, _, _) in enumerate(found)])
+    y = index.order[np.concatenate([place for _, place, _ in found])]
+    far = np.concatenate([f for _, _, f in found])
+    x, y, far = (v[x < y] for v in (x, y, far))
+    sure = far <= SURE
+    a, b = forest(x[sure], y[sure]) if sure.any() else (x[:0], y[:0])
+    label = np.arange(len(own))
+    label[a] = b
+    x, y, far = (v[~sure & (label[x] != label[y])] for v in (x, y, far))
+    times = n[x] * n[y]
+    out = [(rep[first[a]], rep[first[b]]), (rep[first.repeat(n)], rep)]
+    for k in cut_at(times, 1 << 20):
+        each = np.repeat(np.arange(k.start, k.stop), times[k])
+        nth = np.arange(len(each)) - np.repeat(np.cumsum(times[k]) - times[k], times[k])
+        i, j = first[x[each]] + nth // n[y[each]], first[y[each]] + nth % n[y[each]]
+        near = far[each] + popcount(fp2[i] ^ fp2[j]) <= total
+        a, b = rep[i[near]], rep[j[near]]
+        out.append(forest(a, b) if len(a) else (a, b))
+    a, b = np.concatenate([p[0] for p in out]), np.concatenate([p[1] for p in out])
+    return a[a != b], b[a != b]
+
+
+def cut_at(sizes: np.ndarray, most: int) -> list[slice]:
+    """Runs of places whose sizes add up to about ``most``; a place of more is a run of its own."""
+    run = np.cumsum(sizes) // most
+    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(sizes) else np.empty(0, np.int64)
+    return [slice(i, j) for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(sizes)])]
+
+
 # ---- dealing to groups -------------------------------------------------------------------------
 
 
@@ -208,19 +241,19 @@ SEARCH_BYTES = 8 << 20
 def links(nodes: DataFrame, limit: int = 3, split: int = 20_000, total: int | None = None) -> DataFrame:
     """(a, b) of reps that connect all (fp, fp2, rep) of ``nodes`` within ``limit`` differing bits of fp, and ``total`` of both or SURE of fp.
 
-    Nodes of one fp link to the one of the smallest fp2, which then stands for them all, so the
-    search sees each fp once, and which that is does not hang on how rows are dealt. Groups over ``split`` fingerprints are dealt again by their free bits,
-    cut into limit + 1 runs of which two close fingerprints agree on one, until they are smaller; at
-    the latest when no bit is free, as a group then has one fp.
+    Nodes of one fp link to the one of the smallest fp2, its head. All nodes are dealt to groups; those of more
+    than ``split`` fps are dealt again by their free bits, cut into limit + 1 runs of which two close
+    fingerprints agree on one, until they are smaller. At most ``limit`` free bits have fewer fps than that.
     """
     total = limit if total is None else total
-    heads = cut(nodes.groupBy("fp").agg(F.min("fp2").alias("fp2"), F.min_by("rep", "fp2").alias("rep")), "heads")
-    same = nodes.select("fp", F.col("rep").alias("a")).join(heads.select("fp", F.col("rep").alias("b")), "fp").filter("a <> b").select("a", "b")
-    found = [same]
-    groups = cut(to_groups(heads, first_masks(limit)), "groups")
+    heads = cut(nodes.groupBy("fp").agg(F.min_by("rep", F.struct("fp2", "rep")).alias("head")), "heads")
+    marked = cut(nodes.join(heads, "fp").select("fp", "fp2", "rep", "head"), "marked")
+    found = [marked.filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))]
+    dealt_nodes = marked.select("fp", "fp2", "rep", (F.col("rep") == F.col("head")).cast("int").alias("head"))
+    groups = cut(to_groups(dealt_nodes, first_masks(limit)), "groups")
     while True:
-        sizes = groups.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n"))
-        large = cut(sizes.filter(F.col("n") > split).select("mask", "bits"), "large")
+        sizes = groups.groupBy("mask", "bits").agg(F.sum("head").alias("n"))
+        large = cut(sizes.filter((F.col("n") > split) & (F.bit_count(F.bitwise_not("mask")) > limit)).select("mask", "bits"), "large")
         masks = [r["mask"] for r in large.select("mask").distinct().collect()]  # as many as bits are cut in ways
         fit = groups.join(large, ["mask", "bits"], "left_anti") if masks else groups
         found.append(searched(fit, limit, total, pieces(groups, SEARCH_BYTES)))
@@ -273,8 +306,6 @@ def near_duplicates(docs: DataFrame, n: int = 3, limit: int = 3, total: int | No
     unlike texts of a large corpus would meet by chance and alike ones still miss each other,
     ``total`` takes a second fingerprint of mixed hashes: two rows link if either differs in
     ``limit`` bits or fewer and both together in no more than ``total`` (or either in 3 or fewer).
-    Texts that agree in one fingerprint are taken by the smallest of their other ones, so the result
-    is the same however the rows are dealt.
 
     Null, empty and blank texts have fingerprint 0 and link like any other; texts with fewer than
     ``n`` words are one shingle. Rows that repeat a doc_id or a text are rows of their own. Rows of

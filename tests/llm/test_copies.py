@@ -1,5 +1,6 @@
 import random
 import re
+import pytest
 from collections import defaultdict
 
 import numpy as np
@@ -119,11 +120,10 @@ def test_wide_links(spark):
     prints = list(dict.fromkeys(prints))
     nodes = spark.createDataFrame([(simhash.signed(a), simhash.signed(b), i) for i, (a, b) in enumerate(prints)], "fp long, fp2 long, rep long")
     near = lambda x, y: (d := (x[0] ^ y[0]).bit_count()) <= 3 or d <= 7 and d + (x[1] ^ y[1]).bit_count() <= 16
-    heads = [min((simhash.signed(p[1]), j) for j, p in enumerate(prints) if p[0] == x[0])[1] for x in prints]  # the smallest fp2 of each fp stands for it
     parent = list(range(len(prints)))
     for i in range(len(prints)):
         for j in range(i):
-            if near(prints[heads[i]], prints[heads[j]]):
+            if near(prints[i], prints[j]):
                 a, b = parent[i], parent[j]
                 parent = [min(a, b) if p in (a, b) else p for p in parent]
     for split in (20_000, 15):
@@ -159,25 +159,34 @@ def test_either_fingerprint_links(spark):
     assert got == want and 20 < len(set(want.values())) < 60
 
 
-def test_result_does_not_hang_on_how_rows_are_dealt(spark):
-    """Nodes that agree in one fingerprint and differ widely in the other: the same links in any order of rows."""
+@pytest.mark.parametrize("split", [20_000, 10])
+def test_nodes_of_one_fingerprint(spark, split):
+    """Nodes that agree in one fingerprint and differ widely in the other: each is set against all, in any order of rows."""
     rng = random.Random(4)
-    prints = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(8)]
+    prints = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(8)] + [(0, 0), (0, (1 << 30) - 1), (0xFF, ((1 << 30) - 1) ^ 0x1FF00000000)]
     while len(prints) < 300:
         a, b = rng.choice(prints)
         for bit in rng.sample(range(64), rng.randint(3, 9)):
             a, b = (a ^ 1 << bit, b) if len(prints) % 3 == 0 else (a, b ^ 1 << bit)
         prints.append((a, b))
-    prints, seen = list(dict.fromkeys(prints)), []
-    for seed in range(3):
+    prints = list(dict.fromkeys(prints))
+    near = lambda x, y: (d := (x[0] ^ y[0]).bit_count()) <= 3 or d <= 8 and d + (x[1] ^ y[1]).bit_count() <= 17
+    group = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if near(prints[i], prints[j]):
+                x, y = group[i], group[j]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    want = sorted(sorted(j for j in range(len(prints)) if group[j] == g) for g in set(group))
+    assert group[10] == group[9] == group[8] and (prints[8][0] ^ prints[10][0]).bit_count() + (prints[8][1] ^ prints[10][1]).bit_count() > 17
+    for seed in range(2):
         order = random.Random(seed).sample(range(len(prints)), len(prints))
         nodes = spark.createDataFrame([(simhash.signed(prints[i][0]), simhash.signed(prints[i][1]), rep) for rep, i in enumerate(order)], "fp long, fp2 long, rep long")
-        got = {r["node"]: r["component"] for r in components.connected_components(simhash.links(nodes, 8, total=12)).collect()}
-        groups = defaultdict(set)
+        got = {r["node"]: r["component"] for r in components.connected_components(simhash.links(nodes, 8, split, 17)).collect()}
+        groups = defaultdict(list)
         for rep, i in enumerate(order):
-            groups[got.get(rep, rep)].add(i)
-        seen.append(sorted(map(sorted, groups.values())))
-    assert seen[0] == seen[1] == seen[2] and 1 < len(seen[0]) < len(prints)
+            groups[got.get(rep, rep)].append(i)
+        assert sorted(map(sorted, groups.values())) == want and 1 < len(want) < len(prints)
 
 
 def test_query_by_brute_force(spark, tmp_path):
