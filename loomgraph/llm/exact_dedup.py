@@ -62,7 +62,7 @@ def exact_dedup(docs: DataFrame, tracked: int = 2048) -> DataFrame:
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1")
     )
-    heavy = F.broadcast(cut(heavy.coalesce(1), "heavy"))  # at most 2 x `tracked` rows
+    heavy = F.broadcast(cut(heavy, "heavy"))  # at most 2 x `tracked` rows
     marked = d.join(heavy, "digest", "left")
     same = Window.partitionBy("digest")
     light = (

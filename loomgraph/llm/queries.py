@@ -99,7 +99,7 @@ WITH s AS (SELECT source, count(*) AS size FROM documents GROUP BY source),
      r AS (SELECT source, all_size * pow(size, 0.7) / all_share / size AS rate FROM s CROSS JOIN t),
      q AS (SELECT source, CAST(greatest(1, ceil(rate / 8)) AS INTEGER) AS parts, rate / greatest(1, ceil(rate / 8)) AS p FROM r),
      c AS (SELECT source, parts, list_transform(range(0, 49), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(j * ln(p) - p - lgamma(j + 1))))) AS cdf FROM q),
-     d AS (SELECT doc_id, documents.source AS source, text, CAST(list_sum(list_transform(range(1, parts + 1), lambda i: len(list_filter(cdf, lambda x: x <= CAST('0x' || substr(md5('mix:' || doc_id || ':' || i), 1, 13) AS BIGINT) / 4503599627370496.0)))) AS BIGINT) AS n
+     d AS (SELECT doc_id, documents.source AS source, text, CAST(list_sum(list_transform(range(1, parts + 1), lambda i: len(list_filter(cdf, lambda x: x <= CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) || ':' || i), 1, 13) AS BIGINT) / 4503599627370496.0)))) AS BIGINT) AS n
            FROM documents JOIN c ON c.source IS NOT DISTINCT FROM documents.source)
 SELECT doc_id, source, unnest(range(1, n + 1)) AS mix_copy, n AS mix_copies, md5(coalesce(text, '')) AS text_md5 FROM d WHERE n > 0
 """,
