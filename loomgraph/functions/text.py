@@ -55,6 +55,43 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
+#: Elements over which a running result is carried one by one; arrays grow by copying, so longer ones are cut.
+RUN = 256
+
+
+def running(x: Column, start: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each element ``combine`` of ``start`` and all elements up to it; ``combine`` is associative and ``start`` neutral.
+
+    Runs of RUN elements are done each by itself, then what the runs before come to is put to each of their
+    elements, so an array of n costs some n x RUN and (n / RUN)^2 steps of copying, not n^2.
+    """
+
+    def simple(own: Column) -> Column:
+        grown = F.aggregate(own, F.array(start), lambda acc, v: F.concat(acc, F.array(combine(F.element_at(acc, -1), v))))
+        return F.slice(grown, F.lit(2), F.size(own))
+
+    def by_runs(own: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / F.lit(RUN)).cast("int")), lambda k: simple(F.slice(own, k * RUN + 1, F.lit(RUN))))
+
+        def carried(done: Column) -> Column:
+            before = F.concat(F.array(start), simple(F.transform(done, lambda r: F.element_at(r, -1))))
+            return F.flatten(F.zip_with(done, F.slice(before, F.lit(1), F.size(done)), lambda r, e: F.transform(r, lambda v: combine(e, v))))
+
+        return let(runs, carried)
+
+    return let(x, lambda own: F.when(F.size(own) <= RUN, simple(own)).otherwise(by_runs(own)))
+
+
+def running_sum(x: Column) -> Column:
+    """Sums of an array of ints up to each element."""
+    return running(x, F.lit(0), lambda a, b: a + b)
+
+
+def running_max(x: Column) -> Column:
+    """The largest up to each element of an array of ints from -1 on."""
+    return running(x, F.lit(-1), F.greatest)
+
+
 def spans(c: Column, pattern: str) -> Column:
     """All matches in order: an array of (match, start, end), 0-based and end exclusive.
 
@@ -63,8 +100,7 @@ def spans(c: Column, pattern: str) -> Column:
     """
 
     def placed(pieces: Column) -> Column:
-        ends = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
-        return let(ends, lambda at: F.zip_with(pieces, F.slice(at, F.lit(2), F.size(pieces)), one))
+        return F.zip_with(pieces, running_sum(F.transform(pieces, F.length)), one)
 
     def one(piece: Column, end: Column) -> Column:
         found = F.regexp_extract(piece, rf"(?is)\A(.*?)({pattern})\z", 2)
@@ -73,6 +109,23 @@ def spans(c: Column, pattern: str) -> Column:
     return let(all_groups(c, rf"(?is)\G(.*?)({pattern})", 0), placed)  # \G: what follows the last match is gone through once
 
 
+def within(places: Column, ranges: Column) -> Column:
+    """For each place (an int) whether one of the ranges (start, end; apart from each other) holds it, its end included.
+
+    Ranges and places are put in one order, in which the largest end so far tells.
+    """
+    events = F.concat(
+        F.transform(ranges, lambda r: F.struct(r["start"].alias("at"), F.lit(-1).alias("nth"), r["end"].alias("end"))),
+        F.transform(places, lambda p, i: F.struct(p.alias("at"), i.alias("nth"), F.lit(-1).alias("end"))),
+    )
+
+    def told(e: Column) -> Column:
+        held = F.zip_with(e, running_max(F.transform(e, lambda x: x["end"])), lambda x, end: F.struct(x["nth"].alias("nth"), (end >= x["at"]).alias("held")))
+        return F.transform(F.array_sort(F.filter(held, lambda x: x["nth"] >= 0)), lambda x: x["held"])
+
+    return let(F.array_sort(events), told)
+
+
 def uri_component(c: Column) -> Column:
     """Percent-encoding as encodeURIComponent does it."""
     out = F.url_encode(c)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, all_groups, cut_first, group, let, or_empty, spans, trim
+from ..functions.text import WS, all_groups, cut_first, group, let, or_empty, running_max, running_sum, spans, trim, within
 from ..model import EDGES, ENVIRONMENTS, META, NODES, Graph, Selection, columns_like, no_meta, seq, source_of
 from ..storage import stored
 from .graph import upsert_edges, upsert_nodes
@@ -44,14 +44,14 @@ def references(text: Column) -> Column:
 
 
 def environments(text: Column, entities: tuple[str, ...]) -> Column:
-    """Theorem-like blocks of the selected types in order: an array of (env, type, title, body, label, start, end)."""
-    found = spans(text, _ENV % 3)
+    """Theorem-like blocks of the selected types in order: an array of (env, type, title, body, label)."""
+    found = all_groups(text, "(?is)" + _ENV % 1, 0)
     kind = F.create_map(*[F.lit(x) for pair in ENVIRONMENTS.items() for x in pair])
 
-    def fields(s: Column) -> Column:
-        env = F.lower(F.regexp_extract(s["match"], "(?is)" + _ENV % 1, 1))
-        parts = F.struct(env.alias("env"), trim(F.regexp_extract(s["match"], "(?is)" + _ENV % 1, 2)).alias("body"))
-        return let(parts, lambda x: F.struct(x["env"].alias("env"), F.element_at(kind, x["env"]).alias("type"), bracket_title(s["match"]).alias("title"), x["body"].alias("body"), first_label(x["body"]).alias("label"), s["start"].alias("start"), s["end"].alias("end")))
+    def fields(block: Column) -> Column:
+        env = F.lower(F.regexp_extract(block, "(?is)" + _ENV % 1, 1))
+        parts = F.struct(env.alias("env"), trim(F.regexp_extract(block, "(?is)" + _ENV % 1, 2)).alias("body"))
+        return let(parts, lambda x: F.struct(x["env"].alias("env"), F.element_at(kind, x["env"]).alias("type"), bracket_title(block).alias("title"), x["body"].alias("body"), first_label(x["body"]).alias("label")))
 
     return F.filter(F.transform(found, fields), lambda e: e["type"].isin(*entities))
 
@@ -67,15 +67,11 @@ def formulas(text: Column) -> Column:
 
         return F.filter(F.transform(spans(text, pattern), fields), lambda f: f["body"] != "")
 
-    out = [of(pattern) for pattern in FORMULAS]
-    def placed(ranges: Column) -> Column:
-        def within(f: Column) -> Column:
-            inside = F.exists(ranges, lambda w: (f["start"] >= w["start"]) & (f["start"] <= w["end"]))
-            return F.struct(f["body"].alias("body"), f["label"].alias("label"), f["start"].alias("start"), inside.alias("inside"))
+    def placed(found: Column) -> Column:
+        held = within(F.transform(found, lambda f: f["start"]), worked)
+        return F.zip_with(found, held, lambda f, inside: F.struct(f["body"].alias("body"), f["label"].alias("label"), f["start"].alias("start"), inside.alias("inside")))
 
-        return F.transform(F.concat(*out), within)
-
-    return let(worked, placed)
+    return let(F.concat(*[of(pattern) for pattern in FORMULAS]), placed)
 
 
 def split_worked(content: Column) -> Column:
@@ -130,14 +126,14 @@ def parsed(chunks: DataFrame, selection: Selection = Selection()) -> DataFrame:
 
     def numbered(own: Column) -> Column:
         # A formula without a label takes a number: its id has it from 0, its title from 1.
-        counts = F.aggregate(own, F.array(F.lit(0)), lambda acc, f: F.concat(acc, F.array(F.element_at(acc, -1) + f["label"].isNull().cast("int"))))
+        counts = running_sum(F.transform(own, lambda f: f["label"].isNull().cast("int")))
 
         def named_one(f: Column, k: Column) -> Column:
             labeled = one(F.concat(F.lit("tex:"), f["label"]), F.concat(F.lit("Formula ("), f["label"], F.lit(")")), f)
-            plain = one(F.concat("id", F.lit(":formula:"), k.cast("string")), F.concat(F.lit("Formula "), (k + 1).cast("string")), f)
+            plain = one(F.concat("id", F.lit(":formula:"), (k - 1).cast("string")), F.concat(F.lit("Formula "), k.cast("string")), f)
             return F.when(f["label"].isNotNull(), labeled).otherwise(plain)
 
-        return let(counts, lambda c: F.zip_with(own, F.slice(c, F.lit(1), F.size(own)), named_one))
+        return F.zip_with(own, counts, named_one)
 
     said = F.arrays_zip(all_groups(F.col("text"), DERIVED, 1).alias("said"), all_groups(F.col("text"), DERIVED, 3).alias("label"))
     return chunks.withColumns({"section_id": F.concat(F.lit("sec:"), F.array_join(path, " / ")), "envs": named, "maths": let(maths, numbered), "refs": references(F.col("text")), "said": said})
@@ -179,14 +175,9 @@ BLOCK = 1 << 40
 
 def binding_edges(p: DataFrame, selection: Selection = Selection()) -> DataFrame:
     """Examples and exercises to the nearest core environment before them in the chunk."""
-    start = F.struct(F.array().cast("array<string>").alias("cores"), F.lit(None).cast("string").alias("last"))
-    carried = F.aggregate(
-        "envs",
-        start,
-        lambda acc, e: F.struct(F.concat(acc["cores"], F.array(acc["last"])).alias("cores"), F.when(e["type"].isin(*CORES), e["id"]).otherwise(acc["last"]).alias("last")),
-        lambda acc: acc["cores"],
-    )
-    last = F.zip_with("envs", carried, lambda e, core: F.struct(e["id"].alias("id"), e["type"].alias("type"), core.alias("core")))
+    place = running_max(F.transform("envs", lambda e, i: F.when(e["type"].isin(*CORES), i).otherwise(-1)))
+    before = let(place, lambda at: F.transform(at, lambda _, i: F.when(i > 0, F.get(at, i - 1)).otherwise(-1)))
+    last = F.zip_with("envs", before, lambda e, k: F.struct(e["id"].alias("id"), e["type"].alias("type"), F.when(k >= 0, F.get(F.col("envs"), k)["id"]).alias("core")))
     bound = p.select(F.col("id").alias("chunk_id"), "chunk_seq", F.posexplode(last).alias("place", "e")).select("*", "e.*").filter("core is not null")
     kind = F.lit(None).cast("string")
     if "AssistsIn" in selection.relations:

@@ -1,9 +1,13 @@
 """Properties that hold for any graph and any text, on random ones."""
 
+import itertools
 import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from loomgraph.functions import text
 from loomgraph.model import CHUNKS, EDGES, NODES, Graph
 from loomgraph.operators import graph as g
 from loomgraph.operators import segment
@@ -77,3 +81,20 @@ def test_windows_overlap(spark):
         for i, r in enumerate(own):
             assert [t.strip() for t in r["t"]] == whole[c][i * 15 : i * 15 + 30]
         assert own[-1]["w"] * 15 + 30 >= len(whole[c])
+
+
+def test_running_results(spark):
+    """Sums and largest so far, over and under the length at which arrays are cut."""
+    for n in (0, 1, 255, 256, 257, 3000):
+        x = [(i * 7919) % 101 for i in range(n)]
+        r = spark.createDataFrame([(x,)], "x array<int>").select(text.running_sum(F.col("x")).alias("s"), text.running_max(F.col("x")).alias("m")).first()
+        assert r["s"] == list(itertools.accumulate(x)) and r["m"] == list(itertools.accumulate(x, max))
+
+
+def test_within_ranges(spark):
+    rng = random.Random(2)
+    for n in (0, 3, 700):
+        cuts = sorted(rng.sample(range(5000), 2 * n))
+        ranges, places = list(zip(cuts[::2], cuts[1::2])), [rng.randrange(5000) for _ in range(2 * n + 2)] + [e for _, e in zip(range(3), cuts)]
+        df = spark.createDataFrame([(places, ranges)], "p array<int>, r array<struct<start:int,end:int>>")
+        assert df.select(text.within(F.col("p"), F.col("r"))).first()[0] == [any(a <= p <= b for a, b in ranges) for p in places]
