@@ -297,11 +297,15 @@ def export_owl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The star graph's rows of JSON put in documents of one node each, and read."""
-    rows = gf.json_rows(star_graph(spark, sf_dir))
-    doc = F.when(F.col("part") == "node", F.concat(F.lit('{"version": 1, "graph": {"nodes": ['), "json", F.lit('], "edges": []}}'))).otherwise(F.concat(F.lit('{"nodes": [], "edges": ['), "json", F.lit("]}")))
-    made = gf.from_json(rows.select(doc.alias("value")))
-    return _flat_nodes(made.nodes).select(F.lit("node").alias("part"), "id", "type", "title", "label", "chunk").unionByName(_flat_edges(made.edges).select(F.lit("edge").alias("part"), F.col("source").alias("id"), "type", F.col("target").alias("title"), F.col("evidence").alias("label"), "chunk"))
+    """The star graph in documents of JSON, 40 numbers of nodes in each; each third node comes again, with another title, in a later one."""
+    graph = star_graph(spark, sf_dir)
+    again = graph.nodes.filter("seq.major % 3 = 0").select("seq", F.to_json(F.struct("id", "type", F.concat(F.lit("again "), "title").alias("title"))).alias("json"), F.lit(1).alias("turn"))
+    nodes = gf.json_rows(graph).filter("part = 'node'").select("seq", "json", F.lit(0).alias("turn")).unionByName(again)
+    documents = nodes.groupBy("turn", F.expr("seq.major div 40").alias("block")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "json"))), lambda x: x["json"]), ",").alias("list"))
+    of_nodes = documents.select(F.struct("turn", "block").alias("doc"), F.concat(F.lit('{"version": 1, "graph": {"nodes": ['), "list", F.lit('], "edges": []}}')).alias("value"))
+    of_edges = gf.json_rows(graph).filter("part = 'edge'").select(F.struct(F.lit(2).alias("turn"), F.col("seq.major").alias("block")).alias("doc"), F.concat(F.lit('{"nodes": [], "edges": ['), "json", F.lit("]}")).alias("value"))
+    made = gf.from_json(of_nodes.unionByName(of_edges))
+    return _flat_nodes(g.upsert_nodes(made.nodes)).select(F.lit("node").alias("part"), "id", "type", "title", "label", "chunk").unionByName(_flat_edges(made.edges).select(F.lit("edge").alias("part"), F.col("source").alias("id"), "type", F.col("target").alias("title"), F.col("evidence").alias("label"), "chunk"))
 
 
 def import_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,10 +315,11 @@ def import_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turtle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of Turtle, each group of them parsed as a document of its own, and their graph."""
-    lines = gf.turtle_lines(star_graph(spark, sf_dir)).select("line")
-    made = gf.from_turtle(lines.select(F.col("line").alias("value")))
-    return _flat_edges(made.edges).select("source", "type", "target")
+    """The star graph written as Turtle files and read from them, cut at statement ends."""
+    path = f"{fresh_folder(spark, 'turtle')}/graph.ttl"
+    gf.write_graph(star_graph(spark, sf_dir), path)
+    made = gf.read_graph(spark, path)
+    return _flat_nodes(made.nodes).select(F.lit("node").alias("part"), "id", "type", "title", "content", "label").unionByName(_flat_edges(made.edges).select(F.lit("edge").alias("part"), F.col("source").alias("id"), "type", F.col("target").alias("title"), F.col("evidence").alias("content"), F.lit(None).cast("string").alias("label")))
 
 
 _METAS = "SELECT CASE WHEN event_id % 50 <> 0 THEN 's' || event_id END AS id, CASE WHEN event_id % 7 <> 0 THEN ts END AS createdAt, event_id AS nodes, user_id AS edges, event_type AS note FROM events"

@@ -117,9 +117,9 @@ SELECT doc_id, CASE WHEN length(h) >= 10 AND length(t) >= 10 AND a > 0 AND b > 0
     "export_owl_rows": f"""WITH {_G} SELECT CAST(0 AS BIGINT) AS part, '  <owl:Class rdf:about="{BASE}' || type || '"/>' AS xml FROM n GROUP BY type UNION ALL SELECT 1, '  <owl:ObjectProperty rdf:about="{BASE}' || type || '"/>' FROM e GROUP BY type
 UNION ALL SELECT 2, '  <owl:NamedIndividual rdf:about="' || {_uri('id')} || '">' || chr(10) || '    <rdf:type rdf:resource="{BASE}' || type || '"/>' || chr(10) || '    <rdfs:label>' || {_xml('title')} || '</rdfs:label>' || CASE WHEN content <> '' THEN chr(10) || '    <latexkg:content>' || {_xml('content')} || '</latexkg:content>' ELSE '' END || chr(10) || '  </owl:NamedIndividual>' FROM n
 UNION ALL SELECT 3, '  <rdf:Description rdf:about="' || {_uri('source')} || '">' || chr(10) || '    <latexkg:' || type || ' rdf:resource="' || {_uri('target')} || '"/>' || chr(10) || '  </rdf:Description>' FROM e""",
-    "import_json": f"WITH {_G} SELECT 'node' AS part, id, type, title, label, chunk FROM n UNION ALL SELECT 'edge', source, type, target, evidence, chunk FROM e",
+    "import_json": f"WITH {_G} SELECT 'node' AS part, id, type, CASE WHEN major % 3 = 0 THEN 'again ' ELSE '' END || title AS title, label, chunk FROM n UNION ALL SELECT 'edge', source, type, target, evidence, chunk FROM e",
     "import_triples": f"WITH {_G}, x AS (SELECT DISTINCT source AS id FROM e WHERE source NOT IN (SELECT id FROM n)) SELECT 'node' AS part, id, type, title, nullif(content, '') AS content, label FROM n UNION ALL SELECT 'node', id, 'Conclusion', id, NULL, NULL FROM x UNION ALL SELECT 'edge', source, type, target, NULL, NULL FROM e",
-    "turtle_roundtrip": f"WITH {_G} SELECT source, type, target FROM e",
+    "turtle_roundtrip": f"WITH {_G}, x AS (SELECT DISTINCT source AS id FROM e WHERE source NOT IN (SELECT id FROM n)) SELECT 'node' AS part, id, type, title, nullif(content, '') AS content, label FROM n UNION ALL SELECT 'node', id, 'Conclusion', id, NULL, NULL FROM x UNION ALL SELECT 'edge', source, type, target, NULL, NULL FROM e",
     "snapshot_list": "SELECT id, nodes, edges, note FROM (SELECT 's' || event_id AS id, ts, event_id AS nodes, user_id AS edges, event_type AS note FROM events WHERE event_id % 50 <> 0 AND event_id % 7 <> 0 ORDER BY ts DESC, 's' || event_id DESC LIMIT 20)",
     "snapshot_keep_latest": "WITH m AS (SELECT 's' || event_id AS id, ts FROM events WHERE event_id % 50 <> 0 AND event_id % 7 <> 0) SELECT id FROM m WHERE id <> (SELECT id FROM m ORDER BY ts DESC, id DESC LIMIT 1)",
     "zip_scan": """WITH p AS (SELECT page_id, html, row_number() OVER (ORDER BY page_id) - 1 AS k FROM pages WHERE page_id % 10 <> 0)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
-import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import or_empty, uri_component, uri_decode, xml_escape
 from ..model import EDGES, META, NODES, Graph, columns_like, seq, source_of
+from ..storage import numbered
+from .turtle import ARROW_TRIPLES, TRIPLES, Statements, parse_turtle, triples_of_files  # noqa: F401
 
 # Namespaces of the files.
 BASE = "https://example.org/latexkg#"
@@ -27,17 +29,21 @@ _LISTS = f"nodes array<{_NODE}>, edges array<{_EDGE}>"
 
 
 def from_json(texts: DataFrame) -> Graph:
-    """The graph in ``texts`` (value: a JSON document), ``{graph: {nodes, edges}}`` or ``{nodes, edges}``; of rows with neither it raises."""
-    read = texts.select(F.from_json("value", f"struct<graph:struct<{_colons()}>,{_colons()}>").alias("j"))
+    """The graph in ``texts`` (value: a JSON document; doc, which orders them, if there is one), ``{graph: {nodes, edges}}`` or ``{nodes, edges}``.
+
+    seq is the document's number and the place in its list. Of rows with neither form it raises.
+    """
+    read = in_order(texts).select("doc_no", F.from_json("value", f"struct<graph:struct<{_colons()}>,{_colons()}>").alias("j"))
     wrapped = F.col("j.graph.nodes").isNotNull() & F.col("j.graph.edges").isNotNull()
     own = F.col("j.nodes").isNotNull() & F.col("j.edges").isNotNull()
     bad = F.raise_error(F.lit("expected {graph:{nodes,edges}} or {nodes,edges}"))
     g = read.select(
+        "doc_no",
         F.when(wrapped, F.col("j.graph.nodes")).when(own, F.col("j.nodes")).otherwise(bad.cast(f"array<{_NODE}>")).alias("nodes"),
         F.when(wrapped, F.col("j.graph.edges")).when(own, F.col("j.edges")).otherwise(bad.cast(f"array<{_EDGE}>")).alias("edges"),
     )
-    nodes = g.select(F.posexplode("nodes").alias("place", "x")).select("x.*", seq("place").alias("seq"))
-    edges = g.select(F.posexplode("edges").alias("place", "x")).select("x.*", seq("place").alias("seq"))
+    each = lambda name: g.select("doc_no", F.posexplode(name).alias("place", "x")).select("x.*", seq("doc_no", "place").alias("seq"))
+    nodes, edges = each("nodes"), each("edges")
     return Graph(columns_like(nodes, NODES), columns_like(edges, EDGES))
 
 
@@ -105,74 +111,12 @@ def turtle_lines(graph: Graph) -> DataFrame:
     return triples(graph).select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), o, F.lit(" .")).alias("line"), "part", "seq", "nth")
 
 
-_TOKEN = re.compile(
-    r'\s+|\#[^\n]*|(?P<prefix>@prefix|PREFIX)|(?P<uri><[^>]*>)|(?P<long>"""(?:[^"\\]|\\.|"(?!""))*""")|(?P<text>"(?:[^"\\\n]|\\.)*")'
-    r"|(?P<mark>[.;,\[\]()])(?=\s|$|[^\w])|(?P<tag>@[A-Za-z-]+)|(?P<type>\^\^)|(?P<name>[^\s<>\"';,\[\]()]*?:(?:[^\s<>\"';,\[\]()\\]|\\.)*[^\s<>\"';,.\[\]()]|[^\s<>\"';,\[\]()]*:|a(?=\s)|[\w.+-]+)",
-    re.S,
-)
-_ESCAPE = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
-
-
-def parse_turtle(text: str) -> list[tuple[str, str, str, bool]]:
-    """(s, p, o, literal) of the statements in a subset of Turtle: prefixes, URIs, prefixed names, strings, ``a``, ``;`` and ``,``."""
-    prefixes: dict[str, str] = {}
-    unescape = lambda x: re.sub(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", lambda m: chr(int(m[1][1:], 16)) if m[1][0] in "uU" and len(m[1]) > 1 else _ESCAPE.get(m[1], m[1]), x, flags=re.S)
-    out, parts, at, pending = [], [], 0, None
-
-    def term(m: re.Match) -> tuple[str, bool]:
-        kind, x = m.lastgroup, m.group()
-        if kind == "uri":
-            return unescape(x[1:-1]), False
-        if kind in ("text", "long"):
-            return unescape(x[3:-3] if kind == "long" else x[1:-1]), True
-        if x == "a":
-            return f"{RDF}type", False
-        head, colon, tail = x.partition(":")
-        if not colon:
-            return x, True
-        if head not in prefixes:
-            raise ValueError(f"unknown prefix {head}:")
-        return prefixes[head] + re.sub(r"\\(.)", r"\1", tail), False
-
-    while at < len(text):
-        m = _TOKEN.match(text, at)
-        if not m:
-            raise ValueError(f"not Turtle at {text[at:at + 40]!r}")
-        at = m.end()
-        kind = m.lastgroup
-        if kind is None:
-            continue
-        if kind == "prefix":
-            pending = [m.group()]
-        elif pending is not None:
-            pending.append(m.group())
-            if len(pending) == 3:
-                prefixes[pending[1].rstrip(":")] = pending[2][1:-1]
-                pending = None if pending[0] == "PREFIX" else [*pending, ""]
-            elif m.group() == ".":
-                pending = None
-        elif kind == "mark":
-            if m.group() not in ".;,":
-                raise ValueError("blank nodes and lists are not read")
-            if len(parts) == 3:
-                out.append((parts[0][0], parts[1][0], *parts[2]))
-            parts = [] if m.group() == "." else parts[:1] if m.group() == ";" else parts[:2]
-        elif kind == "type":
-            parts.append(("^^", True))
-        elif kind == "tag":
-            continue
-        elif parts and parts[-1] == ("^^", True):
-            parts.pop()
-        else:
-            parts.append(term(m))
-    return out
-
-
-TRIPLES = T.StructType([T.StructField("s", T.StringType()), T.StructField("p", T.StringType()), T.StructField("o", T.StringType()), T.StructField("literal", T.BooleanType()), T.StructField("place", T.LongType())])
-
-
 def graph_of_triples(t: DataFrame) -> Graph:
-    """Nodes and edges of triples (s, p, o, literal, place): the last value of a field wins; a missing type is Conclusion, a missing title the id."""
+    """Nodes and edges of triples (s, p, o, literal, place): the last value of a field wins; a missing type is Conclusion, a missing title the id.
+
+    place is a number or a pair (major, minor). Blank nodes are neither nodes nor ends.
+    """
+    at = F.col("place") if isinstance(t.schema["place"].dataType, T.StructType) else seq("place")
     t = t.withColumn("sid", node_id_of(F.col("s"))).filter("sid is not null")
     here = F.struct("place")
     is_type = (F.col("p") == f"{RDF}type") & ~F.col("literal") & F.col("o").startswith(BASE)
@@ -185,28 +129,34 @@ def graph_of_triples(t: DataFrame) -> Graph:
     source = F.when(F.col("file").isNotNull() | F.col("label").isNotNull(), source_of(F.col("file"), F.col("label"), F.lit(None).cast("array<string>")))
     nodes = nodes.select(
         F.col("sid").alias("id"), F.when(or_empty(F.col("type")) == "", "Conclusion").otherwise(F.col("type")).alias("type"), F.when(or_empty(F.col("title")) == "", F.col("sid")).otherwise(F.col("title")).alias("title"),
-        "content", source.alias("source"), F.lit(None).cast(META).alias("meta"), seq("place").alias("seq"),
+        "content", source.alias("source"), F.lit(None).cast(META).alias("meta"), at.alias("seq"),
     )
     known = F.col("p").isin(f"{BASE}content", f"{BASE}sourceFile", f"{BASE}latexLabel") & F.col("literal")
     e = t.filter(F.col("p").startswith(BASE) & ~F.col("literal") & ~known).withColumn("tid", node_id_of(F.col("o"))).filter("tid <> ''")
     edges = e.select(
         F.lit(None).cast("string").alias("id"), F.substring(F.col("p"), F.lit(len(BASE) + 1), F.length("p")).alias("type"), F.col("sid").alias("source"), F.col("tid").alias("target"),
-        F.lit(None).cast("string").alias("evidence"), F.lit(None).cast(META).alias("meta"), seq("place").alias("seq"),
+        F.lit(None).cast("string").alias("evidence"), F.lit(None).cast(META).alias("meta"), at.alias("seq"),
     )
     return Graph(columns_like(nodes, NODES), columns_like(edges, EDGES))
 
 
 def from_turtle(texts: DataFrame) -> Graph:
-    """The graph in ``texts`` (value: a Turtle document)."""
-    import pandas as pd
+    """The graph in ``texts`` (value: a Turtle document; doc, which orders them, if there is one), each parsed by one task; triples_of_files() cuts large ones."""
 
     def run(batches):
         for b in batches:
-            for value in b["value"]:
-                rows = parse_turtle(value)
-                yield pd.DataFrame(rows, columns=["s", "p", "o", "literal"]).assign(place=range(len(rows)))
+            for r in b.to_pylist():
+                found = Statements(r["value"] or "", scope=f"d{r['doc_no']}.").out
+                rows = [{"s": s, "p": p, "o": o, "literal": literal, "place": {"major": r["doc_no"], "minor": i}} for i, (s, p, o, literal) in enumerate(found)]
+                yield pa.RecordBatch.from_pylist(rows, ARROW_TRIPLES)
+
+    return graph_of_triples(in_order(texts).mapInArrow(run, TRIPLES))
+
 
-    return graph_of_triples(texts.select("value").mapInPandas(run, TRIPLES))
+def in_order(texts: DataFrame) -> DataFrame:
+    """(value, doc_no): documents by ``doc``, without it by what they say."""
+    order = ["doc", "value"] if "doc" in texts.columns else ["value"]
+    return numbered(texts.select(*order), order, "doc_no").select("value", "doc_no")
 
 
 def owl_rows(graph: Graph) -> DataFrame:
@@ -245,8 +195,10 @@ def read_graph(spark: SparkSession, path: str, kind: str | None = None) -> Graph
     kind = kind or format_of(path)
     if kind not in ("json", "turtle"):
         raise ValueError(f"{kind} is not read")
+    if kind == "turtle":
+        return graph_of_triples(triples_of_files(spark, path))
     texts = spark.read.text(path, wholetext=True)
-    return from_json(texts) if kind == "json" else from_turtle(texts)
+    return from_json(texts.select("value", F.col("_metadata.file_path").alias("doc")))
 
 
 def write_graph(graph: Graph, path: str, kind: str | None = None) -> None:
