@@ -9,7 +9,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -77,10 +76,12 @@ def numbered(rows: DataFrame, order: list, to: str) -> DataFrame:
 
 
 def starts(ranges: DataFrame, amount) -> DataFrame:
-    """(_part, _start): the sum of ``amount`` over the ranges before each; marked for broadcast, as it has a row for each task that wrote them."""
-    sums = ranges.groupBy("_part").agg(F.sum(amount).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return F.broadcast(sums.select("_part", before.cast("long").alias("_start")))
+    """(_part, _start): the sum of ``amount`` over the ranges before each, from their sums, a row for each task that wrote them."""
+    table, at = [], 0
+    for r in sorted(ranges.groupBy("_part").agg(F.sum(amount).alias("n")).collect(), key=lambda r: r["_part"]):
+        table.append((r["_part"], at))
+        at += r["n"]
+    return F.broadcast(ranges.sparkSession.createDataFrame(table, "_part int, _start long"))
 
 
 @atexit.register
