@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import END, WS, all_groups, or_empty, trim
 from ..model import CONCEPT_TYPES, Graph
+from ..storage import broadcast_if_small, stored
 from .extract import LABEL, REFERENCE
 
 WORDS, HEAD, SHORTEST = 41, 600, 4
@@ -30,27 +31,38 @@ def path_end(path: Column) -> Column:
     return F.array_join(F.when(F.size(path) > 2, F.slice(path, -2, 2)).otherwise(path), " / ")
 
 
-def scored(nodes: DataFrame, asked: DataFrame) -> DataFrame:
-    """(chunk_seq, id, seq, score) of the nodes with a score for a chunk.
+def by_terms(nodes: DataFrame) -> DataFrame:
+    """(id, seq, t, label, end), written: what nodes are found by. Their titles in lower case, labels, and ends of paths."""
+    end = path_end(F.coalesce("source.sectionPath", F.array().cast("array<string>")))
+    return stored(nodes.select("id", "seq", F.lower(or_empty(F.col("title"))).alias("t"), F.col("source.latexLabel").alias("label"), end.alias("end")), "found-by")
+
+
+def scored(n: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """(chunk_seq, id, seq, score) of nodes ``n`` (by_terms) with a score for a chunk, among them each chunk's ``most`` best ones.
 
     Each part of the score is found by a join of its own, so no node is paired with a chunk that it
-    has nothing to do with: by label, by id, by the end of the path, and by words. A word counts if
+    has nothing to do with: by label, by id, and by words. A word counts if
     the title contains it, in other words too, so the titles' words are cut into all their parts of
-    4 characters, joined with the first 4 of each sought word, and then verified.
+    4 characters, joined with the first 4 of each sought word, and then verified. Nodes found so are looked up by the end
+    of their path. Of those that have nothing but that in common with a chunk, a section's
+    first ``most`` will do: whichever of these are found otherwise, too, come before all of its others.
     """
-    n = nodes.select("id", "seq", F.lower(or_empty(F.col("title"))).alias("t"), F.col("source.latexLabel").alias("label"), path_end(F.coalesce("source.sectionPath", F.array().cast("array<string>"))).alias("end"))
     labels = asked.select("chunk_seq", F.explode("labels").alias("l"))
-    by_label = n.filter("label <> ''").join(labels, F.col("label") == F.col("l")).select("chunk_seq", "id", "seq", F.lit(20).alias("score"))
-    by_id = n.filter(F.col("id").startswith("tex:")).withColumn("own", F.expr("substring(id, 5)")).join(labels, F.col("own") == F.col("l")).select("chunk_seq", "id", "seq", F.lit(20).alias("score"))
-    by_path = n.filter("end <> ''").join(asked.select("chunk_seq", "hint"), F.col("end") == F.col("hint")).select("chunk_seq", "id", "seq", F.lit(3).alias("score"))
+    found = ["chunk_seq", "id", "seq", "end"]
+    by_label = n.filter("label <> ''").join(labels, F.col("label") == F.col("l")).select(*found, F.lit(20).alias("score"))
+    by_id = n.filter(F.col("id").startswith("tex:")).withColumn("own", F.expr("substring(id, 5)")).join(labels, F.col("own") == F.col("l")).select(*found, F.lit(20).alias("score"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - (SHORTEST - 1))), lambda i: F.substring("t", i, F.lit(SHORTEST))))
-    cut = n.withColumn("gram", F.explode(grams))
     words = asked.select("chunk_seq", F.explode("words").alias("w")).withColumn("gram", F.substring("w", 1, SHORTEST))
-    distinct = words.select("w", "gram").distinct()  # titles meet words once, whatever number of chunks asks for them
-    titles = cut.join(distinct, "gram").filter(F.contains("t", F.col("w"))).select("id", "seq", "w").distinct()
-    by_word = titles.join(words.select("chunk_seq", "w"), "w").select("chunk_seq", "id", "seq", F.lit(2).alias("score"))
-    every = by_label.unionByName(by_id).unionByName(by_path).unionByName(by_word)
-    return every.groupBy("chunk_seq", "id", "seq").agg(F.sum("score").cast("int").alias("score"))
+    distinct = broadcast_if_small(stored(words.select("w", "gram").distinct(), "asked-words"))  # titles meet words once, whatever number of chunks asks for them
+    titles = n.withColumn("gram", F.explode(grams)).join(distinct, "gram").filter(F.contains("t", F.col("w"))).select("id", "seq", "end", "w").distinct()
+    by_word = titles.join(words.select("chunk_seq", "w"), "w").select(*found, F.lit(2).alias("score"))
+    others = by_label.unionByName(by_id).unionByName(by_word).groupBy("chunk_seq", "id", "seq").agg(F.sum("score").alias("score"), F.max("end").alias("end"))
+    hints = broadcast_if_small(stored(asked.select("chunk_seq", "hint"), "hints"))
+    others = others.join(hints, "chunk_seq").select("chunk_seq", "id", "seq", (F.col("score") + F.when((F.col("end") != "") & (F.col("end") == F.col("hint")), 3).otherwise(0)).cast("int").alias("score"))
+    first = Window.partitionBy("end").orderBy("seq")
+    of_sections = n.filter("end <> ''").join(hints.select(F.col("hint").alias("end")).distinct(), "end", "left_semi").withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= most)
+    by_path = of_sections.join(hints, F.col("end") == F.col("hint")).select("chunk_seq", "id", "seq", F.lit(3).alias("score"))
+    return others.unionByName(by_path).groupBy("chunk_seq", "id", "seq").agg(F.max("score").alias("score"))
 
 
 def shown_nodes(graph: Graph, chunks: DataFrame, most: int = NODES_SHOWN) -> DataFrame:
@@ -58,9 +70,10 @@ def shown_nodes(graph: Graph, chunks: DataFrame, most: int = NODES_SHOWN) -> Dat
 
     A chunk never needs more than the first ``most`` nodes to fill up, so only those are paired with chunks.
     """
-    best = scored(graph.nodes, queries(chunks))
-    first = graph.nodes.orderBy("seq").limit(most).select("id", "seq")  # at most `most` rows
-    fill = chunks.select("chunk_seq").join(F.broadcast(first), F.lit(True)).join(best.select("chunk_seq", "id"), ["chunk_seq", "id"], "left_anti").withColumn("score", F.lit(0))
+    n, asked = by_terms(graph.nodes), stored(queries(chunks), "asked")
+    best = stored(scored(n, asked, most), "scored")
+    first = stored(n.select("id", "seq").orderBy("seq").limit(most), "first-nodes")  # at most `most` rows
+    fill = asked.select("chunk_seq").join(F.broadcast(first), F.lit(True)).join(best.select("chunk_seq", "id"), ["chunk_seq", "id"], "left_anti").withColumn("score", F.lit(0))
     order = Window.partitionBy("chunk_seq").orderBy(F.desc("score"), "seq")
     every = best.unionByName(fill.select("chunk_seq", "id", "seq", "score")).withColumn("place", F.row_number().over(order))
     return every.filter(F.col("place") <= most).select("chunk_seq", (F.col("place") - 1).alias("place"), "id", "score")

@@ -6,7 +6,10 @@ a connection; a caller passes a function that does.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -64,6 +67,34 @@ def responses(asked: DataFrame, extractor: Extractor, parallelism: int = 4, stri
     return asked.repartition(n, "chunk_seq").mapInPandas(run, RESPONSES)
 
 
+def remembered(extractor: Extractor, folder: str, model: str = "") -> Extractor:
+    """``extractor`` with its answers kept in ``folder``, a file for each model and prompt, so no prompt is answered twice.
+
+    A task looks for a prompt's file before it asks, and writes it as soon as it has the answer, so neither a task that runs
+    again nor a run that was ended and is started anew asks again. Failures are not kept. The folder is in
+    a store that pyarrow opens and all executors share.
+    """
+
+    def ask(prompt: str) -> str:
+        import pyarrow.fs as pf
+
+        key = hashlib.sha256(f"{model}\0{prompt}".encode()).hexdigest()
+        fs, root = pf.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder))
+        at = f"{root.rstrip('/')}/{key[:2]}/{key}.json"
+        if fs.get_file_info(at).type == pf.FileType.File:
+            with fs.open_input_stream(at) as f:
+                return f.read().decode()
+        answer = extractor(prompt)
+        fs.create_dir(os.path.dirname(at), recursive=True)
+        own = f"{at}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(own) as f:
+            f.write(answer.encode())
+        fs.move(own, at)  # whole or not at all
+        return answer
+
+    return ask
+
+
 def stub(answers: dict[str, str]) -> Extractor:
     """An extractor for tests: the answer whose key the prompt holds, else an empty graph."""
     return lambda prompt: next((v for k, v in answers.items() if k in prompt), '{"nodes": [], "edges": []}')

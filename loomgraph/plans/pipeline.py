@@ -21,7 +21,7 @@ from ..operators.normalize import annotated, completed, filtered, normalized
 from ..operators.retrieve import registry_text, summaries
 from ..operators.segment import chunk_files
 from ..storage import stored
-from .extractors import Extractor, prompts, responses
+from .extractors import Extractor, prompts, remembered, responses
 from .snapshots import SnapshotStore
 
 SHOWN, EVERY = 160, 10
@@ -64,6 +64,11 @@ def _cleaned(run: Run) -> Run:
     return run
 
 
+def between(chunks: DataFrame, places: list[int]) -> DataFrame:
+    """The chunks of a wave: those from its first to its last place."""
+    return chunks.filter(F.col("chunk_seq").between(places[0], places[-1]))
+
+
 def extract_wave(chunks: DataFrame, graph: Graph, extractor: Extractor, selection: Selection, phase: int, registry: str, parallelism: int, strict: bool) -> tuple[Graph, list[str]]:
     """A wave's chunks through the extractor: asked, put in normal form, completed, annotated, filtered."""
     asked = prompts(chunks, summaries(graph, chunks, SHOWN), selection, phase, registry, frozen=phase == 2)
@@ -87,15 +92,22 @@ def build_with_model(
     cancelled: Callable[[], bool] = lambda: False,
     null_overwrites: bool = False,
     wave: int | None = None,
+    concept_wave: int = 1,
+    answers: str | None = None,
 ) -> Run:
     """Two phases: concepts chunk by chunk, alignment and freezing of names, then the rest in waves.
 
+    Prompts of phase 1 see what the chunk before gave; with ``concept_wave`` over 1 they see what the wave of so many chunks
+    before gave, and a wave's prompts are asked side by side. A wave of phase 2 is ``wave`` chunks, without it as many as prompts
+    are open at once. ``answers`` names a folder in which answers are kept (remembered()): a run that is started anew gets from there what it has asked before.
+
     A failure in phase 1 or of the alignment ends the run with the status ``error`` and what was
     committed; in phase 2 it is a warning. ``cancelled`` is asked between waves; what was committed
     stays. Snapshots are taken every 10 chunks of phase 2; a failure to
     write one is ignored.
     """
     spark = chunks.sparkSession
+    extractor = remembered(extractor, answers, config.model) if answers else extractor
     places = [r["chunk_seq"] for r in chunks.select("chunk_seq").orderBy("chunk_seq").collect()]  # one model call a chunk bounds this
     run = Run(start or Graph.empty(spark))
 
@@ -109,16 +121,18 @@ def build_with_model(
         return run
 
     first = Selection(tuple(t for t in selection.entities if t in CONCEPT_TYPES), tuple(r for r in selection.relations if r in CONCEPT_RELATIONS), selection.notes)
-    for i, place in enumerate(places):
+    step = max(1, int(concept_wave))
+    for i in range(0, len(places), step):
         if cancelled():
             run.status = "stopped"
             return run
+        own = places[i : i + step]
         try:
-            made, said = extract_wave(chunks.filter(F.col("chunk_seq") == place), run.graph, extractor, first, 1, registry_text(run.graph.nodes), 1, strict=True)
+            made, said = extract_wave(between(chunks, own), run.graph, extractor, first, 1, registry_text(run.graph.nodes), min(step, config.parallelism), strict=True)
         except Exception as e:
             return failed(f"phase 1, chunk {i + 1}: {e}")
         run.warnings += said
-        commit(made, "phase 1", i + 1)
+        commit(made, "phase 1", i + len(own))
     try:
         aligned = stored(align(run.graph.nodes, aligner), "aligned")
     except Exception as e:
@@ -129,13 +143,13 @@ def build_with_model(
     run.progress.append(("freeze", 1, *run.graph.counts().values()))
 
     rest = Selection(tuple(t for t in selection.entities if t not in CONCEPT_TYPES), selection.relations, selection.notes)
-    size = max(1, min(32, int(wave or config.parallelism or 1)))
+    size = max(1, int(wave or min(32, config.parallelism or 1)))
     for i in range(0, len(places), size):
         if cancelled():
             run.status = "stopped"
             return run
         own = places[i : i + size]
-        made, said = extract_wave(chunks.filter(F.col("chunk_seq").isin(own)), run.graph, extractor, rest, 2, registry_text(run.graph.nodes), size, strict=False)
+        made, said = extract_wave(between(chunks, own), run.graph, extractor, rest, 2, registry_text(run.graph.nodes), min(size, config.parallelism), strict=False)
         run.warnings += said
         commit(apply_alias(made, alias), "phase 2", i + len(own))
         if snapshots is not None and (i + len(own)) // EVERY > i // EVERY:

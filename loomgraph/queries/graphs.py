@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import json
+import re
 import zipfile
 
 import pandas as pd
@@ -16,7 +18,7 @@ from ..operators import graph as g
 from ..operators import normalize as no
 from ..operators import repair as rp
 from ..operators import retrieve as rt
-from ..plans import extractors, pipeline
+from ..plans import pipeline
 from ..plans.snapshots import all_but_latest, newest
 from ..sources import graph_files as gf
 from ..sources import uploads
@@ -363,12 +365,20 @@ def zip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_stub_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The model-backed run over regions as chunks with a stub for the model: nodes and edges that come out."""
-    chunks = sql(spark, sf_dir, "SELECT 'chunk:a:' || r_regionkey AS id, 'a.tex' AS file, r_name AS title, chr(92) || 'begin{definition}' || r_name || chr(92) || 'end{definition}' AS text, r_regionkey * 65536 AS chunk_seq FROM region")
+    """The model-backed run over suppliers as chunks, in waves, with a stub that answers by what a chunk says; an edge to nowhere is in each answer."""
+    chunks = sql(spark, sf_dir, "SELECT 'chunk:a:' || s_suppkey AS id, 'a.tex' AS file, s_name AS title, chr(92) || 'begin{definition}' || chr(92) || 'label{sup' || s_suppkey || '} ' || s_name || ' is a member.' || chr(92) || 'end{definition}' AS text, s_suppkey * 65536 AS chunk_seq FROM supplier")
     chunks = chunks.select("id", "file", "title", F.array(F.lit("a.tex"), "title").alias("section_path"), "text", F.col("chunk_seq").cast("long").alias("chunk_seq"))
-    answer = '{"nodes": [{"id": "d", "type": "Definition", "title": "Region", "content": "all of them"}, {"id": "e", "type": "Theorem", "title": "Theorem 1", "content": "x"}], "edges": [{"type": "Uses", "source": "d", "target": "gone"}, {"type": "Uses", "source": "d", "target": "d2"}]}'
-    run = pipeline.build_with_model(stored(chunks, "chunks"), extractors.stub({"definition": answer}), Selection(), ModelConfig(parallelism=5))
-    return run.graph.nodes.select("id", "type", "title")
+
+    def answer(prompt: str) -> str:
+        k, name = re.findall(r"\\label\{sup(\d+)\} (.*) is a member", prompt)[-1]
+        if "Phase 1" in prompt:
+            return json.dumps({"nodes": [{"id": f"tex:sup{k}", "type": "Definition", "title": name, "content": f"{name} is a member.", "source": {"file": "a.tex", "latexLabel": f"sup{k}"}}], "edges": []})
+        uses = [{"type": "Uses", "source": f"thm{k}", "target": t} for t in (f"tex:sup{k}", f"tex:sup{int(k) - 1}", "gone")]
+        return json.dumps({"nodes": [{"id": f"thm{k}", "type": "Theorem", "title": f"On {name}", "content": f"what holds for member {k}"}], "edges": uses})
+
+    run = pipeline.build_with_model(stored(chunks, "chunks"), answer, Selection(), ModelConfig(parallelism=8), wave=500, concept_wave=500)
+    made = run.graph.nodes.select(F.lit("node").alias("part"), "id", "type", "title")
+    return made.unionByName(run.graph.edges.select(F.lit("edge").alias("part"), F.col("source").alias("id"), "type", F.col("target").alias("title")))
 
 
 def repair_restore(spark: SparkSession, sf_dir: str) -> DataFrame:

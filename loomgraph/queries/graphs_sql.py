@@ -129,6 +129,7 @@ UNION ALL SELECT 'asset', 'p' || page_id || '/fig.Png', 'png ' || md5('\\x89PNG'
 UNION ALL SELECT 'asset', 'shared.png', 'png ' || md5(CAST(max(page_id) AS VARCHAR)), -1 FROM p HAVING count(*) > 0
 UNION ALL SELECT 'warning', 'ignored, not a zip archive: a' || page_id || '.rar', NULL, -1 FROM pages WHERE page_id % 10 = 0
 UNION ALL SELECT 'warning', 'read with replacements, not utf-8: main.tex of a' || lpad(CAST(page_id AS VARCHAR), 9, '0') || '.zip', NULL, -1 FROM p WHERE page_id % 3 = 0""",
-    "llm_stub_pipeline": "SELECT 'd' AS id, 'Definition' AS type, 'Region' AS title WHERE (SELECT count(*) FROM region) > 0",
+    "llm_stub_pipeline": """SELECT 'node' AS part, 'tex:sup' || s_suppkey AS id, 'Definition' AS type, s_name AS title FROM supplier UNION ALL SELECT 'node', 'thm' || s_suppkey, 'Theorem', 'On ' || s_name FROM supplier
+UNION ALL SELECT 'edge', 'thm' || s_suppkey, 'Uses', 'tex:sup' || s_suppkey FROM supplier UNION ALL SELECT 'edge', 'thm' || s_suppkey, 'Uses', 'tex:sup' || (s_suppkey - 1) FROM supplier WHERE s_suppkey - 1 IN (SELECT s_suppkey FROM supplier)""",
     "repair_restore": f"WITH {_G} SELECT 'repaired' AS part, id, CASE WHEN trim(coalesce(content, '')) <> '' AND NOT contains(content, 'BUILDING') THEN upper(content) ELSE content END AS content, CASE WHEN trim(coalesce(content, '')) <> '' AND NOT contains(content, 'BUILDING') THEN 'true' END AS fixed FROM n UNION ALL SELECT 'restored', id, content, CASE WHEN trim(coalesce(content, '')) <> '' AND NOT contains(content, 'BUILDING') THEN 'false' END FROM n",
 }

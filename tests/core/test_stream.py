@@ -239,3 +239,29 @@ def test_repair(spark):
     back = {r["id"]: (r["content"], r["meta"]) for r in repair.restore(once).collect()}
     assert back["a"] == ("bad", {"originalContent": "bad", "mathjaxFixed": "false"})
     assert align.label_rule(n).count() == 0
+
+
+def test_answers_are_kept(spark, tmp_path):
+    """A run that ends at its third call and is started anew asks for no answer twice, in either phase."""
+    chunks, calls = chunks_for_model(spark), tmp_path / "calls"
+    calls.mkdir()
+
+    def model(broken):
+        def ask(prompt):
+            (calls / str(len(list(calls.iterdir())))).write_text(prompt)
+            if broken and len(list(calls.iterdir())) == 2:
+                raise RuntimeError("killed")
+            return '{"nodes": [{"id": "d", "type": "Definition", "title": "D", "content": "c"}], "edges": []}'
+
+        return ask
+
+    keep = str(tmp_path / "answers")
+    first = pipeline.build_with_model(chunks, model(True), answers=keep)
+    assert first.status == "error" and len(list(calls.iterdir())) == 2
+    second = pipeline.build_with_model(chunks, model(False), answers=keep)
+    n = 2 * chunks.count()
+    assert second.status == "done" and len(list(calls.iterdir())) == n + 1  # the failed call alone is made again
+    again = pipeline.build_with_model(chunks, model(False), answers=keep)
+    assert len(list(calls.iterdir())) == n + 1 and rows(again.graph.nodes) == rows(second.graph.nodes)
+    waves = pipeline.build_with_model(chunks, model(False), concept_wave=10, wave=10)
+    assert rows(waves.graph.nodes) == rows(second.graph.nodes)
