@@ -44,8 +44,8 @@ UNION ALL SELECT 'nat:' || n_nationkey, 'Notation', n_name, 'nation of region '
 UNION ALL SELECT 'tex:sup' || s_suppkey, 'Theorem', s_name, 'holds for ' || s_suppkey, 'sup' || s_suppkey, 'world/' || s_nationkey, 'chunk:n:' || s_nationkey, 1000 + s_suppkey FROM supplier
 UNION ALL SELECT 'cus:' || c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Example' ELSE 'Exercise' END, c_name, 'about "' || c_mktsegment || '" & <more>', CAST(NULL AS VARCHAR(10)), 'world/' || c_nationkey, 'chunk:n:' || c_nationkey, 1000000 + c_custkey FROM customer
 UNION ALL SELECT 'par:' || p_partkey, 'Formula', 'F ' || p_size,
-    CASE p_partkey % 8 WHEN 0 THEN 'f_X(x) dx and more of it' WHEN 1 THEN 'x_{12} = 3' WHEN 2 THEN chr(92) || 'Omega_5 ' || repeat('w ', 80) WHEN 3 THEN 'y = ' || repeat('z', 150) WHEN 4 THEN 'P(X = x) = p(x) ' || repeat('q', 120)
-      WHEN 5 THEN '-' || chr(92) || 'infty < t < ' || chr(92) || 'infty ' || repeat('r', 120) WHEN 6 THEN 'g_{1}(' || repeat('s', 150) ELSE 'xf_X(x) ' || repeat('u', 150) END,
+    CASE WHEN p_partkey % 16 = 12 THEN 'P' || chr(92) || 'left( X = x ' || chr(92) || 'right) = p' || chr(92) || 'left(x) ' || repeat('q', 120) ELSE CASE p_partkey % 8 WHEN 0 THEN 'f_X(x) dx and more of it' WHEN 1 THEN 'x_{12} = 3' WHEN 2 THEN chr(92) || 'Omega_5 ' || repeat('w ', 80) WHEN 3 THEN 'y = ' || repeat('z', 150) WHEN 4 THEN 'P(X = x) = p(x) ' || repeat('q', 120)
+      WHEN 5 THEN '-' || chr(92) || 'infty < t < ' || chr(92) || 'infty ' || repeat('r', 120) WHEN 6 THEN 'g_{1}(' || repeat('s', 150) ELSE 'xf_X(x) ' || repeat('u', 150) END END,
     CASE WHEN p_partkey % 40 = 3 THEN 'par' || p_partkey END, 'world/parts', 'chunk:p:' || (p_partkey % 10), 10000000 + p_partkey FROM part
 """
 #: Edges of the graph: type, source, target, evidence, chunk, major.

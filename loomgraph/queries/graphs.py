@@ -24,7 +24,7 @@ from ..sources import graph_files as gf
 from ..sources import uploads
 from ..storage import dealt, fresh_folder, stored
 from ..streaming.ingest import GraphTable, upsert_stream
-from .corpora import sql, star_graph
+from .corpora import LINES, sql, star_graph
 
 
 def _flat_nodes(nodes: DataFrame) -> DataFrame:
@@ -185,15 +185,26 @@ def llm_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def looks_like_math(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = sql(spark, sf_dir, "SELECT doc_id, text FROM documents")
-    return docs.select("doc_id", no.looks_like_math(F.col("text")).alias("math"), no.has_ellipsis(F.col("text")).alias("ellipsis"))
+    """Of texts of documents and of lines of LaTeX."""
+    texts = sql(spark, sf_dir, f"SELECT CAST(doc_id AS VARCHAR(20)) AS place, text FROM documents UNION ALL SELECT path || ' ' || o1 || ' ' || o2 || ' ' || o3, line FROM ({LINES}) l")
+    return texts.select("place", no.looks_like_math(F.col("text")).alias("math"), no.has_ellipsis(F.coalesce("text", F.lit(""))).alias("ellipsis"))
+
+
+#: Nodes that are trivial (a title of type and number), told (a formula with a sentence as title), or told in words of their chunk, which stay.
+_POOR = """SELECT 'triv:' || p_partkey AS id, 'Theorem' AS type, 'Theorem ' || p_partkey AS title, 'it holds' AS content, 40000000 + p_partkey AS major FROM part WHERE p_partkey % 10 = 0
+UNION ALL SELECT 'told:' || p_partkey, 'Formula', '这是一个关于群的叙述性标题', 'x = ' || p_partkey, 40000000 + p_partkey FROM part WHERE p_partkey % 10 = 1
+UNION ALL SELECT 'said:' || p_partkey, 'Formula', '这是一个关于环的叙述性标题', 'x = ' || p_partkey, 40000000 + p_partkey FROM part WHERE p_partkey % 10 = 2
+UNION ALL SELECT 'tex:triv' || p_partkey, 'Theorem', 'Theorem ' || p_partkey, 'it holds', 40000000 + p_partkey FROM part WHERE p_partkey % 10 = 3
+UNION ALL SELECT 'long:' || p_partkey, 'Lemma', 'Lemma ' || p_partkey, 'it holds for all of the many members there are', 40000000 + p_partkey FROM part WHERE p_partkey % 10 = 4"""
 
 
 def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trivial and suspicious nodes of the star graph, with a chunk for each node's place."""
-    graph = star_graph(spark, sf_dir)
-    texts = sql(spark, sf_dir, "SELECT 10000000 + p_partkey AS chunk_seq, 'text F ' || p_size || chr(92) || 'begin{example}g_{1}(' || repeat('s', 150) || chr(92) || 'end{example}' AS text FROM part")
-    return no.judged(graph.nodes, texts).filter("reason is not null").select("id", "reason")
+    """Trivial and suspicious nodes of the star graph and of _POOR, with a chunk for each node's place."""
+    poor = sql(spark, sf_dir, _POOR).withColumn("seq", seq("major"))
+    nodes = star_graph(spark, sf_dir).nodes.unionByName(columns_like(poor.withColumns({"source": F.lit(None), "meta": F.lit(None)}), NODES))
+    texts = sql(spark, sf_dir, """SELECT 10000000 + p_partkey AS chunk_seq, 'text F ' || p_size || chr(92) || 'begin{example}g_{1}(' || repeat('s', 150) || chr(92) || 'end{example}' AS text FROM part
+      UNION ALL SELECT 40000000 + p_partkey, CASE WHEN p_partkey % 10 = 2 THEN '说：这是一个关于环的叙述性标题。' ELSE 'nothing' END FROM part""")
+    return no.judged(nodes, texts).filter("reason is not null").select("id", "reason")
 
 
 def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.graph_files import BASE, RDF, RDFS
-from .corpora import STAR_EDGES, STAR_NODES
+from .corpora import LINES, STAR_EDGES, STAR_NODES
 
 _G = f"n AS ({STAR_NODES}), e AS ({STAR_EDGES})"
 _INC = "inc AS (SELECT event_id AS major, 'u' || (user_id % 997) AS id, event_type AS type, 'T' || (event_id % 13) AS title, CASE WHEN event_id % 3 = 0 THEN 'c' || event_id END AS content, 'k' || (event_id % 4) AS k, 'v' || event_id AS v, 'u' || (user_id % 31) AS target, 'chunk' || (event_id % 5) AS chunk FROM events)"
@@ -11,7 +11,7 @@ _KS = ", ".join(f"arg_max(v, CASE WHEN k = 'k{i}' THEN major END) FILTER (WHERE
 _UPSERT = f"SELECT id, arg_max(type, major) AS type, arg_max(title, major) AS title, arg_max(content, major) FILTER (WHERE content IS NOT NULL) AS content, {_KS}"
 _PART = "SELECT 'node' AS part, id FROM {n} UNION ALL SELECT 'edge', source || ' ' || type || ' ' || target FROM {e}"
 # Forms of templates and of numbered objects, as in operators/graph.py.
-_TEMPLATE = r"(regexp_matches({c}, 'P\s*\(\s*[A-Za-z]\\?[_A-Za-z0-9]*\s*=\s*[A-Za-z0-9_{{}}\\]+\s*\)\s*=\s*p\s*\(') OR regexp_matches({c}, '(^|[^A-Za-z0-9_])f_?[A-Za-z]\s*\(\s*[A-Za-z]\s*\)') OR regexp_matches({c}, 'p_?[A-Za-z]\s*\(\s*[A-Za-z]\s*\)') OR (contains({c}, '\infty') AND regexp_matches({c}, '-\s*\\infty') AND regexp_matches({c}, '<\s*[A-Za-z]')))"
+_TEMPLATE = r"(regexp_matches({c}, 'P\s*\(\s*[A-Za-z]\\?[_A-Za-z0-9]*\s*=\s*[A-Za-z0-9_{{}}\\]+\s*\)\s*=\s*p\s*\(') OR regexp_matches({c}, 'P\\left\(\s*[A-Za-z]\\?[_A-Za-z0-9]*\s*=\s*[A-Za-z0-9_{{}}\\]+\s*\\right\)\s*=\s*p\\left\(') OR regexp_matches({c}, '(^|[^A-Za-z0-9_])f_?[A-Za-z]\s*\(\s*[A-Za-z]\s*\)') OR regexp_matches({c}, 'p_?[A-Za-z]\s*\(\s*[A-Za-z]\s*\)') OR (contains({c}, '\infty') AND regexp_matches({c}, '-\s*\\infty') AND regexp_matches({c}, '<\s*[A-Za-z]')))"
 _INDEXED = r"(regexp_matches({c}, '\\Omega_\{{?\d+\}}?') OR (regexp_matches({c}, '[A-Za-z]_\{{?\d+\}}?') AND length(regexp_replace({c}, '\s+', '', 'g')) <= 25))"
 _T, _I = _TEMPLATE.format(c="content"), _INDEXED.format(c="content")
 _DEG = "ends AS (SELECT source AS id, type FROM e UNION ALL SELECT target, type FROM e), deg AS (SELECT id, count(*) AS degree, sum(CASE WHEN type <> 'Contains' THEN 1 ELSE 0 END)::BIGINT AS strong FROM ends GROUP BY id)"
@@ -92,8 +92,9 @@ SELECT id, arg_max(type, major) AS type, arg_max(title, length(title) * 10000000
     "freeze_edges": f"WITH RECURSIVE {_PAIRS} SELECT DISTINCT type, source, target, coalesce(chunk, '') AS chunk FROM re WHERE source <> target",
     "alias_apply": f"WITH RECURSIVE {_PAIRS} SELECT 'node' AS part, coalesce(a.canonical, CASE WHEN label IS NULL THEN n.id ELSE 'tex:' || label END) AS id, major FROM n LEFT JOIN alias a ON a.id = CASE WHEN label IS NULL THEN n.id ELSE 'tex:' || label END UNION ALL SELECT 'edge', source || ' ' || type || ' ' || target, major FROM re WHERE source <> target",
     "llm_normalize": "SELECT 'node' AS part, event_id AS chunk, CASE event_id % 5 WHEN 1 THEN 'a' ELSE 'n' END || event_id AS id, CASE event_id % 5 WHEN 1 THEN 'Lemma' ELSE 'Odd' END AS type, CASE event_id % 5 WHEN 4 THEN 'c' END AS content, CASE event_id % 5 WHEN 4 THEN 'l' || event_id END AS extra FROM events WHERE event_id % 5 IN (1, 4) UNION ALL SELECT 'edge', event_id, 'a b' || event_id, 'Uses', 'e', NULL FROM events WHERE event_id % 5 = 2",
-    "looks_like_math": f"SELECT doc_id, {_MATH} AS math, contains(text, '...') OR contains(text, '…') OR contains(text, '略') AS ellipsis FROM documents",
-    "quality_filter": f"WITH {_G}, f AS (SELECT *, {_MATH.replace('text', 'content')} AS math FROM n WHERE type = 'Formula') SELECT id, 'suspicious' AS reason FROM f WHERE (NOT math AND label IS NULL) OR (label IS NULL AND content = 'g_{{1}}(' || repeat('s', 150))".replace("{{1}}", "{1}"),
+    "looks_like_math": f"WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS place, text FROM documents UNION ALL SELECT path || ' ' || o1 || ' ' || o2 || ' ' || o3, line FROM ({LINES}) l) SELECT place, coalesce({_MATH}, false) AS math, coalesce(contains(text, '...') OR contains(text, '…') OR contains(text, '略'), false) AS ellipsis FROM t",
+    "quality_filter": f"""WITH {_G}, f AS (SELECT *, {_MATH.replace('text', 'content')} AS math FROM n WHERE type = 'Formula') SELECT id, 'suspicious' AS reason FROM f WHERE (NOT math AND label IS NULL) OR (label IS NULL AND content = 'g_' || chr(123) || '1' || chr(125) || '(' || repeat('s', 150))
+UNION ALL SELECT 'triv:' || p_partkey, 'trivial' FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT 'told:' || p_partkey, 'suspicious' FROM part WHERE p_partkey % 10 = 1""",
     "dangling_edges": f"WITH {_G} SELECT type, source, target FROM e WHERE source IN (SELECT id FROM n) AND target IN (SELECT id FROM n)",
     "complete_by_label": "SELECT s_suppkey AS k, chr(92) || 'label{q' || s_suppkey || '} a = ' || s_suppkey AS q, chr(92) || 'label{r' || s_suppkey || '} l' AS r, 'x ' || chr(92) || 'begin{align*}' || chr(92) || 'label{q' || s_suppkey || '} a = ' || s_suppkey || chr(92) || 'end{align*} y ' || chr(92) || 'begin{lemma}' || chr(92) || 'label{r' || s_suppkey || '} l ' || chr(92) || 'end{lemma} ' || chr(92) || 'label{z} tail' AS z, NULL::VARCHAR AS missing FROM supplier",
     "recover_prefix_suffix": r"""WITH d AS (SELECT doc_id, text, CASE WHEN contains(text[11:30] || text[61:75], '…') THEN NULL ELSE string_split(text[11:30] || '...' || text[61:75], '...') END AS p FROM documents),
