@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.model import CHUNKS, EDGES, NODES, Graph, ModelConfig, Selection
 from loomgraph.operators import align, extract, graph as g, repair
-from loomgraph.plans import extractors, pipeline
+from loomgraph.plans import extractors, pipeline, snapshots
 from loomgraph.plans.snapshots import SnapshotStore
 from loomgraph.sources import graph_files as gf
 from loomgraph.streaming.commits import CommitLog
@@ -114,11 +114,30 @@ def test_snapshots(spark, tmp_path):
     with pytest.raises(KeyError):
         store.load("none")
     store.keep_latest()
-    assert [r["id"] for r in store.list().collect()] == [second]
+    kept = store.list().collect()
+    assert len(kept) == 1 and kept[0]["nodes"] == 4 and rows(store.load(kept[0]["id"])[0].nodes) == rows(graph.nodes)
     store.clear()
     assert store.list().count() == 0
 
 
+def test_snapshots_write_what_changed(spark, tmp_path, monkeypatch):
+    """Rows that change, come, go and come again, and rows that are there twice: each snapshot loads as it was saved, and small changes are small."""
+    monkeypatch.setattr(snapshots, "CHAIN", 3)
+    store, saved = SnapshotStore(spark, str(tmp_path / "snaps")), []
+    base = spark.range(3000).select(F.concat(F.lit("n"), "id").alias("id"), F.lit("Lemma").alias("type"), F.sha2(F.col("id").cast("string"), 512).alias("title"), F.lit(None).cast("string").alias("content"), F.lit(None).cast(NODES["source"].dataType).alias("source"), F.create_map(F.lit("k"), F.lit("v")).alias("meta"), F.struct(F.col("id").alias("major"), F.lit(0).cast("long").alias("minor")).alias("seq"))
+    edges = increments(spark).edges
+    states = [base, base.filter("id <> 'n7'"), base.unionByName(base.limit(2)), base.withColumn("title", F.when(F.col("id") == "n9", "new").otherwise(F.col("title"))), base.limit(0), base]
+    for nodes in states:
+        saved.append(store.save(Graph(nodes, edges)))
+    for name, nodes in zip(saved, states):
+        got = store.load(name)[0]
+        assert rows(got.nodes) == rows(nodes) and rows(got.edges) == rows(edges)
+    size = lambda name: sum(p.stat().st_size for p in (tmp_path / "snaps" / name / "nodes").glob("*.parquet"))
+    changed = lambda name: spark.read.parquet(str(tmp_path / "snaps" / name / "nodes")).count()
+    assert [changed(name) for name in saved] == [3000, 1, 3, 4, 0, 3000] and size(saved[1]) < size(saved[0]) / 10
+    assert [json.loads(r["chain"]).index(r["id"]) for r in store.list().orderBy("createdAt").collect()] == [0, 1, 2, 3, 0, 1]
+
+
 def test_files(spark, tmp_path):
     chunk = spark.createDataFrame([("chunk:a:0", "a b.tex", "S", ["a b.tex", "S"], "\\begin{theorem}[Ü \"q\" & <x>]\\label{t:1} line\n\\end{theorem} \\ref{t:1} \\begin{example} e \\end{example}", 0)], CHUNKS)
     graph = extract.extract(chunk)
