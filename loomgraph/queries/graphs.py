@@ -19,7 +19,7 @@ from ..operators import normalize as no
 from ..operators import repair as rp
 from ..operators import retrieve as rt
 from ..plans import pipeline
-from ..plans.snapshots import all_but_latest, newest
+from ..plans.snapshots import SnapshotStore, all_but_latest, newest
 from ..sources import graph_files as gf
 from ..sources import uploads
 from ..storage import dealt, fresh_folder, stored
@@ -346,6 +346,14 @@ def snapshot_keep_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_but_latest(sql(spark, sf_dir, _METAS)).select("id")
 
 
+def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The star graph saved, then without its examples saved as the difference, and that loaded."""
+    store, graph = SnapshotStore(spark, fresh_folder(spark, "snapshots")), star_graph(spark, sf_dir)
+    store.save(graph)
+    back, _ = store.load(store.save(g.view(graph, show_examples=False)))
+    return back.nodes.select(F.lit("node").alias("part"), "id").unionByName(back.edges.select(F.lit("edge").alias("part"), F.concat_ws(" ", "source", "type", "target").alias("id")))
+
+
 def zip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An archive for each page, with two .tex files, an image, another file and a folder, scanned.
 
@@ -411,7 +419,7 @@ QUERIES = {
     for f in (
         node_upsert, node_upsert_null_overwrites, edge_upsert, edge_dedupe, incremental_equals_batch, stream_upsert, node_patch, degree_any_strong, template_formula, prune_graph, prune_stats, view_elements, components, components_in_batches,
         freeze_alias, freeze_nodes, freeze_edges, alias_apply, llm_normalize, looks_like_math, quality_filter, dangling_edges, complete_by_label, recover_prefix_suffix, recover_prefix_suffix_all, title_repair, query_words, relevance_topk, summary_edges,
-        concept_registry, align_label_rule, align_cards, align_accept, uri_encode, uri_encode_whole, export_json_rows, export_triples, export_owl_rows, import_json, import_triples, turtle_roundtrip, snapshot_list, snapshot_keep_latest, zip_scan,
+        concept_registry, align_label_rule, align_cards, align_accept, uri_encode, uri_encode_whole, export_json_rows, export_triples, export_owl_rows, import_json, import_triples, turtle_roundtrip, snapshot_list, snapshot_keep_latest, snapshot_roundtrip, zip_scan,
         llm_stub_pipeline, repair_restore,
     )
 }

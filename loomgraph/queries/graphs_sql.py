@@ -122,6 +122,7 @@ UNION ALL SELECT 3, '  <rdf:Description rdf:about="' || {_uri('source')} || '">'
     "import_triples": f"WITH {_G}, x AS (SELECT DISTINCT source AS id FROM e WHERE source NOT IN (SELECT id FROM n)) SELECT 'node' AS part, id, type, title, nullif(content, '') AS content, label FROM n UNION ALL SELECT 'node', id, 'Conclusion', id, NULL, NULL FROM x UNION ALL SELECT 'edge', source, type, target, NULL, NULL FROM e",
     "turtle_roundtrip": f"WITH {_G}, x AS (SELECT DISTINCT source AS id FROM e WHERE source NOT IN (SELECT id FROM n)) SELECT 'node' AS part, id, type, title, nullif(content, '') AS content, label FROM n UNION ALL SELECT 'node', id, 'Conclusion', id, NULL, NULL FROM x UNION ALL SELECT 'edge', source, type, target, NULL, NULL FROM e",
     "snapshot_list": "SELECT id, nodes, edges, note FROM (SELECT 's' || event_id AS id, ts, event_id AS nodes, user_id AS edges, event_type AS note FROM events WHERE event_id % 50 <> 0 AND event_id % 7 <> 0 ORDER BY ts DESC, 's' || event_id DESC LIMIT 20)",
+    "snapshot_roundtrip": _view("'Example'", True),
     "snapshot_keep_latest": "WITH m AS (SELECT 's' || event_id AS id, ts FROM events WHERE event_id % 50 <> 0 AND event_id % 7 <> 0) SELECT id FROM m WHERE id <> (SELECT id FROM m ORDER BY ts DESC, id DESC LIMIT 1)",
     "zip_scan": """WITH p AS (SELECT page_id, html, row_number() OVER (ORDER BY page_id) - 1 AS k FROM pages WHERE page_id % 10 <> 0)
 SELECT 'file' AS part, 'p' || page_id || '/main.TEX' AS path, md5(html) AS digest, 2 * k AS file_seq FROM p

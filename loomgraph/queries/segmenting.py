@@ -67,6 +67,15 @@ def _chunk_query(granularity: str):
     return query
 
 
+def chunk_section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same chunks as chunk_section from lines in blocks, as files that no task holds are read; no file is put together."""
+    lines = sql(spark, sf_dir, LINES).select("path", "o1", "o2", "o3", F.posexplode(F.split("line", "\n", -1)).alias("k", "line"))
+    pos = ((F.col("o1") * 4 + F.col("o2")) * 10_000_000_000 + F.col("o3") + 1) * 100 + F.col("k")
+    placed = lines.select("path", F.lit(0).cast("long").alias("file_seq"), pos.cast("long").alias("pos"), sg.strip_comment(F.col("line")).alias("line"))
+    c = sg.chunk_lines(placed.withColumn("block", F.floor(F.col("pos") / 20_000)))
+    return c.select("id", "file", "title", F.array_join("section_path", " / ").alias("path_text"), F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"))
+
+
 def file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = sql(spark, sf_dir, "SELECT lower(c_mktsegment) || '/' || (c_custkey % 97) || '.tex' AS path, '' AS content, c_custkey AS file_seq FROM customer")
     return sg.order_files(paths).select("path", "file_seq", F.col("rank").cast("long").alias("rank"))
@@ -206,7 +215,7 @@ _TAIL = "CASE WHEN contains(path_text, ' / ') THEN path_text[strpos(path_text, '
 QUERIES = {
     f.__name__: f
     for f in (
-        strip_comments_docs, strip_comments_corpus, heading_parse, heading_stack, file_order, chunk_preview, token_count_docs, token_windows_docs, env_extract, env_type_counts, formula_extract,
+        strip_comments_docs, strip_comments_corpus, heading_parse, heading_stack, chunk_section_lines, file_order, chunk_preview, token_count_docs, token_windows_docs, env_extract, env_type_counts, formula_extract,
         formula_outside_examples, ref_extract, label_index, example_split, nearest_core, section_nodes, contains_edges, dependson_edges, dependson_edges_global, derivedfrom_edges, full_heuristic_graph,
     )
 }
@@ -245,3 +254,4 @@ UNION ALL SELECT 'Contains', section, member, chunk FROM members UNION ALL SELEC
 SELECT 'node' AS part, type, count(*) AS n FROM one GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type""",
 }
 ORACLES |= {f"chunk_{g}": f"WITH {_chunks_sql(n)} SELECT id, file, title, path_text, md5(text) AS digest, length(text) AS n FROM chunks" for g, n in (("file", 0), ("chapter", 1), ("section", 2), ("subsection", 3))}
+ORACLES["chunk_section_lines"] = ORACLES["chunk_section"]
