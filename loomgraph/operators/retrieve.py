@@ -37,7 +37,12 @@ def by_terms(nodes: DataFrame) -> DataFrame:
     return stored(nodes.select("id", "seq", F.lower(or_empty(F.col("title"))).alias("t"), F.col("source.latexLabel").alias("label"), end.alias("end")), "found-by")
 
 
-def scored(n: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+def scored(nodes: DataFrame, asked: DataFrame, most: int = NODES_SHOWN) -> DataFrame:
+    """scored_by() of a graph's nodes."""
+    return scored_by(by_terms(nodes), asked, most)
+
+
+def scored_by(n: DataFrame, asked: DataFrame, most: int) -> DataFrame:
     """(chunk_seq, id, seq, score) of nodes ``n`` (by_terms) with a score for a chunk, among them each chunk's ``most`` best ones.
 
     Each part of the score is found by a join of its own, so no node is paired with a chunk that it
@@ -71,7 +76,7 @@ def shown_nodes(graph: Graph, chunks: DataFrame, most: int = NODES_SHOWN) -> Dat
     A chunk never needs more than the first ``most`` nodes to fill up, so only those are paired with chunks.
     """
     n, asked = by_terms(graph.nodes), stored(queries(chunks), "asked")
-    best = stored(scored(n, asked, most), "scored")
+    best = stored(scored_by(n, asked, most), "scored")
     first = stored(n.select("id", "seq").orderBy("seq").limit(most), "first-nodes")  # at most `most` rows
     fill = asked.select("chunk_seq").join(F.broadcast(first), F.lit(True)).join(best.select("chunk_seq", "id"), ["chunk_seq", "id"], "left_anti").withColumn("score", F.lit(0))
     order = Window.partitionBy("chunk_seq").orderBy(F.desc("score"), "seq")
