@@ -58,9 +58,16 @@ def edge_key(meta: Column) -> Column:
 
 
 def upsert_edges(rows: DataFrame, null_overwrites: bool = False) -> DataFrame:
-    """One edge for each source, type, target and chunk, merged like nodes."""
+    """One edge for each source, type, target and chunk, merged like nodes.
+
+    The chunk is the same in all rows of an edge, so it is taken out of meta before that is merged, and put back.
+    """
     keyed = rows.withColumn("chunk", edge_key(F.col("meta")))
-    return columns_like(upserted(keyed, ["source", "type", "target", "chunk"], [_last("id", null_overwrites), _last("evidence", null_overwrites)]), EDGES)
+    keyed = keyed.withColumn("meta", F.when(F.col("chunk") != "", F.map_filter("meta", lambda k, v: k != "chunkId")).otherwise(F.col("meta")))
+    made = upserted(keyed, ["source", "type", "target", "chunk"], [_last("id", null_overwrites), _last("evidence", null_overwrites)])
+    own = F.array(F.struct(F.lit("chunkId").alias("key"), F.col("chunk").alias("value")))
+    entries = F.concat(F.coalesce(F.map_entries("meta"), F.slice(own, 1, 0)), own)
+    return columns_like(made.withColumn("meta", F.when(F.col("chunk") != "", F.map_from_entries(F.array_sort(entries))).otherwise(F.col("meta"))), EDGES)
 
 
 def last_edges(rows: DataFrame) -> DataFrame:
