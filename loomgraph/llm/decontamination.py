@@ -75,6 +75,7 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8,
     ids take no part. Rows that repeat an id count as one set of shingles. Empty tables give an
     empty result. Other columns are ignored. Sketches and shingles of the items are broadcast while
     their files have no more than ``broadcast_bytes``; beyond, the joins shuffle.
+    Texts of any length are taken whole.
     """
     sized = item_shingles(items, n)
     short = sorted(r["k"] for r in sized.filter(F.col("k") < n).select("k").distinct().collect())  # at most n - 1 rows

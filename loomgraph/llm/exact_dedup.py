@@ -53,6 +53,7 @@ def exact_dedup(docs: DataFrame, tracked: int = 2048) -> DataFrame:
     count one by one in group_size; those with the smallest doc_id of a group are all marked kept.
     A null doc_id never stays while its group has another; an empty table gives an empty result.
     Columns other than doc_id and text are ignored.
+    Texts of any length are taken whole.
     """
     d = cut(digests(dealt(docs.select("doc_id", "text"))), "digests")
     candidates = F.broadcast(heavy_candidates(d, tracked))

@@ -160,6 +160,6 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def language_report(docs: DataFrame, per_lang: int = 400, most: int = 4000) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, with a model that has not seen the documents held out."""
+    """doc_id, held_out, lang_pred, score, with a model that has not seen the documents held out. Texts of any length are taken whole."""
     model = fit(docs.filter(~held_out(F.col("doc_id"))), per_lang, most)
     return identify(docs, model).withColumn("held_out", held_out(F.col("doc_id")))

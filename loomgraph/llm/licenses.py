@@ -163,6 +163,7 @@ def scan_licenses(docs: DataFrame, notices=NOTICES) -> DataFrame:
     Null, empty and blank texts have no words and no labels (empty strings, first and last null).
     Repeated rows get a row each; a null doc_id stays null; other columns are ignored; an empty
     table gives an empty result.
+    Texts of any length are taken whole.
     """
     columns = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
 

@@ -420,6 +420,7 @@ def score_texts(docs: DataFrame, held: Column | None = None, prior: float = PRIO
     an end alone. Repeated rows count and are scored each; null doc_ids are learned from and stay
     null; doc_ids keep their type; other columns are ignored; an empty table gives an empty result.
     base_score is by single words, score by the automaton; both are log10 of probabilities.
+    Texts of any length are taken whole.
     """
     held = held_out(F.col("doc_id")) if held is None else held
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (~held).alias("train"))

@@ -74,6 +74,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed:
     it there, which is a global shuffle; partitions hold rows of all sources. An empty table gives an empty result. Columns of
     ``docs`` pass through; those named like the new ones are replaced (replicated() keeps them). The rates are broadcast while
     their files have no more than ``most_bytes``; beyond, the join shuffles and splits hot sources.
+    Texts of any length are taken whole.
     """
     docs = docs.drop("mix_copy", "mix_copies", "mix_key", "_mix", "_mix_source")
     rates = with_steps(source_rates(docs, weights, power, total))

@@ -110,6 +110,7 @@ def shard_digest(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
 
     law is ``key``: doc_id and the number of shards decide. size is the text's UTF-8 bytes (null:
     none) and 16; grown_shard the shard with one more.
+    Texts of any length are taken whole.
     """
     written = with_slots(write_shards(docs.select("doc_id", "text"), shards, seed))
     return written.select(

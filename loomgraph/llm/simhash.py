@@ -311,6 +311,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, limit: int = 3, total: int | No
     ``n`` words are one shingle. Rows that repeat a doc_id or a text are rows of their own. Rows of
     a null doc_id get a fingerprint and take no part in links (component_id null). doc_ids keep
     their type. Other columns are ignored; an empty table gives an empty result.
+    Texts of any length are taken whole.
     """
     prints = fingerprints(docs, n, second=total is not None)
     nodes = prints.filter("doc_id is not null").groupBy("fp", "fp2").agg(F.min("doc_id").alias("least"))

@@ -196,6 +196,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | N
     null doc_id come first. Rows that repeat a doc_id, or have none, follow each other ordered by a
     hash of their text, which spreads them over files. An empty table gives no files. Other columns are ignored. Each file is
     the documents of one range of doc_ids; a task that is run again writes the same file.
+    Texts of any length are taken whole.
     """
     spark = docs.sparkSession
     path = path or fresh_dir(spark, "tokens")
