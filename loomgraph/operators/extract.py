@@ -35,6 +35,7 @@ def first_label(text: Column) -> Column:
 
 def bracket_title(block: Column) -> Column:
     r"""The title in brackets after the first \begin of the block that has one."""
+    # Fixed value: the title's pattern.
     return trim(group(block, rf"\\begin\{{[a-zA-Z*]+\}}[{WS}]*\[([^\]]+)\]", 1))
 
 
@@ -58,6 +59,7 @@ def environments(text: Column, entities: tuple[str, ...]) -> Column:
 
 def formulas(text: Column) -> Column:
     """Displayed formulas by pattern and place: an array of (body, label, start, inside); inside: in an example or exercise."""
+    # Fixed value: examples and exercises.
     worked = spans(text, r"\\begin\{(example|exercise)\}[\s\S]*?\\end\{\3\}")
 
     def of(pattern: str) -> Column:
@@ -80,6 +82,7 @@ def split_worked(content: Column) -> Column:
     Environments come first; without them, lines with the marks for a solution or an answer.
     """
     c = trim(or_empty(content))
+    # Environments of solutions and answers.
     solution_env, answer_env = r"(?is)\\begin\{solution\}(.*?)\\end\{solution\}", r"(?is)\\begin\{answer\}(.*?)\\end\{answer\}"
     has = c.rlike(solution_env) | c.rlike(answer_env)
     by_env = F.struct(

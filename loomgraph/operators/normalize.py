@@ -142,6 +142,7 @@ def is_trivial(node_id: Column, kind: Column, title: Column, content: Column, la
 
 def is_inside_worked(chunk: Column, content: Column) -> Column:
     """Whether the content, of 8 characters or more, is part of an example or exercise of the chunk."""
+    # Fixed value: examples and exercises.
     blocks = F.regexp_extract_all(chunk, F.lit(r"(?is)\\begin\{(example|exercise)\}(.*?)\\end\{\1\}"), F.lit(2))
     return (F.length(content) >= 8) & F.exists(blocks, lambda b: F.contains(b, content))
 

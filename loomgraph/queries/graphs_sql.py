@@ -11,6 +11,7 @@ _KS = ", ".join(f"arg_max(v, CASE WHEN k = 'k{i}' THEN major END) FILTER (WHERE
 _UPSERT = f"SELECT id, arg_max(type, major) AS type, arg_max(title, major) AS title, arg_max(content, major) FILTER (WHERE content IS NOT NULL) AS content, {_KS}"
 _PART = "SELECT 'node' AS part, id FROM {n} UNION ALL SELECT 'edge', source || ' ' || type || ' ' || target FROM {e}"
 # Forms of templates and of numbered objects, as in operators/graph.py.
+# Forms of templates, as in graph.py.
 _TEMPLATE = r"(regexp_matches({c}, 'P\s*\(\s*[A-Za-z]\\?[_A-Za-z0-9]*\s*=\s*[A-Za-z0-9_{{}}\\]+\s*\)\s*=\s*p\s*\(') OR regexp_matches({c}, 'P\\left\(\s*[A-Za-z]\\?[_A-Za-z0-9]*\s*=\s*[A-Za-z0-9_{{}}\\]+\s*\\right\)\s*=\s*p\\left\(') OR regexp_matches({c}, '(^|[^A-Za-z0-9_])f_?[A-Za-z]\s*\(\s*[A-Za-z]\s*\)') OR regexp_matches({c}, 'p_?[A-Za-z]\s*\(\s*[A-Za-z]\s*\)') OR (contains({c}, '\infty') AND regexp_matches({c}, '-\s*\\infty') AND regexp_matches({c}, '<\s*[A-Za-z]')))"
 _INDEXED = r"(regexp_matches({c}, '\\Omega_\{{?\d+\}}?') OR (regexp_matches({c}, '[A-Za-z]_\{{?\d+\}}?') AND length(regexp_replace({c}, '\s+', '', 'g')) <= 25))"
 _T, _I = _TEMPLATE.format(c="content"), _INDEXED.format(c="content")
@@ -64,6 +65,7 @@ UNION ALL SELECT {_uri('source')}, '{BASE}' || type, {_uri('target')}, false FRO
 UNION ALL SELECT {_STMT}, '{RDF}type', '{RDF}Statement', false FROM e WHERE evidence <> '' UNION ALL SELECT {_STMT}, '{RDF}subject', {_uri('source')}, false FROM e WHERE evidence <> ''
 UNION ALL SELECT {_STMT}, '{RDF}predicate', '{BASE}' || type, false FROM e WHERE evidence <> '' UNION ALL SELECT {_STMT}, '{RDF}object', {_uri('target')}, false FROM e WHERE evidence <> ''
 UNION ALL SELECT {_STMT}, '{BASE}evidence', evidence, true FROM e WHERE evidence <> ''"""
+# Signs of mathematics, as in normalize.py.
 _MATH = r"regexp_matches(text, '\\begin\{(equation|align|aligned|gather|multline)\}') OR regexp_matches(text, '(?s)\$\$.*\$\$') OR regexp_matches(text, '(?s)\\\[.*\\\]') OR regexp_matches(text, '\\(frac|sum|int|prod|mathbb|mathbf|mathrm|left|right|cdot|leq|geq|neq|infty)\b') OR (regexp_matches(text, '[=<>]') AND regexp_matches(text, '[a-zA-Z\\]')) OR (regexp_matches(text, '[0-9]') AND regexp_matches(text, '[_^]'))"
 
 ORACLES = {

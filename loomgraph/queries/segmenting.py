@@ -170,8 +170,10 @@ def full_heuristic_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.unionByName(made.edges.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge").alias("part"), "type", "n"))
 
 
+# Fixed values, as in extract.py.
 _ENVS = ("theorem", "lemma", "corollary", "definition", "example", "exercise", "axiom", "proposition", "conclusion")
 _ALT = "|".join(rf"\\begin\{{{e}\}}.*?\\end\{{{e}\}}" for e in _ENVS)
+# Fixed values, as in extract.py.
 _LAB = r"'\\label\{([^}]+)\}'"
 _ENV = f"""{_chunks_sql(2)}, blocks AS (SELECT id AS chunk, n, regexp_extract_all(text, '(?is){_ALT}') AS b FROM chunks),
 each AS (SELECT chunk, n, unnest(b) AS block, generate_subscripts(b, 1) - 1 AS place FROM blocks),
@@ -202,11 +204,13 @@ kept AS (SELECT *, CASE WHEN label IS NULL THEN row_number() OVER (PARTITION BY
 form_nodes AS (SELECT chunk, n, row_number() OVER (PARTITION BY chunk ORDER BY place) - 1 AS place, CASE WHEN label IS NULL THEN chunk || ':formula:' || k ELSE 'tex:' || label END AS id,
     CASE WHEN label IS NULL THEN 'Formula ' || (k + 1) ELSE 'Formula (' || label || ')' END AS title, body, label FROM kept)"""
 )
+# Fixed values, as in extract.py.
 _REFS = r"""ref_a AS (SELECT id AS chunk, n, regexp_extract_all(text, '\\(eqref|ref|autoref|cref)\{([^}]+)\}', 2) AS r FROM chunks), ref_b AS (SELECT chunk, n, trim(unnest(r)) AS label, generate_subscripts(r, 1) AS i FROM ref_a),
 refs AS (SELECT chunk, n, label, row_number() OVER (PARTITION BY chunk ORDER BY min(i)) - 1 AS place FROM ref_b GROUP BY chunk, n, label)"""
 _ALL = f"""{_FORM}, {_REFS}, labels AS (SELECT label, 'tex:' || label AS id, min(n) AS first_chunk FROM (SELECT label, n FROM env_nodes UNION ALL SELECT label, n FROM form_nodes) WHERE label IS NOT NULL GROUP BY label),
 members AS (SELECT e.chunk, e.n, e.id AS member, 'sec:' || c.path_text AS section FROM (SELECT chunk, n, id FROM env_nodes UNION ALL SELECT chunk, n, id FROM form_nodes) e JOIN chunks c ON c.id = e.chunk),
 deps AS (SELECT m.member AS source, l.id AS target, 'reference: ' || r.label AS evidence, m.chunk FROM members m JOIN refs r ON r.chunk = m.chunk JOIN labels l ON l.label = r.label AND l.first_chunk <= r.n WHERE m.member <> l.id)"""
+# Fixed values, as in extract.py.
 _SAID = r"""said_a AS (SELECT id AS chunk, n, regexp_extract_all(text, '(?i)derived\s+from\s+\\ref\{[^}]+\}') AS s FROM chunks), said AS (SELECT chunk, n, unnest(s) AS evidence FROM said_a),
 derived AS (SELECT m.member AS source, l.id AS target, s.evidence, m.chunk FROM members m JOIN said s ON s.chunk = m.chunk JOIN labels l ON l.label = regexp_extract(s.evidence, '\{([^}]+)\}', 1) AND l.first_chunk <= s.n WHERE m.member <> l.id)"""
 _CORE = """bound AS (SELECT type AS kind, id AS source, last_value(CASE WHEN type NOT IN ('Example', 'Exercise') THEN id END IGNORE NULLS) OVER (PARTITION BY chunk ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS target, chunk FROM env_nodes)"""
