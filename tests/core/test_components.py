@@ -65,3 +65,22 @@ def test_batches(spark):
         if asked:
             assert {r["id"]: r["component"] for r in made.of(spark.createDataFrame([(x,) for x in asked], "id string")).collect()} == {x: now[x] for x in asked}
     assert made.moved.filter(F.col("id") == F.col("component")).isEmpty()
+
+
+def test_leaves_take_no_rounds(spark, monkeypatch):
+    """Stars of any size over several tasks, and chains within a task, are done without a round."""
+    monkeypatch.setattr(g, "MERGED", 10)
+    monkeypatch.setattr(g, "large_stars", lambda edges: pytest.fail("a round"))
+    pairs = [(f"a{i % 7}", f"b{i:03d}") for i in range(200)]
+    got = {r["id"]: r["component"] for r in g.components(spark.createDataFrame(pairs, "a string, b string").repartition(5)).collect()}
+    assert got == reached(pairs)
+
+
+def test_hubs_dealt(spark, monkeypatch):
+    """With tables that are never broadcast, so that hubs go by salts."""
+    monkeypatch.setattr(g, "MERGED", 3)
+    monkeypatch.setattr(g, "HUB", 10)
+    monkeypatch.setattr(g, "broadcast_if_small", lambda df: df)
+    pairs = shapes(3)[:250]
+    got = {r["id"]: r["component"] for r in g.components(spark.createDataFrame(pairs, "a string, b string").repartition(3)).collect()}
+    assert got == reached(pairs)
