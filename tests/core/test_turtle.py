@@ -92,3 +92,15 @@ def test_order_of_documents(spark, tmp_path):
     t = gf.from_turtle(spark.createDataFrame(ttl, "doc int, value string"))
     assert [(r["id"], r["title"], tuple(r["seq"])) for r in t.nodes.orderBy("seq").collect()] == [("z", "z", (0, 0)), ("x", "late", (0, 2))]
     assert t.nodes.filter(F.col("id").startswith("_")).isEmpty()
+
+
+def test_simple_statements_make_no_tokens(monkeypatch):
+    """Statements of one triple with IRIs in full are taken whole, with their escapes and under a base; others go by tokens as before."""
+    simple = '<http://a/s> <http://a/p> "say \\"x\\" .\\n" .\n<http://a/s> <http://a/p\\u0041> <http://a/o> .\n<http://a/s> <http://a/p> "" .'
+    by_tokens = turtle.parse_turtle("<> <u:p> 5 .\n" + simple)[1:]
+    assert turtle.parse_turtle(simple + "\n<> <u:p> 5 .") == [*by_tokens, ("", "u:p", "5", True)]
+    assert turtle.Statements("<s> <u:p> <o> .", base="http://b/").out == [("http://b/s", "u:p", "http://b/o", False)]
+    for line in simple.split("\n"):
+        assert turtle.over_line(line, "") == ("", 0, True) and turtle.over_line(line, '"""') == ('"""', 0, False)
+    monkeypatch.setattr(turtle, "_TOKEN", None)
+    assert turtle.parse_turtle(simple) == by_tokens
