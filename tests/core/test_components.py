@@ -84,3 +84,22 @@ def test_hubs_dealt(spark, monkeypatch):
     pairs = shapes(3)[:250]
     got = {r["id"]: r["component"] for r in g.components(spark.createDataFrame(pairs, "a string, b string").repartition(3)).collect()}
     assert got == reached(pairs)
+
+
+def test_a_small_star_is_an_edge_for_each_id_and_other_neighbour(spark):
+    """Ids that many tasks link have many edges; small stars have a row for each edge, not two."""
+    pairs = sorted({(f"a{i % 7}", f"b{i * 5 % 40:02d}") for i in range(160)})
+    edges = spark.createDataFrame(pairs, "v string, u string")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("v").alias("n"))
+    got = [tuple(r) for r in g.small_stars(edges, least).select("v", "u").collect()]
+    smallest = {u: min(v for v, w in pairs if w == u) for _, u in pairs}
+    assert len(got) == len(pairs)
+    assert set(got) == {(smallest[u], u) for _, u in pairs} | {(smallest[u], v) for v, u in pairs if v != smallest[u]}
+
+
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    """Groups of near copies link their ids in many tasks; while all edges fit one task, no edge is dealt to its ends."""
+    monkeypatch.setattr(g, "peeled", None)
+    pairs = [(i % (40 - k), i) for k in range(30) for i in range(40)]
+    got = {r["id"]: r["component"] for r in g.components(spark.createDataFrame(pairs, "a long, b long").repartition(16)).collect()}
+    assert got == reached(pairs)
