@@ -1,21 +1,23 @@
 """Quality classifier by the perplexity of an interpolated modified Kneser-Ney trigram model (op 7).
 
-The model is trained on trusted text: documents labelled of good quality and not toxic. Tokens are
-words of a vocabulary of the language, taken from it; other words stand for their shape. A word that
-repeats the one before it is ``<same>``, and from the second repetition on it is unknown, which no
-trusted text is: n-grams alone find a run of one frequent word likely. Counts of the n-grams are
-joined in shards (by language and context) to get each n-gram's probability and each context's
-weight for shorter ones. A document's perplexity comes from looking up its n-grams in its language's
-model; it is rejected above the limit of its language, a quantile of all trusted documents that the
-model has not seen. The n-grams come from a bounded sample, the limits and means do not.
+The model is trained on trusted text: documents labelled of good quality and not toxic, every second
+one of them; the others set its limits. Tokens are words of a vocabulary of the language, taken from
+it; other words stand for their shape. A word that repeats the one before it is ``<same>``, and from
+the second repetition on it is unknown, which no trusted text is: n-grams alone find a run of one
+frequent word likely.
+
+Trigrams go to shards by their language and middle word, so a shard has all that the probability of
+its trigrams depends on but single words: the pairs that start with the middle word and the contexts
+that end with it. Blocks of documents send their distinct trigrams there, and the answers, a logarithm
+for each, come back to the block. No task holds more of the model than a shard. A document is rejected
+above the limit of its language, a quantile of all trusted documents that the model has not seen.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import lru_cache
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +26,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, dealt, if_small, mapped, put, read_columns, sampled
+from .common import cut, dealt, fresh_dir, if_small, mapped, pieces, put_file, sampled, store
+from .lm_scoring import pack, pack_keys, several, unpack, unpack_keys, unpack_several
 from .token_output import chunks
 
 #: The model of all languages, for those with few trusted documents or none.
 ANY = "*"
 #: Bits of a token's number in an n-gram's key.
-WIDTH = 17
+WIDTH = 16
 UNKNOWN, START, STOP, SAME = 0, 1, 2, 3
+#: Bytes of text in a block, and Parquet bytes of input for each shard.
+BLOCK_BYTES, SHARD_BYTES = 16 << 20, 5 << 20
+#: Logarithms of probabilities travel as whole numbers of so small a part.
+PART = 1 << 18
+#: Trigrams of a shard that are added up at once.
+ADDED = 1 << 22
 #: Ranks that a quantile over all trusted documents tells apart.
 RANKS = 20_000
 # Shapes of words outside the vocabulary, each with and without an ending mark.
@@ -83,67 +92,93 @@ def contexts(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
     return a, b
 
 
-@dataclass
-class Table:
-    """Values by ascending keys."""
+def trigrams(tokens: np.ndarray, lengths: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """The key of each token's trigram: the text's language, the middle word, the first and the last."""
+    a, b = contexts(tokens, lengths)
+    return ((np.repeat(lang, lengths) << WIDTH | b) << WIDTH | a) << WIDTH | tokens
+
+
+def by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places of its keys in their order) by a hash of the keys' language and middle word."""
+    own = ((keys >> 2 * WIDTH).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)
+    order = np.argsort(own, kind="stable")
+    numbers, first = np.unique(own[order], return_index=True)
+    yield from zip(numbers.tolist(), np.split(order, first[1:]), strict=True)
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(place, weights=np.concatenate([n for _, n in parts]).astype(float), minlength=len(keys)).astype(np.int64)
+
 
-    keys: np.ndarray
-    values: np.ndarray
+def discounts(n: np.ndarray) -> list[float]:
+    """By a count of 0 to 3 and more, from how many n-grams have counts of 1 to 4; half of the count where they tell nothing."""
+    n = [0, *n.tolist()]
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0.0
+    return [0.0, *[min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.1), i - 0.05) if n[i] * n[i + 1] else i * 0.5 for i in (1, 2, 3)]]
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """The value of each key; NaN where there is none."""
-        if not len(self.keys):
-            return np.full(len(keys), np.nan, np.float32)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], np.nan)
 
+class Grams:
+    """A shard of the model: ``levels`` has its pairs, with how many words come before, and its trigrams with their counts."""
 
-@lru_cache(maxsize=16)
-def table(path: str) -> Table:
-    """A written table (key, value), read once by each Python worker; as long as the bounded sample has n-grams."""
-    keys, values = read_columns(path, ["key", "value"])
-    order = np.argsort(keys)
-    return Table(keys[order], values[order])
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        pairs = np.unique(keys >> 2 * WIDTH << WIDTH | keys & (1 << WIDTH) - 1, return_counts=True)
+        self.levels = [pairs, (keys, n)]
+
+    def probabilities(self, keys: np.ndarray, p: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Of trigrams, whose last words alone have the probabilities ``p``; ``d`` has the discounts by level, language and count."""
+        lang = keys >> 3 * WIDTH
+        asked = keys >> 2 * WIDTH << WIDTH | keys & (1 << WIDTH) - 1, keys
+        for (known, n), off, q in zip(self.levels, d, asked, strict=True):
+            if not len(known):
+                continue
+            of, start = np.unique(known >> WIDTH, return_index=True)
+            every = np.add.reduceat(n, start)
+            weight = np.add.reduceat(off[known >> (3 if q is keys else 2) * WIDTH, np.minimum(n, 3)], start) / every
+            at = np.minimum(np.searchsorted(of, q >> WIDTH), len(of) - 1)
+            place = np.minimum(np.searchsorted(known, q), len(known) - 1)
+            count = np.where(known[place] == q, n[place], 0)
+            held = np.maximum(count - off[lang, np.minimum(count, 3)], 0.0) / every[at]
+            p = np.where(of[at] == q >> WIDTH, held + weight[at] * p, p)
+        return p
 
 
 @dataclass
 class QualityModel:
-    """Vocabulary by number of language; number of each language; tables of log probabilities of seen n-grams and of log weights of contexts (their folders); per language the log weight and probability of unknown tokens, the mean and the limit."""
+    """Vocabulary by number of language; number of each language; the trigrams' written shards; probabilities of single words by language and number; discounts by level, language and count; per language the mean and the limit."""
 
     vocabulary: list[dict[str, int]]
     langs: dict[str, int]
-    grams: list[str] = field(default_factory=list)
-    weights: list[str] = field(default_factory=list)
-    unknown: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    shards: int
+    grams: DataFrame | None = None
+    one: list[np.ndarray] = field(default_factory=list)
+    discounts: np.ndarray = field(default_factory=lambda: np.zeros((2, 1, 4)))
     mean: np.ndarray = field(default_factory=lambda: np.zeros(1))
     limit: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
+    def without_grams(self) -> QualityModel:
+        """What every task gets."""
+        return replace(self, grams=None)
+
     def lang_numbers(self, langs: list) -> np.ndarray:
         return np.array([self.langs.get(x, self.langs[ANY]) for x in langs], np.int64)
 
+    def log_of(self, grams: Grams, keys: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the probabilities of trigrams of one shard."""
+        first = np.append(0, np.cumsum([len(x) for x in self.one]))[keys >> 3 * WIDTH]
+        return np.log(grams.probabilities(keys, np.concatenate(self.one)[first + (keys & (1 << WIDTH) - 1)], self.discounts))
+
     def log_probabilities(self, tokens: np.ndarray, lengths: np.ndarray, lang: np.ndarray) -> np.ndarray:
-        """The sum over each text of the natural logarithms of its tokens' probabilities."""
-        a, b = contexts(tokens, lengths)
-        key = np.repeat(lang, lengths)
-        of = key << WIDTH
-        every, place = np.unique(((of | a) << WIDTH | b) << WIDTH | tokens, return_inverse=True)
-        c, b = every & ((1 << WIDTH) - 1), every >> WIDTH & ((1 << WIDTH) - 1)
-        own, ab = every >> 3 * WIDTH, every >> WIDTH
-        one = table(self.grams[0]).get(own << WIDTH | c)
-        p = np.where(np.isnan(one), self.unknown[own], one)
-        for gram, weight, keys, context in (
-            (self.grams[1], self.weights[0], (own << WIDTH | b) << WIDTH | c, own << WIDTH | b),
-            (self.grams[2], self.weights[1], every, ab),
-        ):
-            seen, w = table(gram).get(keys), table(weight).get(context)
-            p = np.where(np.isnan(seen), np.where(np.isnan(w), p, w + p), seen)
-        starts = np.append(0, np.cumsum(lengths)[:-1])
-        return np.add.reduceat(p[place], starts)
-
-    def perplexities(self, tokens: np.ndarray, lengths: np.ndarray, lang: np.ndarray, prior: float) -> np.ndarray:
-        """Perplexity of each text, drawn to the language's mean as by ``prior`` tokens of it."""
-        total = -self.log_probabilities(tokens, lengths, lang)
-        return np.exp((total + prior * self.mean[lang]) / (lengths + prior))
+        """The sum over each text of the natural logarithms of its tokens' probabilities, for a few texts and a model that fit one process."""
+        keys, place = np.unique(trigrams(tokens, lengths, lang), return_inverse=True)
+        rows = self.grams.select("n", "keys", "counts").collect()
+        parts = [(unpack_keys(r["keys"], r["n"]).astype(np.int64), unpack(r["counts"]).astype(np.int64)) for r in rows]
+        grams = Grams(*summed(parts)) if parts else Grams(*NOTHING)
+        return np.add.reduceat(self.log_of(grams, keys)[place], np.append(0, np.cumsum(lengths)[:-1]))
+
+
+NOTHING = np.empty(0, np.int64), np.empty(0, np.int64)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -151,87 +186,137 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").distinct()
 
 
-def trusted_sample(docs: DataFrame, labels: DataFrame, per_lang: int, most: int) -> DataFrame:
-    """(doc_id, lang, text, fit): at most ``per_lang`` trusted documents of each lang and ``most`` in all; every second is not for fitting.
+def trusted_sample(docs: DataFrame, labels: DataFrame, per_lang: int | None = None, most: int | None = None) -> DataFrame:
+    """(doc_id, lang, text, fit): all trusted documents; every second, by a hash of the doc_id, is not for fitting.
 
-    Null langs count as the lang ``*``. Which documents are taken depends on a hash of the doc_id.
+    Null langs count as the lang ``*``. Of rows that repeat a doc_id and lang one is taken: that of the smallest hash of its text.
+    Given ``per_lang`` or ``most``, at most so many of each lang or in all, chosen by a hash of the doc_id.
     """
     rows = docs.filter("text is not null").select("doc_id", F.coalesce("lang", F.lit(ANY)).alias("lang"), "text")
-    among = rows.select("doc_id", "lang").join(trusted_ids(labels), "doc_id", "left_semi")
-    got = sampled(rows, "lang", "trusted", per_lang, most, among)
+    trusted = rows.join(if_small(trusted_ids(labels)), "doc_id", "left_semi")
+    if per_lang is None and most is None:
+        again = if_small(trusted.groupBy("doc_id", "lang").count().filter("count > 1").select("doc_id", "lang"))
+        got = trusted
+        if not again.isEmpty():  # no text moves but those of repeated ids
+            one = trusted.join(again, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+            got = trusted.join(again, ["doc_id", "lang"], "left_anti").unionByName(one)
+    else:
+        every = (1 << 31) - 1
+        got = sampled(rows, "lang", "trusted", per_lang or most, most or every, trusted.select("doc_id", "lang"))
     return got.select("doc_id", "lang", "text", (F.xxhash64(F.lit("fit"), "doc_id") % 2 == 0).alias("fit"))
 
 
 def vocabulary_of(sample: DataFrame, langs: dict[str, int], size: int, size_any: int, least: int) -> list[dict[str, int]]:
-    """For each language's number, numbers of the ``size`` commonest of its words that occur ``least`` times in the sample; for that of all, ``size_any``."""
+    """For each language's number, numbers of the ``size`` commonest of its words that occur ``least`` times in the texts for fitting; for that of all, ``size_any``."""
     if max(size, size_any) > (1 << WIDTH) - FIRST_WORD:
         raise ValueError("more words than numbers")
     own = F.lit(None).cast("int")
     for lang, number in langs.items():
         own = F.when(F.col("lang") == lang, F.lit(number)).otherwise(own)
     each = F.explode(F.array_distinct(F.array_compact(F.array(own, F.lit(langs[ANY])))))
-    words = sample.filter("fit").select(each.alias("number"), F.split("text", r"[\x20\x09-\x0D]+").alias("t")).select("number", F.explode("t").alias("w")).filter("w <> ''")
-    counted = words.groupBy("number", "w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    words = sample.filter("fit").select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).filter("w <> ''").groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    counted = words.select(each.alias("number"), "w", "n").groupBy("number", "w").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     w = Window.partitionBy("number").orderBy(F.desc("n"), "w")
-    ranked = counted.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.when(F.col("number") == langs[ANY], size_any).otherwise(size))
+    ranked = counted.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max(size, size_any)).filter(F.col("r") <= F.when(F.col("number") == langs[ANY], size_any).otherwise(size))
     found: list[dict[str, int]] = [{} for _ in langs]
-    for r in ranked.select("number", "w", "r").collect():  # at most `size` a language of a bounded sample
+    for r in ranked.select("number", "w", "r").collect():  # at most `size` a language
         found[r["number"]][r["w"]] = FIRST_WORD + r["r"] - 1
     return found
 
 
-def gram_counts(sample: DataFrame, vocabulary: list[dict[str, int]], langs: dict[str, int]) -> DataFrame:
-    """(key, n): how often each trigram of known tokens is in the texts for fitting, by language; all count for ``*`` too."""
+#: Trigrams of a block and shard, or all of a shard.
+COUNTS = "shard int, n long, keys binary, counts binary"
+
+
+def gram_counts(sample: DataFrame, vocabulary: list[dict[str, int]], langs: dict[str, int], shards: int) -> DataFrame:
+    """COUNTS: how often each trigram of known tokens is in the texts for fitting, by language; all count for ``*`` too. Rows of blocks and shards."""
     given = sample.sparkSession.sparkContext.broadcast((vocabulary, langs))
 
+    def made(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, n = summed(held)
+        for shard, at in by_shard(keys, shards):
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "n": len(at), "keys": pack_keys(keys[at].astype(np.uint64)), "counts": pack(n[at])}], schema=arrow_schema(COUNTS))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, numbers = given.value
-        total: Counter = Counter()
+        held, size = [], 0
         for batch in batches:
             at = 0
             for some in chunks(batch.column("text")):
                 names = batch.column("lang").slice(at, len(some)).to_pylist()
                 at += len(some)
+                size += some.nbytes
                 for lang in {ANY, *names} & set(numbers):
                     rows = [i for i, x in enumerate(names) if lang in (ANY, x)]
                     tokens, lengths = token_numbers(some.take(pa.array(rows)), vocab[numbers[lang]])
-                    a, b = contexts(tokens, lengths)
-                    mine = tokens != UNKNOWN
-                    keys, n = np.unique((((numbers[lang] << WIDTH | a) << WIDTH | b) << WIDTH | tokens)[mine], return_counts=True)
-                    total.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
-        if total:
-            yield pa.RecordBatch.from_pydict({"key": list(total), "n": list(total.values())}, schema=pa.schema([("key", pa.int64()), ("n", pa.int64())]))
+                    keys = trigrams(tokens, lengths, np.full(len(rows), numbers[lang]))
+                    held.append(np.unique(keys[tokens != UNKNOWN], return_counts=True))
+                if size >= BLOCK_BYTES:
+                    yield from made(held)
+                    held, size = [], 0
+        if held:
+            yield from made(held)
 
-    return sample.filter("fit").select("lang", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return dealt(sample.filter("fit").select("lang", "text")).mapInArrow(run, COUNTS)
 
 
-def smoothed(counts: DataFrame, shorter: DataFrame | None, order: int) -> tuple[DataFrame, DataFrame]:
-    """Probabilities (key, p) of the n-grams in ``counts`` and weights (context, w), by modified Kneser-Ney.
+def arrow_schema(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in ddl.split(", ")])
 
-    ``counts`` has (key, n): occurrences at the highest order, distinct words before at lower ones.
-    ``shorter`` has the probabilities of the n-grams without their first word.
-    """
-    c = counts.withColumns({"lang": F.shiftright("key", order * WIDTH), "context": F.shiftright("key", WIDTH)})
-    of = c.groupBy("lang").agg(*[F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)], F.count(F.lit(1)).alias("types"))
-    y = "(n1 / (n1 + 2D * n2))"
-    discounts = of.selectExpr(
-        "lang as _lang", "types",
-        *[f"coalesce(if({nxt} * {this} > 0, least(greatest({i} - {i + 1} * {y} * {nxt} / {this}, 0.1D), {i} - 0.05D), {i} * 0.5D), {i} * 0.5D) as d{i}"
-          for i, this, nxt in ((1, "n1", "n2"), (2, "n2", "n3"), (3, "n3", "n4"))],
-    )
-    stats = c.groupBy("lang", "context").agg(
-        F.sum("n").alias("all"), *[F.sum((F.least("n", F.lit(3)) == i).cast("long")).alias(f"k{i}") for i in (1, 2, 3)]
-    )
-    stats = stats.join(F.broadcast(discounts), F.expr("lang = _lang")).withColumn("w", F.expr("(d1 * k1 + d2 * k2 + d3 * k3) / all"))
-    joined = c.join(stats.drop("lang", "_lang", "k1", "k2", "k3"), "context")
-    held = "greatest(n - case when n = 1 then d1 when n = 2 then d2 else d3 end, 0D) / all"
-    if shorter is None:
-        return joined.selectExpr("key", f"{held} + w / (types + 1) as p"), stats.selectExpr("lang", "w / (types + 1) as w")
-    mask = (1 << order * WIDTH) - 1  # the key without its language
-    rest = f"((key >> {order * WIDTH}) << {(order - 1) * WIDTH}) | (key & {mask >> WIDTH})"
-    low = shorter.selectExpr("key as _short", "p as _p")
-    joined = joined.withColumn("_rest", F.expr(rest)).join(low, F.expr("_rest = _short"))
-    return joined.selectExpr("key", f"{held} + w * _p as p"), stats.selectExpr("context", "w")
+
+def shard_rows(counts: DataFrame, shards: int) -> DataFrame:
+    """A row for each shard: its trigrams, of_counts (how many of its pairs and trigrams have counts of 1 to 4, by level and language) and words (how many words are before each)."""
+
+    def row(shard: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, n = summed(held)
+        tell, (pairs, before) = [], Grams(keys, n).levels[0]
+        for level, (known, times) in enumerate(((pairs >> 2 * WIDTH, before), (keys >> 3 * WIDTH, n))):
+            kind, many = np.unique((known * 5 + times)[times <= 4], return_counts=True)
+            tell += [{"level": level, "lang": int(k) // 5, "times": int(k) % 5, "m": int(m)} for k, m in zip(kind, many, strict=True)]
+        word, m = np.unique(pairs >> 2 * WIDTH << WIDTH | pairs & (1 << WIDTH) - 1, return_counts=True)
+        values = {"shard": shard, "n": len(keys), "keys": pack_keys(keys.astype(np.uint64)), "counts": pack(n), "of_counts": tell, "words": [{"word": int(k), "m": int(x)} for k, x in zip(word, m, strict=True)]}
+        return pa.RecordBatch.from_pylist([values], schema=schema)
+
+    schema = arrow_schema(COUNTS)
+    schema = schema.append(pa.field("of_counts", pa.list_(pa.struct([("level", pa.int32()), ("lang", pa.int32()), ("times", pa.int32()), ("m", pa.int64())]))))
+    schema = schema.append(pa.field("words", pa.list_(pa.struct([("word", pa.int64()), ("m", pa.int64())]))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, size, most = -1, [], 0, ADDED
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["shard"] != shard:
+                    if held:
+                        yield row(shard, held)
+                    shard, held, size, most = r["shard"], [], 0, ADDED
+                held.append((unpack_keys(r["keys"], r["n"]).astype(np.int64), unpack(r["counts"]).astype(np.int64)))
+                size += r["n"]
+                if size > most:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    most = max(ADDED, 2 * size)
+        if held:
+            yield row(shard, held)
+
+    dealt_rows = counts.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
+    return mapped(dealt_rows, run, f"{COUNTS}, of_counts array<struct<level: int, lang: int, times: int, m: bigint>>, words array<struct<word: bigint, m: bigint>>", "grams")
+
+
+def smoothed(model: QualityModel) -> None:
+    """Sets the discounts and the single words' probabilities from sums over the shards: some numbers a language, and one for each of its vocabulary."""
+    n = np.zeros((2, len(model.langs), 4), np.int64)
+    for r in model.grams.select(F.explode("of_counts").alias("c")).select("c.*").groupBy("level", "lang", "times").agg(F.sum("m").alias("m")).collect():
+        n[r["level"], r["lang"], r["times"] - 1] = r["m"]
+    model.discounts = np.array([[discounts(x) for x in level] for level in n])
+    before = [np.zeros(FIRST_WORD + len(v), np.int64) for v in model.vocabulary]
+    for r in model.grams.select(F.explode("words").alias("w")).select("w.*").groupBy("word").agg(F.sum("m").alias("m")).collect():
+        before[r["word"] >> WIDTH][r["word"] & (1 << WIDTH) - 1] = r["m"]
+    model.one = []
+    for m in before:
+        d = np.array(discounts(np.bincount(m[m <= 4], minlength=5)[1:]))[np.minimum(m, 3)]
+        rest = d.sum() / max(1, m.sum()) / ((m > 0).sum() + 1)
+        model.one.append(np.maximum(m - d, 0) / max(1, m.sum()) + rest if m.any() else np.full(len(m), np.exp(-12.0)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, **parameters) -> QualityModel | None:
@@ -239,40 +324,40 @@ def fit(docs: DataFrame, labels: DataFrame, **parameters) -> QualityModel | None
     return learned(docs, labels, **parameters)[0]
 
 
-def learned(docs: DataFrame, labels: DataFrame, per_lang: int = 1600, most: int = 32_000, words: int = 2000, words_any: int = 16_000, least: int = 20, few: int = 40, quantile: float = 0.995, slack: float = 1.25, prior: float = 20.0) -> tuple[QualityModel | None, DataFrame | None]:
+def learned(docs: DataFrame, labels: DataFrame, per_lang: int | None = None, most: int | None = None, words: int = 2000, words_any: int = 16_000, least: int = 20, few: int = 40, quantile: float = 0.995, slack: float = 1.25, prior: float = 20.0) -> tuple[QualityModel | None, DataFrame | None]:
     """The model, and each row's doc_id, lang, given (has a text), text_key, model, n_tokens and perplexity without prior.
 
-    The n-grams are learned from a sample of trusted documents bounded by ``per_lang`` and ``most``;
-    a language has ``words`` words of its own, all others are told by their shapes; languages with
-    under ``few`` documents take the model of all. The mean of a language is that of all trusted
-    documents not used for fitting, and the limit the ``quantile`` of their perplexities, times
-    ``slack``. None and None if no document is trusted.
+    The n-grams and words are learned from every second trusted document (of a sample, if ``per_lang`` or
+    ``most`` is given, which bound it); a language has ``words`` words of its own, all others are told by
+    their shapes; languages with under ``few`` documents take the model of all. The mean of a language is
+    that of all trusted documents not used for fitting, and the limit the ``quantile`` of their
+    perplexities, times ``slack``. None and None if no document is trusted.
     """
-    sample = cut(trusted_sample(docs, labels, per_lang, most), "sample")
-    known = [r["lang"] for r in sample.groupBy("lang").count().filter(F.col("count") >= few).orderBy("lang").collect()]  # at most most / few
-    if sample.isEmpty():
+    sample = trusted_sample(docs, labels, per_lang, most)
+    sample = sample if per_lang is None and most is None else cut(sample, "sample")
+    ids = cut(sample.select("doc_id", "lang", "fit"), "trusted")
+    known = [r["lang"] for r in ids.groupBy("lang").count().filter(F.col("count") >= few).orderBy("lang").collect()]  # a row a language
+    if ids.isEmpty():
         return None, None
     langs = {lang: i for i, lang in enumerate([ANY, *[x for x in known if x != ANY]])}
     vocabulary = vocabulary_of(sample, langs, words, words_any, least)
-    three = cut(gram_counts(sample, vocabulary, langs), "trigrams")
-    tail = f"((key >> {3 * WIDTH}) << {2 * WIDTH}) | (key & {(1 << 2 * WIDTH) - 1})"
-    two = cut(three.selectExpr(f"{tail} as key").groupBy("key").agg(F.count(F.lit(1)).alias("n")), "bigrams")
-    tail = f"((key >> {2 * WIDTH}) << {WIDTH}) | (key & {(1 << WIDTH) - 1})"
-    one = two.selectExpr(f"{tail} as key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    p1, unknown = smoothed(one, None, 1)
-    p1 = cut(p1, "p1")
-    p2, w2 = smoothed(two, p1, 2)
-    p2 = cut(p2, "p2")
-    p3, w3 = smoothed(three, p2, 3)
-    log = lambda df, key, v: put(df.select(F.col(key).cast("long").alias("key"), F.log(v).cast("float").alias("value")), "table")
-    model = QualityModel(vocabulary, langs, [log(p, "key", "p") for p in (p1, p2, p3)], [log(w, "context", "w") for w in (w2, w3)])
-    model.unknown = np.full(len(langs), -12.0)
-    for r in unknown.collect():
-        model.unknown[r["lang"]] = np.log(r["w"])
-    model.mean = np.zeros(len(langs))
-    scores = cut(scored(docs.select("doc_id", "lang", F.col("text").isNotNull().alias("given"), text_key().alias("text_key"), "text"), model), "scores")
-    set_limits(model, held_out(scores, labels, sample, model), quantile, slack, prior)
-    return model, scores
+    if len(langs) >= 1 << 63 - 3 * WIDTH:
+        raise ValueError("more languages than numbers")
+    shards = pieces(docs.select("text"), SHARD_BYTES)
+    model = QualityModel(vocabulary, langs, shards, shard_rows(gram_counts(sample, vocabulary, langs, shards), shards))
+    smoothed(model)
+    rows = docs.select("doc_id", "lang", F.col("text").isNotNull().alias("given"), text_key().alias("text_key"), F.lit(False).alias("again"), "text")
+    scores = scored(rows, model, others_of(sample, ids, rows))
+    set_limits(model, held_out(scores, labels, ids), quantile, slack, prior)
+    return model, scores.filter("not again").drop("again")
+
+
+def others_of(sample: DataFrame, ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """The trusted documents not used for fitting (all, if all were used) once more as rows like ``rows``, under the language ``*``."""
+    others = sample.filter("not fit")
+    others = sample if ids.filter("not fit").isEmpty() else others
+    key = F.lit(None).cast(rows.schema["text_key"].dataType).alias("text_key")
+    return others.select("doc_id", F.lit(ANY).alias("lang"), F.lit(True).alias("given"), key, F.lit(True).alias("again"), "text")
 
 
 def text_key() -> Column:
@@ -280,19 +365,17 @@ def text_key() -> Column:
     return F.struct(F.xxhash64(F.lit("a"), "lang", "text").alias("a"), F.xxhash64(F.lit("b"), "text", "lang").alias("b"))
 
 
-def held_out(scores: DataFrame, labels: DataFrame, sample: DataFrame, model: QualityModel) -> DataFrame:
+def held_out(scores: DataFrame, labels: DataFrame, ids: DataFrame) -> DataFrame:
     """(model, n_tokens, nll): a row for each trusted document not used for fitting, by its language's model; all trusted ones if all were used.
 
     The model of all languages is held against those too that have none of their own, and against
-    the part of the sample that it was not fitted to.
+    the part of the sample that it was not fitted to (``again``).
     """
-    trusted = scores.filter("given").withColumn("lang", F.coalesce("lang", F.lit(ANY))).join(trusted_ids(labels), "doc_id", "left_semi")
-    fitted = F.broadcast(sample.filter("fit").select("doc_id", "lang").distinct())  # at most the bounded sample
+    trusted = scores.filter("given and not again").withColumn("lang", F.coalesce("lang", F.lit(ANY))).join(if_small(trusted_ids(labels)), "doc_id", "left_semi")
+    fitted = if_small(ids.filter("fit").select("doc_id", "lang").distinct())
     rest = trusted.join(fitted, ["doc_id", "lang"], "left_anti")
-    rest = cut(trusted if rest.isEmpty() else rest, "held-out").selectExpr("model", "n_tokens", "ln(perplexity) as nll")
-    others = sample.filter("not fit")
-    others = sample if others.isEmpty() else others
-    return rest.unionByName(scored(others.select(F.lit(ANY).alias("lang"), "text"), model).selectExpr("model", "n_tokens", "ln(perplexity) as nll"))
+    rest = cut(trusted if rest.isEmpty() else rest, "held-out")
+    return rest.select("model", "n_tokens", "perplexity").unionByName(scores.filter("again").select("model", "n_tokens", "perplexity")).selectExpr("model", "n_tokens", "ln(perplexity) as nll")
 
 
 def set_limits(model: QualityModel, held: DataFrame, quantile: float, slack: float, prior: float) -> None:
@@ -319,28 +402,126 @@ def by_model(values: np.ndarray, number: Column) -> Column:
     return F.element_at(F.array(*[F.lit(float(x)) for x in values]), (number + 1).cast("int"))
 
 
-def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``docs``' columns other than text, with model (the number of the language's), n_tokens and the perplexity by it."""
-    given = docs.sparkSession.sparkContext.broadcast(model)
+def packed(docs: DataFrame, model: QualityModel, folder: str) -> DataFrame:
+    """(block, file, rows), written: of each block the file in ``folder`` of its texts' models, lengths and tokens, and the texts' other columns."""
+    given = docs.sparkSession.sparkContext.broadcast(model.without_grams())
     others = [c for c in docs.columns if c != "text"]
-    out = [*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others], "model long", "n_tokens long", "perplexity double"]
+    kinds = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in others)
+
+    def made(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.StructArray]]) -> pa.RecordBatch:
+        name = uuid.uuid4().hex
+        put_file(folder, name, several([np.concatenate([h[i] for h in held]) for i in range(3)]))
+        rows = pa.concat_arrays([h[3] for h in held])
+        whole = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+        return pa.RecordBatch.from_arrays([pa.array([name]), whole], names=["file", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = given.value
+        m, held, size = given.value, [], 0
         for batch in batches:
             at = 0
             for some in chunks(batch.column("text")):
                 part = batch.slice(at, len(some))
                 at += len(some)
-                lang = m.lang_numbers(part.column("lang").to_pylist())
-                n, perplexity = np.zeros(len(some), np.int64), np.zeros(len(some))
-                for number in np.unique(lang):
-                    rows = np.flatnonzero(lang == number)
-                    tokens, lengths = token_numbers(some.take(pa.array(rows)).fill_null(""), m.vocabulary[number])
-                    n[rows], perplexity[rows] = lengths, m.perplexities(tokens, lengths, lang[rows], 0.0)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], pa.array(lang), pa.array(n), pa.array(perplexity)], names=[*others, "model", "n_tokens", "perplexity"])
-
-    return mapped(dealt(docs), run, ", ".join(out), "scored")
+                size += some.nbytes
+                langs = m.lang_numbers(part.column("lang").to_pylist())
+                for own in np.unique(langs):
+                    rows = pa.array(np.flatnonzero(langs == own))
+                    tokens, lengths = token_numbers(some.take(rows).fill_null(""), m.vocabulary[own])
+                    columns = part.select(others).take(rows)
+                    held.append((np.full(len(rows), own), lengths, tokens, pa.StructArray.from_arrays(columns.columns, fields=list(columns.schema))))
+                if size >= BLOCK_BYTES:
+                    yield made(held)
+                    held, size = [], 0
+        if held:
+            yield made(held)
+
+    return mapped(dealt(docs), run, f"file string, rows array<struct<{kinds}>>", "blocks")
+
+
+def block_of(folder: str, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths of the texts, their models, the trigrams of all tokens) of a block."""
+    fs, path = store(folder)
+    with fs.open_input_file(f"{path}/{name}") as f:
+        lang, lengths, tokens = (x.astype(np.int64) for x in unpack_several(f.read(), 3))
+    return lengths, lang, trigrams(tokens, lengths, lang)
+
+
+def requests(blocks: DataFrame, folder: str, shards: int) -> DataFrame:
+    """The distinct trigrams of each block (file), by shard."""
+    out = pa.schema([("file", pa.string()), *arrow_schema(COUNTS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                keys = np.unique(block_of(folder, name)[2])
+                for shard, at in by_shard(keys, shards):
+                    yield pa.RecordBatch.from_pylist([{"file": name, "shard": shard, "n": len(at), "keys": pack_keys(keys[at].astype(np.uint64)), "counts": None}], schema=out)
+
+    return blocks.mapInArrow(run, f"file string, {COUNTS}")
+
+
+def answers(asked: DataFrame, model: QualityModel) -> DataFrame:
+    """(file, shard, answer): the logarithms of the probabilities of the trigrams that blocks ask for. A shard's trigrams come first, then a block's at a time."""
+    given = asked.sparkSession.sparkContext.broadcast(model.without_grams())
+    out = pa.schema([("file", pa.string()), ("shard", pa.int32()), ("answer", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, shard, grams = given.value, -1, Grams(*NOTHING)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                keys = unpack_keys(r["keys"], r["n"]).astype(np.int64)
+                if r["shard"] != shard:
+                    shard, grams = r["shard"], Grams(*NOTHING)
+                if r["file"] is None:
+                    grams = Grams(keys, unpack(r["counts"]).astype(np.int64))
+                    continue
+                values = {"file": r["file"], "shard": shard, "answer": pack(np.rint(-PART * m.log_of(grams, keys)).astype(np.int64))}
+                yield pa.RecordBatch.from_pylist([values], schema=out)
+
+    both = model.grams.select(F.lit(None).cast("string").alias("file"), "shard", "n", "keys", "counts").unionByName(asked)
+    both = both.repartitionById(model.shards, F.col("shard")).sortWithinPartitions("shard", "file")  # nulls first
+    return both.mapInArrow(run, "file string, shard int, answer binary")
+
+
+def scored(docs: DataFrame, model: QualityModel, more: DataFrame) -> DataFrame:
+    """The columns other than text of ``docs`` and ``more``, with model (the number of the language's), n_tokens and the perplexity by it.
+
+    What a block's texts are made of stays in its file; the shuffles have its distinct trigrams and their answers.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    folder, shards = fresh_dir(docs.sparkSession, "tokens"), model.shards
+    blocks = packed(docs, model, folder).unionByName(packed(more, model, folder))
+    parts = max(1, blocks.count())
+    found = answers(requests(blocks.select("file").repartition(parts, "file"), folder, shards), model)
+
+    def judged(name: str, rows: pa.StructArray, got: dict[int, bytes]) -> pa.RecordBatch:
+        lengths, lang, every = block_of(folder, name)
+        keys, place = np.unique(every, return_inverse=True)
+        log = np.empty(len(keys))
+        for shard, at in by_shard(keys, shards):
+            log[at] = unpack(got[shard])
+        total = np.add.reduceat(log[place], np.append(0, np.cumsum(lengths)[:-1])) / PART
+        return pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(lang), pa.array(lengths), pa.array(np.exp(total / lengths))], names=[*others, "model", "n_tokens", "perplexity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, got = None, {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if (shard := batch.column("shard")[i].as_py()) >= 0:
+                    got[shard] = batch.column("answer")[i].as_py()
+                    continue
+                if block is not None:
+                    yield judged(*block, got)
+                block, got = (batch.column("file")[i].as_py(), batch.column("rows")[i].values), {}
+        if block is not None:
+            yield judged(*block, got)
+
+    texts = blocks.select("file", F.lit(-1).alias("shard"), "rows", F.lit(None).cast("binary").alias("answer"))
+    both = texts.unionByName(found.select("file", "shard", F.lit(None).cast(texts.schema["rows"].dataType).alias("rows"), "answer"))
+    both = both.repartition(parts, "file").sortWithinPartitions("file", "shard")
+    out = [*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others], "model long", "n_tokens long", "perplexity double"]
+    return mapped(both, run, ", ".join(out), "scores")
 
 
 def classify(docs: DataFrame, labels: DataFrame, prior: float = 20.0, **parameters) -> DataFrame:

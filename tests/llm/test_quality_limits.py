@@ -1,5 +1,7 @@
 """The limits cover all trusted documents, however small the sample of the n-grams is."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from loomgraph.llm import quality
@@ -27,3 +29,23 @@ def test_classify_and_keep_good_agree(spark, odd_docs):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, None), (9, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
     kept = sorted(str(r["doc_id"]) for r in quality.classify(odd_docs, labels).filter("kept").collect())
     assert kept == sorted(str(r["doc_id"]) for r in quality.keep_good(odd_docs, labels).collect())
+
+
+def test_words_and_trigrams_come_from_all_trusted(spark, monkeypatch, tmp_path):
+    """3,600 trusted documents of one language: every second one is fitted to, whole, in any number of shards and blocks."""
+    texts = [f"g{i % 150} h{i % 7} g{i * 7 % 150} tail{i}" for i in range(3600)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    docs.repartition(5).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    fitted = [r["text"] for r in docs.filter("xxhash64('fit', doc_id) % 2 = 0").collect()]
+    counts = Counter(w for t in fitted for w in t.split())
+    model = quality.fit(docs, labels, least=8)
+    assert 1700 < len(fitted) < 1900
+    assert set(model.vocabulary[model.langs["en"]]) == {w for w, n in counts.items() if n >= 8}
+    before = {r["doc_id"]: (r["perplexity"], r["limit"], r["kept"]) for r in quality.classify(docs, labels, least=8).collect()}
+    monkeypatch.setattr(quality, "SHARD_BYTES", 1500)
+    many = quality.fit(docs, labels, least=8)
+    assert many.shards > 5 and many.grams.count() > 5
+    after = {r["doc_id"]: (r["perplexity"], r["limit"], r["kept"]) for r in quality.classify(docs, labels, least=8).collect()}
+    assert before.keys() == after.keys() and all(before[i] == pytest.approx(after[i], rel=1e-6) for i in before)
