@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,8 +14,8 @@ from ..storage import broadcast_if_small, dealt, numbered, starts, stored
 
 # Heading commands and tokens.
 HEADING = rf"^\\(chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?\{{(.+?)\}}[{WS}]*\z"
-#: A token with the white space before it, so that tokens in a row are the text itself.
-TOKEN = rf"([{WS}]*(?:\\[a-zA-Z]+|[a-zA-Z0-9_]+|[一-鿿]|[^{WS}]))"
+#: A token with the white space before it, so that tokens in a row are the text itself: a word, a command or any other character. Nothing is given back once taken.
+TOKEN = rf"[{WS}]*+(?:[a-zA-Z0-9_]++|\\[a-zA-Z]++|[^{WS}])"
 LEVELS = range(1, 6)
 
 
@@ -156,7 +158,7 @@ def chunk_lines(lines: DataFrame, granularity: str = "section", max_tokens: int
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
 def split_windows(chunks: DataFrame, max_tokens: int | None) -> DataFrame:
@@ -165,9 +167,11 @@ def split_windows(chunks: DataFrame, max_tokens: int | None) -> DataFrame:
         return chunks
     size = int(max_tokens)
     stride = max(1, size // 2)
-    parts = dealt(chunks).withColumn("_t", tokens(F.col("text"))).withColumn("_n", F.size("_t"))
+    step = math.gcd(size, stride)  # windows start and end between runs of so many tokens, which are taken whole
+    parts = dealt(chunks).withColumn("_t", F.regexp_extract_all("text", F.lit(rf"(?:{TOKEN}){{1,{step}}}+"), F.lit(0))).withColumn("_n", F.size("_t") * step)
     last = F.ceil((F.col("_n") - size) / F.lit(stride)).cast("int")
-    cut = lambda w: F.struct(w.alias("w"), trim(F.array_join(F.slice("_t", w * stride + 1, size), "")).alias("text"))
+    begun = lambda text: F.regexp_extract(text, rf"(?s)\A[{WS}]*+(.*)", 1)  # noqa: E731  a token ends with no white space
+    cut = lambda w: F.struct(w.alias("w"), begun(F.array_join(F.slice("_t", w * (stride // step) + 1, size // step), "")).alias("text"))
     whole = F.array(F.struct(F.lit(-1).alias("w"), F.col("text").alias("text")))
     windows = F.when(F.col("_n") > size, F.transform(F.sequence(F.lit(0), last), cut)).otherwise(whole)
     others = [c for c in chunks.columns if c not in ("text", "id", "chunk_seq")]

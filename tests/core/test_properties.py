@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 
@@ -98,3 +99,18 @@ def test_within_ranges(spark):
         ranges, places = list(zip(cuts[::2], cuts[1::2])), [rng.randrange(5000) for _ in range(2 * n + 2)] + [e for _, e in zip(range(3), cuts)]
         df = spark.createDataFrame([(places, ranges)], "p array<int>, r array<struct<start:int,end:int>>")
         assert df.select(text.within(F.col("p"), F.col("r"))).first()[0] == [any(a <= p <= b for a, b in ranges) for p in places]
+
+
+def test_windows_in_runs_of_tokens(spark):
+    """Windows of even and odd sizes against tokens one by one; an even size takes runs of half a window, not a string a token."""
+    text = " \u00a0\\alpha x_1 \u4e00\u4e8c, \\ \U0001f600 y  " * 9 + "\n\u2028"
+    space = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2028\u2029\u202f\u205f\u3000\ufeff"
+    one = re.findall(rf"[{space}]*(?:\\[a-zA-Z]+|[a-zA-Z0-9_]+|[^{space}])", text)
+    for size in (1, 2, 5, 8, 30, len(one), len(one) + 1):
+        c = spark.createDataFrame([("c", "f", "t", ["f"], text, 0)], "id string, file string, title string, section_path array<string>, text string, chunk_seq long")
+        made = segment.split_windows(c, size)
+        got = [r["text"] for r in made.orderBy("chunk_seq").collect()]
+        stride = max(1, size // 2)
+        want = [text] if len(one) <= size else ["".join(one[w * stride : w * stride + size]).lstrip(space) for w in range(-(-(len(one) - size) // stride) + 1)]
+        assert got == want
+    assert "{1,4}" in segment.split_windows(c, 8)._jdf.queryExecution().optimizedPlan().toString()
