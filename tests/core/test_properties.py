@@ -114,3 +114,12 @@ def test_windows_in_runs_of_tokens(spark):
         want = [text] if len(one) <= size else ["".join(one[w * stride : w * stride + size]).lstrip(space) for w in range(-(-(len(one) - size) // stride) + 1)]
         assert got == want
     assert "{1,4}" in segment.split_windows(c, 8)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_trim_is_built_in(spark):
+    """trim looks at a text's ends alone, with no regular expression over the whole, and takes what the browser's trim takes."""
+    space = "\t\n\x0b\f\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(chr(i) for i in range(0x2000, 0x200B))
+    texts = ["", space, "a", f"{space}a{space}b \U0001f600{space}", "\u200ba\u200b", "\x1ca\x85", "\u00e9 ", None, *[f"{c}x{c}y{c}" for c in space]]
+    made = spark.createDataFrame([(t,) for t in texts], "t string").select(text.trim(F.col("t")).alias("t"))
+    assert [r["t"] for r in made.collect()] == [t if t is None else t.strip(space) for t in texts]
+    assert "regexp" not in made._jdf.queryExecution().optimizedPlan().toString()
