@@ -104,3 +104,23 @@ def test_simple_statements_make_no_tokens(monkeypatch):
         assert turtle.over_line(line, "") == ("", 0, True) and turtle.over_line(line, '"""') == ('"""', 0, False)
     monkeypatch.setattr(turtle, "_TOKEN", None)
     assert turtle.parse_turtle(simple) == by_tokens
+
+
+def test_rows_are_small(spark, tmp_path):
+    """What readers and Arrow take at once, thousands of rows, is small, and nothing is lost between pieces."""
+    text = "@prefix k: <http://k/> .\n" + "".join(f'<http://k/s{i}> <http://k/p> "value {i}" .\n' for i in range(20_000))
+    (tmp_path / "d.ttl").write_text(text)
+    made = sorted((r["major"], r["text"]) for r in turtle.pieces(spark, str(tmp_path)).collect())
+    assert "\n".join(t for _, t in made) + "\n" == text and made[0][0] == 0
+    assert max(len(t) for _, t in made) * spark._jvm.org.apache.spark.sql.internal.SQLConf.get().arrowMaxRecordsPerBatch() < 1 << 26
+
+
+def test_long_statements_are_cut(monkeypatch):
+    """A statement without an end in sight is held up to LONG bytes alone; its rows join to what they were cut from."""
+    monkeypatch.setattr(turtle, "LONG", 30)
+    lines = ["<a> <b> <c> .", "<a> <b> <c> .", '<a> <b> """x', *["no . end"] * 9, '""" .', "<a> <b> <c> .", "<a> <b> (", "<c>"]
+    cut = turtle.Cut(1000)
+    rows = [r for i, line in enumerate(lines) for r in cut.push(i, line)] + cut.end()
+    assert "\n".join(t for _, t, _ in rows) == "\n".join(lines) and max(len(t) for _, t, _ in rows) < 60
+    assert [k for _, _, k in rows] == ["head", "whole", "open", "all", "all", "head", "whole", "open"]
+    assert [n for n, _, _ in rows] == [0, 1, 2, 4, 8, 12, 13, 14]
